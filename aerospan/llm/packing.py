@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from aerospan.llm.common import slices, texts_of, written
 from aerospan.llm.tokens import encoder
 
+#: Rows (a few dozen bytes each) of the table of queue places up to which it is broadcast; beyond, it is joined.
+MOST_PLACES = 100_000
 #: Sources have a row each in the schedule on the driver; more are refused.
 MOST_SOURCES = 10_000
 
@@ -175,7 +177,7 @@ def pack(docs: DataFrame, tokenizer: str, weights: dict[str, float] | None = Non
     one by one; an empty table gives no rows; other columns are not read.
     """
     ids = encoded(docs, tokenizer, end_id)
-    sums = ids.groupBy("source", "part").agg(F.sum("n").alias("n"))
+    sums = written(ids.groupBy("source", "part").agg(F.sum("n").alias("n")), "queues")
     queue = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("source", "part", F.coalesce(F.sum("n").over(queue), F.lit(0)).alias("base"))
     found = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy("source").limit(MOST_SOURCES + 1).collect()
@@ -194,5 +196,6 @@ def pack(docs: DataFrame, tokenizer: str, weights: dict[str, float] | None = Non
             kinds = [pa.int64()] * 7 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], cols)
 
-    placed = ids.join(bases, ["source", "part"]).select("doc_id", "source", "base", "part_start", "n", "width", "ids")
+    small = sums.limit(MOST_PLACES + 1).count() <= MOST_PLACES
+    placed = ids.join(F.broadcast(bases) if small else bases, ["source", "part"]).select("doc_id", "source", "base", "part_start", "n", "width", "ids")
     return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")

@@ -23,6 +23,30 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aerospan.llm.langid import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aerospan.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aerospan.llm.chat import chat
+
+    return chat(table(spark, sf_dir, "conversations"), tokenizer_path())
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aerospan.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerospan.llm.packing import pack
 
