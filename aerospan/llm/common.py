@@ -75,7 +75,7 @@ def with_uid(docs: DataFrame) -> DataFrame:
     n, ids, distinct = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.countDistinct("doc_id")).first()
     if n == ids == distinct:
         return docs.withColumn("uid", F.col("doc_id").cast("long"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("uid", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("uid", T.LongType(), True, {"by_row": True})])
     ranked = docs.orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return written(docs.sparkSession.createDataFrame(ranked.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema), "uid")
 

@@ -17,6 +17,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aerospan.llm.bwt_dedup import suffix_dedup
+
+    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerospan.llm.token_store import token_store
 
@@ -35,6 +42,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aerospan.llm.fm_dedup import substring_dedup
+
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerospan.llm.chat import chat
 
