@@ -17,6 +17,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aerospan.llm.pq_dedup import embedding_dedup
+
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerospan.llm.bwt_dedup import suffix_dedup
 
