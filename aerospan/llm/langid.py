@@ -78,7 +78,7 @@ class Features:
         return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 80, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Logistic regressions for the columns of ``y`` (-1, 0 to leave out, 1): weights, biases; gradient descent with Adam."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-4
     z = ((x - mean) / scale).astype(np.float32)
@@ -134,7 +134,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, most: int = 400, longest: int = 3000) -> LanguageModel:
+def fit(docs: DataFrame, most: int = 250, longest: int = 3000) -> LanguageModel:
     """Learn from ``text`` and ``lang`` of rows that are not held out: at most ``most`` rows of each language, those
     with the least hash of their id and text, and of each its first ``longest`` characters. Bounded documented sample;
     only learning is bounded, prediction reads whole texts."""

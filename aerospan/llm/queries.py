@@ -48,6 +48,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aerospan.llm.mixing import WEIGHTS, labels_of, mix
+
+    return mix(table(spark, sf_dir, "documents"), labels_of(table(spark, sf_dir, "labels")), WEIGHTS).drop("uid")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerospan.llm.fm_dedup import substring_dedup
 

@@ -85,7 +85,8 @@ def links(reps: DataFrame, radius: int, words: int = 1, parts: int = 3, tile: in
     moved = F.array(*(F.lit(sum(x * base ** (parts - 1 - k) for k, x in enumerate(d))) for d in steps))
     left = tiles.select("cell", "k", "reps", "fps").withColumn("near", F.explode(F.transform(moved, lambda m: m + F.col("cell")))).where("near >= cell")
     right = tiles.select(F.col("cell").alias("near"), F.col("k").alias("k2"), F.col("reps").alias("reps2"), F.col("fps").alias("fps2"))
-    pairs = left.join(right, "near").where("near > cell or k2 >= k").select("reps", "fps", "reps2", "fps2")
+    pairs = left.join(right, "near").where("near > cell or k2 >= k")
+    pairs = pairs.repartition(F.xxhash64("cell", "k", "near", "k2")).select("reps", "fps", "reps2", "fps2")  # equal work for all tasks
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,11 +107,12 @@ def near(x: np.ndarray, y: np.ndarray, radius: int, block: int = 1 << 18) -> tup
     columns = [np.ascontiguousarray(y[:, w]) for w in range(y.shape[1])]
     for at in range(0, len(x), step):
         part = x[at : at + step]
-        d = np.bitwise_count(part[:, :1] ^ columns[0])
-        for w in range(1, len(columns)):
-            d = d + np.bitwise_count(part[:, w : w + 1] ^ columns[w])
-        if (hit := d <= radius).any():
+        hit = np.bitwise_count(part[:, :1] ^ columns[0]) <= radius
+        if hit.any():
             i, j = np.nonzero(hit)
+            if len(columns) > 1:  # the first word leaves few pairs
+                d = sum(np.bitwise_count(part[i, w] ^ c[j]).astype(np.int16) for w, c in enumerate(columns))
+                i, j = i[d <= radius], j[d <= radius]
             out.append((i + at, j))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
