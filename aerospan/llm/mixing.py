@@ -52,7 +52,7 @@ class DomainModel:
     bias: np.ndarray
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str], top: int = 96) -> DomainModel:
+    def fit(cls, texts: list[str], labels: list[str], top: int = 96, support: int = 5) -> DomainModel:
         """Words that are most telling of each domain, then a logistic regression for each domain against the rest."""
         domains = sorted(set(labels))
         seen = [word_buckets(t) for t in texts]
@@ -63,7 +63,7 @@ class DomainModel:
         n, chosen = len(texts), {}
         for d in domains:
             mine = max(1, labels.count(d))
-            base = {w: by[d][w] - mine * total[w] / n for w in by[d]}
+            base = {w: by[d][w] - mine * total[w] / n for w in by[d] if total[w] >= support}
             best = sorted(base, key=lambda w: (-abs(base[w]) / (mine * total[w] / n + 1) ** 0.5, w))[:top]
             for w in best:
                 chosen.setdefault(w, len(chosen))
@@ -73,7 +73,7 @@ class DomainModel:
         model = cls(domains, table, np.zeros((len(chosen) + SHAPE, len(domains))), np.zeros(len(domains)))
         if len(domains) > 1:
             y = np.array([[1.0 if d == x else -1.0 for d in domains] for x in labels], np.float32)
-            model.weights, model.bias, _ = logistic(model.features(texts), y, steps=300, l2=1e-3)
+            model.weights, model.bias, _ = logistic(model.features(texts), y, steps=300, l2=1e-2)
         return model
 
     def features(self, texts: list[str]) -> np.ndarray:
