@@ -149,11 +149,14 @@ def next_power_of_two(n: Column) -> Column:
 
 def hilbert(x: Column, y: Column, bits: int) -> Column:
     """Place along the Hilbert curve of integer cell (x, y), both below 2^bits."""
-    d = F.lit(0).cast("long")
-    for k in range(bits - 1, -1, -1):
-        s = 1 << k
-        rx, ry = F.shiftright(x, k).bitwiseAND(F.lit(1)), F.shiftright(y, k).bitwiseAND(F.lit(1))
-        d = d + F.lit(s).cast("long") * s * (3 * rx).bitwiseXOR(ry)
-        mx, my = (F.when((ry == 0) & (rx == 1), (1 << bits) - 1 - v).otherwise(v) for v in (x, y))
-        x, y = F.when(ry == 0, my).otherwise(mx), F.when(ry == 0, mx).otherwise(my)
-    return d
+    top = (1 << bits) - 1
+    start = F.struct(F.lit(0).cast("long").alias("d"), x.cast("long").alias("x"), y.cast("long").alias("y"))
+
+    def step(s: Column, k: Column) -> Column:
+        one = F.lit(1).cast("long")
+        rx, ry = (F.call_function("shiftright", s[c], k).bitwiseAND(one) for c in ("x", "y"))
+        d = s["d"] + F.call_function("shiftleft", (3 * rx).bitwiseXOR(ry), 2 * k)
+        mx, my = (F.when((ry == 0) & (rx == 1), top - s[c]).otherwise(s[c]) for c in ("x", "y"))
+        return F.struct(d.alias("d"), F.when(ry == 0, my).otherwise(mx).alias("x"), F.when(ry == 0, mx).otherwise(my).alias("y"))
+
+    return F.aggregate(F.array(*(F.lit(k) for k in range(bits - 1, -1, -1))), start, step)["d"]

@@ -9,6 +9,7 @@ import math
 from functools import reduce
 from operator import add
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -189,8 +190,6 @@ def schur(a: Column) -> Column:
 
     There is no closed form in expressions; this runs NumPy on Arrow batches.
     """
-    import pandas as pd
-
     @F.pandas_udf("s array<double>, q array<double>")
     def run(column: pd.Series) -> pd.DataFrame:
         pairs = [(None, None) if x is None or any(v is None for v in x) else real_schur([float(v) for v in x]) for x in column]
