@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 _RUN = uuid.uuid4().hex[:12]
 _LOCAL: list[str] = []
 _CLEAN: list[tuple] = []
+_PATHS: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,7 +65,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, lineage cut, safe from lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    schema, spark = df.schema, df.sparkSession
+    del df
+    settle(spark)
+    out = spark.read.schema(schema).parquet(path)
+    _PATHS[id(out)] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` that no later plan reads."""
+    for table in tables:
+        path = _PATHS.pop(id(table), None)
+        if path:
+            release(table.sparkSession, path)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs: it does so when the driver has collected their handles."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def with_uid(docs: DataFrame) -> DataFrame:

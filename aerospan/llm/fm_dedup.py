@@ -27,7 +27,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-WORDS = Kind(WINDOW, 5, words_of, word_hashes, b" ".join)
+WORDS = Kind(WINDOW, 8, words_of, word_hashes, b" ".join)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:

@@ -22,11 +22,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerospan.llm.common import mixed, slices, with_uid, written
+from aerospan.llm.common import discard, mixed, slices, with_uid, written
 
 #: Places are kept in the low bits of hashes while the least is sought; longer inputs are cut with an overlap.
 PLACE = np.uint64((1 << 24) - 1)
 LONGEST = 1 << 22
+#: Documents with repeated anchors up to which their ids (8 bytes each) are broadcast to leave others out of a shuffle.
+MOST_UIDS = 2_000_000
 
 
 def gram_hashes(unit: np.ndarray, gram: int) -> np.ndarray:
@@ -115,7 +117,7 @@ def sieve(docs: DataFrame, kind: Kind) -> DataFrame:
     """uid, n_units, whole_sha256 and the passages (keys, starts, ns) of each text; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 128, 1 << 21):
+        for batch in slices(batches, 64, 1 << 20):
             items = [kind.units(t or "") for t in batch.column("text").to_pylist()]
             of, key, first, n = anchors([kind.hashes(x) for x in items], kind.window, kind.gram)
             cut = np.searchsorted(of, np.arange(len(items) + 1)).astype(np.int32)
@@ -127,45 +129,52 @@ def sieve(docs: DataFrame, kind: Kind) -> DataFrame:
     return written(docs.select("uid", "text").mapInArrow(run, schema), "passages")
 
 
-def cut(found: DataFrame, kind: Kind) -> DataFrame:
-    """(uid, text, runs) -> one row for each passage: key, digest, content, uid, start, n."""
+def digests(found: DataFrame, kind: Kind) -> DataFrame:
+    """(uid, text, runs) -> one row for each passage: key, digest of its content, uid, start, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 128, 1 << 21):
+        for batch in slices(batches, 64, 1 << 20):
             out = []
             for uid, text, runs in zip(*(batch.column(c).to_pylist() for c in ("uid", "text", "runs")), strict=True):
                 items = kind.units(text or "")
-                for r in runs:
-                    content = kind.join(items[r["s"] : r["s"] + r["n"] + kind.window - 1])
-                    out.append((r["key"], xxhash.xxh3_128_digest(content), content, uid, r["s"], r["n"]))
-                if len(out) >= 4096:
-                    yield _rows(out)
-                    out = []
-            if out:
-                yield _rows(out)
+                out += [(r["key"], xxhash.xxh3_128_digest(kind.join(items[r["s"] : r["s"] + r["n"] + kind.window - 1])), uid, r["s"], r["n"]) for r in runs]
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "digest", "uid", "start", "n"])
 
-    return found.mapInArrow(run, "key long, digest binary, content binary, uid long, start int, n int")
+    return found.mapInArrow(run, "key long, digest binary, uid long, start int, n int")
 
 
-def _rows(out: list) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "digest", "content", "uid", "start", "n"])
+def contents(wanted: DataFrame, kind: Kind) -> DataFrame:
+    """(uid, text, wanted passages) -> key, digest, content, uid, start, k."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "digest", "content", "uid", "start", "k"]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
+        for batch in slices(batches, 64, 1 << 20):
+            for uid, text, runs in zip(*(batch.column(c).to_pylist() for c in ("uid", "text", "wanted")), strict=True):
+                items = kind.units(text or "")
+                for at in range(0, len(runs), 4096):
+                    out = [(r["key"], r["digest"], kind.join(items[r["start"] : r["start"] + r["n"] + kind.window - 1]), uid, r["start"], r["k"]) for r in runs[at : at + 4096]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return wanted.mapInArrow(run, "key long, digest binary, content binary, uid long, start int, k long")
 
 
 #: Decides within tiles: contents, and where each first occurs (uid, start) -> for each content its windows that repeat.
 Index = Callable[[list[bytes], np.ndarray, np.ndarray], list[np.ndarray]]
 
 
-def tiled(contents: DataFrame, index: Index, budget: int) -> DataFrame:
+def tiled(met: DataFrame, index: Index, budget: int) -> DataFrame:
     """Stream tiles (key, a, b) of sorted rows to the index, several at once up to ``budget`` bytes: digest, spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, at = [], 0, None
+        held, size, at = {}, 0, None  # a passage that is in several tiles is indexed once
 
         def decide() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
-                hits = index([r[1] for r in held], np.array([r[2] for r in held]), np.array([r[3] for r in held]))
-                out = [(held[k][0], list(zip(*runs_of(h), strict=True))) for k, h in enumerate(hits) if len(h)]
+                rows = list(held.values())
+                hits = index([r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+                out = [(d, list(zip(*runs_of(h), strict=True))) for d, h in zip(held, hits, strict=True) if len(h)]
                 if out:
                     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
                     spans = [[{"a": int(a), "b": int(b)} for a, b in s] for _, s in out]
@@ -179,11 +188,12 @@ def tiled(contents: DataFrame, index: Index, budget: int) -> DataFrame:
                         held.clear()
                         size = 0
                     at = (key, a, b)
-                held.append((digest, content, uid, start))
-                size += len(content)
+                if digest not in held:
+                    held[digest] = (content, uid, start)
+                    size += len(content)
         yield from decide()
 
-    return contents.mapInArrow(run, "digest binary, spans array<struct<a:int,b:int>>")
+    return met.mapInArrow(run, "digest binary, spans array<struct<a:int,b:int>>")
 
 
 def runs_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,23 +214,31 @@ def repeated(docs: DataFrame, kind: Kind, index: Index, all_of_first: Column, ca
     known = sieve(docs, kind)
     runs = known.select("uid", F.explode(F.arrays_zip("keys", "starts", "ns")).alias("r")).select("uid", F.col("r.keys").alias("key"), F.col("r.starts").alias("s"), F.col("r.ns").alias("n"))
     twice = runs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    mine = runs.join(twice, "key", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("key", "s", "n")).alias("runs"))
-    found = written(docs.select("uid", "text").join(mine, "uid"), "candidates")
-    parts = written(cut(found, kind), "cuts")
-    merged = parts.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("uid", "start")).alias("first"), F.first("content").alias("content"))
+    mine = written(runs.join(twice, "key", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("key", "s", "n")).alias("runs")), "runs")
+    text = docs.select("uid", "text")
+    if mine.limit(MOST_UIDS + 1).count() <= MOST_UIDS:  # then other texts need not be dealt
+        text = text.join(F.broadcast(mine.select("uid")), "uid", "left_semi")
+    found = written(text.join(mine, "uid"), "candidates")
+    discard(mine)
+    parts = written(digests(found, kind), "occurrences")
+    found = found.select("uid", "text")
+    merged = parts.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("uid", "start", "n")).alias("first"))
     merged = written(merged, "merged")
     many = merged.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / cap).alias("k"))
+    wanted = merged.join(many, "key").groupBy(F.col("first.uid").alias("uid")).agg(F.collect_list(F.struct("key", "digest", F.col("first.start").alias("start"), F.col("first.n").alias("n"), "k")).alias("wanted"))
     part = F.pmod(F.xxhash64("digest"), F.col("k"))
-    met = merged.join(many, "key").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).where("k = 1 or part <> other")
-    met = met.select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "digest", "content", F.col("first.uid").alias("uid"), F.col("first.start").alias("start"))
+    met = contents(found.join(wanted, "uid"), kind).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).where("k = 1 or part <> other")
+    met = met.select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "digest", "content", "uid", "start")
     met = met.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "digest")
     spans = tiled(met, index, budget).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     facts = written(merged.select("digest", "copies", "first").join(spans, "digest", "left"), "facts")
-    placed = parts.select("digest", "uid", "start", "n").join(facts, "digest").withColumn("is_first", F.struct("uid", "start") == F.col("first"))
+    discard(merged)
+    placed = parts.select("digest", "uid", "start", "n").join(facts, "digest").withColumn("is_first", (F.col("uid") == F.col("first.uid")) & (F.col("start") == F.col("first.start")))
     every = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     hits = placed.select("uid", "start", F.explode(F.when(all_of_first, every).otherwise(F.col("spans"))).alias("w")).select("uid", F.struct((F.col("start") + F.col("w.a")).alias("a"), (F.col("start") + F.col("w.b") + kind.window - 1).alias("b")).alias("w"))
-    spans_of = hits.groupBy("uid").agg(F.collect_list("w").alias("spans"))
-    changed = strip(found.select("uid", "text").join(spans_of, "uid"), kind)
+    spans_of = written(hits.groupBy("uid").agg(F.collect_list("w").alias("spans")), "removed")
+    discard(parts, facts)
+    changed = strip(found.join(spans_of, "uid"), kind)
     base = known.select("uid", "n_units", "whole_sha256")
     base = base.join(docs.select("uid", "doc_id"), "uid") if by_row else base.withColumn("doc_id", F.col("uid"))
     out = base.join(changed, "uid", "left")
@@ -231,7 +249,7 @@ def strip(rows: DataFrame, kind: Kind) -> DataFrame:
     """(uid, text, spans) -> n_removed, n_spans, kept_sha256 and the removed runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 128, 1 << 21):
+        for batch in slices(batches, 64, 1 << 20):
             out = []
             for uid, text, spans in zip(*(batch.column(c).to_pylist() for c in ("uid", "text", "spans")), strict=True):
                 items = kind.units(text or "")
