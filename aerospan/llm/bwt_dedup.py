@@ -4,7 +4,10 @@ Each shard of passages is suffix-sorted once. Shards are then merged without sor
 interleave, which says for each place of the merged order which shard its suffix is from, is refined step by step.
 Reading the shards' transforms in the order of the interleave and dealing them stably by the bytes that precede gives
 the interleave for prefixes that are one step longer; where two neighbours first differ in a step, their common prefix
-is known. After ``WINDOW`` bytes, the places not yet told apart are the repeated intervals. A step reads four bytes.
+is known. After ``WINDOW`` bytes, the places not yet told apart are the repeated intervals.
+
+A step reads a block of ``STEP`` bytes at once. Blocks are letters of a large alphabet; which of two letters comes
+first does not matter for equal prefixes, so letters are 64-bit hashes of blocks.
 """
 
 from __future__ import annotations
@@ -13,9 +16,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerospan.llm.passages import Kind, repeated
+from aerospan.llm.passages import Kind, gram_hashes, repeated
 
-WINDOW, STEP = 200, 4
+WINDOW, STEP = 200, 50
 _BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -27,56 +30,61 @@ BYTES = Kind(WINDOW, 32, bytes_of, lambda b: _BYTE[np.frombuffer(b, np.uint8)],
 
 
 class Shard:
-    """Passages, each followed by STEP end marks: suffixes in order, and for each the bytes before it.
+    """Passages: their suffixes in order, and for each the block before it.
 
-    A suffix that starts at an end mark is an end: ends come first, in order of place, and differ from all others.
+    A suffix of less than a block is an end: ends come first, in order of place, and differ from all others. Only
+    suffixes that lie a number of blocks behind the start of a window are kept; the others no window depends on.
     """
 
     def __init__(self, contents: list[bytes], first: int):
-        size = np.array([len(c) + STEP for c in contents])
+        size = np.array([len(c) + 1 for c in contents])  # the empty suffix too
         base = np.concatenate([[0], np.cumsum(size)])
-        text = np.frombuffer(b"".join(c + bytes(STEP) for c in contents), np.uint8)
-        self.of = np.repeat(np.arange(len(contents)), size)
-        self.offset = np.arange(len(text)) - base[self.of]
-        self.left = size[self.of] - STEP - self.offset  # bytes up to the passage's end
-        padded = np.concatenate([text, np.zeros(STEP, np.uint8)]).astype(np.int64)
-        code = np.zeros(len(text), np.int64)
-        for k in range(STEP):
-            code = code << 8 | padded[k : k + len(text)]
-        end = self.left <= 0
-        rank = np.where(end, np.cumsum(end) - 1, code + len(text))
-        self.sa = self._sorted(rank)
-        self.of = self.of + first
+        text = np.frombuffer(b"\0".join(contents) + bytes(STEP + 1), np.uint8)
+        n = int(base[-1])
+        of = np.repeat(np.arange(len(contents), dtype=np.int32), size)
+        offset = np.arange(n, dtype=np.int32) - base[of].astype(np.int32)
+        keep = offset % STEP <= (size - 1 - WINDOW)[of]
+        self.raw = np.flatnonzero(keep)
+        self.place = np.cumsum(keep, dtype=np.int32) - 1
+        self.of, self.offset = of[keep], offset[keep]
+        self.left = (size - 1)[self.of] - self.offset  # bytes up to the passage's end
+        letter = gram_hashes(_BYTE[text], STEP)[:n][keep] | np.uint64(1)  # 0 stands for none
+        self.sa = self._sorted(letter)
+        self.of = self.of + np.int32(first)
         inside = self.offset[self.sa] >= STEP
-        self.before = np.where(inside, code[np.maximum(self.sa - STEP, 0)], -1)
-        self.ends = int(end.sum())
-
-    @staticmethod
-    def _sorted(rank: np.ndarray) -> np.ndarray:
-        n, step = len(rank), STEP
-        order = np.argsort(rank, kind="stable")
-        while True:
-            new = np.concatenate([[0], np.cumsum(np.diff(rank[order]) != 0)])
-            ranked = np.empty(n, np.int64)
-            ranked[order] = new
-            if new[-1] == n - 1:
-                return order
-            after = np.zeros(n, np.int64)
-            after[: n - step] = ranked[step:]
-            rank = ranked * n + after
-            order = np.argsort(rank, kind="stable")
+        back = self.place[np.maximum(self.raw[self.sa] - STEP, 0)]
+        self.before = np.where(inside, letter[back], np.uint64(0))
+        self.ends = int((self.left < STEP).sum())
+
+    def _sorted(self, letter: np.ndarray) -> np.ndarray:
+        n, step = len(letter), STEP
+        ends, rest = np.flatnonzero(self.left < STEP), np.flatnonzero(self.left >= STEP)
+        rest = rest[np.argsort(letter[rest], kind="stable")]
+        order = np.concatenate([ends, rest])
+        split = np.ones(n, bool)
+        split[len(ends) + 1 :] = np.diff(letter[rest]) != 0
+        while not split.all():
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(split) - 1
+            tied = ~split
+            tied[:-1] |= ~split[1:]
+            some = order[tied]
+            after = rank[self.place[self.raw[some] + step]]  # equal blocks: so there is more behind them
+            key = rank[some] * n + after
+            deal = np.argsort(key, kind="stable")
+            order[tied] = some[deal]
+            split[tied] = np.concatenate([[True], np.diff(key[deal]) != 0])
             step *= 2
+        return order
 
 
 def merge(shards: list[Shard], steps: int = WINDOW // STEP) -> tuple[np.ndarray, np.ndarray]:
     """The merged order after ``steps`` refinements, as places in the shards laid end to end, and the number of the
     interval of equal prefixes at each place."""
     before = np.concatenate([s.before for s in shards])
-    codes, dense = np.unique(before, return_inverse=True)
-    kind = np.uint16 if len(codes) <= 1 << 16 else np.uint32
-    dense = dense.astype(kind)  # 0: no bytes before
-    if codes[0] != -1:
-        dense, codes = dense + kind(1), codes
+    letters, dense = np.unique(before, return_inverse=True)
+    kind = np.uint16 if len(letters) < 1 << 16 else np.uint32
+    dense = (dense + (letters[0] != 0)).astype(kind)  # 0: no block before
     z = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s.before) for s in shards])
     ends = np.repeat(np.arange(len(shards), dtype=np.uint16), [s.ends for s in shards])
     interval = np.zeros(len(z), np.int64)
@@ -106,7 +114,7 @@ def merge(shards: list[Shard], steps: int = WINDOW // STEP) -> tuple[np.ndarray,
     return place, interval
 
 
-def shared(contents: list[bytes], uids: np.ndarray, starts: np.ndarray, size: int = 400_000) -> list[np.ndarray]:
+def shared(contents: list[bytes], uids: np.ndarray, starts: np.ndarray, size: int = 200_000) -> list[np.ndarray]:
     """For each passage its windows of WINDOW bytes that are also in another passage."""
     shards, held, first, n = [], [], 0, 0
     for k, c in enumerate(contents):
@@ -133,4 +141,4 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     Null and short texts lose nothing; rows with equal doc_id, equal or not, are documents of their own; an empty
     table gives no rows; other columns are not read.
     """
-    return repeated(docs, BYTES, shared, (F.col("copies") > 1)).withColumnRenamed("n_units", "n_bytes")
+    return repeated(docs, BYTES, shared, F.col("copies") > 1, cap=1500, budget=500_000).withColumnRenamed("n_units", "n_bytes")
