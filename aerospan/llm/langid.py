@@ -27,12 +27,13 @@ def codewords(n: int, bits: int = 15, seed: int = 7) -> np.ndarray:
     best, score = None, -1
     for _ in range(200):
         c = rng.integers(0, 2, (n, bits)) * 2 - 1
+        if n > 1:  # a bit that is the same for all tells nothing
+            same = np.flatnonzero(np.abs(c.sum(axis=0)) == n)
+            c[rng.integers(0, n, len(same)), same] *= -1
         apart = [(c[i] != c[j]).sum() for i in range(n) for j in range(i)]
-        if n > 1 and (np.abs(c.sum(axis=0)) == n).any():
-            continue
         if (least := min(apart, default=bits)) > score:
             best, score = c, least
-    return best if best is not None else np.ones((n, bits), int)
+    return best
 
 
 @dataclass
@@ -40,7 +41,7 @@ class Features:
     """Hashed n-grams of code points, each order in its own share of the buckets, as unit frequencies per order."""
 
     orders: tuple[int, ...] = (1, 2, 3)
-    buckets: int = 1 << 11
+    buckets: int = 1 << 10
 
     def of(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         """For each order the bucket at every place of the joined texts, and each text's first place (one end added)."""
@@ -80,18 +81,20 @@ class Features:
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Logistic regressions for the columns of ``y`` (-1, 0 to leave out, 1): weights, biases; gradient descent with Adam."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-4
-    z = ((x - mean) / scale).astype(np.float32)
+    mean = x.mean(axis=0)
+    scale = np.sqrt(np.maximum(0, np.einsum("ij,ij->j", x, x) / max(1, len(x)) - mean * mean)) + 1e-4
+    # features are standardised in the formulas, not in a copy of x
     w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     used = np.maximum(1, (y != 0).sum(axis=0))
     rate = 0.01
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(np.clip(y * (z @ w + b), -30, 30)))
-        d = -(y * p) / used
-        g = z.T @ d + l2 * w
+        u = w / scale[:, None]
+        p = 1 / (1 + np.exp(np.clip(y * (x @ u + (b - mean @ u)), -30, 30)))
+        d = (-(y * p) / used).astype(np.float32)
+        g = (x.T @ d - np.outer(mean, d.sum(axis=0))) / scale[:, None] + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        w -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
         b -= rate * 10 * d.sum(axis=0)
     w = w / scale[:, None]
     return w, b - mean @ w, scale

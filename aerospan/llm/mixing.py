@@ -10,7 +10,6 @@ alone, so rates are an expression over the written posteriors and are never gath
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,18 +54,17 @@ class DomainModel:
     def fit(cls, texts: list[str], labels: list[str], top: int = 96, support: int = 5) -> DomainModel:
         """Words that are most telling of each domain, then a logistic regression for each domain against the rest."""
         domains = sorted(set(labels))
-        seen = [word_buckets(t) for t in texts]
-        total, by = Counter(), {d: Counter() for d in domains}
-        for (words, _), d in zip(seen, labels, strict=True):
-            total.update(words)
-            by[d].update(words)
-        n, chosen = len(texts), {}
-        for d in domains:
-            mine = max(1, labels.count(d))
-            base = {w: by[d][w] - mine * total[w] / n for w in by[d] if total[w] >= support}
-            best = sorted(base, key=lambda w: (-abs(base[w]) / (mine * total[w] / n + 1) ** 0.5, w))[:top]
-            for w in best:
-                chosen.setdefault(w, len(chosen))
+        by = np.zeros((len(domains), BUCKETS), np.int32)
+        for t, d in zip(texts, labels, strict=True):
+            words, _ = word_buckets(t)
+            by[domains.index(d), np.fromiter(words, np.int64, len(words))] += 1
+        total, n, chosen = by.sum(axis=0), len(texts), {}
+        for k, d in enumerate(domains):
+            usual = total * (labels.count(d) / n)
+            telling = np.where((total >= support) & (by[k] > 0), np.abs(by[k] - usual) / np.sqrt(usual + 1), -1)
+            for w in np.argsort(-telling, kind="stable")[:top].tolist():
+                if telling[w] >= 0:
+                    chosen.setdefault(w, len(chosen))
         table = np.full(BUCKETS, -1, np.int32)
         for w, k in chosen.items():
             table[w] = k

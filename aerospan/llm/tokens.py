@@ -25,7 +25,7 @@ class Encoder:
     Other spaces and line breaks are never cut at. The kept pieces are bounded by ``most``.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
