@@ -123,7 +123,7 @@ def grouped(fps: DataFrame, radius: int, words: int = 1, parts: int = 3, tile: i
     """``fps`` (node, fp) with component_id, the smallest node reachable by links."""
     fps = written(fps, "documents-fp")
     reps = fps.groupBy("fp").agg(F.min(node).alias("rep"))
-    found = components(links(reps, radius, words, parts, tile))
+    found = components(links(reps.where("rep is not null"), radius, words, parts, tile))
     named = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp")
 
@@ -132,8 +132,8 @@ def simhash_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFram
     """doc_id, fingerprint (16 hex digits) and component_id of each document; others linked share a component.
 
     Null text counts as empty; a text without words has fingerprint zero, linked as any other; short texts are one
-    shingle; repeated rows and rows with equal fingerprints are one node and come back each; null doc_id keeps its
-    fingerprint and the component of its links (null if it is alone); other columns are not read.
+    shingle; repeated rows and rows with equal fingerprints are one node and come back each; a row without doc_id
+    has the component of the documents with its fingerprint (null if there are none); other columns are not read.
     """
     out = grouped(fingerprints(docs, width), radius)
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.get("fp", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")
