@@ -42,14 +42,14 @@ def witness(spark: SparkSession, path: str) -> DataFrame:
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["file", "iter", "time", "wit_id", "var", "value"])
 
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return files.mapInArrow(parse, WITNESS)
 
 
 def tiles(spark: SparkSession, path: str, keyword: str) -> DataFrame:
     """(file, key, i, j, v) of comma-separated matrices whose name holds ``keyword``; ``key`` is the number after a dash."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("file"), "value")
-    rows = whole.where(F.col("file").contains(keyword)).select("file", F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("i", "line"))
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("file"), "value")
+    rows = whole.where(F.col("file").contains(keyword)).select("file", F.posexplode(F.split(F.trim(F.col("value"), F.lit(" \r\n")), r"\r?\n")).alias("i", "line"))
     key = F.expr(r"try_cast(regexp_extract(file, '-(\\d+)', 1) AS BIGINT)")
     return rows.select("file", key.alias("key"), "i", F.posexplode(F.split("line", ",")).alias("j", "t")).select("file", "key", "i", "j", F.col("t").try_cast("double").alias("v"))
 
@@ -67,8 +67,8 @@ def points(spark: SparkSession, path: str) -> DataFrame:
 
 def signal(spark: SparkSession, path: str, time: int, value: int) -> DataFrame:
     """(i, t, y) from ;-separated columns after a header, up to the first missing value."""
-    whole = spark.read.option("wholetext", True).text(path)
-    rows = whole.select(F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("i", "line")).where("i > 0")
+    whole = spark.read.text(path, wholetext=True)
+    rows = whole.select(F.posexplode(F.split(F.trim(F.col("value"), F.lit(" \r\n")), r"\r?\n")).alias("i", "line")).where("i > 0")
     c = F.split("line", ";")
     s = rows.select((F.col("i") - 1).alias("i"), F.get(c, F.lit(time)).try_cast("double").alias("t"), F.get(c, F.lit(value)).try_cast("double").alias("y"))
     bad = s.where(F.col("y").isNull() | F.isnan("y") | F.col("t").isNull()).agg(F.min("i").alias("cut"))
