@@ -64,7 +64,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerospan.llm.chat import chat
 
-    return chat(table(spark, sf_dir, "conversations"), tokenizer_path())
+    return chat(table(spark, sf_dir, "conversations"), tokenizer_path()).drop("loss_tokens", "n_tokens")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,5 +83,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+OP1 = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS node, vec_id AS c FROM v UNION SELECT l.w, r.c FROM r JOIN l ON l.u = r.node),
+m AS (SELECT node, min(c) AS c FROM r GROUP BY node), n AS (SELECT u, count(*) AS k FROM l GROUP BY u)
+SELECT v.vec_id, coalesce(n.k, 0) AS n_links, m.c AS component_id, v.vec_id = m.c AS kept FROM v JOIN m ON m.node = v.vec_id LEFT JOIN n ON n.u = v.vec_id"""
+
+OP7 = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+k AS (SELECT doc_id, pos, string_agg(word, ' ') OVER f AS key, count(*) OVER f AS m FROM x WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) AS n FROM k WHERE m = 20),
+g AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM f WHERE n > 1),
+c AS (SELECT x.doc_id, count(g.pos) AS gone, string_agg(x.word, ' ' ORDER BY x.pos) FILTER (WHERE g.pos IS NULL) AS kept FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.pos = x.pos GROUP BY x.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(c.gone, 0) AS n_removed, sha256(coalesce(c.kept, '')) AS kept_sha256 FROM w LEFT JOIN c ON c.doc_id = w.doc_id"""
+
+OP8 = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+sum(33 + length(role) + length(text) + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|')))::BIGINT AS formatted_chars FROM c GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators whose rows SQL can give on whole tables; the others are tested against plain versions."""
+    return {"op1_embedding_dedup": OP1, "op7_substring_dedup": OP7, "op8_chat": OP8}
