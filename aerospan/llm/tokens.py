@@ -15,6 +15,8 @@ import numpy as np
 VISIBLE = "!-~À-ÖØ-öø-ɏ"
 #: A space at which a text may not be cut.
 TIED = re.compile(f"(?<![{VISIBLE}]) | (?![{VISIBLE}])")
+#: Words with visible ends.
+ENDS = re.compile(f"[{VISIBLE}](?:.*[{VISIBLE}])?\\Z", re.DOTALL)
 
 
 class Encoder:
@@ -22,10 +24,10 @@ class Encoder:
 
     The byte-level pre-tokenizer never joins a space that stands between two visible characters to what precedes
     it. So a text may be cut before such spaces, and the pieces, most of which repeat, are encoded once and kept.
-    Other spaces and line breaks are never cut at. The kept pieces are bounded by ``most``.
+    Other spaces and line breaks are never cut at. At most twice ``most`` pieces are kept.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -35,6 +37,10 @@ class Encoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.most = most
         self.kept: dict[str, bytes] = {}  # by piece, without the space before it
+        self.old: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        #: ids that begin with a space: the first of each word does, and no other of a word without spaces
+        self.opens = np.array([(self.tokenizer.id_to_token(k) or "").startswith("Ġ") for k in range(size)])
 
     def _raw(self, pieces: list[str]) -> list[bytes]:
         ids = [array(self.code, e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -43,22 +49,41 @@ class Encoder:
                 x.byteswap()
         return [x.tobytes() for x in ids]
 
+    def _words(self, words: list[str], step: int = 1024) -> list[bytes]:
+        """Ids of words with visible ends, a space before each: encoded as one text and told apart where a space begins."""
+        out, size = [], self.dtype.itemsize
+        parts = [words[at : at + step] for at in range(0, len(words), step)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=self.dtype)
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) != len(part):  # a vocabulary of another kind
+                out += self._raw([f" {w}" for w in part])
+                continue
+            raw, cut = ids.tobytes(), [*(at * size).tolist(), len(ids) * size]
+            out += [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        return out
+
     def _keep(self, words: list[str]) -> None:
         """Encode words that are new. A letter is never joined to a full stop or comma after it: such words share their stem."""
         kept = self.kept
         stem = {w: w[:-1] for w in words if w[-1:] in (".", ",") and len(w) > 1 and "A" <= w[-2] <= "z" and w[-2].isalpha()}
         plain = [w for w in {*(w for w in words if w not in stem), *stem.values(), ".", ","} if w not in kept]
-        kept.update(zip(plain, self._raw([f" {w}" for w in plain]), strict=True))
+        joined = [w for w in plain if " " not in w and w and ENDS.match(w)]
+        kept.update(zip(joined, self._words(joined), strict=True))
+        rest = [w for w in plain if w not in kept]
+        kept.update(zip(rest, self._raw([f" {w}" for w in rest]), strict=True))
         ends = dict(zip(".,", self._raw([".", ","]), strict=True))
         kept.update((w, kept[s] + ends[w[-1]]) for w, s in stem.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, of the width of ``self.dtype``."""
         cut = [self._pieces(t) for t in texts]
-        if len(self.kept) > self.most:
-            self.kept.clear()
-        kept = self.kept
+        if len(self.kept) > self.most:  # words met since the last time stay, the others go
+            self.old, self.kept = self.kept, {}
+        kept, old = self.kept, self.old
         new = list(set(chain.from_iterable(rest for _, rest in cut)).difference(kept))
+        kept.update((w, old[w]) for w in new if w in old)
+        new = [w for w in new if w not in kept]
         if new:
             self._keep(new)
         first = self._raw([head for head, _ in cut])

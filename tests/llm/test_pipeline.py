@@ -34,5 +34,5 @@ def test_stages(spark):
 
 
 def test_without_words():
-    assert C.without("a b\nc  d\n\ne", [{"a": 1, "b": 3}]) == "a d\ne"
+    assert C.without("a b\nc  d\n\ne", [{"a": 1, "b": 3}]) == "a\nd\ne"
     assert C.without("a", [{"a": 0, "b": 1}]) is None
