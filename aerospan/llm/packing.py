@@ -90,20 +90,32 @@ class Schedule:
         out[g >= self.total] = sum(self.totals[:k])
         return out.astype(self.kind)
 
-    def given(self, k: int, g: np.ndarray) -> np.ndarray:
+    def _two(self, k: int, g):
+        """Ids that the first ``k`` and ``k`` + 1 queues have given of the first g (an integer or an array)."""
+        if len(self.phases) != 1:
+            many = np.atleast_1d(np.asarray(g))
+            low, high = self._first(k, many), self._first(k + 1, many)
+            return (low, high) if isinstance(g, np.ndarray) else (int(low[0]), int(high[0]))
+        cum = self.phases[0][2]
+        high = np.minimum(g.astype(self.kind), self.total) if isinstance(g, np.ndarray) else min(g, self.total)
+        for j in range(len(self.totals) - 1, k, -1):
+            high = high * cum[j] // max(1, cum[j + 1])
+        return high * cum[k] // max(1, cum[k + 1]), high
+
+    def given(self, k: int, g):
         """Ids that queue ``k`` has given of the first g."""
-        return self._first(k + 1, g) - self._first(k, g)
+        low, high = self._two(k, g)
+        return high - low
 
     def window_of(self, k: int, x: int) -> int:
         """The window that id ``x`` of queue ``k`` is in."""
         p = bisect_right(self.before[k], x) - 1
         at, before, cum = self.phases[p]
-        w = min(self.windows - 1, int(at + (x - before[k]) * cum[-1] // max(1, cum[k + 1] - cum[k])) // self.length)
+        w = min(self.windows - 1, (at + (x - before[k]) * cum[-1] // max(1, cum[k + 1] - cum[k])) // self.length)
         while True:
-            low, high = self.given(k, np.array([w * self.length, (w + 1) * self.length]))
-            if low > x:
+            if self.given(k, w * self.length) > x:
                 w -= 1
-            elif high <= x:
+            elif self.given(k, (w + 1) * self.length) <= x:
                 w += 1
             else:
                 return w
@@ -112,11 +124,10 @@ class Schedule:
         """(first id of the document, ids, sequence, place there) of ``n`` ids from place ``x`` of queue ``k``."""
         first = self.window_of(k, x)
         w = np.arange(first, (self.window_of(k, x + n - 1) if n > 1 else first) + 2)
-        left = self._first(k, w * self.length)
-        edge = self._first(k + 1, w * self.length) - left
+        left, right = self._two(k, w * self.length)
+        edge = right - left
         low, high = np.maximum(edge[:-1], x), np.minimum(edge[1:], x + n)
         take, place = high - low, left[1:] - left[:-1] + low - edge[:-1]
-        # what other queues before this one give in the window stands before its ids
         some = take > 0
         rows = zip((low - x)[some].tolist(), take[some].tolist(), w[:-1][some].tolist(), place[some].tolist(), strict=True)
         if w[-1] < self.windows or self.total % self.length == 0:
