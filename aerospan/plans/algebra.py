@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,19 +30,20 @@ def arrays(start: int, n: int) -> Column:
     return F.transform(F.slice("embedding", start + 1, n), lambda x: x.cast("double"))
 
 
-a3, b3 = arrays(0, 3), arrays(3, 3)
-a9, b9, c9, d9 = (arrays(9 * k, 9) for k in range(4))
+# functions, as columns need a running session
+a3, b3 = partial(arrays, 0, 3), partial(arrays, 3, 3)
+a9, b9, c9, d9 = (partial(arrays, 9 * k, 9) for k in range(4))
 
 
 def sql(values: list[str], digits: int = 6) -> str:
     return "SELECT vec_id, " + ", ".join(f"round({v}, {digits}) AS r{k}" for k, v in enumerate(values)) + " FROM embeddings"
 
 
-def add(name: str, value: Column, values: list[str], digits: int = 6) -> None:
+def add(name: str, value: Callable[[], Column], values: list[str], digits: int = 6) -> None:
     """Register a query of one array- or number-valued expression, a column for each entry."""
 
     def run(spark, sf_dir) -> DataFrame:
-        made = table(spark, sf_dir, "embeddings").select("vec_id", value.alias("r"))  # the expression is evaluated once
+        made = table(spark, sf_dir, "embeddings").select("vec_id", value().alias("r"))  # the expression is evaluated once
         item = F.col("r") if len(values) == 1 else None
         return made.select("vec_id", *(rounded((item if item is not None else F.get("r", F.lit(k))) + 0.0, digits).alias(f"r{k}") for k in range(len(values))))
 
@@ -73,32 +77,32 @@ _R = [f"({v!r})" for v in V.rotation(*ANGLES)]
 CENTER = (0.1, 0.2, 0.3)
 _MOVED = [f"({x} - {c})" for x, c in zip(A3, CENTER, strict=True)]
 
-add("vec_dot", V.dot(a3, b3), [s_dot(A3, B3)])
-add("vec_cross", V.cross(a3, b3), S_CROSS)
-add("vec_outer", V.outer(a3, b3), [f"{x} * {y}" for x in A3 for y in B3])
-add("vec_scale", V.scale(V.comp(b3, 0), a3), [f"{B3[0]} * {x}" for x in A3])
-add("vec_tensor", V.vector_tensor(a3, b9), [s_dot(A3, B9[i::3]) for i in range(3)])
-add("vec_norm", V.norm(a3), [f"sqrt({s_dot(A3, A3)})"])
-add("vec_rotate", V.rotate(a3, *ANGLES, CENTER), [f"{s_dot(_MOVED, _R[i::3])} + {CENTER[i]}" for i in range(3)])
-add("vec_combine", V.combine_arrays(2.0, a3, -0.5, b3), [f"2.0 * {x} - 0.5 * {y}" for x, y in zip(A3, B3, strict=True)])
-add("num_combine", V.combine(2.0, V.comp(a3, 0), -0.5, V.comp(b3, 0)), [f"2.0 * {A3[0]} - 0.5 * {B3[0]}"])
-add("vec_at_least", V.at_least(a3, 0.05), [f"greatest({x}, 0.05)" for x in A3])
-add("vec_at_most", V.at_most(a3, 0.05), [f"least({x}, 0.05)" for x in A3])
-add("vec_largest", V.largest(a3, b3), [f"greatest({x}, {y})" for x, y in zip(A3, B3, strict=True)])
-add("vec_smallest", V.smallest(a3, b3), [f"least({x}, {y})" for x, y in zip(A3, B3, strict=True)])
-add("tens_identity", V.identity(), [str(float(k % 4 == 0)) for k in range(9)])
-add("tens_transpose", V.transpose(a9), [A9[3 * j + i] for i in range(3) for j in range(3)])
-add("tens_trace", V.trace(a9), [s_trace(A9)])
-add("tens_det", V.det(a9), [s_det(A9)], 8)
-add("tens_inverse", V.inverse(V.matmul(a9, V.identity())), [f"{'-' if (i + j) % 2 else ''}{s_minor(A9, j, i)} / {s_det(A9)}" for i in range(3) for j in range(3)], 2)
-add("tens_matmul", V.matmul(a9, b9), s_mul(A9, B9), 7)
-add("tens_double_dot", V.double_dot(a9, b9), [s_dot(A9, B9)])
-add("tens_triple_dot", V.triple_dot(a9, b9, c9), [s_trace(s_mul(s_mul(A9, B9), C9))], 8)
-add("tens_quadruple_dot", V.quadruple_dot(a9, b9, c9, d9), [s_trace(s_mul(s_mul(A9, B9), s_mul(C9, D9)))], 8)
-add("tens_scale", V.scale(3.0, a9), [f"3.0 * {x}" for x in A9])
-add("tens_vector", V.tensor_vector(a9, arrays(9, 3)), [s_dot(A9[3 * i : 3 * i + 3], entries(9, 3)) for i in range(3)])
-add("tens_norm", V.tensor_norm(a9), [f"sqrt({s_dot(A9, A9)})"])
-add("tens_rotate", V.tensor_rotate(a9, *ANGLES), s_mul(_R, A9))
+add("vec_dot", lambda: V.dot(a3(), b3()), [s_dot(A3, B3)])
+add("vec_cross", lambda: V.cross(a3(), b3()), S_CROSS)
+add("vec_outer", lambda: V.outer(a3(), b3()), [f"{x} * {y}" for x in A3 for y in B3])
+add("vec_scale", lambda: V.scale(V.comp(b3(), 0), a3()), [f"{B3[0]} * {x}" for x in A3])
+add("vec_tensor", lambda: V.vector_tensor(a3(), b9()), [s_dot(A3, B9[i::3]) for i in range(3)])
+add("vec_norm", lambda: V.norm(a3()), [f"sqrt({s_dot(A3, A3)})"])
+add("vec_rotate", lambda: V.rotate(a3(), *ANGLES, CENTER), [f"{s_dot(_MOVED, _R[i::3])} + {CENTER[i]}" for i in range(3)])
+add("vec_combine", lambda: V.combine_arrays(2.0, a3(), -0.5, b3()), [f"2.0 * {x} - 0.5 * {y}" for x, y in zip(A3, B3, strict=True)])
+add("num_combine", lambda: V.combine(2.0, V.comp(a3(), 0), -0.5, V.comp(b3(), 0)), [f"2.0 * {A3[0]} - 0.5 * {B3[0]}"])
+add("vec_at_least", lambda: V.at_least(a3(), 0.05), [f"greatest({x}, 0.05)" for x in A3])
+add("vec_at_most", lambda: V.at_most(a3(), 0.05), [f"least({x}, 0.05)" for x in A3])
+add("vec_largest", lambda: V.largest(a3(), b3()), [f"greatest({x}, {y})" for x, y in zip(A3, B3, strict=True)])
+add("vec_smallest", lambda: V.smallest(a3(), b3()), [f"least({x}, {y})" for x, y in zip(A3, B3, strict=True)])
+add("tens_identity", lambda: V.identity(), [str(float(k % 4 == 0)) for k in range(9)])
+add("tens_transpose", lambda: V.transpose(a9()), [A9[3 * j + i] for i in range(3) for j in range(3)])
+add("tens_trace", lambda: V.trace(a9()), [s_trace(A9)])
+add("tens_det", lambda: V.det(a9()), [s_det(A9)], 8)
+add("tens_inverse", lambda: V.inverse(V.matmul(a9(), V.identity())), [f"{'-' if (i + j) % 2 else ''}{s_minor(A9, j, i)} / {s_det(A9)}" for i in range(3) for j in range(3)], 2)
+add("tens_matmul", lambda: V.matmul(a9(), b9()), s_mul(A9, B9), 7)
+add("tens_double_dot", lambda: V.double_dot(a9(), b9()), [s_dot(A9, B9)])
+add("tens_triple_dot", lambda: V.triple_dot(a9(), b9(), c9()), [s_trace(s_mul(s_mul(A9, B9), C9))], 8)
+add("tens_quadruple_dot", lambda: V.quadruple_dot(a9(), b9(), c9(), d9()), [s_trace(s_mul(s_mul(A9, B9), s_mul(C9, D9)))], 8)
+add("tens_scale", lambda: V.scale(3.0, a9()), [f"3.0 * {x}" for x in A9])
+add("tens_vector", lambda: V.tensor_vector(a9(), arrays(9, 3)), [s_dot(A9[3 * i : 3 * i + 3], entries(9, 3)) for i in range(3)])
+add("tens_norm", lambda: V.tensor_norm(a9()), [f"sqrt({s_dot(A9, A9)})"])
+add("tens_rotate", lambda: V.tensor_rotate(a9(), *ANGLES), s_mul(_R, A9))
 
 #: Turbulence budgets and stress tensors at a node: R (9), velocity gradient (9), mean velocity (3), gradient of R (27).
 R27 = entries(18, 27)
@@ -162,31 +166,31 @@ def vorticity(g: Column) -> Column:
 _P, _Q = s_mul(A9, s_t(B9)), s_mul(B9, s_t(A9))
 _S = [f"(0.5 * {x} + 0.5 * {y})" for x, y in zip(A9, s_t(A9), strict=True)]
 _W = [f"(0.5 * {x} - 0.5 * {y})" for x, y in zip(A9, s_t(A9), strict=True)]
-add("budget_convection", convection(a3, arrays(18, 27)), [s_dot(A3, R27[3 * m : 3 * m + 3]) for m in range(9)], 7)
-add("budget_production", production(a9, b9), [f"-({x} + {y})" for x, y in zip(_P, _Q, strict=True)], 7)
-add("budget_dissipation", dissipation_budget(0.5, a9), s_mul(A9, s_t(A9)), 7)
-add("budget_pressure_strain", pressure_strain(V.comp(b9, 0), strain(a9)), [f"2 * {B9[0]} * {x}" for x in _S], 7)
-add("strain_tensor", strain(a9), _S, 7)
-add("vorticity_tensor", rotation_part(a9), _W, 7)
-add("vorticity", vorticity(a9), [f"{A9[7]} - {A9[5]}", f"{A9[2]} - {A9[6]}", f"{A9[3]} - {A9[1]}"])
-add("q_criterion", q_criterion(a9), [f"({s_dot(_W, _W)} - {s_dot(_S, _S)}) / 2"], 7)
-add("omega", omega(a9), [f"{s_dot(_W, _W)} / ({s_dot(_W, _W)} + {s_dot(_S, _S)} + 0.001)"], 5)
-add("kinetic_energy", V.trace(V.outer(a3, a3)) / 2, [f"{s_dot(A3, A3)} / 2"], 7)
-add("wind_speed", N.wind(V.comp(a3, 0), V.comp(a3, 1), V.comp(a3, 2))[0], [f"sqrt({s_dot(A3, A3)})"])
-add("wind_direction", N.wind(V.comp(a3, 0), V.comp(a3, 1))[1], [f"atan2({A3[1]}, {A3[0]})"])
-add("truncate_half_even", N.truncate(V.comp(a3, 0), 3), [f"round_even({A3[0]} * 1000, 0) / 1000"])
-add("vector_angle", N.angle([V.comp(a3, k) for k in range(3)], [V.comp(b3, k) for k in range(3)]), [f"degrees(acos({s_dot(A3, B3)} / (sqrt({s_dot(A3, A3)}) * sqrt({s_dot(B3, B3)}))))"], 4)
+add("budget_convection", lambda: convection(a3(), arrays(18, 27)), [s_dot(A3, R27[3 * m : 3 * m + 3]) for m in range(9)], 7)
+add("budget_production", lambda: production(a9(), b9()), [f"-({x} + {y})" for x, y in zip(_P, _Q, strict=True)], 7)
+add("budget_dissipation", lambda: dissipation_budget(0.5, a9()), s_mul(A9, s_t(A9)), 7)
+add("budget_pressure_strain", lambda: pressure_strain(V.comp(b9(), 0), strain(a9())), [f"2 * {B9[0]} * {x}" for x in _S], 7)
+add("strain_tensor", lambda: strain(a9()), _S, 7)
+add("vorticity_tensor", lambda: rotation_part(a9()), _W, 7)
+add("vorticity", lambda: vorticity(a9()), [f"{A9[7]} - {A9[5]}", f"{A9[2]} - {A9[6]}", f"{A9[3]} - {A9[1]}"])
+add("q_criterion", lambda: q_criterion(a9()), [f"({s_dot(_W, _W)} - {s_dot(_S, _S)}) / 2"], 7)
+add("omega", lambda: omega(a9()), [f"{s_dot(_W, _W)} / ({s_dot(_W, _W)} + {s_dot(_S, _S)} + 0.001)"], 5)
+add("kinetic_energy", lambda: V.trace(V.outer(a3(), a3())) / 2, [f"{s_dot(A3, A3)} / 2"], 7)
+add("wind_speed", lambda: N.wind(V.comp(a3(), 0), V.comp(a3(), 1), V.comp(a3(), 2))[0], [f"sqrt({s_dot(A3, A3)})"])
+add("wind_direction", lambda: N.wind(V.comp(a3(), 0), V.comp(a3(), 1))[1], [f"atan2({A3[1]}, {A3[0]})"])
+add("truncate_half_even", lambda: N.truncate(V.comp(a3(), 0), 3), [f"round_even({A3[0]} * 1000, 0) / 1000"])
+add("vector_angle", lambda: N.angle([V.comp(a3(), k) for k in range(3)], [V.comp(b3(), k) for k in range(3)]), [f"degrees(acos({s_dot(A3, B3)} / (sqrt({s_dot(A3, A3)}) * sqrt({s_dot(B3, B3)}))))"], 4)
 _len = f"(({B3[0]} - {A3[0]}) * ({B3[0]} - {A3[0]}) + ({B3[1]} - {A3[1]}) * ({B3[1]} - {A3[1]}))"
 _t = f"greatest(0.0, least(1.0, (({A3[2]} - {A3[0]}) * ({B3[0]} - {A3[0]}) + ({B3[2]} - {A3[1]}) * ({B3[1]} - {A3[1]})) / {_len}))"
-_six = [V.comp(a3, 2), V.comp(b3, 2), V.comp(a3, 0), V.comp(a3, 1), V.comp(b3, 0), V.comp(b3, 1)]
-add("point_segment_distance", N.point_segment(*_six), [f"pow({A3[2]} - {A3[0]} - {_t} * ({B3[0]} - {A3[0]}), 2) + pow({B3[2]} - {A3[1]} - {_t} * ({B3[1]} - {A3[1]}), 2)"], 7)
-add("point_line_distance", N.point_line(*_six), [f"pow(({B3[0]} - {A3[0]}) * ({B3[2]} - {A3[1]}) - ({B3[1]} - {A3[1]}) * ({A3[2]} - {A3[0]}), 2) / {_len}"], 5)
-add("point_plane_distance", N.point_plane([V.comp(a3, k) for k in range(3)], [V.comp(b3, k) for k in range(3)], V.comp(arrays(6, 1), 0)), [f"pow({s_dot(A3, B3)} + {entries(6, 1)[0]}, 2) / {s_dot(B3, B3)}"], 5)
-add("verticality", N.verticality(*(F.try_divide(V.comp(a3, k), V.norm(a3)) for k in range(3))), [f"1 - abs({A3[2]} / sqrt({s_dot(A3, A3)}))"], 6)
+_SIX = lambda: [V.comp(a3(), 2), V.comp(b3(), 2), V.comp(a3(), 0), V.comp(a3(), 1), V.comp(b3(), 0), V.comp(b3(), 1)]
+add("point_segment_distance", lambda: N.point_segment(*_SIX()), [f"pow({A3[2]} - {A3[0]} - {_t} * ({B3[0]} - {A3[0]}), 2) + pow({B3[2]} - {A3[1]} - {_t} * ({B3[1]} - {A3[1]}), 2)"], 7)
+add("point_line_distance", lambda: N.point_line(*_SIX()), [f"pow(({B3[0]} - {A3[0]}) * ({B3[2]} - {A3[1]}) - ({B3[1]} - {A3[1]}) * ({A3[2]} - {A3[0]}), 2) / {_len}"], 5)
+add("point_plane_distance", lambda: N.point_plane([V.comp(a3(), k) for k in range(3)], [V.comp(b3(), k) for k in range(3)], V.comp(arrays(6, 1), 0)), [f"pow({s_dot(A3, B3)} + {entries(6, 1)[0]}, 2) / {s_dot(B3, B3)}"], 5)
+add("verticality", lambda: N.verticality(*(F.try_divide(V.comp(a3(), k), V.norm(a3())) for k in range(3))), [f"1 - abs({A3[2]} / sqrt({s_dot(A3, A3)}))"], 6)
 
 
 def symmetric(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", strain(a9).alias("a"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", strain(a9()).alias("a"))
 
 
 @query(f"""WITH s AS (SELECT vec_id, {', '.join(f'{x} AS m{k}' for k, x in enumerate(_S))} FROM embeddings), q AS (SELECT *, (m0 + m4 + m8) / 3 AS mean, m3 * m3 + m6 * m6 + m7 * m7 AS o FROM s),
@@ -200,14 +204,14 @@ def eigen_sym(spark, sf_dir):
 
 @query()
 def lambda2_criterion(spark, sf_dir):
-    g = table(spark, sf_dir, "embeddings").select("vec_id", a9.alias("g"))
+    g = table(spark, sf_dir, "embeddings").select("vec_id", a9().alias("g"))
     return lambda2(g, "g").select("vec_id", rounded(F.col("lambda2"), 5).alias("lambda2"))
 
 
 @query()
 def schur_form(spark, sf_dir):
     """Compared with its defining identities in the tests."""
-    return table(spark, sf_dir, "embeddings").select("vec_id", V.schur(a9).alias("r")).select("vec_id", "r.s", "r.q")
+    return table(spark, sf_dir, "embeddings").select("vec_id", V.schur(a9()).alias("r")).select("vec_id", "r.s", "r.q")
 
 
 @query("SELECT i, j, k, CASE WHEN i = j THEN 1 ELSE 0 END AS delta, ((i - j) * (j - k) * (k - i) // 2)::INT AS eps FROM range(1, 4) a(i), range(1, 4) b(j), range(1, 4) c(k)")
