@@ -145,3 +145,41 @@ def test_hull(spark):
     got = [(r.x, r.y) for r in X.hulls(df).orderBy("place").collect()]
     for (ax, ay), (bx, by) in zip(got, got[1:] + got[:1], strict=True):
         assert ((bx - ax) * (p[:, 1] - ay) - (by - ay) * (p[:, 0] - ax) >= -1e-12).all()
+
+
+def test_hilbert_order_is_a_walk(spark):
+    cells = spark.range(64).select((F.col("id") % 8).cast("int").alias("x"), F.floor(F.col("id") / 8).cast("int").alias("y"))
+    got = sorted((r.d, r.x, r.y) for r in cells.select("x", "y", N.hilbert(F.col("x"), F.col("y"), 3).alias("d")).collect())
+    assert [d for d, *_ in got] == list(range(64))
+    assert all(abs(a - c) + abs(b - d) == 1 for (_, a, b), (_, c, d) in zip(got, got[1:], strict=False))
+
+
+def test_welch_matches_segments(spark):
+    from aerospan.operators import signals as G
+
+    y = np.random.default_rng(6).normal(size=40)
+    df = spark.createDataFrame([("a", k, float(v)) for k, v in enumerate(y)], "s string, i long, v double")
+    got = np.array([r.power for r in G.welch(df, "s", "i", "v", 16, 8).orderBy("k").collect()])
+    w = np.hanning(16)
+    want = np.mean([np.abs(np.fft.rfft((y[a : a + 16] - y[a : a + 16].mean()) * w)) ** 2 / (w**2).sum() for a in range(0, 25, 8)], axis=0)
+    assert np.allclose(got, want)
+
+
+def test_quadtree_leaves_hold_every_point(spark):
+    rng = np.random.default_rng(7)
+    pts = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(rng.random((300, 2)) ** 2)], "id long, x double, y double")
+    got = [(r.path, r.n) for r in X.leaves(X.quadtree(pts, 5, 1.0), 20).collect()]
+    assert sum(n for _, n in got) == 300 and all(n <= 20 or len(p) == 5 for p, n in got)
+
+
+def test_approximate_inverse_approaches_the_solution(spark):
+    a, b = P.example(spark)
+    m = np.zeros((9, 9))
+    for r in a.collect():
+        m[r.i, r.j] = r.v
+    x, rest, lumped = np.zeros(9), np.sin(np.arange(9)), m.sum(axis=1)
+    for _ in range(6):
+        d = rest / lumped
+        x, rest = x + d, rest - m @ d
+    got = np.array([r.x for r in P.approximate_inverse(a, b, 6).orderBy("i").collect()])
+    assert np.allclose(got, x)
