@@ -44,12 +44,21 @@ class Features:
     buckets: int = 1 << 10
 
     def of(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-        """For each order the bucket at every place of the joined texts, and each text's first place (one end added)."""
-        joined = "\n".join(texts) + "\n"
+        """For each order the bucket at every place of the texts, and each text's first place (one line end added).
+
+        Texts are joined with so many line ends that no n-gram reaches the next text: a text's n-grams are its own.
+        """
+        gap = max(self.orders)
+        joined = "".join(t + "\n" * gap for t in texts)
         points = np.frombuffer(joined.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         if len(points) != len(joined):  # a few capitals become two characters
             points = np.frombuffer("".join(c if len(d := c.lower()) > 1 else d for c in joined).encode("utf-32-le", "surrogatepass"), np.uint32)
-        starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        size = np.array([len(t) + gap for t in texts], np.int64)
+        keep = np.ones(len(points), bool)
+        last = np.cumsum(size)
+        for k in range(1, gap):
+            keep[last - k] = False
+        starts = np.concatenate([[0], np.cumsum(size - gap + 1)])
         unit, out = mixed(points.astype(np.uint64) + np.uint64(1)), []
         h = np.zeros(len(points), np.uint64)
         for k in range(max(self.orders)):
@@ -57,7 +66,7 @@ class Features:
             h = h * np.uint64(0x100000001B3) + shifted
             if k + 1 in self.orders:
                 place = self.orders.index(k + 1)
-                out.append((mixed(h) & np.uint64(self.buckets - 1)).astype(np.int32) + place * self.buckets)
+                out.append((mixed(h) & np.uint64(self.buckets - 1)).astype(np.int32)[keep] + place * self.buckets)
         return out, starts
 
     def matrix(self, texts: list[str]) -> np.ndarray:
@@ -70,12 +79,14 @@ class Features:
         return out
 
     def scores(self, texts: list[str], weights: np.ndarray) -> np.ndarray:
-        """``matrix(texts) @ weights`` without the matrix; whole texts, in blocks of places."""
+        """``matrix(texts) @ weights``, of whole texts: counts of all texts' n-grams in one pass for each order."""
         grams, starts = self.of(texts)
-        out = np.zeros((len(texts), weights.shape[1]), np.float64)
         n = np.diff(starts)
-        for g in grams:
-            out += np.add.reduceat(weights[g], starts[:-1], axis=0, dtype=np.float64) / n[:, None]
+        row = np.repeat(np.arange(len(texts)) * self.buckets, n)
+        out = np.zeros((len(texts), weights.shape[1]), np.float64)
+        for k, g in enumerate(grams):
+            count = np.bincount(row + (g - k * self.buckets), minlength=len(texts) * self.buckets).reshape(len(texts), -1)
+            out += (count / n[:, None]) @ weights[k * self.buckets : (k + 1) * self.buckets].astype(np.float64)
         return out
 
 
