@@ -16,7 +16,11 @@ BOX_SQL = "b AS (SELECT p_partkey AS id, p_size::DOUBLE AS x_lo, p_size + 2.0 AS
 
 
 def boxes(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey <= 1000")
+    return all_boxes(spark, sf_dir).where("id <= 1000")
+
+
+def all_boxes(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x_lo"), (F.col("p_size") + 2.0).alias("x_hi"), F.col("p_retailprice").alias("y_lo"), (F.col("p_retailprice") + 5.0).alias("y_hi"))
 
 
@@ -34,7 +38,10 @@ def box_overlap_half_open(spark, sf_dir):
 
 @query(f"WITH {BOX_SQL} SELECT a.id, b.id AS other, greatest(a.x_lo, b.x_lo) AS lo, least(a.x_hi, b.x_hi) AS hi FROM b a JOIN b ON b.id = a.id + 1 WHERE greatest(a.x_lo, b.x_lo) <= least(a.x_hi, b.x_hi)")
 def box_intersection(spark, sf_dir):
-    a = boxes(spark, sf_dir)
+    return next_box(boxes(spark, sf_dir))
+
+
+def next_box(a):
     b = a.select((F.col("id") - 1).alias("id"), F.col("id").alias("other"), F.col("x_lo").alias("lo2"), F.col("x_hi").alias("hi2"))
     low, high = X.box_overlap((F.col("x_lo"), F.col("x_hi")), (F.col("lo2"), F.col("hi2")))
     return a.join(b, "id").select("id", "other", low.alias("lo"), high.alias("hi")).where("lo is not null")
@@ -42,9 +49,38 @@ def box_intersection(spark, sf_dir):
 
 @query("SELECT o_orderkey AS probe, p_partkey AS id FROM orders JOIN part ON o_totalprice > p_retailprice * 100 AND o_totalprice <= p_retailprice * 100 + p_size * 10 WHERE p_partkey <= 500")
 def interval_stab(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey <= 500")
+    return stabbed(table(spark, sf_dir, "part").where("p_partkey <= 500"), table(spark, sf_dir, "orders"))
+
+
+def stabbed(p, orders):
     i = p.select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") * 100).alias("lo"), (F.col("p_retailprice") * 100 + F.col("p_size") * 10).alias("hi"), F.lit(False).alias("lc"), F.lit(True).alias("rc"))
-    return X.stab(i, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("probe"), F.col("o_totalprice").alias("v")), 300.0)
+    return X.stab(i, orders.select(F.col("o_orderkey").alias("probe"), F.col("o_totalprice").alias("v")), 300.0)
+
+
+#: The same over all parts; the queries above keep to the parts that their SQL names.
+ALL_BOX_SQL = BOX_SQL.replace(" WHERE p_partkey <= 1000", "")
+
+
+@query(f"WITH {ALL_BOX_SQL} SELECT a.id, b.id AS other FROM b a JOIN b ON a.x_lo <= b.x_hi AND b.x_lo <= a.x_hi AND a.y_lo <= b.y_hi AND b.y_lo <= a.y_hi")
+def box_overlap_closed_all(spark, sf_dir):
+    b = all_boxes(spark, sf_dir)
+    return X.box_join(b, b, ["x", "y"], [4.0, 10.0])
+
+
+@query(f"WITH {ALL_BOX_SQL} SELECT a.id, b.id AS other FROM b a JOIN b ON a.x_lo < b.x_hi AND b.x_lo < a.x_hi AND a.y_lo < b.y_hi AND b.y_lo < a.y_hi")
+def box_overlap_half_open_all(spark, sf_dir):
+    b = all_boxes(spark, sf_dir)
+    return X.box_join(b, b, ["x", "y"], [4.0, 10.0], closed=False)
+
+
+@query(f"WITH {ALL_BOX_SQL} SELECT a.id, b.id AS other, greatest(a.x_lo, b.x_lo) AS lo, least(a.x_hi, b.x_hi) AS hi FROM b a JOIN b ON b.id = a.id + 1 WHERE greatest(a.x_lo, b.x_lo) <= least(a.x_hi, b.x_hi)")
+def box_intersection_all(spark, sf_dir):
+    return next_box(all_boxes(spark, sf_dir))
+
+
+@query("SELECT o_orderkey AS probe, p_partkey AS id FROM orders JOIN part ON o_totalprice > p_retailprice * 100 AND o_totalprice <= p_retailprice * 100 + p_size * 10")
+def interval_stab_all(spark, sf_dir):
+    return stabbed(table(spark, sf_dir, "part"), table(spark, sf_dir, "orders"))
 
 
 def balances(spark, sf_dir):
@@ -249,6 +285,19 @@ def lomb_scargle(spark, sf_dir):
     return G.lomb_scargle(samples(spark, sf_dir).where("i < 64"), "event_type", "t", "v", [0.01, 0.05, 0.1, 0.3]).select("event_type", "freq", rounded(F.col("power"), 5).alias("power"))
 
 
+@query()
+def periodogram_all(spark, sf_dir):
+    """Every sample, each series at its own length; SQL would take the square of that."""
+    return G.whole_periodogram(samples(spark, sf_dir), "event_type", "i", "v").select("event_type", "k", rounded(F.col("power"), 3).alias("power"))
+
+
+@query(f"""WITH {SERIES}, f(freq) AS (VALUES (0.01::DOUBLE), (0.05), (0.1), (0.3)), m AS (SELECT event_type, avg(v) AS m, var_samp(v) AS vr FROM s GROUP BY 1), y AS (SELECT s.event_type, freq, v - m AS y, vr, 2 * pi() * freq * t AS a FROM s JOIN m USING (event_type), f),
+h AS (SELECT event_type, freq, atan2(sum(sin(2 * a)), sum(cos(2 * a))) / 2 AS sh FROM y GROUP BY 1, 2)
+SELECT y.event_type, y.freq, round((pow(sum(y * cos(a - sh)), 2) / sum(pow(cos(a - sh), 2)) + pow(sum(y * sin(a - sh)), 2) / sum(pow(sin(a - sh), 2))) / 2 / max(vr), 5) AS power FROM y JOIN h ON y.event_type = h.event_type AND y.freq = h.freq GROUP BY 1, 2""")
+def lomb_scargle_all(spark, sf_dir):
+    return G.lomb_scargle(samples(spark, sf_dir), "event_type", "t", "v", [0.01, 0.05, 0.1, 0.3]).select("event_type", "freq", rounded(F.col("power"), 5).alias("power"))
+
+
 @query()
 def welch(spark, sf_dir):
     return G.welch(samples(spark, sf_dir), "event_type", "i", "v", 64, 32).select("event_type", "k", rounded(F.col("power"), 3).alias("power"))
