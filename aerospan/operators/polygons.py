@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerospan.functions import vectors as V
-from aerospan.operators.spatial import in_polygon
 
 
 def edges(rings: DataFrame) -> DataFrame:
@@ -74,8 +73,13 @@ def in_contact(rings: DataFrame, pairs: DataFrame) -> DataFrame:
     over = (F.greatest("x0", "x1") >= F.least("bx0", "bx1")) & (F.greatest("bx0", "bx1") >= F.least("x0", "x1")) & (F.greatest("y0", "y1") >= F.least("by0", "by1")) & (F.greatest("by0", "by1") >= F.least("y0", "y1"))
     touching = j.where(cross & over).select("id", "other").distinct()
     first = rings.groupBy("id").agg(F.min_by(F.struct("x", "y"), "pt_no").alias("p")).select("id", "p.x", "p.y")
-    held = in_polygon(first, e.withColumnRenamed("id", "poly"))
-    inside = pairs.join(held.select("id", F.col("poly").alias("other")), ["id", "other"]).unionByName(pairs.join(held.select(F.col("id").alias("other"), F.col("poly").alias("id")), ["id", "other"]))
+    # crossing numbers of the given pairs alone: in all rings a vertex would meet nearly every ring
+    named = pairs.select("id", "other").distinct()
+    both = named.select("id", "other", F.col("id").alias("point"), F.col("other").alias("poly")).unionByName(named.select("id", "other", F.col("other").alias("point"), F.col("id").alias("poly")))
+    far = both.join(first.withColumnRenamed("id", "point"), "point").join(e.withColumnRenamed("id", "poly"), "poly")
+    spans = (F.col("y0") > F.col("y")) != (F.col("y1") > F.col("y"))
+    cut = F.col("x0") + (F.col("y") - F.col("y0")) * F.try_divide(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    inside = far.where(spans & (F.col("x") < cut)).groupBy("id", "other", "poly").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("id", "other")
     return touching.unionByName(inside).distinct()
 
 

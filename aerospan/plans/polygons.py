@@ -71,9 +71,9 @@ def polygons_touching(spark, sf_dir):
 def polygons_touching_all(spark, sf_dir):
     """The same for all parts. Ids of moved rectangles are below zero, so that no number of parts reaches them."""
     r = rectangles(spark, sf_dir)
-    moved = r.select((-F.col("id")).alias("id"), "pt_no", (F.col("x") + 20).alias("x"), (F.col("y") + 1).alias("y"))
-    pairs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (-F.col("p_partkey") - 1).alias("other"))
-    return G.in_contact(r.unionByName(moved), pairs).select("id", (-F.col("other")).alias("other"))
+    moved = r.select((-F.col("id") - 1).alias("id"), "pt_no", (F.col("x") + 20).alias("x"), (F.col("y") + 1).alias("y"))
+    pairs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (-F.col("p_partkey") - 2).alias("other"))
+    return G.in_contact(r.unionByName(moved), pairs).select("id", (-F.col("other") - 1).alias("other"))
 
 
 @query("SELECT i AS edge_id, round(i + (4.5 - i) / 10.0, 6)::DOUBLE AS x, 1.0::DOUBLE AS y, 0.0::DOUBLE AS z FROM range(0, 20) t(i) WHERE i <= 4.5 AND i + 10 > 4.5")

@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from aerospan import catalogue
+from aerospan.operators.polygons import in_contact
 
 IDS = [*range(190, 206), *range(495, 506), *range(995, 1020), *range(1_000_001, 1_000_012)]
 
@@ -72,3 +73,18 @@ def test_spectra_read_every_sample(spark, folder):
                 c, s = np.cos(a), np.sin(a)
                 assert abs(power - ((y @ c) ** 2 / (c @ c) + (y @ s) ** 2 / (s @ s)) / 2 / v.var(ddof=1)) < 2e-5
     assert len(lomb) == 8
+
+
+def test_touching_from_id_zero(spark, tmp_path):
+    """Ring 0 and the moved ring 0 have ids of their own."""
+    size = [10, 30, 19, 25, 20]
+    pq.write_table(pa.table({"p_partkey": pa.array(range(5), pa.int64()), "p_size": pa.array(size, pa.int32())}), tmp_path / "part.parquet")
+    assert sorted(rows(spark, str(tmp_path), "polygons_touching_all")) == [(1, 2), (3, 4)]
+
+
+def test_contact_of_given_pairs(spark):
+    """A ring within the other one, either way round, and rings apart; pairs that are not given have no row."""
+    square = lambda i, a, b: [(i, k, float(x), float(y)) for k, (x, y) in enumerate([(a, a), (b, a), (b, b), (a, b)])]
+    rings = spark.createDataFrame(square(1, 0, 10) + square(2, 3, 4) + square(3, 20, 21) + square(4, 6, 7), "id long, pt_no int, x double, y double")
+    pairs = spark.createDataFrame([(1, 2), (4, 1), (1, 3), (2, 4)], "id long, other long")
+    assert sorted(tuple(r) for r in in_contact(rings, pairs).collect()) == [(1, 2), (4, 1)]
