@@ -149,19 +149,25 @@ def rates(members: DataFrame, weights: list[float], total: float | None = None,
     return rate, history
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], snap: float = 0.25, seed: int = 11) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], snap: float = 0.25, seed: int = 11, whole: str | None = None) -> DataFrame:
     """uid, doc_id, tokens, p_<domain>, rate, copies of each row of ``docs`` (doc_id, text); targets by ``weights``.
 
     ``copies`` is the rate rounded at random, up with the chance of its fraction by a hash of uid; a rate within
     ``snap`` of one is one, so that documents that are surely of a domain at rate one stay. A domain
     without a weight has target zero. Null and empty texts have no tokens and their own posterior; rows with equal
     doc_id are told apart by uid; an empty table gives no rows; without labelled rows all is one domain and all
-    rates are one.
+    rates are one. With ``whole``, the total is what makes that domain's target all of its expected tokens, so none of it is
+    lost where another domain is scarcer: the scarce one is repeated.
     """
     docs = with_uid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     model = fit(docs, labelled)
     members = written(posteriors(docs, model), "posteriors")
-    rate, _ = rates(members, [weights.get(d, 0.0) for d in model.domains]) if len(model.domains) > 1 else (F.lit(1.0), [])
+    shares, total = [weights.get(d, 0.0) for d in model.domains], None
+    if whole in model.domains and weights.get(whole):
+        at = model.domains.index(whole)
+        have = members.agg(F.sum(F.col("tokens") * F.get("p", F.lit(at)))).first()[0] or 0.0
+        total = float(have) * sum(shares) / shares[at]
+    rate, _ = rates(members, shares, total) if len(model.domains) > 1 else (F.lit(1.0), [])
     u = F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.when(F.abs(rate - 1) <= snap, F.lit(1)).otherwise(F.floor(rate + u)).cast("long")
     return members.select("uid", "doc_id", "tokens", *(F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(model.domains)), rate.alias("rate"), copies.alias("copies"))

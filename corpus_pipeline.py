@@ -72,7 +72,7 @@ def without(text: str, runs: list[dict]) -> str | None:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated, or left out, so that the domains of the labels table meet their target shares."""
     rows = with_uid(docs)
-    mixed = mixing.mix(docs, mixing.labels_of(table(spark, sf_dir, "labels")), mixing.WEIGHTS).where("copies > 0").select("uid", "copies")
+    mixed = mixing.mix(docs, mixing.labels_of(table(spark, sf_dir, "labels")), mixing.WEIGHTS, whole="good").where("copies > 0").select("uid", "copies")
     again = rows.join(mixed, "uid").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return again.select(*docs.columns)
 

@@ -1,5 +1,9 @@
 """Each stage against a plain version of what it decides."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+
 import corpus_pipeline as C
 from aerospan.llm import simhash
 from aerospan.llm.common import written
@@ -36,3 +40,14 @@ def test_stages(spark):
 def test_without_words():
     assert C.without("a b\nc  d\n\ne", [{"a": 1, "b": 3}]) == "a\nd\ne"
     assert C.without("a", [{"a": 0, "b": 1}]) is None
+
+
+def test_mixture_keeps_good_documents_where_poor_ones_are_rare(spark, tmp_path):
+    rng, n = np.random.default_rng(10), 900
+    poor = [k % 90 == 0 for k in range(n)]
+    word = lambda bad: " ".join(f"{'p' if bad else 'g'}{v}" for v in range(12))
+    rows = [(k, word(bad) + " " + " ".join(f"w{v}" for v in rng.integers(0, 50, 10 if bad else 100))) for k, bad in enumerate(poor)]
+    pq.write_table(pa.table({"doc_id": pa.array(range(n), pa.int64()), "quality": pa.array([1 - bad for bad in poor], pa.int32()), "toxic": pa.array([0] * n, pa.int32())}), tmp_path / "labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id for r in C.mixture(spark, docs, str(tmp_path)).collect()}
+    assert got >= {k for k, bad in enumerate(poor) if not bad}
