@@ -76,14 +76,13 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, axes: list[str], radi
 
 
 def nearest_dense(points: DataFrame, queries: DataFrame, k: int, vector: str, most: int = 20_000) -> DataFrame:
-    """The same by vectors of many entries, where a grid does not help: all points against a set of at most ``most``
-    queries, which is what is broadcast."""
-    n = queries.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"at most {most} queries; search in blocks of them")
-    j = points.select("id", F.col(vector).alias("_p")).crossJoin(F.broadcast(queries.select("query", F.col(vector).alias("_q"))))
+    """The same by vectors of many entries, where a grid does not help: all points against blocks of about ``most`` queries
+    by hash, each of which is broadcast. A query's rows are all in one block, so blocks are ranked apart."""
+    blocks = max(1, -(-queries.count() // most))
+    p, q = points.select("id", F.col(vector).alias("_p")), queries.select("query", F.col(vector).alias("_q"))
     d2 = F.aggregate(F.zip_with("_p", "_q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return _ranked(j.select("query", "id", d2.alias("d2")), k)
+    found = (p.crossJoin(F.broadcast(q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n))).select("query", "id", d2.alias("d2")) for n in range(blocks))
+    return reduce(DataFrame.unionByName, (_ranked(pairs, k) for pairs in found))
 
 
 def _all_pairs(points: DataFrame, queries: DataFrame, axes: list[str]) -> DataFrame:

@@ -183,3 +183,12 @@ def test_approximate_inverse_approaches_the_solution(spark):
         x, rest = x + d, rest - m @ d
     got = np.array([r.x for r in P.approximate_inverse(a, b, 6).orderBy("i").collect()])
     assert np.allclose(got, x)
+
+
+def test_nearest_dense_in_blocks(spark):
+    """More queries than a block holds, against brute force."""
+    v = np.random.default_rng(3).integers(0, 9, (40, 3)).astype(float)
+    e = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>")
+    got = sorted((r.query, r.place, r.id, r.d2) for r in X.nearest_dense(e, e.withColumnRenamed("id", "query"), 3, "v", most=15).collect())
+    d2 = ((v[:, None] - v[None]) ** 2).sum(axis=2)
+    assert got == [(q, n + 1, i, d2[q, i]) for q in range(40) for n, i in enumerate(sorted(range(40), key=lambda i: (d2[q, i], i))[:3])]
