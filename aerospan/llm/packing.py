@@ -24,7 +24,7 @@ from aerospan.llm.tokens import encoder
 
 #: Rows (a few dozen bytes each) of the table of queue places up to which it is broadcast; beyond, it is joined.
 MOST_PLACES = 100_000
-#: Sources have a row each in the schedule on the driver; more are refused.
+#: Sources up to which queues are split one after the other; beyond, by halves.
 MOST_SOURCES = 10_000
 
 
@@ -155,6 +155,47 @@ class Schedule:
         return out
 
 
+class Halves(Schedule):
+    """The schedule of many queues at their own shares: ids are split between halves of the queues, and so on down to one, so
+    a queue's share takes as many steps as their number has bits. Each split is off by less than one id, so a queue is by less than the number of splits above it."""
+
+    def __init__(self, totals: np.ndarray, length: int = 1024):
+        self.cum, self.length = np.concatenate([[0], np.cumsum(totals, dtype=np.int64)]), length
+        self.total = int(self.cum[-1])
+        self.windows = -(-self.total // length)
+        self.kind = np.int64 if self.total < 3_000_000_000 else object
+
+    def _two(self, k: int, g):
+        x = np.minimum(g.astype(self.kind), self.total) if isinstance(g, np.ndarray) else min(g, self.total)
+        low, high, before = 0, len(self.cum) - 1, x * 0
+        while high - low > 1:
+            mid = (low + high) // 2
+            a, b, c = (int(self.cum[j]) for j in (low, mid, high))
+            left = x * (b - a) // max(1, c - a)
+            if k < mid:
+                high, x = mid, left
+            else:
+                low, before, x = mid, before + left, x - left
+        return before, before + x
+
+    def window_of(self, k: int, x: int) -> int:
+        w = min(self.windows - 1, x * self.total // max(1, int(self.cum[k + 1] - self.cum[k])) // self.length)
+        while True:
+            if self.given(k, w * self.length) > x:
+                w -= 1
+            elif self.given(k, (w + 1) * self.length) <= x:
+                w += 1
+            else:
+                return w
+
+
+def numbered(totals: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Sources with their place by name (source, k), written, and their totals in that order."""
+    rows = totals.select("source", "n").orderBy("source").rdd.zipWithIndex().map(lambda x: (x[0].source, x[0].n, x[1]))
+    out = written(totals.sparkSession.createDataFrame(rows, "source string, n long, k long"), "sources")
+    return out.select("source", "k"), out.orderBy("k").select("n").toArrow().column("n").to_numpy()
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = 0, source: str = "source") -> DataFrame:
     """Each row's ids, its source, and its place among the rows of its source in its input partition; written."""
 
@@ -191,22 +232,30 @@ def pack(docs: DataFrame, tokenizer: str, weights: dict[str, float] | None = Non
     sums = written(ids.groupBy("source", "part").agg(F.sum("n").alias("n")), "queues")
     queue = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("source", "part", F.coalesce(F.sum("n").over(queue), F.lit(0)).alias("base"))
-    found = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy("source").limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    names = {r.source: k for k, r in enumerate(found)}
-    plan = Schedule([r.n for r in found], [weights[r.source] for r in found] if weights else None, length)
+    totals = sums.groupBy("source").agg(F.sum("n").alias("n"))
+    found, names = totals.orderBy("source").limit(MOST_SOURCES + 1).collect(), {}
+    many = len(found) > MOST_SOURCES
+    if many and not weights:
+        places, counts = numbered(totals)
+        plan, bases = Halves(counts, length), bases.join(places, "source")
+    else:
+        found = totals.orderBy("source").collect() if many else found
+        names = {r.source: k for k, r in enumerate(found)}
+        plan = Schedule([r.n for r in found], [weights[r.source] for r in found] if weights else None, length)
+    numbers = [] if names or not many else ["k"]
+    shared = docs.sparkSession.sparkContext.broadcast((plan, names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
         for batch in slices(batches):
-            out = []
-            for doc, source, base, at, n, width, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "base", "part_start", "n", "width", "ids")), strict=True):
+            (plan, names), out = shared.value, []
+            at_k = batch.column("k").to_pylist() if numbers else [names[s] for s in batch.column("source").to_pylist()]
+            for doc, source, base, at, n, width, raw, k in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "base", "part_start", "n", "width", "ids")), at_k, strict=True):
                 wide = np.frombuffer(raw, f"<u{width}").astype("<u4")
-                out += [(doc, s, m, zlib.crc32(wide[s : s + m]), n, seq, off, source) for s, m, seq, off in plan.pieces(names[source], base + at, n)]
+                out += [(doc, s, m, zlib.crc32(wide[s : s + m]), n, seq, off, source) for s, m, seq, off in plan.pieces(k, base + at, n)]
             kinds = [pa.int64()] * 7 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], cols)
 
     small = sums.limit(MOST_PLACES + 1).count() <= MOST_PLACES
-    placed = ids.join(F.broadcast(bases) if small else bases, ["source", "part"]).select("doc_id", "source", "base", "part_start", "n", "width", "ids")
+    placed = ids.join(F.broadcast(bases) if small else bases, ["source", "part"]).select("doc_id", "source", "base", "part_start", "n", "width", "ids", *numbers)
     return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")

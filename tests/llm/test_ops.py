@@ -300,3 +300,32 @@ def test_mixing_meets_targets(spark):
     assert abs(have["toxic"] / sum(have.values()) - 0.03) < 0.01
     assert mixing.mix(empty(docs), labelled, {"good": 1.0}).count() == 0
     assert {r.copies for r in mixing.mix(docs, labelled.where("false"), {"good": 1.0}).collect()} == {1}
+
+
+def test_packing_of_many_sources(spark, tok, hard, monkeypatch):
+    """More sources than the schedule in line takes: every id in one place, every sequence full, shares in every window."""
+    monkeypatch.setattr(packing, "MOST_SOURCES", 3)
+    rows = [(k, " ".join(f"w{v}" for v in range(k % 17 + 1)), "en", f"s{k % 23}", 1, 1) for k in range(120)]
+    got = packing.pack(hard.unionByName(spark.createDataFrame([(1000 + k, *r) for k, *r in rows], hard.schema)), tok, length=64).collect()
+    total, spans = sum(r.length for r in got), {}
+    for r in got:
+        spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s, parts in spans.items():
+        at = 0
+        for off, n in sorted(parts):
+            assert off == at
+            at += n
+        assert at == 64 or s >= total // 64
+    docs = {}
+    for r in got:
+        docs.setdefault((r.doc_id, r.source, r.doc_tokens), []).append(r.length)
+    assert all(sum(n) % tokens == 0 for (_, _, tokens), n in docs.items()) and len({r.source for r in got}) > 20
+
+
+def test_halves_gives_each_queue_its_share():
+    totals = np.random.default_rng(4).integers(1, 400, 37)
+    plan, all_ids = packing.Halves(totals, 128), int(totals.sum())
+    given = [[plan.given(k, g) for k in range(37)] for g in range(all_ids + 1)]
+    assert given[-1] == totals.tolist() and all(sum(x) == g for g, x in enumerate(given))
+    assert (np.diff(np.array(given), axis=0) >= 0).all()
+    assert np.abs(np.array(given) - np.arange(all_ids + 1)[:, None] * totals / all_ids).max() < 6  # less than one id for each of six splits
