@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts of the range of a time or number by which the rows of one key are dealt to tasks.
+SLICES = 64
+
+
+def sliced(df: DataFrame, order: str, slices: int = SLICES) -> DataFrame:
+    """Add ``_s``: which of ``slices`` equal parts of its range the number ``order`` is in. Windows by key and ``_s`` keep no key in
+    one task; what they need from the slices before is carried over in a table with a row for each key and slice."""
+    ends = df.agg(F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi"))  # one row
+    share = F.coalesce(F.try_divide(F.col(order).cast("double") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    return df.crossJoin(F.broadcast(ends)).withColumn("_s", F.least(F.lit(slices - 1), F.floor(share * slices).cast("int"))).drop("_lo", "_hi")
+
+
+def with_carried(df: DataFrame, carried: DataFrame, by: list[str]) -> DataFrame:
+    """Join what is carried into each key and slice; null keys are keys."""
+    named = carried.select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate([*by, "_s"])), *(c for c in carried.columns if c not in (*by, "_s")))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate([*by, "_s"])))
+    return df.join(named, same).drop(*(f"_k{k}" for k in range(len(by) + 1)))
+
+
 def steps(df: DataFrame, time: str, order: list[str], by: list[str]) -> DataFrame:
-    """Add ``dt``: time since the instant before; an instant without one weighs its own time."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("dt", F.col(time) - F.coalesce(F.lag(time).over(w), F.lit(0.0)))
+    """Add ``dt``: time since the instant before; an instant without one weighs its own time. ``time`` ascends in ``order``."""
+    s = sliced(df, time)
+    earlier = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    ends = s.groupBy(*by, "_s").agg(F.max(time).alias("_end")).select(*by, "_s", F.max("_end").over(earlier).alias("_end"))
+    before = F.lag(time).over(Window.partitionBy(*by, "_s").orderBy(*order))
+    return with_carried(s.withColumn("_b", before), ends, by).withColumn("dt", F.col(time) - F.coalesce("_b", "_end", F.lit(0.0))).drop("_s", "_b", "_end")
 
 
 def weighted_moment(values: list[Column], time: str) -> Column:
@@ -20,9 +45,14 @@ def weighted_moment(values: list[Column], time: str) -> Column:
     return F.try_divide(F.sum(F.col("dt") * product), F.max(time))
 
 
-def running_mean(value: Column, time: str, order: list[str], by: list[str]) -> Column:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.try_divide(F.sum(F.col("dt") * value).over(w), F.col(time))
+def running_mean(df: DataFrame, value: Column, time: str, order: list[str], by: list[str]) -> DataFrame:
+    """Add ``running``, the weighted mean of ``value`` up to each instant, to rows that have ``dt``."""
+    s = sliced(df.withColumn("_x", F.col("dt") * value), time)
+    earlier = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    sums = s.groupBy(*by, "_s").agg(F.sum("_x").alias("_sum")).select(*by, "_s", F.sum("_sum").over(earlier).alias("_sum"))
+    here = F.sum("_x").over(Window.partitionBy(*by, "_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = with_carried(s.withColumn("_here", here), sums, by)
+    return out.withColumn("running", F.try_divide(F.col("_here") + F.coalesce("_sum", F.lit(0.0)), F.col(time))).drop("_s", "_x", "_here", "_sum")
 
 
 def fluctuation(df: DataFrame, value: str, time: str, by: list[str]) -> DataFrame:
@@ -32,17 +62,24 @@ def fluctuation(df: DataFrame, value: str, time: str, by: list[str]) -> DataFram
 
 
 def fill(df: DataFrame, value: str, order: str, by: list[str]) -> DataFrame:
-    """Replace NaN by a line between the neighbours in row order; at the ends by the nearest value."""
-    w = Window.partitionBy(*by).orderBy(order)
-    clean = F.nanvl(F.col(value), F.lit(None).cast("double"))
-    df = df.withColumn("_i", F.row_number().over(w)).withColumn("_v", clean)
+    """Replace NaN by a line between the neighbours in row order; at the ends by the nearest value. ``order`` is a number."""
+    s = sliced(df.withColumn("_v", F.nanvl(F.col(value), F.lit(None).cast("double"))), order)
+    up = Window.partitionBy(*by, "_s").orderBy(order)
+    down = Window.partitionBy(*by, "_s").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("_i", F.row_number().over(up))
     known = F.when(F.col("_v").isNotNull(), F.struct(F.col("_i").alias("i"), F.col("_v").alias("v")))
-    before = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    df = df.withColumn("_a", before).withColumn("_b", after)
+    s = s.withColumn("_a", F.last(known, ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.last(known, ignorenulls=True).over(down))
+    slices = Window.partitionBy(*by).orderBy("_s")
+    each = s.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_n"), F.min_by("_b", "_i").alias("_first"), F.max_by("_a", "_i").alias("_last"))
+    each = each.withColumn("_at", F.coalesce(F.sum("_n").over(slices.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    moved = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}.i") + F.col("_at")).alias("i"), F.col(f"{c}.v").alias("v")))
+    back = Window.partitionBy(*by).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = each.select(*by, "_s", "_at", F.last(moved("_last"), ignorenulls=True).over(slices.rowsBetween(Window.unboundedPreceding, -1)).alias("_past"), F.last(moved("_first"), ignorenulls=True).over(back).alias("_next"))
+    out = with_carried(s, carried, by)
+    out = out.withColumn("_a", F.coalesce(moved("_a"), "_past")).withColumn("_b", F.coalesce(moved("_b"), "_next")).withColumn("_i", F.col("_i") + F.col("_at"))
     share = F.coalesce(F.try_divide(F.col("_i") - F.col("_a.i"), F.col("_b.i") - F.col("_a.i")), F.lit(0.0))
     line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * share
-    return df.withColumn(value, F.coalesce("_v", line, F.col("_a.v"), F.col("_b.v"))).drop("_i", "_v", "_a", "_b")
+    return out.withColumn(value, F.coalesce("_v", line, F.col("_a.v"), F.col("_b.v"))).drop("_s", "_i", "_v", "_a", "_b", "_at", "_past", "_next")
 
 
 def midline(df: DataFrame, value: str, index: str, n: str) -> DataFrame:

@@ -134,13 +134,17 @@ def vertical(triangles: DataFrame, tol: float = 1e-6) -> DataFrame:
     return triangles.where(ground[0] + ground[1] + ground[2] == 2)
 
 
-def in_polygon(points: DataFrame, edges: DataFrame) -> DataFrame:
+def in_polygon(points: DataFrame, edges: DataFrame, bands: int = 1024) -> DataFrame:
     """(id, poly) of points (id, x, y) inside polygons given by edges (poly, x0, y0, x1, y1); crossing number, so holes count.
 
-    Edges are listed by the unit bands of y they cross, so a point meets only the edges of its band.
+    The edges' range of y is cut into ``bands``; edges are listed by those they cross, so a point meets only the edges of its
+    band, and no edge is listed more than ``bands`` times.
     """
-    e = edges.where("y0 <> y1").withColumn("_b", F.explode(_cells(F.least("y0", "y1"), F.greatest("y0", "y1"), 1.0)))
-    j = points.withColumn("_b", F.floor("y")).join(e, "_b")
+    flat = edges.where("y0 <> y1").withColumn("_l", F.least("y0", "y1")).withColumn("_h", F.greatest("y0", "y1"))
+    ends = F.broadcast(flat.agg(F.min("_l").alias("_lo"), F.max("_h").alias("_hi")))  # one row
+    band = lambda y: F.floor((y - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bands).cast("int")
+    e = flat.crossJoin(ends).withColumn("_b", F.explode(F.sequence(band(F.col("_l")), band(F.col("_h"))))).drop("_l", "_h", "_lo", "_hi")
+    j = points.crossJoin(ends).where("y between _lo and _hi").withColumn("_b", band(F.col("y"))).drop("_lo", "_hi").join(e, "_b")
     spans = (F.col("y0") > F.col("y")) != (F.col("y1") > F.col("y"))
     cut = F.col("x0") + (F.col("y") - F.col("y0")) * F.try_divide(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     crossed = j.where(spans & (F.col("x") < cut)).groupBy("id", "poly").agg(F.count(F.lit(1)).alias("n"))
@@ -216,15 +220,17 @@ def extremes(points: DataFrame, by: list[str]) -> DataFrame:
 
 
 def convex(rings: DataFrame) -> DataFrame:
-    """(id, convex) of closed rings (id, pt_no, x, y): every turn is to the left, or every one to the right."""
+    """(id, convex) of closed rings (id, pt_no, x, y): every turn is to the left, or every one to the right, and the ring goes
+    round once, so that only one of its points comes before both of its neighbours by (x, y)."""
     w = Window.partitionBy("id").orderBy("pt_no")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     n = F.count(F.lit(1)).over(whole)
     ring = rings.withColumn("_p", F.collect_list(F.struct("x", "y")).over(whole)).withColumn("_n", n).withColumn("_k", F.row_number().over(w) - 1)
     at = lambda k: F.get("_p", ((F.col("_k") + k) % F.col("_n")).cast("int"))
     turn = side(at(0)["x"], at(0)["y"], at(1)["x"], at(1)["y"], at(2)["x"], at(2)["y"])
-    t = ring.withColumn("_t", turn)
-    return t.groupBy("id").agg((F.bool_and(F.col("_t") > 0) | F.bool_and(F.col("_t") < 0)).alias("convex"))
+    first = F.when((at(1) < at(0)) & (at(1) < at(2)), 1).otherwise(0)
+    t = ring.withColumn("_t", turn).withColumn("_f", first)
+    return t.groupBy("id").agg(((F.bool_and(F.col("_t") > 0) | F.bool_and(F.col("_t") < 0)) & (F.sum("_f") == 1)).alias("convex"))
 
 
 def quadtree(points: DataFrame, depth: int, span: float) -> DataFrame:

@@ -13,9 +13,11 @@ def mean(x: Column) -> Column:
 
 
 def covariance(x: Column, y: Column) -> Column:
-    """Population covariance of rows that have both; one pass, mergeable."""
-    both = F.isnotnull(without_nan(x)) & F.isnotnull(without_nan(y))
-    return F.covar_pop(F.when(both, x), F.when(both, y))
+    """Population covariance over rows that have both, about the mean of each column's own known values; one pass, mergeable."""
+    fx, fy = without_nan(x), without_nan(y)
+    both = F.isnotnull(fx) & F.isnotnull(fy)
+    bx, by = F.when(both, fx), F.when(both, fy)
+    return F.covar_pop(bx, by) + (F.avg(bx) - F.avg(fx)) * (F.avg(by) - F.avg(fy))
 
 
 def errors(ref: Column, model: Column) -> dict[str, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aerospan.operators import polygons as G
-from aerospan.registry import query, rounded, table
+from aerospan.registry import SQL, query, rounded, table
 
 #: A rectangle for each part: 0..size by 0..2 size, as vertices 0 to 3.
 RECT = "r AS (SELECT p_partkey AS id, k AS pt_no, (CASE WHEN k IN (1, 2) THEN p_size ELSE 0 END)::DOUBLE AS x, (CASE WHEN k IN (2, 3) THEN 2 * p_size ELSE 0 END)::DOUBLE AS y FROM part, range(0, 4) t(k))"
@@ -58,24 +58,18 @@ def smallest_box(spark, sf_dir):
     return G.smallest_boxes(turned).select("id", rounded(F.col("area"), 5).alias("area"))
 
 
-@query("SELECT a.p_partkey AS id, a.p_partkey + 1 AS other FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey <= 200 AND a.p_size >= 20")
-def polygons_touching(spark, sf_dir):
-    """Each rectangle and the next one moved 20 to the right and 1 up."""
-    r = rectangles(spark, sf_dir).where("id <= 201")
-    moved = r.select((F.col("id") + 1_000_000).alias("id"), "pt_no", (F.col("x") + 20).alias("x"), (F.col("y") + 1).alias("y"))
-    pairs = r.select("id").distinct().where("id <= 200").select("id", (F.col("id") + 1_000_001).alias("other"))
-    return G.in_contact(r.unionByName(moved), pairs).select("id", (F.col("other") - 1_000_000).alias("other"))
-
-
 @query("SELECT a.p_partkey AS id, a.p_partkey + 1 AS other FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_size >= 20")
-def polygons_touching_all(spark, sf_dir):
-    """The same for all parts. Ids of moved rectangles are below zero, so that no number of parts reaches them."""
+def polygons_touching(spark, sf_dir):
+    """Each rectangle and the next one moved 20 to the right and 1 up. Ids of moved rectangles are below zero, so that no number of parts reaches them."""
     r = rectangles(spark, sf_dir)
     moved = r.select((-F.col("id") - 1).alias("id"), "pt_no", (F.col("x") + 20).alias("x"), (F.col("y") + 1).alias("y"))
     pairs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (-F.col("p_partkey") - 2).alias("other"))
     return G.in_contact(r.unionByName(moved), pairs).select("id", (-F.col("other") - 1).alias("other"))
 
 
+query(SQL["polygons_touching"], "polygons_touching_all")(polygons_touching)  # a second name
+
+
 @query("SELECT i AS edge_id, round(i + (4.5 - i) / 10.0, 6)::DOUBLE AS x, 1.0::DOUBLE AS y, 0.0::DOUBLE AS z FROM range(0, 20) t(i) WHERE i <= 4.5 AND i + 10 > 4.5")
 def contour_points(spark, sf_dir):
     e = spark.range(20).select(F.col("id").alias("edge_id"), *(F.struct((F.col("id") + d).cast("double").alias("x"), F.lit(1.0).alias("y"), F.lit(0.0).alias("z"), (F.col("id") + 10.0 * d).alias("v")).alias(n) for d, n in ((0, "a"), (1, "b"))))

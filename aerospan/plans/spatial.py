@@ -10,16 +10,12 @@ from aerospan.functions import numeric as N
 from aerospan.operators import signals as G
 from aerospan.operators import spatial as X
 from aerospan.operators import tiles as T
-from aerospan.registry import query, rounded, table
+from aerospan.registry import SQL, query, rounded, table
 
-BOX_SQL = "b AS (SELECT p_partkey AS id, p_size::DOUBLE AS x_lo, p_size + 2.0 AS x_hi, p_retailprice AS y_lo, p_retailprice + 5.0 AS y_hi FROM part WHERE p_partkey <= 1000)"
+BOX_SQL = "b AS (SELECT p_partkey AS id, p_size::DOUBLE AS x_lo, p_size + 2.0 AS x_hi, p_retailprice AS y_lo, p_retailprice + 5.0 AS y_hi FROM part)"
 
 
 def boxes(spark, sf_dir):
-    return all_boxes(spark, sf_dir).where("id <= 1000")
-
-
-def all_boxes(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x_lo"), (F.col("p_size") + 2.0).alias("x_hi"), F.col("p_retailprice").alias("y_lo"), (F.col("p_retailprice") + 5.0).alias("y_hi"))
 
@@ -47,9 +43,9 @@ def next_box(a):
     return a.join(b, "id").select("id", "other", low.alias("lo"), high.alias("hi")).where("lo is not null")
 
 
-@query("SELECT o_orderkey AS probe, p_partkey AS id FROM orders JOIN part ON o_totalprice > p_retailprice * 100 AND o_totalprice <= p_retailprice * 100 + p_size * 10 WHERE p_partkey <= 500")
+@query("SELECT o_orderkey AS probe, p_partkey AS id FROM orders JOIN part ON o_totalprice > p_retailprice * 100 AND o_totalprice <= p_retailprice * 100 + p_size * 10")
 def interval_stab(spark, sf_dir):
-    return stabbed(table(spark, sf_dir, "part").where("p_partkey <= 500"), table(spark, sf_dir, "orders"))
+    return stabbed(table(spark, sf_dir, "part"), table(spark, sf_dir, "orders"))
 
 
 def stabbed(p, orders):
@@ -57,30 +53,8 @@ def stabbed(p, orders):
     return X.stab(i, orders.select(F.col("o_orderkey").alias("probe"), F.col("o_totalprice").alias("v")), 300.0)
 
 
-#: The same over all parts; the queries above keep to the parts that their SQL names.
-ALL_BOX_SQL = BOX_SQL.replace(" WHERE p_partkey <= 1000", "")
-
-
-@query(f"WITH {ALL_BOX_SQL} SELECT a.id, b.id AS other FROM b a JOIN b ON a.x_lo <= b.x_hi AND b.x_lo <= a.x_hi AND a.y_lo <= b.y_hi AND b.y_lo <= a.y_hi")
-def box_overlap_closed_all(spark, sf_dir):
-    b = all_boxes(spark, sf_dir)
-    return X.box_join(b, b, ["x", "y"], [4.0, 10.0])
-
-
-@query(f"WITH {ALL_BOX_SQL} SELECT a.id, b.id AS other FROM b a JOIN b ON a.x_lo < b.x_hi AND b.x_lo < a.x_hi AND a.y_lo < b.y_hi AND b.y_lo < a.y_hi")
-def box_overlap_half_open_all(spark, sf_dir):
-    b = all_boxes(spark, sf_dir)
-    return X.box_join(b, b, ["x", "y"], [4.0, 10.0], closed=False)
-
-
-@query(f"WITH {ALL_BOX_SQL} SELECT a.id, b.id AS other, greatest(a.x_lo, b.x_lo) AS lo, least(a.x_hi, b.x_hi) AS hi FROM b a JOIN b ON b.id = a.id + 1 WHERE greatest(a.x_lo, b.x_lo) <= least(a.x_hi, b.x_hi)")
-def box_intersection_all(spark, sf_dir):
-    return next_box(all_boxes(spark, sf_dir))
-
-
-@query("SELECT o_orderkey AS probe, p_partkey AS id FROM orders JOIN part ON o_totalprice > p_retailprice * 100 AND o_totalprice <= p_retailprice * 100 + p_size * 10")
-def interval_stab_all(spark, sf_dir):
-    return stabbed(table(spark, sf_dir, "part"), table(spark, sf_dir, "orders"))
+for whole in (box_overlap_closed, box_overlap_half_open, box_intersection, interval_stab):  # a second name of each
+    query(SQL[whole.__name__], f"{whole.__name__}_all")(whole)
 
 
 def balances(spark, sf_dir):
@@ -211,10 +185,21 @@ def convex_hull(spark, sf_dir):
     return X.hulls(c)
 
 
-@query("SELECT i AS id, i % 2 = 0 AS convex FROM range(0, 20) t(i)")
+#: A square, a dart, a star that turns left everywhere but goes round twice, a triangle that turns right.
+SHAPES = (
+    ((0, 0), (2, 0), (2, 2), (0, 2)),
+    ((0, 0), (2, 0), (0.5, 0.5), (0, 2)),
+    ((1, 0), (-0.81, 0.59), (0.31, -0.95), (0.31, 0.95), (-0.81, -0.59)),
+    ((0, 0), (0, 3), (3, 0)),
+)
+
+
+@query("SELECT p_partkey AS id, p_partkey % 4 IN (0, 3) AS convex FROM part")
 def convexity(spark, sf_dir):
-    ring = F.when(F.col("id") % 2 == 0, F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0))))).otherwise(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (2.0, 0.0), (0.5, 0.5), (0.0, 2.0)))))
-    return X.convex(spark.range(20).select("id", F.posexplode(ring).alias("pt_no", "p")).select("id", "pt_no", "p.x", "p.y"))
+    """Of a ring for each part: one of four shapes, at the part's size."""
+    ring = F.array(*(F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in shape)) for shape in SHAPES))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size", F.posexplode(F.get(ring, (F.col("p_partkey") % 4).cast("int"))).alias("pt_no", "p"))
+    return X.convex(p.select("id", "pt_no", (F.col("p.x") * F.col("p_size")).alias("x"), (F.col("p.y") * F.col("p_size")).alias("y")))
 
 
 @query("SELECT id, (floor(x / 32 * 2)::INT % 2 + 2 * (floor(y / 128 * 4 * 2)::INT % 2))::VARCHAR AS path FROM (SELECT c_custkey AS id, c_nationkey::DOUBLE AS x, (c_acctbal + 1000) / 400 * 4 / 4.0 AS y FROM customer)")
@@ -264,7 +249,7 @@ def files_by_number(spark, sf_dir):
     return T.by_number(names, "name")
 
 
-SERIES = "s AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 3.6e9 AS t FROM events), s64 AS (SELECT * FROM s WHERE i < 64)"
+SERIES = "s AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 3.6e9 AS t FROM events)"
 
 
 def samples(spark, sf_dir):
@@ -273,31 +258,23 @@ def samples(spark, sf_dir):
     return G.numbered(e, "event_type", ["ts", "event_id"])
 
 
-@query(f"WITH {SERIES} SELECT event_type, k, round((pow(sum(v * cos(2 * pi() * (k * i % 64) / 64)), 2) + pow(sum(v * sin(2 * pi() * (k * i % 64) / 64)), 2)) / 64, 3) AS power FROM s64, range(0, 33) r(k) GROUP BY 1, 2")
+@query(f"WITH {SERIES}, k AS (SELECT DISTINCT event_type, n, unnest(range(0, n // 2 + 1)) AS k FROM s) SELECT k.event_type, k.k, round((pow(sum(v * cos(2 * pi() * (k.k * i % k.n) / k.n)), 2) + pow(sum(v * sin(2 * pi() * (k.k * i % k.n) / k.n)), 2)) / k.n, 3) AS power FROM s JOIN k ON s.event_type = k.event_type GROUP BY k.event_type, k.k, k.n")
 def periodogram(spark, sf_dir):
-    return G.periodogram(samples(spark, sf_dir).where("i < 64"), "event_type", "i", "v", 64).select("event_type", "k", rounded(F.col("power"), 3).alias("power"))
-
-
-@query(f"""WITH {SERIES}, f(freq) AS (VALUES (0.01::DOUBLE), (0.05), (0.1), (0.3)), m AS (SELECT event_type, avg(v) AS m, var_samp(v) AS vr FROM s64 GROUP BY 1), y AS (SELECT s64.event_type, freq, v - m AS y, vr, 2 * pi() * freq * t AS a FROM s64 JOIN m USING (event_type), f),
-h AS (SELECT event_type, freq, atan2(sum(sin(2 * a)), sum(cos(2 * a))) / 2 AS sh FROM y GROUP BY 1, 2)
-SELECT y.event_type, y.freq, round((pow(sum(y * cos(a - sh)), 2) / sum(pow(cos(a - sh), 2)) + pow(sum(y * sin(a - sh)), 2) / sum(pow(sin(a - sh), 2))) / 2 / max(vr), 5) AS power FROM y JOIN h ON y.event_type = h.event_type AND y.freq = h.freq GROUP BY 1, 2""")
-def lomb_scargle(spark, sf_dir):
-    return G.lomb_scargle(samples(spark, sf_dir).where("i < 64"), "event_type", "t", "v", [0.01, 0.05, 0.1, 0.3]).select("event_type", "freq", rounded(F.col("power"), 5).alias("power"))
-
-
-@query()
-def periodogram_all(spark, sf_dir):
-    """Every sample, each series at its own length; SQL would take the square of that."""
+    """Of all samples of each event type."""
     return G.whole_periodogram(samples(spark, sf_dir), "event_type", "i", "v").select("event_type", "k", rounded(F.col("power"), 3).alias("power"))
 
 
 @query(f"""WITH {SERIES}, f(freq) AS (VALUES (0.01::DOUBLE), (0.05), (0.1), (0.3)), m AS (SELECT event_type, avg(v) AS m, var_samp(v) AS vr FROM s GROUP BY 1), y AS (SELECT s.event_type, freq, v - m AS y, vr, 2 * pi() * freq * t AS a FROM s JOIN m USING (event_type), f),
 h AS (SELECT event_type, freq, atan2(sum(sin(2 * a)), sum(cos(2 * a))) / 2 AS sh FROM y GROUP BY 1, 2)
 SELECT y.event_type, y.freq, round((pow(sum(y * cos(a - sh)), 2) / sum(pow(cos(a - sh), 2)) + pow(sum(y * sin(a - sh)), 2) / sum(pow(sin(a - sh), 2))) / 2 / max(vr), 5) AS power FROM y JOIN h ON y.event_type = h.event_type AND y.freq = h.freq GROUP BY 1, 2""")
-def lomb_scargle_all(spark, sf_dir):
+def lomb_scargle(spark, sf_dir):
     return G.lomb_scargle(samples(spark, sf_dir), "event_type", "t", "v", [0.01, 0.05, 0.1, 0.3]).select("event_type", "freq", rounded(F.col("power"), 5).alias("power"))
 
 
+for whole in (periodogram, lomb_scargle):  # a second name of each
+    query(SQL[whole.__name__], f"{whole.__name__}_all")(whole)
+
+
 @query()
 def welch(spark, sf_dir):
     return G.welch(samples(spark, sf_dir), "event_type", "i", "v", 64, 32).select("event_type", "k", rounded(F.col("power"), 3).alias("power"))

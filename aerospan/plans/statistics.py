@@ -28,7 +28,7 @@ def ts_weighted_mean(spark, sf_dir):
 
 @query(f"WITH {EVENTS} SELECT event_id, event_type, round(sum(dt * v) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) / t, 6) AS running FROM e")
 def ts_running_mean(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", "event_type", rounded(S.running_mean(F.col("v"), "t", ORDER, BY)).alias("running"))
+    return S.running_mean(events(spark, sf_dir), F.col("v"), "t", ORDER, BY).select("event_id", "event_type", rounded(F.col("running")).alias("running"))
 
 
 @query(f"WITH {EVENTS} SELECT event_type, round(sum(dt * v * v) / max(t), 4) AS vv, round(sum(dt * v * u) / max(t), 3) AS vu, round(sum(dt * u * u) / max(t), 2) AS uu FROM e GROUP BY event_type")
@@ -53,8 +53,12 @@ def ts_fluctuation(spark, sf_dir):
 
 @query(f"WITH {EVENTS} SELECT event_id, round(dt, 6) AS dt, round(v - lag(v) OVER (PARTITION BY event_type ORDER BY ts, event_id), 6) AS dv FROM e")
 def ts_steps(spark, sf_dir):
-    w = Window.partitionBy(*BY).orderBy(*ORDER)
-    return events(spark, sf_dir).select("event_id", rounded(F.col("dt")).alias("dt"), rounded(F.col("v") - F.lag("v").over(w)).alias("dv"))
+    s = S.sliced(events(spark, sf_dir), "t")
+    before = Window.partitionBy(*BY).orderBy("_s")
+    last = s.groupBy(*BY, "_s").agg(F.max_by("v", F.struct(*ORDER)).alias("_last")).select(*BY, "_s", F.lag("_last").over(before).alias("_last"))
+    here = F.lag("v").over(Window.partitionBy(*BY, "_s").orderBy(*ORDER))
+    out = S.with_carried(s.withColumn("_b", here), last, BY)
+    return out.select("event_id", rounded(F.col("dt")).alias("dt"), rounded(F.col("v") - F.coalesce("_b", "_last")).alias("dv"))
 
 
 @query(f"""WITH {EVENTS}, k AS (SELECT event_type, event_id, ts, CASE WHEN event_id % 7 = 0 THEN NULL ELSE v END AS v, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM e),
@@ -96,8 +100,13 @@ def err_extended(spark, sf_dir):
 @query(f"""WITH {PAIRS}, d AS (SELECT flag, r, m, r - lag(r) OVER w AS step, row_number() OVER w AS k FROM p WINDOW w AS (PARTITION BY flag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, r, m, l_discount, l_tax, l_shipdate))
 SELECT flag, round(1 - avg((r - m) * (r - m)) / (sum(CASE WHEN k > 2 THEN step * step ELSE 0.0 END) / count(*)), 6) AS persistence FROM d GROUP BY flag""")
 def err_persistence(spark, sf_dir):
-    w = Window.partitionBy("flag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "r", "m", "l_discount", "l_tax", "l_shipdate")
-    d = pairs(spark, sf_dir).select("flag", "r", "m", (F.col("r") - F.lag("r").over(w)).alias("step"), F.row_number().over(w).alias("k"))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "r", "m", "l_discount", "l_tax", "l_shipdate"]
+    s = S.sliced(pairs(spark, sf_dir), "l_orderkey")
+    before, w = Window.partitionBy("flag").orderBy("_s"), Window.partitionBy("flag", "_s").orderBy(*order)
+    each = s.groupBy("flag", "_s").agg(F.count(F.lit(1)).alias("_n"), F.max_by("r", F.struct(*order)).alias("_last"))
+    carried = each.select("flag", "_s", F.lag("_last").over(before).alias("_last"), F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_at"))
+    d = S.with_carried(s.withColumn("_b", F.lag("r").over(w)).withColumn("_k", F.row_number().over(w)), carried, ["flag"])
+    d = d.select("flag", "r", "m", (F.col("r") - F.coalesce("_b", "_last")).alias("step"), (F.col("_k") + F.col("_at")).alias("k"))
     e = F.avg((F.col("r") - F.col("m")) * (F.col("r") - F.col("m")))
     norm = F.sum(F.when(F.col("k") > 2, F.col("step") * F.col("step")).otherwise(0.0)) / F.count(F.lit(1))
     return d.groupBy("flag").agg(rounded(1 - F.try_divide(e, norm)).alias("persistence"))
