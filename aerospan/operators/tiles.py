@@ -26,14 +26,19 @@ def sideways(tiles: DataFrame, n: int, overlap: int, frames: int, factor: float
 
 
 def upwards(tiles: DataFrame, n: int, overlap: int, frames: int, factor: float = 1.0) -> DataFrame:
-    """Blend each tile's last rows with the first rows of the tile below it."""
-    if 2 * overlap > n:
-        raise ValueError("the overlap is more than half a tile: blend rows of tiles one after the other")
-    below = tiles.where(F.col("i") < overlap).select((F.col("tile") + frames).alias("tile"), (F.col("i") + (n - overlap)).alias("i"), "j", F.col("v").alias("_b"))
-    j = tiles.join(below, ["tile", "i", "j"], "left")
-    w = weight(F.col("i") - (n - overlap), overlap, factor)
-    mixed = F.col("v") * w + F.col("_b") * (1 - w)
-    return j.withColumn("v", F.when(F.col("_b").isNotNull(), mixed).otherwise(F.col("v"))).drop("_b")
+    """Blend each tile's last rows with the first rows of the tile below it, as blended itself.
+
+    Beyond an overlap of half a tile, the rows taken from below are blends too, of rows n - overlap further up in the tile
+    below that, and so on: as many steps as n - overlap fits into a tile, whatever the number of tiles.
+    """
+    if overlap >= n:
+        raise ValueError("the overlap must be less than a tile")
+    out, w = tiles, weight(F.col("i") - (n - overlap), overlap, factor)
+    for _ in range((n - 1) // (n - overlap)):
+        below = out.where(F.col("i") < overlap).select((F.col("tile") + frames).alias("tile"), (F.col("i") + (n - overlap)).alias("i"), "j", F.col("v").alias("_b"))
+        mixed = F.col("v") * w + F.col("_b") * (1 - w)
+        out = tiles.join(below, ["tile", "i", "j"], "left").withColumn("v", F.when(F.col("_b").isNotNull(), mixed).otherwise(F.col("v"))).drop("_b")
+    return out
 
 
 def blend(tiles: DataFrame, n: int, step: int, overlap: int, height: int, frames: int, x_factor: float = 1.0, y_factor: float = 1.0) -> DataFrame:

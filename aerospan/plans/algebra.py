@@ -126,6 +126,21 @@ def dissipation_budget(mu: float, g: Column) -> Column:
     return V.scale(2 * mu, V.matmul(g, V.transpose(g)))
 
 
+def turbulent_diffusion(rho: float, grad: Column) -> Column:
+    """-rho times the divergence of the triple correlation, from the derivative of its entry (i, j, k) along k."""
+    return F.array(*(-rho * V.total([V.comp(grad, 3 * m + k) for k in range(3)]) for m in range(9)))
+
+
+def pressure_diffusion(grad: Column) -> Column:
+    """-(G + G^T) of the gradient G of the pressure-velocity correlation."""
+    return V.combine_arrays(-1.0, grad, -1.0, V.transpose(grad))
+
+
+def molecular_diffusion(mu: float, second: Column) -> Column:
+    """Viscosity times the laplacian of each stress, from its second derivatives along each axis (27)."""
+    return F.array(*(mu * V.total([V.comp(second, 3 * m + k) for k in range(3)]) for m in range(9)))
+
+
 def pressure_strain(p: Column, strain: Column) -> Column:
     return F.transform(strain, lambda x: 2 * p * x)
 
@@ -167,6 +182,9 @@ _P, _Q = s_mul(A9, s_t(B9)), s_mul(B9, s_t(A9))
 _S = [f"(0.5 * {x} + 0.5 * {y})" for x, y in zip(A9, s_t(A9), strict=True)]
 _W = [f"(0.5 * {x} - 0.5 * {y})" for x, y in zip(A9, s_t(A9), strict=True)]
 add("budget_convection", lambda: convection(a3(), arrays(18, 27)), [s_dot(A3, R27[3 * m : 3 * m + 3]) for m in range(9)], 7)
+add("budget_turbulent_diffusion", lambda: turbulent_diffusion(1.2, arrays(18, 27)), [f"-1.2 * ({R27[3 * m]} + {R27[3 * m + 1]} + {R27[3 * m + 2]})" for m in range(9)])
+add("budget_pressure_diffusion", lambda: pressure_diffusion(a9()), [f"-({x} + {y})" for x, y in zip(A9, s_t(A9), strict=True)])
+add("budget_molecular_diffusion", lambda: molecular_diffusion(0.3, arrays(18, 27)), [f"0.3 * ({R27[3 * m]} + {R27[3 * m + 1]} + {R27[3 * m + 2]})" for m in range(9)])
 add("budget_production", lambda: production(a9(), b9()), [f"-({x} + {y})" for x, y in zip(_P, _Q, strict=True)], 7)
 add("budget_dissipation", lambda: dissipation_budget(0.5, a9()), s_mul(A9, s_t(A9)), 7)
 add("budget_pressure_strain", lambda: pressure_strain(V.comp(b9(), 0), strain(a9())), [f"2 * {B9[0]} * {x}" for x in _S], 7)

@@ -26,6 +26,14 @@ def ts_weighted_mean(spark, sf_dir):
     return events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), rounded(S.weighted_moment([F.col("v")], "t")).alias("mean"))
 
 
+@query(f"""WITH RECURSIVE {EVENTS}, k AS (SELECT event_type, t, dt, v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM e),
+a AS (SELECT event_type, i, v AS mean FROM k WHERE i = 1 UNION ALL SELECT k.event_type, k.i, a.mean + k.dt / k.t * (k.v - a.mean) FROM a JOIN k ON k.event_type = a.event_type AND k.i = a.i + 1)
+SELECT event_type, round(max_by(mean, i), 6) AS mean FROM a GROUP BY event_type""")
+def ts_first_weight(spark, sf_dir):
+    """Increments of weight 1, then dt / t: the first takes the seed away, so the whole is the weighted mean in closed form."""
+    return events(spark, sf_dir).groupBy("event_type").agg(rounded(S.weighted_moment([F.col("v")], "t")).alias("mean"))
+
+
 @query(f"WITH {EVENTS} SELECT event_id, event_type, round(sum(dt * v) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) / t, 6) AS running FROM e")
 def ts_running_mean(spark, sf_dir):
     return S.running_mean(events(spark, sf_dir), F.col("v"), "t", ORDER, BY).select("event_id", "event_type", rounded(F.col("running")).alias("running"))

@@ -192,3 +192,51 @@ def test_nearest_dense_in_blocks(spark):
     got = sorted((r.query, r.place, r.id, r.d2) for r in X.nearest_dense(e, e.withColumnRenamed("id", "query"), 3, "v", most=15).collect())
     d2 = ((v[:, None] - v[None]) ** 2).sum(axis=2)
     assert got == [(q, n + 1, i, d2[q, i]) for q in range(40) for n, i in enumerate(sorted(range(40), key=lambda i: (d2[q, i], i))[:3])]
+
+
+def test_a_star_is_not_convex(spark):
+    star = [(float(np.cos(4 * np.pi * k / 5)), float(np.sin(4 * np.pi * k / 5))) for k in range(5)]
+    rings = {1: star, 2: [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)], 3: [(0.0, 0.0), (2.0, 0.0), (0.5, 0.5), (0.0, 2.0)], 4: [(0.0, 0.0), (0.0, 3.0), (3.0, 0.0)]}
+    df = spark.createDataFrame([(i, k, x, y) for i, ring in rings.items() for k, (x, y) in enumerate(ring)], "id int, pt_no int, x double, y double")
+    assert {r.id: r.convex for r in X.convex(df).collect()} == {1: False, 2: True, 3: False, 4: True}
+
+
+@pytest.mark.parametrize("n, overlap", [(4, 1), (4, 2), (4, 3), (5, 4)])
+def test_blending_upwards_by_any_overlap(spark, n, overlap):
+    """Against tiles blended one after the other."""
+    rng = np.random.default_rng(3)
+    frames, raw = 2, rng.normal(size=(6, n, n))
+    df = spark.createDataFrame([(t, i, j, float(raw[t, i, j])) for t in range(6) for i in range(n) for j in range(n)], "tile long, i long, j long, v double")
+    got = {(r.tile, r.i, r.j): r.v for r in T.upwards(df, n, overlap, frames, 1.5).collect()}
+    done = []
+    for t in range(6):
+        tile = raw[t].copy()
+        if t >= frames:
+            for k in range(overlap):
+                w = np.exp(-1.5 * k / (overlap - 1)) if overlap > 1 else 1.0
+                tile[n - overlap + k] = tile[n - overlap + k] * w + done[t - frames][k] * (1 - w)
+        done.append(tile)
+    assert all(abs(got[t, i, j] - done[t][i, j]) < 1e-12 for t in range(6) for i in range(n) for j in range(n))
+
+
+def test_covariance_is_about_the_means_of_all_known_values(spark):
+    x, y = np.array([1.0, 2.0, 4.0, NAN, 9.0]), np.array([3.0, NAN, 1.0, 5.0, 2.0])
+    got = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double").agg(A.covariance(F.col("x"), F.col("y")).alias("c")).first().c
+    assert abs(got - np.nanmean((x - np.nanmean(x)) * (y - np.nanmean(y)))) < 1e-12
+
+
+def test_series_in_slices_agree_with_one_window(spark):
+    """Steps, running means and fills, with a null key and slices without rows."""
+    rng = np.random.default_rng(4)
+    t = np.cumsum(rng.random(200) * rng.choice([0.01, 5.0], 200)) + 1
+    rows = [(None if k % 3 == 0 else "a", k, float(t[k]), float("nan") if rng.random() < 0.4 else float(rng.normal())) for k in range(200)]
+    df = spark.createDataFrame(rows, "k string, i int, t double, v double")
+    steps = {r.i: r.dt for r in S.steps(df, "t", ["t"], ["k"]).collect()}
+    filled = {r.i: r.v for r in S.fill(df, "v", "i", ["k"]).collect()}
+    run = {r.i: r.running for r in S.running_mean(S.steps(df, "t", ["t"], ["k"]), F.lit(2.0), "t", ["t"], ["k"]).collect()}
+    for key in (None, "a"):
+        mine = [r for r in rows if r[0] == key]
+        place, v = np.arange(len(mine)), np.array([r[3] for r in mine])
+        want = np.interp(place, place[~np.isnan(v)], v[~np.isnan(v)])
+        for n, (_, i, at, _) in enumerate(mine):
+            assert abs(steps[i] - (at - (mine[n - 1][2] if n else 0.0))) < 1e-9 and abs(filled[i] - want[n]) < 1e-9 and abs(run[i] - 2.0) < 1e-9
