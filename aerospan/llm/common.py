@@ -7,12 +7,12 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Tables are read with these fields left out of file names, so a run never sees another run's files.
 _RUN = uuid.uuid4().hex[:12]
@@ -63,9 +63,10 @@ def release(spark: SparkSession, path: str) -> None:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, lineage cut, safe from lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
     schema, spark = df.schema, df.sparkSession
+    path = shared_path(spark, name)
+    with small_batches(spark):
+        df.write.parquet(path)
     del df
     settle(spark)
     out = spark.read.schema(schema).parquet(path)
@@ -73,6 +74,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows and bytes of an Arrow batch while tables are written: what a Python worker and its executor hold of long texts at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Holds the session's Arrow batches to BATCH, and then sets what was there before."""
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    try:
+        for k, most in BATCH.items():
+            had = before[k]
+            if had is not None:
+                held = int(had.rstrip("b")) if had.rstrip("b").lstrip("-").isdigit() else most
+                spark.conf.set(k, str(min(held, most) if held > 0 else most))
+        yield
+    finally:
+        for k, had in before.items():
+            if had is not None:
+                spark.conf.set(k, had)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by :func:`written` that no later plan reads."""
     for table in tables:
@@ -87,18 +109,33 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def in_order(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Range partitions of ``rows`` in ascending ``order`` (nulls first, then as the rows lie), each with ``_part`` and ``_row``, its
+    partition and its place there. Equal rows may lie in several partitions, so no value fills one."""
+    keys = [F.col(c).asc_nulls_first() for c in (*order, "_at")]
+    at = F.monotonically_increasing_id()
+    ranged = rows.withColumn("_at", at).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return ranged.drop("_at").withColumn("_part", F.shiftright(at, 33).cast("int")).withColumn("_row", at.bitwiseAND((1 << 33) - 1))
+
+
 def with_uid(docs: DataFrame) -> DataFrame:
     """``docs`` with ``uid``, a long that names each row and orders rows as ``doc_id`` does.
 
-    ``uid`` is ``doc_id`` where that is never null and never repeated. Otherwise rows are numbered in the order
-    of (doc_id, nulls first, text) and written to the shared folder, so equal rows stay apart.
+    ``uid`` is ``doc_id`` where that is never null and never repeated. Otherwise rows are put in the order of
+    (doc_id, nulls first, a hash of the text) and written to the shared folder with a number each, so equal rows stay apart.
     """
     n, ids, distinct = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.countDistinct("doc_id")).first()
     if n == ids == distinct:
         return docs.withColumn("uid", F.col("doc_id").cast("long"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("uid", T.LongType(), True, {"by_row": True})])
-    ranked = docs.orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return written(docs.sparkSession.createDataFrame(ranked.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema), "uid")
+    ranged = in_order(docs.withColumn("_hash", F.xxhash64("text")), ["doc_id", "_hash"])
+    number = (F.shiftleft(F.col("_part").cast("long"), 33) + F.col("_row")).alias("uid", metadata={"by_row": True})
+    return written(ranged.select(*docs.columns, number), "uid")
+
+
+def numbered_rows(docs: DataFrame, uid: str | None = None) -> DataFrame:
+    """uid, doc_id, text of each row; ``uid`` names a column that already tells rows apart in the order of doc_id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(uid).alias("uid", metadata={"by_row": True})] if uid else []))
+    return rows if uid else with_uid(rows)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
