@@ -2,16 +2,16 @@
 
 Each source is a queue of its documents' ids. Round-robin gives a queue, for every window, its quantum (share x window
 length) plus the deficit it carries over; what is due in whole ids is taken, the rest is carried on. Documents may
-be cut anywhere, so the carried deficit stays below one id for each queue, and the state after any window has a closed
-form: with cumulative weights c_j, of the x ids given by the first j + 1 queues the first j gave floor(x * c_j / c_j+1).
-That form is what makes the scheme parallel: a document's pieces follow from its place in its queue alone, and deficits carry
-across windows and partitions without any order of execution. When a queue runs dry the others share its quantum.
+be cut anywhere, so a queue's deficit stays below one id at every turn, and turns have a closed form: id x of a queue of
+share s is due at time (x + 1) / s, and ids go in order of when they are due, ties in order of the queues. A queue that
+has run dry owes nothing, so the others share its quantum without any further rule. What a queue has given after g ids
+follows from the one time that g ids are due by. That makes the scheme parallel: a document's pieces follow from its
+place in its queue alone, and deficits carry across windows and partitions without any order of execution.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,140 +19,116 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerospan.llm.common import slices, texts_of, written
+from aerospan.llm.common import in_order, slices, texts_of, written
 from aerospan.llm.tokens import encoder
 
 #: Rows (a few dozen bytes each) of the table of queue places up to which it is broadcast; beyond, it is joined.
 MOST_PLACES = 100_000
-#: Sources up to which queues are split one after the other; beyond, by halves.
+#: Sources without given weights up to which queues take turns one by one; beyond, by halves.
 MOST_SOURCES = 10_000
-
-
-def split(x, cum: list[int], down_to: int = 0):
-    """How x ids (an integer or an array) fall to the queues; with ``down_to``, the ids of the first so many queues."""
-    out, full = [], x
-    for k in range(len(cum) - 2, down_to - 1, -1):
-        rest = full * cum[k] // max(1, cum[k + 1])
-        out.append(full - rest)
-        full = rest
-    return full if down_to else out[::-1]
+#: Numbers (windows x queues) that are worked out at once.
+AT_ONCE = 1 << 20
 
 
 class Schedule:
-    """Where the ids of each queue go. ``totals``: ids by queue; ``weights``: target shares (default: the totals)."""
+    """Where the ids of each queue go. ``totals``: ids by queue; ``weights``: target shares (default: the totals).
+
+    A queue of weight zero comes after the others. Work grows with windows x queues.
+    """
 
     def __init__(self, totals: list[int], weights: list[float] | None = None, length: int = 1024):
-        self.totals, self.length, self.total = totals, length, sum(totals)
-        scaled = [round(w * (1 << 40)) for w in weights] if weights else list(totals)
-        if any(w <= 0 < n for w, n in zip(scaled, totals, strict=True)):
-            raise ValueError("a source with documents needs a target weight above zero")
-        #: phases: first id, ids given by each queue before it, cumulative weights of the queues still open
-        self.phases, given, at = [], [0] * len(totals), 0
-        while at < self.total:
-            live = [w if given[k] < totals[k] else 0 for k, w in enumerate(scaled)]
-            cum = [0]
-            for w in live:
-                cum.append(cum[-1] + w)
-            self.phases.append((at, given, cum))
-            due = min(((totals[k] - given[k]) * cum[-1] // w for k, w in enumerate(live) if w), default=0)
-            due = max(1, min(due, self.total - at))
-            while True:  # the first to run dry ends the phase, to the id
-                new = [g + n for g, n in zip(given, split(due, cum), strict=True)]
-                over = max((n - t for n, t in zip(new, totals, strict=True)), default=0)
-                if over <= 0:
-                    break
-                due -= over
-            if due == 0:  # one id from the first open queue keeps the walk going
-                k = next(k for k, w in enumerate(live) if w)
-                new, due = [g + (i == k) for i, g in enumerate(given)], 1
-                self.phases[-1] = (at, given, [int(i > k) for i in range(len(live) + 1)])
-            given, at = new, at + due
-        self.starts = [p[0] for p in self.phases]
+        self.totals, self.length, self.total = np.array(totals, np.int64), length, int(sum(totals))
+        w = np.array(totals if weights is None else weights, float)
+        if (w < 0).any() or not np.isfinite(w).all():
+            raise ValueError("weights must be finite and not below zero")
+        least = w[w > 0].min(initial=np.inf)
+        w = np.where(w > 0, w, 1e-9 * least if np.isfinite(least) else 1.0)
+        self.share = w / max(w.sum(), 1e-300)
         self.windows = -(-self.total // length)
-        #: ids given by the queues before each queue, by phase, and what each queue has given before each phase
-        self.upto = [np.cumsum([0, *before], dtype=object) for _, before, _ in self.phases]
-        self.before = [[before[k] for _, before, _ in self.phases] for k in range(len(totals))]
-        self.kind = np.int64 if self.total < 3_000_000_000 and max(p[2][-1] for p in self.phases or [(0, 0, [0])]) < 3_000_000_000 else object
-
-    def _first(self, k: int, g: np.ndarray) -> np.ndarray:
-        """Ids that the first ``k`` queues have given of the first g."""
-        g = np.minimum(g.astype(self.kind), self.total)
-        last = len(self.totals)
-        if len(self.phases) == 1:
-            return split(g, self.phases[0][2], k) if 0 < k < last else g * (k == last)
-        phase = np.searchsorted(self.starts, g.astype(np.int64), side="right") - 1
-        out = np.zeros(len(g), dtype=object)
-        for p in np.unique(phase):
-            at, _, cum = self.phases[p]
-            here = phase == p
-            x = g[here].astype(object) - at
-            out[here] = int(self.upto[p][k]) + (split(x, cum, k) if 0 < k < last else x * (k == last))
-        out[g >= self.total] = sum(self.totals[:k])
-        return out.astype(self.kind)
-
-    def _two(self, k: int, g):
-        """Ids that the first ``k`` and ``k`` + 1 queues have given of the first g (an integer or an array)."""
-        if len(self.phases) != 1:
-            many = np.atleast_1d(np.asarray(g))
-            low, high = self._first(k, many), self._first(k + 1, many)
-            return (low, high) if isinstance(g, np.ndarray) else (int(low[0]), int(high[0]))
-        cum = self.phases[0][2]
-        high = np.minimum(g.astype(self.kind), self.total) if isinstance(g, np.ndarray) else min(g, self.total)
-        for j in range(len(self.totals) - 1, k, -1):
-            high = high * cum[j] // max(1, cum[j + 1])
-        return high * cum[k] // max(1, cum[k + 1]), high
-
-    def given(self, k: int, g):
-        """Ids that queue ``k`` has given of the first g."""
-        low, high = self._two(k, g)
-        return high - low
-
-    def window_of(self, k: int, x: int) -> int:
-        """The window that id ``x`` of queue ``k`` is in."""
-        p = bisect_right(self.before[k], x) - 1
-        at, before, cum = self.phases[p]
-        w = min(self.windows - 1, (at + (x - before[k]) * cum[-1] // max(1, cum[k + 1] - cum[k])) // self.length)
-        while True:
-            if self.given(k, w * self.length) > x:
-                w -= 1
-            elif self.given(k, (w + 1) * self.length) <= x:
-                w += 1
-            else:
-                return w
-
-    def pieces(self, k: int, x: int, n: int) -> list[tuple[int, int, int, int]]:
-        """(first id of the document, ids, sequence, place there) of ``n`` ids from place ``x`` of queue ``k``."""
-        first = self.window_of(k, x)
-        w = np.arange(first, (self.window_of(k, x + n - 1) if n > 1 else first) + 2)
-        left, right = self._two(k, w * self.length)
-        edge = right - left
-        low, high = np.maximum(edge[:-1], x), np.minimum(edge[1:], x + n)
-        take, place = high - low, left[1:] - left[:-1] + low - edge[:-1]
-        some = take > 0
-        rows = zip((low - x)[some].tolist(), take[some].tolist(), w[:-1][some].tolist(), place[some].tolist(), strict=True)
-        if w[-1] < self.windows or self.total % self.length == 0:
-            return list(rows)
-        out = []
-        for at, size, v, off in rows:
-            for seq, where, part in self._parts(v, off, size):
-                out.append((at, part, seq, where))
-                at += part
-        return out
-
-    def _parts(self, w: int, place: int, n: int) -> list[tuple[int, int, int]]:
+        dry = self.totals / self.share  # when each queue runs dry, and what all have given by then
+        order = np.argsort(dry, kind="stable")
+        self.dry = np.concatenate([[0.0], dry[order]])
+        open_share = np.maximum(0, 1 - np.concatenate([[0.0], np.cumsum(self.share[order])]))[:-1]
+        self.by_dry = np.concatenate([[0.0], np.cumsum(np.diff(self.dry) * open_share)])
+        self.end = float(self.dry[-1]) * (1 + 1e-9) + 2 / float(self.share.min(initial=1.0))
+
+    def _due(self, time: np.ndarray) -> np.ndarray:
+        """Ids of each queue that are due by each time: (times, queues)."""
+        return np.minimum(self.totals, np.floor(time[:, None] * self.share)).astype(np.int64)
+
+    def given(self, g: np.ndarray) -> np.ndarray:
+        """Ids that each queue has given of the first g: (numbers, queues)."""
+        g = np.minimum(np.asarray(g, np.int64), self.total)
+        step = max(1, AT_ONCE // max(1, len(self.totals)))
+        return np.concatenate([self._given(g[at : at + step]) for at in range(0, len(g), step)] or [np.zeros((0, len(self.totals)), np.int64)])
+
+    def _given(self, g: np.ndarray) -> np.ndarray:
+        slack = len(self.totals) + 2
+        low = np.interp(g - slack, self.by_dry, self.dry) * (1 - 1e-9)
+        low[self._due(low).sum(axis=1) > g] = 0.0
+        high = np.interp(g + slack, self.by_dry, self.dry) * (1 + 1e-9) + 1e-9
+        high[self._due(high).sum(axis=1) <= g] = self.end
+        while True:  # the last time by which no more than g ids are due, to the last bit
+            mid = low + (high - low) / 2
+            if ((mid <= low) | (mid >= high)).all():
+                break
+            few = self._due(mid).sum(axis=1) <= g
+            low, high = np.where(few, np.maximum(low, mid), low), np.where(few, high, np.minimum(high, mid))
+        sure = self._due(low)
+        tied = self._due(high) - sure
+        before = np.cumsum(tied, axis=1) - tied
+        out = sure + np.clip((g - sure.sum(axis=1))[:, None] - before, 0, tied)
+        return np.where((g >= self.total)[:, None], self.totals, out)
+
+    def pieces(self, k: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of documents with ``n`` ids from place ``x`` of queue ``k``: document, first id in it, ids, sequence, place there."""
+        rim = self.share[k]
+        near = lambda ids: np.interp(ids / rim, self.dry, self.by_dry)
+        margin = len(self.totals) + 2
+        first = np.maximum(0, (near(x) - margin) // self.length).astype(np.int64)
+        last = np.minimum(self.windows - 1, (near(x + n) + margin) // self.length).astype(np.int64)
+        out, at, most = [], 0, max(2, 4 * AT_ONCE // max(1, len(self.totals)))
+        order = np.argsort(first, kind="stable")
+        while at < len(order):  # documents of neighbouring windows share what is worked out
+            mine = order[at : at + max(1, int(np.searchsorted(np.cumsum((last - first + 2)[order[at:]]), most)))]
+            out.append(self._pieces(mine, k, x, n, first, last))
+            at += len(mine)
+        doc, start, size, seq, place = (np.concatenate(c) for c in zip(*out, strict=True))
+        back = np.lexsort((start, doc))
+        return doc[back], start[back], size[back], seq[back], place[back]
+
+    def _pieces(self, docs, k, x, n, first, last) -> tuple[np.ndarray, ...]:
+        spans = last[docs] - first[docs] + 1
+        doc = np.repeat(docs, spans)
+        window = np.arange(len(doc)) - np.repeat(np.cumsum(spans) - spans, spans) + first[doc]
+        needed = np.unique(np.concatenate([window, window + 1]))
+        gave = self.given(needed * self.length)
+        upto = np.cumsum(gave, axis=1)
+        a, b, q = np.searchsorted(needed, window), np.searchsorted(needed, window + 1), k[doc]
+        low, high = np.maximum(gave[a, q], x[doc]), np.minimum(gave[b, q], x[doc] + n[doc])
+        place = (upto[b, q] - gave[b, q]) - (upto[a, q] - gave[a, q]) + low - gave[a, q]
+        some = high > low
+        doc, low, size, window, place = doc[some], low[some], (high - low)[some], window[some], place[some]
+        return self._tail(doc, low - x[doc], size, window, place)
+
+    def _tail(self, doc, start, size, window, place) -> tuple[np.ndarray, ...]:
         """The last window is cut into sequences of powers of two, which need no padding."""
-        rest = self.total - w * self.length
-        if rest >= self.length:
-            return [(w, place, n)]
-        out, at, seq = [], 0, w
-        for bit in range(rest.bit_length() - 1, -1, -1):
-            size = 1 << bit
-            if rest & size:
-                low, high = max(place, at), min(place + n, at + size)
-                if low < high:
-                    out.append((seq, low - at, high - low))
-                at, seq = at + size, seq + 1
-        return out
+        rest = self.total % self.length
+        at = np.flatnonzero(window == self.windows - 1) if rest else []
+        if not len(at):
+            return doc, start, size, window, place
+        cut = []
+        for i in at:
+            left, seq = 0, self.windows - 1
+            for bit in range(rest.bit_length() - 1, -1, -1):
+                if rest >> bit & 1:
+                    low, high = max(int(place[i]), left), min(int(place[i] + size[i]), left + (1 << bit))
+                    if low < high:
+                        cut.append((doc[i], start[i] + low - place[i], high - low, seq, low - left))
+                    left, seq = left + (1 << bit), seq + 1
+        others = np.ones(len(doc), bool)
+        others[at] = False
+        return tuple(np.concatenate([c[others], np.array(new, np.int64)]) for c, new in zip((doc, start, size, window, place), zip(*cut, strict=True), strict=True))
 
 
 class Halves(Schedule):
@@ -166,6 +142,7 @@ class Halves(Schedule):
         self.kind = np.int64 if self.total < 3_000_000_000 else object
 
     def _two(self, k: int, g):
+        """Ids that the queues before ``k``, and those up to it, have given of the first g (an integer or an array)."""
         x = np.minimum(g.astype(self.kind), self.total) if isinstance(g, np.ndarray) else min(g, self.total)
         low, high, before = 0, len(self.cum) - 1, x * 0
         while high - low > 1:
@@ -178,21 +155,44 @@ class Halves(Schedule):
                 low, before, x = mid, before + left, x - left
         return before, before + x
 
+    def given_by(self, k: int, g):
+        low, high = self._two(k, g)
+        return high - low
+
     def window_of(self, k: int, x: int) -> int:
+        """The window that id ``x`` of queue ``k`` is in."""
         w = min(self.windows - 1, x * self.total // max(1, int(self.cum[k + 1] - self.cum[k])) // self.length)
         while True:
-            if self.given(k, w * self.length) > x:
+            if self.given_by(k, w * self.length) > x:
                 w -= 1
-            elif self.given(k, (w + 1) * self.length) <= x:
+            elif self.given_by(k, (w + 1) * self.length) <= x:
                 w += 1
             else:
                 return w
 
+    def pieces(self, k: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        out = []
+        for doc, (q, at, size) in enumerate(zip(k.tolist(), x.tolist(), n.tolist(), strict=True)):
+            w = np.arange(self.window_of(q, at), self.window_of(q, at + size - 1) + 2)
+            left, right = self._two(q, w * self.length)
+            edge = (right - left).astype(np.int64)
+            low, high = np.maximum(edge[:-1], at), np.minimum(edge[1:], at + size)
+            some = high > low
+            place = (left[1:] - left[:-1]).astype(np.int64) + low - edge[:-1]
+            out.append(self._tail(np.full(int(some.sum()), doc), (low - at)[some], (high - low)[some], w[:-1][some], place[some]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
 
 def numbered(totals: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """Sources with their place by name (source, k), written, and their totals in that order."""
-    rows = totals.select("source", "n").orderBy("source").rdd.zipWithIndex().map(lambda x: (x[0].source, x[0].n, x[1]))
-    out = written(totals.sparkSession.createDataFrame(rows, "source string, n long, k long"), "sources")
+    rows = written(in_order(totals.select("source", "n"), ["source"]), "sources")
+    counts = rows.groupBy("_part").count().collect()  # a row for each partition
+    base, at = [], 0
+    for part, n in sorted((r[0], r[1]) for r in counts):
+        base.append((part, at))
+        at += n
+    first = totals.sparkSession.createDataFrame(base, "_part int, base long")
+    out = written(rows.join(F.broadcast(first), "_part").select("source", "n", (F.col("base") + F.col("_row")).alias("k")), "sources")
     return out.select("source", "k"), out.orderBy("k").select("n").toArrow().column("n").to_numpy()
 
 
@@ -218,13 +218,14 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = 0, source: str = "sou
     return written(wanted.mapInArrow(run, "doc_id long, source string, part int, part_start long, n long, width int, ids binary"), "packed-ids")
 
 
-def pack(docs: DataFrame, tokenizer: str, weights: dict[str, float] | None = None, length: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, weights: dict[str, float] | None = None, length: int = 1024, end_id: int = 0, power: float = 1.0) -> DataFrame:
     """Pack all ``docs`` (doc_id, text, source) into sequences of at most ``length`` ids; one row for each piece.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, pad_to. Target shares of the
-    sources come from ``weights`` (default: their shares of all ids, so that all queues end together). Every id lies
-    in one piece. Sequences are full but for the tail, whose sequences are powers of two. The text is never
-    shuffled: ids are written once where they are made, and queues' places follow from a table with one row for
+    sources come from ``weights`` (a source that is not named there comes after the others), by default from their ids to
+    the power of ``power``: at 1 all queues end together; below it small sources weigh more in a window until they run
+    dry. Every id lies in one piece. Sequences are full but for the tail, whose sequences are powers of two. The text is
+    never shuffled: ids are written once where they are made, and queues' places follow from a table with one row for
     each source and partition. Null text is an empty document, null source the source ''; equal rows are packed
     one by one; an empty table gives no rows; other columns are not read.
     """
@@ -234,28 +235,34 @@ def pack(docs: DataFrame, tokenizer: str, weights: dict[str, float] | None = Non
     bases = sums.select("source", "part", F.coalesce(F.sum("n").over(queue), F.lit(0)).alias("base"))
     totals = sums.groupBy("source").agg(F.sum("n").alias("n"))
     found, names = totals.orderBy("source").limit(MOST_SOURCES + 1).collect(), {}
-    many = len(found) > MOST_SOURCES
-    if many and not weights:
+    many = len(found) > MOST_SOURCES and weights is None and power == 1
+    if many:
         places, counts = numbered(totals)
         plan, bases = Halves(counts, length), bases.join(places, "source")
     else:
-        found = totals.orderBy("source").collect() if many else found
+        found = totals.orderBy("source").collect() if len(found) > MOST_SOURCES else found
         names = {r.source: k for k, r in enumerate(found)}
-        plan = Schedule([r.n for r in found], [weights[r.source] for r in found] if weights else None, length)
-    numbers = [] if names or not many else ["k"]
+        plan = Schedule([r.n for r in found], [weights.get(r.source, 0.0) if weights is not None else float(r.n) ** power for r in found], length)
+    numbers = ["k"] if many else []
     shared = docs.sparkSession.sparkContext.broadcast((plan, names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
-        for batch in slices(batches):
-            (plan, names), out = shared.value, []
+        for batch in slices(batches, 2048):
+            plan, names = shared.value
             at_k = batch.column("k").to_pylist() if numbers else [names[s] for s in batch.column("source").to_pylist()]
-            for doc, source, base, at, n, width, raw, k in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "base", "part_start", "n", "width", "ids")), at_k, strict=True):
-                wide = np.frombuffer(raw, f"<u{width}").astype("<u4")
-                out += [(doc, s, m, zlib.crc32(wide[s : s + m]), n, seq, off, source) for s, m, seq, off in plan.pieces(k, base + at, n)]
-            kinds = [pa.int64()] * 7 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], cols)
+            x = np.array(batch.column("base")) + np.array(batch.column("part_start"))
+            n = np.array(batch.column("n"))
+            doc, start, size, seq, place = plan.pieces(np.array(at_k, np.int64), x, n)
+            raw = b"".join(np.frombuffer(r, f"<u{w}").astype("<u4").tobytes() for r, w in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist(), strict=True))
+            low = 4 * ((np.cumsum(n) - n)[doc] + start)
+            view, crc = memoryview(raw), zlib.crc32
+            crcs = [crc(view[a:b]) for a, b in zip(low.tolist(), (low + 4 * size).tolist(), strict=True)]
+            at = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), pa.array(start), pa.array(size), pa.array(crcs, pa.int64()), pa.array(n[doc]), pa.array(seq), pa.array(place), batch.column("source").take(at)], PIECE)
 
     small = sums.limit(MOST_PLACES + 1).count() <= MOST_PLACES
     placed = ids.join(F.broadcast(bases) if small else bases, ["source", "part"]).select("doc_id", "source", "base", "part_start", "n", "width", "ids", *numbers)
     return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
+
+
+PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]

@@ -76,7 +76,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerospan.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), power=0.5)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
