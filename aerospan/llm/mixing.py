@@ -2,9 +2,11 @@
 
 A classifier learned on a labelled table gives each document a posterior over domains. Rates r >= 0 are fitted so that
 the expected tokens of each domain, the sum of r x tokens x posterior over all documents, meet the targets in the least
-squares. The fit is projected gradient descent from r = 1: each step is one distributed aggregate (a sum for each
-domain) and one update of every rate, cut off at zero. A rate depends on its own posterior and the steps' residuals
-alone, so rates are an expression over the written posteriors and are never gathered.
+squares, with a small ridge that holds rates to one where the targets leave them free. The fit is projected gradient
+descent from r = 1. Since every gradient lies in the span of the posteriors, the state is one multiplier a domain: rates
+are the projection max(0, 1 - multipliers . posterior). A step is one distributed aggregate, the residuals and the
+curvature over rates that are not at zero (a number for each pair of domains), and the gradient is scaled by that
+curvature. Rates are an expression of constant size over the written posteriors and are never gathered.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerospan.llm.common import slices, texts_of, with_uid, written
+from aerospan.llm.common import numbered_rows, slices, texts_of, written
 from aerospan.llm.langid import logistic
 
 BUCKETS = 1 << 18
@@ -41,6 +43,8 @@ def shape(text: str, n: int) -> list[float]:
 
 
 SHAPE = 7
+#: What a mean squared distance of rates from one weighs against a squared miss of the target shares.
+RIDGE = 1e-3
 
 
 @dataclass
@@ -49,16 +53,28 @@ class DomainModel:
     table: np.ndarray  # bucket -> column of weights, or -1
     weights: np.ndarray
     bias: np.ndarray
+    scale: float = 1.0
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str], top: int = 96, support: int = 5) -> DomainModel:
+    def fit(cls, rows: list[tuple[list[int], list[float]]], labels: list[str], top: int = 96, support: int = 5) -> DomainModel:
+        """``rows``: word buckets and shape of each text. Margins are calibrated: the scale that makes a model of every other row
+        give the rest the greatest likelihood is that of the model of all rows."""
+        model, n = cls.of(rows, labels, top, support), len(rows)
+        half = cls.of(rows[::2], labels[::2], top, support) if n > 20 else model
+        if len(model.domains) > 1 and half.domains == model.domains:
+            z, want = half.margins(rows[1::2]), np.array([model.domains.index(x) for x in labels[1::2]])
+            loss = lambda s: -np.log(softmax(s * z)[np.arange(len(want)), want] + 1e-6).mean()
+            model.scale = min((2 ** (k / 4) for k in range(-4, 17)), key=loss)
+        return model
+
+    @classmethod
+    def of(cls, rows, labels: list[str], top: int, support: int) -> DomainModel:
         """Words that are most telling of each domain, then a logistic regression for each domain against the rest."""
         domains = sorted(set(labels))
         by = np.zeros((len(domains), BUCKETS), np.int32)
-        for t, d in zip(texts, labels, strict=True):
-            words, _ = word_buckets(t)
-            by[domains.index(d), np.fromiter(words, np.int64, len(words))] += 1
-        total, n, chosen = by.sum(axis=0), len(texts), {}
+        for (words, _), d in zip(rows, labels, strict=True):
+            by[domains.index(d), words] += 1
+        total, n, chosen = by.sum(axis=0), len(rows), {}
         for k, d in enumerate(domains):
             usual = total * (labels.count(d) / n)
             telling = np.where((total >= support) & (by[k] > 0), np.abs(by[k] - usual) / np.sqrt(usual + 1), -1)
@@ -71,23 +87,34 @@ class DomainModel:
         model = cls(domains, table, np.zeros((len(chosen) + SHAPE, len(domains))), np.zeros(len(domains)))
         if len(domains) > 1:
             y = np.array([[1.0 if d == x else -1.0 for d in domains] for x in labels], np.float32)
-            model.weights, model.bias, _ = logistic(model.features(texts), y, steps=300, l2=1e-2)
+            model.weights, model.bias, _ = logistic(model.features(rows), y, steps=300, l2=1e-3)
         return model
 
-    def features(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.weights)), np.float32)
-        for k, t in enumerate(texts):
-            words, n = word_buckets(t)
-            at = self.table[np.fromiter(words, np.int64, len(words))]
+    def features(self, rows: list[tuple[list[int], list[float]]]) -> np.ndarray:
+        out = np.zeros((len(rows), len(self.weights)), np.float32)
+        for k, (words, form) in enumerate(rows):
+            at = self.table[words]
             out[k, at[at >= 0]] = 1
-            out[k, -SHAPE:] = shape(t, n)
+            out[k, -SHAPE:] = form
         return out
 
-    def posterior(self, texts: list[str]) -> np.ndarray:
-        """One-against-rest chances, scaled to sum to one."""
-        z = np.clip(self.features(texts) @ self.weights + self.bias, -30, 30)
-        p = 1 / (1 + np.exp(-z)) + 1e-9
-        return p / p.sum(axis=1, keepdims=True)
+    def margins(self, rows: list[tuple[list[int], list[float]]]) -> np.ndarray:
+        return self.features(rows) @ self.weights + self.bias
+
+    def posterior(self, rows: list[tuple[list[int], list[float]]]) -> np.ndarray:
+        """Chances of the domains."""
+        return softmax(self.scale * self.margins(rows))
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def facts(text: str) -> tuple[np.ndarray, list[float]]:
+    """Word buckets and shape of a whole text."""
+    words, n = word_buckets(text)
+    return np.fromiter(words, np.int64, len(words)), shape(text, n)
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -95,17 +122,23 @@ def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 1, "good").when(quality == 0, "poor")
 
 
-def fit(docs: DataFrame, labelled: DataFrame, most: int = 6000, longest: int = 20_000) -> DomainModel:
-    """Learn from ``labelled`` (doc_id, domain): at most about ``most`` rows, those with the least hash of their id, and of
-    each its first ``longest`` characters. A row with null domain or a document that is not there is left out."""
-    rows = labelled.where("domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    n = rows.count()
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) * F.lit(float(n)) <= F.lit(float(most) * (1 << 30)))
-    got = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, longest).alias("text")).join(F.broadcast(rows), "doc_id").limit(2 * most).collect()
+def fit(docs: DataFrame, labelled: DataFrame, most: int = 6000) -> DomainModel:
+    """Learn from whole texts of ``labelled`` (doc_id, domain): of ``most`` rows, those with the least hash of their id (ties by
+    id, then by a hash of the text). A row with null domain or a document that is not there is left out. Tasks turn texts into
+    word buckets; only those come to the driver."""
+    rows = labelled.where("domain is not null and doc_id is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", F.lit(5))).orderBy("h", "doc_id").limit(most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words, form = zip(*map(facts, texts_of(batch.column("text"))), strict=True)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "doc_id", "t", "domain")), pa.array(words, pa.list_(pa.int32())), pa.array(form, pa.list_(pa.float64()))], ["h", "doc_id", "t", "domain", "words", "form"])
+
+    met = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).join(F.broadcast(rows), "doc_id").select("h", "doc_id", "t", "domain", "text")
+    got = met.mapInArrow(run, "h long, doc_id long, t long, domain string, words array<int>, form array<double>").orderBy("h", "doc_id", "t").limit(most).collect()
     if not got:
         return DomainModel(["all"], np.full(BUCKETS, -1, np.int32), np.zeros((SHAPE, 1)), np.zeros(1))
-    got.sort(key=lambda r: (r.doc_id, r.text))
-    return DomainModel.fit([r.text for r in got], [r.domain for r in got])
+    return DomainModel.fit([(r.words, r.form) for r in got], [r.domain for r in got])
 
 
 def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
@@ -115,62 +148,84 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = texts_of(batch.column("text"))
-            p = shared.value.posterior(texts)
+            p = shared.value.posterior([facts(t) for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.array([len(t.split()) for t in texts], pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], ["uid", "doc_id", "tokens", "p"])
 
     return docs.select("uid", "doc_id", "text").mapInArrow(run, "uid long, doc_id long, tokens long, p array<double>")
 
 
-def rates(members: DataFrame, weights: list[float], total: float | None = None, steps: int = 40, enough: float = 1e-4) -> tuple[Column, list[list[float]]]:
-    """The rate of each row of ``members`` (tokens, p) as a column, and the domains' expected tokens at each step.
+def rate_of(pull: list[float]) -> Column:
+    """max(0, 1 - pull . p)."""
+    return F.greatest(F.lit(0.0), 1 - sum((F.lit(float(x)) * F.get("p", F.lit(j)) for j, x in enumerate(pull)), F.lit(0.0)))
+
 
-    ``weights``: target share of each domain. ``total``: expected tokens in all; by default as many as the scarcest
-    domain allows at rate one, so that none of it is repeated or lost.
+def rates(members: DataFrame, weights: list[float], total: float | None = None, ridge: float = RIDGE, enough: float = 1e-7, most: int = 60) -> tuple[list[float], dict[str, list[float]]]:
+    """The multipliers of the rates of ``members`` (tokens, p) (see :func:`rate_of`), and what they reach: expected tokens by domain.
+
+    ``weights``: target share of each domain. ``total``: expected tokens in all, by default those of ``members``. Minimised, in
+    shares of all tokens: |expected - target|^2 + ridge x mean of (rate - 1)^2. Raises if ``most`` steps do not get there.
     """
     k = len(weights)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
     p = [F.get("p", F.lit(j)) for j in range(k)]
-    rate, history, start, goal = F.lit(1.0), [], None, None
-    for _ in range(steps):
-        now = members.agg(*(F.sum(rate * F.col("tokens") * p[j]).alias(f"a{j}") for j in range(k))).first()
-        have = [float(x or 0) for x in now]
-        history.append(have)
-        if start is None:
-            start = have
-            if not sum(start):
+
+    def look(pull: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Mean of rate^2, expected tokens by domain, curvature over open rates."""
+        r, t = rate_of(pull.tolist()), F.col("tokens")
+        open_t = F.when(r > 0, t).otherwise(0)
+        row = members.agg(F.sum(t * r * r), *(F.sum(t * r * q) for q in p), *(F.sum(open_t * p[i] * p[j]) for i, j in pairs)).first()
+        row = [float(x or 0) for x in row]
+        curve = np.zeros((k, k))
+        for (i, j), x in zip(pairs, row[k + 1 :], strict=True):
+            curve[i, j] = curve[j, i] = x
+        return row[0], np.array(row[1 : k + 1]), curve
+
+    square, have, curve = look(np.zeros(k))
+    tokens = float(have.sum())
+    if not tokens or not sum(weights):
+        return [0.0] * k, {"expected": have.tolist(), "target": [0.0] * k}
+    goal = np.array(weights, float) / sum(weights) * (tokens if total is None else total)
+    pull = np.zeros(k)
+    # the dual of the fit: ridge x pull + target - expected is its gradient, ridge + curvature its second derivative
+    worth = lambda pull, square: 0.5 * square / tokens + 0.5 * ridge * pull @ pull + pull @ goal / tokens
+    now = worth(pull, square)
+    for _ in range(most):
+        slope = ridge * pull + (goal - have) / tokens
+        if np.abs(slope).max() <= enough:
+            return pull.tolist(), {"expected": have.tolist(), "target": goal.tolist()}
+        step, size = np.linalg.solve(curve / tokens + ridge * np.eye(k), slope), 1.0
+        while True:
+            new = pull - size * step
+            square, have, curve = look(new)
+            then = worth(new, square)
+            if then <= now - 1e-4 * size * (slope @ step) + 1e-12 or size < 1e-6:
                 break
-            scale = sum(weights)
-            target = [w / scale for w in weights]
-            total = total if total is not None else min((a / t for a, t in zip(have, target, strict=True) if t > 0), default=0.0)
-            goal = [total * t for t in target]
-        off = [(a - g) / max(s, 1e-9 * sum(start)) for a, g, s in zip(have, goal, start, strict=True)]
-        if sum(abs(a - g) for a, g in zip(have, goal, strict=True)) <= enough * max(total, 1):
-            break
-        rate = F.greatest(F.lit(0.0), rate - sum((F.lit(x) * q for x, q in zip(off, p, strict=True)), F.lit(0.0)))
-    return rate, history
-
-
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], snap: float = 0.25, seed: int = 11, whole: str | None = None) -> DataFrame:
+            size /= 2
+        pull, now = new, then
+    raise RuntimeError(f"rates did not settle in {most} steps")
+
+
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], seed: int = 11, whole: str | None = None, ridge: float = RIDGE, uid: str | None = None) -> DataFrame:
     """uid, doc_id, tokens, p_<domain>, rate, copies of each row of ``docs`` (doc_id, text); targets by ``weights``.
 
-    ``copies`` is the rate rounded at random, up with the chance of its fraction by a hash of uid; a rate within
-    ``snap`` of one is one, so that documents that are surely of a domain at rate one stay. A domain
-    without a weight has target zero. Null and empty texts have no tokens and their own posterior; rows with equal
-    doc_id are told apart by uid; an empty table gives no rows; without labelled rows all is one domain and all
-    rates are one. With ``whole``, the total is what makes that domain's target all of its expected tokens, so none of it is
-    lost where another domain is scarcer: the scarce one is repeated.
+    ``copies`` is the rate rounded at random, up with the chance of its fraction by a hash of uid, so expected copies are the
+    rate. A domain without a weight has target zero. Null and empty texts have no tokens and their own posterior; rows with
+    equal doc_id are told apart by uid (a column of ``docs`` if ``uid`` names one); whole texts of any length are read; an empty table gives no rows; without labelled
+    rows all is one domain and all rates are one; other columns are not read. Expected tokens in all are those of ``docs``;
+    with ``whole``, they are more where that domain's target would be less than it has, so that it need not shrink.
     """
-    docs = with_uid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    docs = numbered_rows(docs, uid)
     model = fit(docs, labelled)
     members = written(posteriors(docs, model), "posteriors")
     shares, total = [weights.get(d, 0.0) for d in model.domains], None
     if whole in model.domains and weights.get(whole):
         at = model.domains.index(whole)
-        have = members.agg(F.sum(F.col("tokens") * F.get("p", F.lit(at)))).first()[0] or 0.0
-        total = float(have) * sum(shares) / shares[at]
-    rate, _ = rates(members, shares, total) if len(model.domains) > 1 else (F.lit(1.0), [])
+        have, tokens = members.agg(F.sum(F.col("tokens") * F.get("p", F.lit(at))), F.sum("tokens")).first()
+        total = max(float(tokens or 0), float(have or 0) * sum(shares) / shares[at])
+    pull = rates(members, shares, total, ridge)[0] if len(model.domains) > 1 else [0.0]
+    rate = rate_of(pull)
     u = F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = F.when(F.abs(rate - 1) <= snap, F.lit(1)).otherwise(F.floor(rate + u)).cast("long")
-    return members.select("uid", "doc_id", "tokens", *(F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(model.domains)), rate.alias("rate"), copies.alias("copies"))
+    return members.select("uid", "doc_id", "tokens", *(F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(model.domains)), rate.alias("rate"), F.floor(rate + u).cast("long").alias("copies"))
 
 
 #: Target shares of the domains of the labels table.
