@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,16 +23,24 @@ UNKNOWN = "und"
 
 
 def codewords(n: int, bits: int = 15, seed: int = 7) -> np.ndarray:
-    """(n, bits) of -1 and 1, chosen greedily so that the least distance of codewords and of columns is large."""
-    rng = np.random.default_rng(seed)
-    best, score = None, -1
-    for _ in range(200):
+    """(n, columns) of -1 and 1. No two columns split the languages alike: few languages get every split there is, many
+    ``bits`` random ones (more where they must tell more than 2^bits apart), of draws the one whose codewords are farthest apart."""
+    if n < 2:
+        return np.ones((n, 1), np.int64)
+    if n - 1 < 31 and (1 << (n - 1)) - 1 <= bits:
+        splits = np.arange(1, 1 << (n - 1))
+        return np.where(splits >> np.arange(n)[:, None] & 1, 1, -1)
+    rng, bits = np.random.default_rng(seed), max(bits, 2 * int(np.ceil(np.log2(n))))
+    best, score = None, (-1, -1)
+    for _ in range(200 if n <= 64 else 4):
         c = rng.integers(0, 2, (n, bits)) * 2 - 1
-        if n > 1:  # a bit that is the same for all tells nothing
-            same = np.flatnonzero(np.abs(c.sum(axis=0)) == n)
-            c[rng.integers(0, n, len(same)), same] *= -1
-        apart = [(c[i] != c[j]).sum() for i in range(n) for j in range(i)]
-        if (least := min(apart, default=bits)) > score:
+        same = np.flatnonzero(np.abs(c.sum(axis=0)) == n)  # a column that is the same for all tells nothing
+        c[rng.integers(0, n, len(same)), same] *= -1
+        rows, columns = c @ c.T, np.abs(c.T @ c)
+        np.fill_diagonal(rows, -bits)
+        np.fill_diagonal(columns, 0)
+        least = ((bits - int(rows.max())) // 2, n - int(columns.max()))
+        if least > score:
             best, score = c, least
     return best
 
@@ -120,16 +129,14 @@ class LanguageModel:
     bias: np.ndarray
 
     @classmethod
-    def fit(cls, texts: list[str], langs: list[str], features: Features | None = None, bits: int = 15, chunk: int = 300) -> LanguageModel:
-        """Texts are learned from in pieces, so that short ones are known too."""
-        features, languages = features or Features(), sorted(set(langs))
+    def fit(cls, x: np.ndarray, langs: list[str], features: Features, bits: int = 15) -> LanguageModel:
+        """``x``: features of texts and of windows of them, ``langs`` their languages."""
+        languages = sorted(set(langs))
         codes = codewords(len(languages), bits)
-        parts, at = [], []
-        for t, lang in zip(texts, langs, strict=True):
-            cut = [t[i : i + chunk] for i in range(0, max(1, len(t)), chunk)][:2]
-            parts += [t, *cut, t[:24]]
-            at += [languages.index(lang)] * (len(cut) + 2)
-        w, b, _ = logistic(features.matrix(parts), codes[at].astype(np.float32)) if languages else (np.zeros((len(features.orders) * features.buckets, bits), np.float32), np.zeros(bits), None)
+        place = {lang: k for k, lang in enumerate(languages)}
+        if not languages:
+            return cls(languages, codes, features, np.zeros((len(features.orders) * features.buckets, 1), np.float32), np.zeros(1))
+        w, b, _ = logistic(x, codes[[place[lang] for lang in langs]].astype(np.float32))
         return cls(languages, codes, features, w.astype(np.float32), b)
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,20 +155,37 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, most: int = 250, longest: int = 3000) -> LanguageModel:
-    """Learn from ``text`` and ``lang`` of rows that are not held out: at most ``most`` rows of each language, those
-    with the least hash of their id and text, and of each its first ``longest`` characters. Bounded documented sample;
-    only learning is bounded, prediction reads whole texts."""
+WINDOWS = (300, 24)
+
+
+def windows(text: str) -> list[str]:
+    """The whole text, and a window of each length in WINDOWS at a place chosen by a hash, so that short texts are known too."""
+    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return [text, *(text[at : at + n] for n in WINDOWS for at in (h % max(1, len(text) - n + 1),))]
+
+
+def fit(docs: DataFrame, most: int = 250, features: Features | None = None) -> LanguageModel:
+    """Learn from whole ``text`` and ``lang`` of rows that are not held out: ``most`` rows of each language, those with the
+    least hash of their id (ties by id, then by a hash of the text). Every language that has a row is learned. Tasks turn texts
+    into features; only those come to the driver."""
     from pyspark.sql import Window
 
+    features = features or Features()
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    sums = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000)
+    sums = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row for each language
     # a hash below a threshold by language keeps about twice the sample before it is ranked
-    rows = rows.join(F.broadcast(sums), "lang").withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)))
-    rows = rows.where(F.col("h") * F.col("n") < F.lit(2.0 * most * (1 << 30))).select("lang", "h", "doc_id", F.substring("text", 1, longest).alias("text"))
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("k") <= most)
-    got = ranked.select("text", "lang").collect()
-    return LanguageModel.fit([r.text for r in got], [r.lang for r in got])
+    rows = rows.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)).alias("h"), F.xxhash64("text").alias("t")).join(F.broadcast(sums), "lang")
+    rows = rows.where(F.col("h") * F.col("n") < F.lit(2.0 * most * (1 << 30)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64, 1 << 20):
+            x = [features.matrix(windows(t)).tobytes() for t in texts_of(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(x, pa.binary())], ["lang", "x"])
+
+    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "t"))).where(F.col("k") <= most)
+    got = ranked.orderBy("lang", "k").select("lang", "text").mapInArrow(run, "lang string, x binary").toArrow()
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, len(features.orders) * features.buckets)
+    return LanguageModel.fit(x, [lang for lang in got.column("lang").to_pylist() for _ in range(1 + len(WINDOWS))], features)
 
 
 def identify(docs: DataFrame, model: LanguageModel, least_lead: float = 0.2, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
