@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from aerospan.llm.common import forest, written
+from aerospan.llm.common import forest, slices, written
 from aerospan.llm.graph import components
 
 SLACK = 1e-5  # for rounding in single precision
@@ -83,40 +84,59 @@ class Quantiser:
         return d - own[:, None] <= 2 * (r + SLACK) * apart[at] + SLACK
 
 
-def meet(q: Quantiser, x: np.ndarray, y: np.ndarray, r: float, least: float, same: bool, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) between rows of two tiles of unit vectors (double precision)."""
-    xf, yf = x.astype(np.float32), y.astype(np.float32)
-    qf = Quantiser(q.lists.astype(np.float32), q.books.astype(np.float32))
-    x_at, _, _, x_d = qf.index(xf)
-    y_at, code, error, _ = qf.index(yf)
-    order = np.argsort(y_at, kind="stable")
-    cuts = np.searchsorted(y_at[order], np.arange(len(q.lists) + 1))
-    probed = qf.probes(x_at, x_d, r)
-    rebuilt = qf.rebuilt(y_at, code)
+@dataclass
+class Tile:
+    """Vectors (unit, double precision) with their copies, lists, the lists each probes, codes, and errors of the codes."""
+
+    x: np.ndarray
+    copies: np.ndarray
+    at: np.ndarray
+    near: pa.Array
+    code: np.ndarray
+    error: np.ndarray
+
+    @classmethod
+    def of(cls, v: pa.StructArray) -> Tile:
+        field = lambda c: v.field(c).to_numpy(zero_copy_only=False)
+        code = np.frombuffer(b"".join(v.field("code").to_pylist()), np.uint8).reshape(len(v), -1)
+        return cls(unit(v.field("x")), field("copies"), field("list"), v.field("near"), code, field("error"))
+
+    def probed(self, lists: int) -> np.ndarray:
+        out = np.zeros((len(self.x), lists), bool)
+        out[self.near.value_parent_indices().to_numpy(), self.near.flatten().to_numpy()] = True
+        return out
+
+
+def meet(q: Quantiser, x: Tile, y: Tile, r: float, least: float, same: bool, block: int = 512, rerank: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (i, j) between rows of two tiles, for each ``block`` rows of ``x``; ``rerank`` pairs are compared at once."""
+    order = np.argsort(y.at, kind="stable")
+    cuts = np.searchsorted(y.at[order], np.arange(len(q.lists) + 1))
+    probed, xf, code = x.probed(len(q.lists)), x.x.astype(np.float32), y.code
+    rebuilt = q.rebuilt(y.at, code).astype(np.float32)
     square = (rebuilt * rebuilt).sum(axis=1)
-    parts, words, width = q.books.shape
-    out = []
-    for at in range(0, len(x), block):
-        rows = xf[at : at + block]
+    books, centroids = q.books.astype(np.float32), q.lists.astype(np.float32)
+    parts, _, width = books.shape
+    for at in range(0, len(xf), block):
+        rows, out = xf[at : at + block], []
         #: lookup tables: inner products of each row's parts with each codeword, and with the lists
-        tables = np.einsum("nps,pws->npw", rows.reshape(len(rows), parts, width), qf.books)
-        lists = rows @ qf.lists.T
+        tables = np.einsum("nps,pws->npw", rows.reshape(len(rows), parts, width), books)
+        lists = rows @ centroids.T
         for k in np.flatnonzero(probed[at : at + block].any(axis=0) & (np.diff(cuts) > 0)):
             mine, theirs = np.flatnonzero(probed[at : at + block, k]), order[cuts[k] : cuts[k + 1]]
             dot = np.repeat(lists[mine, k : k + 1], len(theirs), axis=1)
             for p in range(parts):
                 dot += tables[mine, p][:, code[theirs, p]]
             distance = 1 + square[theirs] - 2 * dot
-            i, j = np.nonzero(distance <= (r + error[theirs] + SLACK) ** 2 + SLACK)
-            if len(i):
-                i, j = mine[i] + at, theirs[j]
-                if same:
-                    i, j = i[i < j], j[i < j]
-                fine = (x[i] * y[j]).sum(axis=1) >= least
-                out.append((i[fine], j[fine]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+            i, j = np.nonzero(distance <= (r + y.error[theirs] + SLACK) ** 2 + SLACK)
+            i, j = mine[i] + at, theirs[j]
+            if same:
+                i, j = i[i < j], j[i < j]
+            for a in range(0, len(i), rerank):
+                m, n = i[a : a + rerank], j[a : a + rerank]
+                fine = np.einsum("nd,nd->n", x.x[m], y.x[n]) >= least
+                out.append((m[fine], n[fine]))
+        if out:
+            yield np.concatenate([m for m, _ in out]), np.concatenate([n for _, n in out])
 
 
 def embedding_dedup(vectors: DataFrame, least: float = 0.9, sample: int = 8192, most_lists: int = 1024, tile: int = 4096) -> DataFrame:
@@ -125,46 +145,54 @@ def embedding_dedup(vectors: DataFrame, least: float = 0.9, sample: int = 8192,
     ``sample`` bounds the rows that the quantiser is learned on (those with the least hash of their id); every row is
     indexed. Vectors that are null, empty, zero, or hold null or non-finite parts link with nothing; vectors link
     only with those of their own length; equal vectors link with each other; rows that repeat a vec_id are counted
-    as vectors of their own; an empty table gives no rows; other columns are not read.
+    as vectors of their own; a null vec_id counts as a vector too, but is no component's name unless there is no
+    other (then that is null, and the row is kept); an empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
+    single = getattr(vectors.schema["embedding"].dataType, "elementType", None) == T.FloatType()
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("x"))
     sound = F.col("x").isNotNull() & (F.size("x") > 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("x", lambda v: v != 0)
     rows = written(rows.withColumn("sound", F.coalesce(sound, F.lit(False))), "vectors")
-    reps = written(rows.where("sound").groupBy("x").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "distinct-vectors")
+    #: a node for each different vector; ``rep`` is the least vec_id that has it
+    reps = rows.where("sound").groupBy("x").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "distinct-vectors")
     counts, edges = None, None
-    for (dim, n) in sorted((r[0], r[1]) for r in reps.groupBy(F.size("x")).count().collect()):
+    for (dim, n) in sorted((r[0], r[1]) for r in reps.groupBy(F.size("x")).count().collect()):  # a row for each length
         mine = reps.where(F.size("x") == dim)
-        learned = mine.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("x").collect()
+        learned = mine.orderBy(F.xxhash64("rep"), "rep", "node").limit(sample).select("x").collect()
         at = np.array([r.x for r in learned], np.float64)
+        at /= np.abs(at).max(axis=1, keepdims=True)
         at /= np.linalg.norm(at, axis=1, keepdims=True)
         q = Quantiser.fit(at, max(1, min(most_lists, round(n**0.5))))
-        c, e = linked(spark, mine, q, least, tile, n)
+        c, e = linked(spark, mine, q, least, tile)
         counts, edges = (c, e) if counts is None else (counts.unionByName(c), edges.unionByName(e))
+    alone = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if counts is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return alone.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     found = components(edges)
-    facts = reps.join(counts, "rep", "left").join(found, reps.rep == found.node, "left")
-    facts = facts.select("x", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = reps.select("node", "rep").join(found, "node")
+    names = named.groupBy("component").agg(F.min("rep").alias("name"))
+    named = named.select("node", "component").join(names, "component").select("node", "name", F.lit(True).alias("linked"))
+    facts = reps.join(counts, "node", "left").join(named, "node", "left")
+    facts = facts.select("x", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.when(F.col("linked"), F.col("name")).otherwise(F.col("rep")).alias("component_id"))
     out = rows.where("sound").join(facts, "x").select("vec_id", "n_links", "component_id")
-    alone = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def linked(spark, reps: DataFrame, q: Quantiser, least: float, tile: int, n: int) -> tuple[DataFrame, DataFrame]:
-    """(rep, n): linked vectors with their copies; (u, v): edges that span the links."""
+def linked(spark, reps: DataFrame, q: Quantiser, least: float, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(node, n): linked vectors with their copies; (u, v): edges that span the links."""
     r = float(np.sqrt(2 - 2 * least))
     shared = spark.sparkContext.broadcast(q)  # at most most_lists centroids and the codebooks
+    form = reps.schema["x"].dataType.simpleString()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = unit(batch.column("x"))
-            at, _, _, d = shared.value.index(x)
-            probed = shared.value.probes(at, d, r)
-            near = [np.flatnonzero(p).tolist() for p in probed]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), batch.column("x"), pa.array(at, pa.int32()), pa.array(near, pa.list_(pa.int32()))], ["rep", "copies", "x", "list", "near"])
+        for batch in slices(batches, 1024):
+            at, code, error, d = shared.value.index(unit(batch.column("x")))
+            near = [np.flatnonzero(p) for p in shared.value.probes(at, d, r)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "copies", "x")), pa.array(at, pa.int32()), pa.array(near, pa.list_(pa.int32())), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(error)], ["node", "copies", "x", "list", "near", "code", "error"])
 
-    indexed = written(reps.mapInArrow(assign, "rep long, copies long, x array<double>, list int, near array<int>"), "indexed-vectors")
+    fields = f"node long, copies long, x {form}, list int, near array<int>, code binary, error double"
+    indexed = written(reps.select("node", "copies", "x").mapInArrow(assign, fields), "indexed-vectors")
     #: neighbouring lists share a tile until it is full; a list beyond the bound is dealt by hash into several tiles
     sizes = sorted((row[0], row[1]) for row in indexed.groupBy("list").count().collect())  # a row for each list
     home, k, held = {}, 0, 0
@@ -178,36 +206,35 @@ def linked(spark, reps: DataFrame, q: Quantiser, least: float, tile: int, n: int
         else:
             held += size
     table = spark.createDataFrame([(a, b, c) for a, (b, c) in home.items()], "list int, first int, split int")
-    placed = indexed.join(F.broadcast(table), "list").withColumn("tile", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("split"))).cast("int"))
-    placed = written(placed.select("tile", "rep", "copies", "x", "near"), "placed-vectors")
-    wanted = placed.select("tile", F.explode("near").alias("list")).distinct().join(F.broadcast(table), "list")
+    placed = indexed.join(F.broadcast(table), "list").withColumn("tile", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("split"))).cast("int"))
+    placed = written(placed.select("tile", F.struct("node", "copies", "x", "list", "near", "code", "error").alias("v")), "placed-vectors")
+    wanted = placed.select("tile", F.explode("v.near").alias("list")).distinct().join(F.broadcast(table), "list")
     wanted = wanted.select("tile", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("split") - 1)).alias("other"))
     pairs = wanted.select(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b")).distinct()
-    tiles = written(placed.groupBy("tile").agg(F.collect_list(F.struct("rep", "copies", "x")).alias("v")), "vector-tiles")
+    tiles = written(placed.groupBy("tile").agg(F.collect_list("v").alias("v")), "vector-tiles")
     left, right = tiles.select(F.col("tile").alias("a"), F.col("v").alias("v1")), tiles.select(F.col("tile").alias("b"), F.col("v").alias("v2"))
-    met = pairs.join(left, "a").join(right, "b").select((F.col("a") == F.col("b")).alias("same"), "v1", "v2")
-    met = met.repartition(F.xxhash64("same", F.get("v1", F.lit(0))["rep"], F.get("v2", F.lit(0))["rep"]))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "v1", "v2").repartition("a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                same, v1, v2 = batch.column("same")[k].as_py(), batch.column("v1")[k].values, batch.column("v2")[k].values
-                x, y = unit(v1.field("x")), unit(v2.field("x"))
-                (a, m), (b, c) = ((v.field("rep").to_numpy(), v.field("copies").to_numpy()) for v in (v1, v2))
-                i, j = meet(shared.value, x, y, r, least, same)
-                if not len(i):
+                same, v1, v2 = batch.column("a")[k].as_py() == batch.column("b")[k].as_py(), batch.column("v1")[k].values, batch.column("v2")[k].values
+                x = Tile.of(v1)
+                y, size = x if same else Tile.of(v2), len(v1)
+                total, child, root = np.zeros(size + len(v2)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for i, j in meet(shared.value, x, y, r, least, same):
+                    total[:size] += np.bincount(i, weights=y.copies[j], minlength=size)
+                    total[size:] += np.bincount(j, weights=x.copies[i], minlength=len(v2))
+                    child, root = forest(len(total), np.concatenate([child, i]), np.concatenate([root, j + size]))
+                if not len(child):
                     continue
-                n1, n2 = np.bincount(i, weights=c[j], minlength=len(a)), np.bincount(j, weights=m[i], minlength=len(b))
-                ids, at = np.unique(np.concatenate([a[i], b[j]]), return_inverse=True)
-                child, root = forest(len(ids), at[: len(i)], at[len(i) :])
-                some1, some2 = np.flatnonzero(n1), np.flatnonzero(n2)
-                u = np.concatenate([a[some1], b[some2], ids[child]])
-                total = np.concatenate([n1[some1], n2[some2], np.zeros(len(child))]).astype(np.int64)
-                v = pa.array([None] * (len(some1) + len(some2)) + ids[root].tolist(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(u), v, pa.array(total)], ["u", "v", "n"])
+                ids = np.concatenate([v1.field("node").to_numpy(), v2.field("node").to_numpy()])
+                some = np.flatnonzero(total)
+                v = pa.array(np.concatenate([np.zeros(len(some), np.int64), ids[root]]), mask=np.arange(len(some) + len(root)) < len(some))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[some], ids[child]])), v, pa.array(np.concatenate([total[some], np.zeros(len(child))]).astype(np.int64))], ["u", "v", "n"])
 
     found = written(met.mapInArrow(compare, "u long, v long, n long"), "vector-links")
-    return found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n")), found.where("v is not null").select("u", "v")
+    return found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n")), found.where("v is not null").select("u", "v")
 
 
 def unit(column: pa.Array) -> np.ndarray:
