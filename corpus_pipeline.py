@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aerospan.llm import fm_dedup, langid, mixing, packing, simhash
 from aerospan.llm.common import slices, with_uid, written
@@ -24,36 +25,62 @@ ORACLE_SQL = None
 SHINGLE, WORDS, SIMILARITY = 5, 2, 0.8
 
 
+#: Lead of the nearest codeword over the next below which a document's language counts as undecided.
+LEAD = 0.05
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text, the whole row as ``row``, and uid: no name of a further column can clash."""
+    return with_uid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct("*").alias("row")))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: null texts, and texts without a letter."""
-    named = langid.identify(docs, langid.fit(docs), keep=tuple([*docs.columns]))
-    return named.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    """Rejects documents without a language: those whose margins are about as near to another codeword as to the nearest, null
+    texts, and texts without a letter. Where no language can be learned, the letters decide alone.
+
+    Repeated rows and null ids are judged each; whole texts of any length are read; an empty table gives no rows.
+    """
+    model = langid.fit(docs)
+    packed_rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    if not model.languages:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    named = langid.identify(packed_rows, model, LEAD, keep=("row",))
+    return named.where(~F.col("ambiguous") & (F.col("lang_pred") != langid.UNKNOWN)).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least doc_id."""
-    rows = with_uid(docs)
+    """One document of each group of near copies stays: the one with the least doc_id (nulls first, ties by a hash of the text).
+
+    Null and empty texts have fingerprint zero and are copies of each other; repeated rows are copies; an empty table gives no rows.
+    """
+    rows = rows_of(docs)
     fps = simhash.fingerprints(rows, SHINGLE, WORDS, keep=("uid",))
     groups = simhash.grouped(fps, int(64 * WORDS * (1 - SIMILARITY) + 1e-9), WORDS, parts=1, node="uid")
     first = groups.where("uid = component_id").select("uid")
-    return rows.join(first, "uid", "left_semi").select(*docs.columns)
+    return rows.join(first, "uid", "left_semi").select("row.*")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 20 words that start earlier elsewhere go; a document of which nothing is left goes too."""
-    rows = with_uid(docs)
-    found = repeated(docs, fm_dedup.WORDS, fm_dedup.earlier, ~F.col("is_first"))
+    """Windows of 20 words that start earlier elsewhere go; a document of which nothing is left goes too.
+
+    A null text has no words and goes; an empty text stays. Of repeated rows the first keeps its words; an empty table gives no
+    rows. ``n_chars`` is counted anew.
+    """
+    rows = rows_of(docs)
+    found = repeated(rows, fm_dedup.WORDS, fm_dedup.earlier, ~F.col("is_first"), uid="uid")
     cuts = found.where("n_removed > 0").select("uid", "removed")
-    joined, names = rows.join(cuts, "uid", "left"), docs.columns
+    joined = rows.select("uid", "text", "row").join(cuts, "uid", "left").select("row", "text", "removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             out = [t if not r else without(t, r) for t, r in zip(texts, batch.column("removed").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "left"])
 
-    edited = joined.mapInArrow(run, docs.schema)
-    return edited.where("text is not null").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    schema = T.StructType([joined.schema["row"], T.StructField("left", T.StringType())])
+    edited = joined.mapInArrow(run, schema).where("left is not null")
+    new = {"text": F.col("left"), "n_chars": F.length("left").cast(docs.schema["n_chars"].dataType)}
+    return edited.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def without(text: str, runs: list[dict]) -> str | None:
@@ -70,11 +97,16 @@ def without(text: str, runs: list[dict]) -> str | None:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated, or left out, so that the domains of the labels table meet their target shares."""
-    rows = with_uid(docs)
-    mixed = mixing.mix(docs, mixing.labels_of(table(spark, sf_dir, "labels")), mixing.WEIGHTS, whole="good").where("copies > 0").select("uid", "copies")
-    again = rows.join(mixed, "uid").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return again.select(*docs.columns)
+    """Documents repeated, or left out, so that the domains of the labels table meet their target shares; the good domain keeps
+    all of its expected tokens.
+
+    Null and empty texts have a posterior of their own and are drawn like others; repeated rows are drawn each; an empty table
+    gives no rows.
+    """
+    rows = rows_of(docs)
+    mixed = mixing.mix(rows, mixing.labels_of(table(spark, sf_dir, "labels")), mixing.WEIGHTS, whole="good", uid="uid").where("copies > 0").select("uid", "copies")
+    again = rows.join(mixed, "uid").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return again.select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
