@@ -1,6 +1,7 @@
 """Cases that the tables do not hold: missing values, singular tensors, golden results, and iterative operators."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from aerospan.functions import numeric as N
