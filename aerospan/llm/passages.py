@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerospan.llm.common import discard, mixed, slices, with_uid, written
+from aerospan.llm.common import discard, mixed, numbered_rows, slices, written
 
 #: Places are kept in the low bits of hashes while the least is sought; longer inputs are cut with an overlap.
 PLACE = np.uint64((1 << 24) - 1)
@@ -202,19 +202,18 @@ def runs_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[np.concatenate([[0], gap + 1])], at[np.concatenate([gap, [len(at) - 1]])] + 1
 
 
-def repeated(docs: DataFrame, kind: Kind, index: Index, all_of_first: Column, cap: int = 4000, budget: int = 1_500_000) -> DataFrame:
+def repeated(docs: DataFrame, kind: Kind, index: Index, all_of_first: Column, cap: int = 4000, budget: int = 1_500_000, uid: str | None = None) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): uid, doc_id, n_units, n_removed, n_spans, kept_sha256 and removed (the runs of
     removed units).
 
     ``all_of_first``: of a passage's first occurrence, whether all windows count as repeats, over the columns
-    ``copies`` (occurrences of the equal passage) and ``is_first``. Rows are told apart by uid (see ``with_uid``).
+    ``copies`` (occurrences of the equal passage) and ``is_first``. Rows are told apart by uid (see ``numbered_rows``).
     """
-    docs = with_uid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    docs = numbered_rows(docs, uid)
     by_row = isinstance(docs.schema["uid"].metadata.get("by_row"), bool)
     known = sieve(docs, kind)
     runs = known.select("uid", F.explode(F.arrays_zip("keys", "starts", "ns")).alias("r")).select("uid", F.col("r.keys").alias("key"), F.col("r.starts").alias("s"), F.col("r.ns").alias("n"))
-    twice = runs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    mine = written(runs.join(twice, "key", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("key", "s", "n")).alias("runs")), "runs")
+    mine = written(of_repeated(runs).groupBy("uid").agg(F.collect_list(F.struct("key", "s", "n")).alias("runs")), "runs")
     text = docs.select("uid", "text")
     if mine.limit(MOST_UIDS + 1).count() <= MOST_UIDS:  # then other texts need not be dealt
         text = text.join(F.broadcast(mine.select("uid")), "uid", "left_semi")
@@ -245,6 +244,17 @@ def repeated(docs: DataFrame, kind: Kind, index: Index, all_of_first: Column, ca
     return out.select("uid", "doc_id", "n_units", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), "removed")
 
 
+def of_repeated(runs: DataFrame, hot: int = 1000, salts: int = 64) -> DataFrame:
+    """Rows of (uid, key, ...) whose key occurs twice or more. A key with over one in ``hot`` of these rows (so there are fewer than
+    ``hot`` such keys) is dealt by document to ``salts`` tasks."""
+    twice = written(runs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "anchors")
+    much = F.lit((twice.agg(F.sum("c")).first()[0] or 0) / hot)
+    salted = runs.join(F.broadcast(twice.where(F.col("c") > much).select("key", F.lit(salts).alias("salts"))), "key", "left")
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("uid"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    each = twice.select("key", F.explode(F.sequence(F.lit(0), F.when(F.col("c") > much, salts - 1).otherwise(0))).alias("salt"))
+    return salted.join(each, ["key", "salt"], "left_semi").drop("salt")
+
+
 def strip(rows: DataFrame, kind: Kind) -> DataFrame:
     """(uid, text, spans) -> n_removed, n_spans, kept_sha256 and the removed runs."""
 

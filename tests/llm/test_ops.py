@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -20,7 +21,6 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def plain_ids(tok, text):
     t = Tokenizer.from_file(tok)
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -34,9 +34,8 @@ def empty(df):
 
 def test_encoder_is_exact(tok):
     e, t = tokens.Encoder(tok, most=5), Tokenizer.from_file(tok)
-    t.encode_special_tokens = True
     rng = np.random.default_rng(0)
-    pieces = [" ", "  ", "\n", "\t", "a", "b.", "c,", "don't", "'s", "é", "ß", "x y", " ", "日本", "12", "--", "<|endoftext|>", "A,", "z.", "\x1c", "."]
+    pieces = [" ", "  ", "\n", "\t", "a", "b.", "c,", "don't", "'s", "é", "ß", "x y", " ", "日本", "12", "--", "<|endoftext|>", "A,", "z.", "\x1c", ".", "\n\n", "Ġ", "Ā", "a\nB", "x.\n\n\ny!", "ñandú", "(", "²", "`~", "[]", "_"]
     texts = ["".join(rng.choice(pieces, 12)) for _ in range(400)] + [" ".join(rng.choice(pieces, 12)) for _ in range(400)] + ["", " "]
     for raw, text in zip(e.encode(texts), texts, strict=True):
         assert np.frombuffer(raw, e.dtype).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
@@ -53,42 +52,78 @@ def test_token_store(spark, tok, hard):
     shard = token_store.Shard(index.first().file)
     ids, mask = shard.sequence(0)
     assert len(ids) == len(mask) == 16
+    with pytest.raises(ValueError):
+        shard.document(10**6)
+    r = index.orderBy(F.desc("n_tokens")).first()  # over many sequences and batches
+    assert len(token_store.Shard(r.file).document(r.shard_start)) == r.n_tokens > 1000
     assert token_store.token_store(spark, empty(hard), tok).count() == 0
 
 
-def test_packing(spark, tok, hard):
-    rows = packing.pack(hard, tok, length=64).collect()
-    want = Counter((r.doc_id, zlib.crc32(np.array(plain_ids(tok, r.text), "<u4").tobytes())) for r in hard.collect())
-    assert sum(r.length for r in rows) == sum(len(plain_ids(tok, r.text)) for r in hard.collect())
-    by_seq = {}
-    for r in rows:
-        by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for parts in by_seq.values():
+def plain_order(totals, shares):
+    """Turns by hand: each id goes to the open queue whose next id is due first."""
+    given, out = [0] * len(totals), []
+    while len(out) < sum(totals):
+        k = min((k for k in range(len(totals)) if given[k] < totals[k]), key=lambda k: ((given[k] + 1) / shares[k], k))
+        given[k] += 1
+        out.append(k)
+    return out
+
+
+@pytest.mark.parametrize("weights,power", [(None, 1.0), (None, 0.5), ({"src": 1.0, "s1": 2.0, "s2": 0.5}, 1.0), ({"src": 1.0}, 1.0)])
+def test_packing(spark, tok, hard, weights, power):
+    """Every id in one piece, each piece with the ids of its document, and windows as turns by hand give them."""
+    more = spark.createDataFrame([(1000 + k % 30, " ".join(f"w{v}" for v in range(k % 17 + 1)), "en", f"s{1 + k % 2}", 1, 1) for k in range(60)], hard.schema)
+    docs = hard.where("doc_id <> 13 or doc_id is null").unionByName(more)
+    rows = packing.pack(docs, tok, weights=weights, length=64, power=power).collect()
+    pieces = Counter((r.doc_id, r.source, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows)
+    texts = [(r.doc_id, r.source or "", plain_ids(tok, r.text)) for r in docs.collect()]
+    open_pieces = dict(pieces)
+    for doc, source, ids in texts:  # each document is made of pieces, end to end
         at = 0
-        for offset, n in sorted(parts):
+        while at < len(ids):
+            found = next(p for p, n in open_pieces.items() if n and (p[0], p[1], p[2], p[5]) == (doc, source, at, len(ids)) and p[4] == zlib.crc32(np.array(ids[at : at + p[3]], "<u4").tobytes()))
+            open_pieces[found] -= 1
+            at += found[3]
+    assert not any(open_pieces.values())
+    by_seq, total = {}, sum(len(ids) for *_, ids in texts)
+    for r in rows:
+        by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length, r.source))
+    names = sorted({s for _, s, _ in texts})
+    totals = [sum(len(ids) for _, s, ids in texts if s == n) for n in names]
+    shares = [weights.get(n, 0.0) or 1e-9 * min(weights.values()) for n in names] if weights else [float(n) ** power for n in totals]
+    order = plain_order(totals, shares)
+    for seq, parts in by_seq.items():
+        at, have = 0, Counter()
+        for offset, n, source in sorted(parts):
             assert offset == at
             at += n
+            have[source] += n
         assert at == 64 or at & (at - 1) == 0 and at < 64
-    single = {d for (d, _), n in want.items() if sum(m for (e, _), m in want.items() if e == d) == 1}
-    for d in single - {None}:
-        mine = sorted((r.start, r.length, r.doc_tokens) for r in rows if r.doc_id == d)
-        assert mine[0][0] == 0 and all(a + n == b for (a, n, _), (b, _, _) in zip(mine, mine[1:], strict=False))
-        assert mine[-1][0] + mine[-1][1] == mine[0][2]
+        if seq < total // 64:
+            assert at == 64 and have == Counter(names[k] for k in order[64 * seq : 64 * seq + 64])
     assert packing.pack(empty(hard), tok).count() == 0
 
 
-@pytest.mark.parametrize("weights", [None, [0.5, 0.3, 0.2], [1.0, 1e-6, 5.0]])
+@pytest.mark.parametrize("weights", [None, [0.5, 0.3, 0.2], [1.0, 1e-6, 5.0], [0.0, 1.0, 1.0]])
 def test_schedule_keeps_shares(weights):
     totals = [3000, 500, 9000]
     s = packing.Schedule(totals, weights, 128)
-    given = np.zeros((3, s.windows + 1), int)
-    for k in range(3):
-        given[k] = s.given(k, np.arange(s.windows + 1) * 128)
-    assert (np.diff(given, axis=1) >= 0).all() and given[:, -1].tolist() == totals
+    given = s.given(np.arange(s.windows + 1) * 128)
+    assert (np.diff(given, axis=0) >= 0).all() and given[-1].tolist() == totals
+    assert (given.sum(axis=1) == np.minimum(np.arange(s.windows + 1) * 128, sum(totals))).all()
     share = np.array(weights or totals) / sum(weights or totals)
-    first = next((w for w in range(s.windows) if (given[:, w + 1] == totals).any()), s.windows)
+    first = next((w for w in range(s.windows) if (given[w + 1] == totals).any()), s.windows)
     for w in range(first):
-        assert (np.abs(given[:, w] - share * 128 * w) <= 3).all()
+        assert (np.abs(given[w] - share * 128 * w) <= 3).all()
+
+
+def test_schedule_of_many_queues_that_run_dry():
+    rng = np.random.default_rng(11)
+    totals, weights = rng.integers(1, 5000, 10_000), rng.random(10_000)
+    s = packing.Schedule(totals, weights, 1024)
+    at = np.array([0, 1, 2, s.windows // 2, s.windows // 2 + 1, s.windows - 1, s.windows])
+    given = s.given(at * 1024)
+    assert (given.sum(axis=1) == np.minimum(at * 1024, totals.sum())).all() and (np.diff(given, axis=0) >= 0).all() and (given <= totals).all()
 
 
 def plain_passages(texts, split, join, window, earlier):
@@ -102,19 +137,19 @@ def plain_passages(texts, split, join, window, earlier):
             if (seen[k] if earlier else total[k] > 1):
                 gone[i : i + window] = True
             seen[k] += 1
-        out.append((len(x), int(gone.sum()), hashlib.sha256(join([v for v, g in zip(x, gone, strict=True) if not g])).hexdigest()))
+        out.append((len(x), int(gone.sum()), hashlib.sha256(join([v for v, g in zip(x, gone, strict=True) if not g])).hexdigest(), int((np.diff(np.concatenate([[False], gone]).astype(int)) == 1).sum())))
     return out
 
 
 def test_substring_dedup(spark, hard):
-    got = [(r.n_words, r.n_removed, r.kept_sha256) for r in fm_dedup.substring_dedup(hard).orderBy("uid").collect()]
+    got = [(r.n_words, r.n_removed, r.kept_sha256, r.n_spans) for r in fm_dedup.substring_dedup(hard).orderBy("uid").collect()]
     want = plain_passages([r.text for r in ordered(hard)], lambda t: t.encode().split(), b" ".join, 20, True)
     assert got == want
     assert fm_dedup.substring_dedup(empty(hard)).count() == 0
 
 
 def test_suffix_dedup(spark, hard):
-    got = [(r.n_bytes, r.n_removed, r.kept_sha256) for r in bwt_dedup.suffix_dedup(hard).orderBy("uid").collect()]
+    got = [(r.n_bytes, r.n_removed, r.kept_sha256, r.n_spans) for r in bwt_dedup.suffix_dedup(hard).orderBy("uid").collect()]
     want = plain_passages([r.text for r in ordered(hard)], lambda t: list(t.encode()), bytes, 200, False)
     assert got == want
     assert bwt_dedup.suffix_dedup(empty(hard)).count() == 0
@@ -163,7 +198,7 @@ def test_hot_anchor_is_split(spark):
     rows = [(k, " ".join(f"a{v}" for v in rng.integers(0, 3, 12)) + " " + core + " " + " ".join(f"b{v}" for v in rng.integers(0, 3, 12))) for k in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = passages.repeated(df, fm_dedup.WORDS, fm_dedup.earlier, ~F.col("is_first"), cap=7)
-    got = [(r.n_units, r.n_removed, r.kept_sha256) for r in out.orderBy("uid").collect()]
+    got = [(r.n_units, r.n_removed, r.kept_sha256, r.n_spans) for r in out.orderBy("uid").collect()]
     assert got == plain_passages([t for _, t in rows], lambda t: t.encode().split(), b" ".join, 20, True)
 
 
@@ -190,10 +225,12 @@ def test_simhash(spark, hard):
     got = sorted(simhash.simhash_groups(hard).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.fingerprint))
     rows = sorted(((r.doc_id, fp(r.text)) for r in hard.collect()), key=lambda x: (x[0] is not None, x[0] or 0, f"{x[1]:016x}"))
     assert [(r.doc_id, r.fingerprint) for r in got] == [(d, f"{f:016x}") for d, f in rows]
-    for (d, f), r in zip(rows, got, strict=True):
-        near = [e for e, g in rows if (f ^ g).bit_count() <= 2 and e is not None]
-        assert r.component_id == min(near, default=None)  # no longer chains here
-        del d
+    label = {f: min((d for d, g in rows if g == f and d is not None), default=None) for _, f in rows}
+    named = {f: d for f, d in label.items() if d is not None}
+    for _ in range(len(named)):  # chains of links too
+        named = {f: min(d for g, d in named.items() if (f ^ g).bit_count() <= 2) for f in named}
+    for (_, f), r in zip(rows, got, strict=True):
+        assert r.component_id == named.get(f)
     assert simhash.simhash_groups(empty(hard)).count() == 0
 
 
@@ -234,6 +271,31 @@ def test_embedding_dedup(spark):
     assert pq_dedup.embedding_dedup(empty(df)).count() == 0
 
 
+def test_embedding_dedup_of_null_and_repeated_ids(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.01]), (7, [0.01, 1.0]), (None, [1.0, 1.0]), (None, [-1.0, 0.0]), (8, [-1.0, 0.02]), (None, None), (6, [1.0, 0.01])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id if r.component_id is not None else -1, r.kept) for r in pq_dedup.embedding_dedup(df, tile=2).collect())
+    assert got == sorted([(5, 2, 5, True), (5, 1, 5, True), (6, 2, 5, False), (6, 2, 5, False), (7, 1, 5, False), (-1, 0, -1, True), (-1, 1, 8, False), (8, 1, 8, True), (-1, 0, -1, True)])
+
+
+def test_dense_list_is_compared_in_bounded_memory():
+    """4096 vectors that all link: peaks at a small multiple of a block."""
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1, 64)) + rng.normal(size=(4096, 64)) * 0.05
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = pq_dedup.Quantiser.fit(x[:512], 1)
+    at, code, error, d = q.index(x)
+    near = pa.array([[0]] * len(x), pa.list_(pa.int32()))
+    t = pq_dedup.Tile(x, np.ones(len(x)), at, near, code, error)
+    tracemalloc.start()
+    links = sum(len(i) for i, _ in pq_dedup.meet(q, t, t, np.sqrt(0.2), 0.9, True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert links == 4096 * 4095 // 2 and peak < 300e6
+
+
 def test_language_id(spark, hard):
     en = ["the of and that with from this have which their were", "there where would about other these first people after"]
     de = ["der die und das mit von dass nicht eine auch werden", "über können müssen sich haben durch nach sehr schon"]
@@ -248,6 +310,86 @@ def test_language_id(spark, hard):
     assert langid.language_id(empty(hard)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 12, 200])
+def test_codewords_are_different_splits(n):
+    c = langid.codewords(n)
+    assert c.shape[0] == n and set(np.unique(c)) <= {-1, 1}
+    if n > 1:
+        assert len({tuple(row) for row in c.tolist()}) == n and (np.abs(c.sum(axis=0)) < n).all()
+    if n in (2, 3, 4):
+        columns = {tuple(x * x[0]) for x in c.T}
+        assert len(columns) == c.shape[1] == 2 ** (n - 1) - 1
+
+
+def test_decoding_by_loss():
+    """Against loops over codewords and bits; equal losses go to the first language, and are ambiguous."""
+    rng, c = np.random.default_rng(13), langid.codewords(5)
+    m = langid.LanguageModel(list("abcde"), c, langid.Features(), np.zeros((1, c.shape[1])), np.zeros(c.shape[1]))
+    margins = np.concatenate([rng.normal(size=(40, c.shape[1])) * 3, np.zeros((1, c.shape[1]))])
+    best, score, lead = m.decode(margins)
+    for row, b, s, d in zip(margins, best, score, lead, strict=True):
+        loss = [np.mean([np.exp(-max(-2.0, min(2.0, x * y))) for x, y in zip(row, word, strict=True)]) for word in c]
+        p = np.exp(-2 * np.array(loss))
+        p = sorted(p / p.sum())
+        assert b == int(np.argmin(loss)) and abs(s - p[-1]) < 1e-9 and abs(d - (p[-1] - p[-2])) < 1e-9
+    assert best[-1] == 0 and lead[-1] == 0
+
+
+def test_language_of_long_texts_and_every_language(spark):
+    """Features of a long text are those of all of it, and a language with one row is learned."""
+    f = langid.Features(buckets=64)
+    text = "abc " * 5000 + "xyz " * 5000
+    x = f.matrix([text])[0]
+    assert abs(x.sum() - 3) < 1e-3 and abs(f.scores([text], np.eye(len(x), dtype=np.float32))[0] - x).max() < 1e-5
+    rows = [(k, f"{c * 3} {c * 2} {c}{c} {k}", f"l{c}") for k, c in enumerate("abcdefgh" * 9)] + [(500, "zz zzz zz", "lz"), (501, "zz zzz zz", "lz"), (502, "zz zzz zz", "lz")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=4)
+    assert model.languages == [f"l{c}" for c in "abcdefghz"]
+
+
+def plain_quality(rows):
+    """Votes by hand and EM over rows one by one."""
+    rules = [
+        (lambda r: r["n_words"] >= 40, lambda r: r["n_words"] < 12), (lambda r: r["n_repeat_words"] * 100 <= r["n_words"], lambda r: r["n_repeat_words"] * 10 > r["n_words"]),
+        (lambda r: r["n_dup_lines"] == 0, lambda r: r["n_dup_lines"] >= 3), (lambda r: r["n_symbols"] * 50 <= r["n_words"], lambda r: r["n_symbols"] * 8 > r["n_words"]),
+        (lambda r: r["n_symbol_words"] * 50 <= r["n_words"], lambda r: r["n_symbol_words"] * 10 > r["n_words"]), (lambda r: r["n_letters"] * 100 >= r["word_chars"] * 93, lambda r: r["n_letters"] * 100 < r["word_chars"] * 90),
+        (lambda r: r["n_upper"] * 5 <= r["word_chars"], lambda r: r["n_upper"] * 2 > r["word_chars"]), (lambda r: r["n_end_marks"] * 4 <= r["n_words"], lambda r: r["n_end_marks"] * 2 > r["n_words"]),
+        (lambda r: 3 * r["n_words"] <= r["word_chars"] <= 9 * r["n_words"], lambda r: r["word_chars"] < 2 * r["n_words"] or r["word_chars"] > 14 * r["n_words"]),
+    ]
+    votes = [[-1 if bad(r) else 1 if good(r) else 0 for good, bad in rules] for r in rows]
+    belief = {1: {-1: 0.03, 0: 0.12, 1: 0.85}, 0: {-1: 0.3, 0: 0.2, 1: 0.5}}
+    chance = {c: [dict(belief[c]) for _ in rules] for c in belief}
+    prior, weight = 0.8, 0.02 * len(rows) + 1
+
+    def post(v):
+        a, b = (p * np.prod([chance[c][k][x] for k, x in enumerate(v)]) for c, p in ((0, 1 - prior), (1, prior)))
+        return b / (a + b)
+
+    for _ in range(200):
+        p = [post(v) for v in votes]
+        new = float(np.mean(p))
+        for c, share in ((1, p), (0, [1 - x for x in p])):
+            for k in range(len(rules)):
+                for x in (-1, 0, 1):
+                    chance[c][k][x] = (sum(s for s, v in zip(share, votes, strict=True) if v[k] == x) + weight * belief[c][x]) / (sum(share) + weight)
+        if abs(new - prior) < 1e-10:
+            break
+        prior = min(max(new, 1e-6), 1 - 1e-6)
+    return [post(v) for v in votes]
+
+
+def test_quality_verdicts(spark):
+    """``kept`` and ``posterior`` against votes and EM done row by row."""
+    from tests.conftest import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r for r in quality.quality(docs).collect()}
+    stats = [r.asDict() for r in quality.statistics(docs).collect()]
+    for r, p in zip(stats, plain_quality(stats), strict=True):
+        assert abs(got[r["doc_id"]].posterior - p) < 1e-6
+        assert got[r["doc_id"]].kept == (not got[r["doc_id"]].base_failed and p >= 0.5)
+    assert 0 < sum(r.kept for r in got.values()) < len(got)
+
+
 def test_quality(spark, hard):
     got = sorted(quality.quality(hard).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.n_words))
     rows = sorted(hard.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, len(WORD.findall(r.text or ""))))
@@ -299,9 +441,56 @@ def test_mixing_meets_targets(spark):
     have = {d: sum(r.rate * r.tokens * r[f"p_{d}"] for r in out) for d in ("good", "toxic")}
     assert abs(have["toxic"] / sum(have.values()) - 0.03) < 0.01
     assert mixing.mix(empty(docs), labelled, {"good": 1.0}).count() == 0
+    assert abs(sum(r.copies for r in out) - sum(r.rate for r in out)) < 40
     assert {r.copies for r in mixing.mix(docs, labelled.where("false"), {"good": 1.0}).collect()} == {1}
 
 
+def dense_rates(p, tokens, goal, ridge, steps=200_000):
+    """Accelerated projected gradient on every row's rate."""
+    t = tokens / tokens.sum()
+    r = y = np.ones(len(p))
+    momentum, rate = 1.0, 1 / ((p * p * t[:, None]).sum(axis=0).sum() + ridge)
+    for _ in range(steps):
+        new = np.maximum(0, y - rate * (p @ ((t * y) @ p - goal) + ridge * (y - 1)))
+        after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        y = new + (momentum - 1) / after * (new - r)
+        if np.abs(new - r).max() < 1e-13:
+            break
+        r, momentum = new, after
+    return r
+
+
+@pytest.mark.parametrize("weights", [[0.95, 0.05, 0.0], [0.2, 0.5, 0.3], [0.0, 0.0, 1.0]])
+def test_rates_are_the_least_squares_optimum(spark, weights):
+    rng = np.random.default_rng(14)
+    p = rng.dirichlet([0.3, 0.1, 0.1], 300)
+    tokens = rng.integers(0, 400, 300)
+    members = spark.createDataFrame([(int(t), q.tolist()) for t, q in zip(tokens, p, strict=True)], "tokens long, p array<double>")
+    pull, reached = mixing.rates(members, weights)
+    rate = np.maximum(0, 1 - p @ np.array(pull))
+    want = dense_rates(p, tokens.astype(float), np.array(weights), mixing.RIDGE)
+    some = tokens > 0
+    cost = lambda r: ((((tokens / tokens.sum()) * r) @ p - weights) ** 2).sum() + mixing.RIDGE * (tokens / tokens.sum() * (r - 1) ** 2).sum()
+    assert cost(rate) <= cost(want) + 1e-7 and np.abs(rate - want)[some].max() < 0.02
+    assert np.allclose(reached["expected"], (tokens * rate) @ p)
+
+
+def test_mixture_by_copies_meets_targets(spark):
+    """Whole documents with very long texts, ties and a further column: shares by copies are within half a point."""
+    rng, n = np.random.default_rng(15), 6000
+    kind = rng.choice(3, n, p=[0.75, 0.15, 0.1])
+    rows = [(k, " ".join(f"{'gpt'[d]}{v}" for v in rng.integers(0, 30, 20)) + " " + " ".join(f"w{v}" for v in rng.integers(0, 50, 20)), 7) for k, d in enumerate(kind)]
+    rows[0] = (0, rows[0][1] * 2000, 7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, copies int")
+    labelled = spark.createDataFrame([(k, ("good", "poor", "toxic")[d]) for k, d in enumerate(kind[:1500].tolist())], "doc_id long, domain string")
+    out = mixing.mix(docs, labelled, mixing.WEIGHTS).collect()
+    have = np.zeros(3)
+    for r in out:
+        if r.doc_id:
+            have[kind[r.doc_id]] += r.copies * r.tokens
+    assert np.abs(have / have.sum() - [0.95, 0.05, 0.0]).max() < 0.005
+
+
 def test_packing_of_many_sources(spark, tok, hard, monkeypatch):
     """More sources than the schedule in line takes: every id in one place, every sequence full, shares in every window."""
     monkeypatch.setattr(packing, "MOST_SOURCES", 3)
@@ -325,7 +514,7 @@ def test_packing_of_many_sources(spark, tok, hard, monkeypatch):
 def test_halves_gives_each_queue_its_share():
     totals = np.random.default_rng(4).integers(1, 400, 37)
     plan, all_ids = packing.Halves(totals, 128), int(totals.sum())
-    given = [[plan.given(k, g) for k in range(37)] for g in range(all_ids + 1)]
+    given = [[plan.given_by(k, g) for k in range(37)] for g in range(all_ids + 1)]
     assert given[-1] == totals.tolist() and all(sum(x) == g for g, x in enumerate(given))
     assert (np.diff(np.array(given), axis=0) >= 0).all()
     assert np.abs(np.array(given) - np.arange(all_ids + 1)[:, None] * totals / all_ids).max() < 6  # less than one id for each of six splits

@@ -3,9 +3,10 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from aerospan.llm import simhash
+from aerospan.llm import langid, simhash
 from aerospan.llm.common import written
 from aerospan.llm.queries import table
 from tests.conftest import SF
@@ -22,7 +23,17 @@ def test_stages(spark):
         assert kept[k], name
         if k < 4:
             assert docs.columns == columns
-    assert {r.doc_id for r in kept[0]} == {d for d, r in before.items() if r.text and any(c.isalpha() for c in r.text)}
+    model, rejected = langid.fit(table(spark, SF, "documents")), set()
+    for d, r in before.items():  # the nearest codeword by loops
+        if r.text and any(c.isalpha() for c in r.text):
+            m = model.features.matrix([r.text]) @ model.weights + model.bias
+            loss = [np.mean([np.exp(-max(-2.0, min(2.0, x * y))) for x, y in zip(m[0], word, strict=True)]) for word in model.codes]
+            p = sorted(np.exp(-2 * np.array(loss)) / np.exp(-2 * np.array(loss)).sum())
+            if p[-1] - p[-2] < C.LEAD:
+                rejected.add(d)
+        else:
+            rejected.add(d)
+    assert {r.doc_id for r in kept[0]} == set(before) - rejected
     fps = {r.doc_id: [simhash.bits(simhash.shingle_hashes(r.text, 5, 42 + w)) for w in range(2)] for r in kept[0]}
     label = {d: d for d in fps}
     near = {d: [e for e in fps if sum((x ^ y).bit_count() for x, y in zip(fps[d], fps[e], strict=True)) <= 25] for d in fps}
@@ -32,7 +43,7 @@ def test_stages(spark):
     second = sorted(kept[1], key=lambda r: r.doc_id)
     want = plain_passages([r.text for r in second], lambda t: t.encode().split(), b" ".join, 20, True)
     left = {r.doc_id: len(r.text.split()) for r in kept[2]}
-    assert {r.doc_id: n - gone for r, (n, gone, _) in zip(second, want, strict=True) if n - gone} == left
+    assert {r.doc_id: n - gone for r, (n, gone, *_) in zip(second, want, strict=True) if n - gone} == left
     assert all(r.n_chars == len(r.text) for r in kept[2])
     assert {r.doc_id for r in kept[3]} <= set(left) and sum(r.length for r in kept[4]) > 0
 
@@ -51,3 +62,29 @@ def test_mixture_keeps_good_documents_where_poor_ones_are_rare(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     got = {r.doc_id for r in C.mixture(spark, docs, str(tmp_path)).collect()}
     assert got >= {k for k, bad in enumerate(poor) if not bad}
+
+
+def test_stages_on_awkward_rows(spark, hard):
+    """Nulls, repeated and empty rows, very long texts and columns whose names the stages use themselves; empty tables."""
+    docs = hard
+    for c in ("uid", "removed", "copies", "copy", "_text", "row", "left", "fp", "_at", "_part", "_row", "_hash"):
+        docs = docs.withColumn(c, F.lit(f"my {c}"))
+    docs = written(docs, "hard")
+    first = {(r.doc_id, r.text) for r in docs.collect()}
+    for name, stage in C.STAGES[:-1]:
+        out = written(stage(spark, docs, SF), "stage")
+        rows = out.collect()
+        assert out.columns == docs.columns and rows, name
+        assert all(r[c] == f"my {c}" for r in rows for c in ("uid", "removed", "copies", "copy", "_text", "row", "left", "fp")), name
+        if name != "substring dedup":
+            assert {(r.doc_id, r.text) for r in rows} <= first, name
+        assert stage(spark, docs.where("false"), SF).count() == 0, name
+    packed = C.STAGES[-1][1](spark, docs, SF)
+    assert packed.count() > 0 and C.STAGES[-1][1](spark, docs.where("false"), SF).count() == 0
+
+
+def test_language_stage_without_languages(spark, hard):
+    """Where nothing can be learned, texts with a letter stay."""
+    docs = hard.withColumn("lang", F.lit(None).cast("string"))
+    got = sorted(r.doc_id or -1 for r in C.language(spark, docs, SF).collect())
+    assert got == sorted(r.doc_id or -1 for r in docs.collect() if r.text and any(c.isalpha() for c in r.text))
