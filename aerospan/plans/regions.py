@@ -110,9 +110,9 @@ def mesh_clip(spark, sf_dir):
     return R.clipped(elements(spark, sf_dir), nodes, F.col("x").between(0, 12) & (F.col("y") >= 0)).select("elem_id")
 
 
-@query(f"WITH {ELEMENTS} SELECT node_id, round(avg(v), 4) AS v FROM e GROUP BY node_id")
+@query(f"WITH {ELEMENTS} SELECT node_id, round(avg(v) + 1e-7, 4) AS v FROM e GROUP BY node_id")
 def cell_to_point(spark, sf_dir):
-    return R.cell_to_point(elements(spark, sf_dir), "v").select("node_id", rounded(F.col("v"), 4).alias("v"))
+    return R.cell_to_point(elements(spark, sf_dir), "v").select("node_id", rounded(F.col("v") + 1e-7, 4).alias("v"))  # means of cents end in ties
 
 
 @query("""WITH e AS (SELECT l_orderkey AS elem_id, list(l_partkey ORDER BY l_partkey) AS nodes FROM lineitem GROUP BY 1), m AS (SELECT max(len(nodes)) AS m FROM e)
