@@ -101,16 +101,19 @@ def links(reps: DataFrame, radius: int, words: int = 1, parts: int = 3, tile: in
     return pairs.mapInArrow(compare, "u long, v long")
 
 
-def near(x: np.ndarray, y: np.ndarray, radius: int, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+def near(x: np.ndarray, y: np.ndarray, radius: int, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """All (i, j) with at most ``radius`` differing bits between x[i] and y[j]."""
     out, step = [], max(1, block // max(1, len(y)))
     columns = [np.ascontiguousarray(y[:, w]) for w in range(y.shape[1])]
+    least = np.uint8(min(radius // len(columns), 64))  # some word differs by no more than this
     for at in range(0, len(x), step):
         part = x[at : at + step]
-        hit = np.bitwise_count(part[:, :1] ^ columns[0]) <= radius
+        hit = np.bitwise_count(part[:, :1] ^ columns[0]) <= least
+        for w, column in enumerate(columns[1:], 1):
+            hit |= np.bitwise_count(part[:, w : w + 1] ^ column) <= least
         if hit.any():
             i, j = np.nonzero(hit)
-            if len(columns) > 1:  # the first word leaves few pairs
+            if len(columns) > 1:
                 d = sum(np.bitwise_count(part[i, w] ^ c[j]).astype(np.int16) for w, c in enumerate(columns))
                 i, j = i[d <= radius], j[d <= radius]
             out.append((i + at, j))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from aerospan.llm import bwt_dedup, chat, fm_dedup, langid, mixing, packing, passages, pq_dedup, quality, simhash, token_store, tokens
+from aerospan.llm import bwt_dedup, chat, fm_dedup, langid, mixing, near_copies, packing, passages, pq_dedup, quality, simhash, token_store, tokens
 from aerospan.llm.common import forest, shared_path
 from aerospan.llm.graph import components
 
@@ -234,6 +234,56 @@ def test_simhash(spark, hard):
     assert simhash.simhash_groups(empty(hard)).count() == 0
 
 
+def plain_copies(texts, width=5, least=0.8):
+    """Component of each text by the shared part of the union of shingle sets, all pairs."""
+    sets = {}
+    for d, t in texts.items():
+        w = [x.lower() if x.isascii() else "".join(c.lower() if c.isascii() else c for c in x) for x in WORD.findall(t or "")]
+        sets[d] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+    linked = lambda a, b: a == b or len(a & b) >= least * len(a | b) - 1e-9
+    near = {d: [e for e in sets if linked(sets[d], sets[e])] for d in sets}
+    label = {d: d for d in sets}
+    for _ in sets:
+        new = {d: min(label[e] for e in near[d]) for d in label}
+        if new == label:
+            return label
+        label = new
+    return label
+
+
+@pytest.mark.parametrize("block", [1 << 18, 600])
+def test_near_copies_by_shingles(spark, block):
+    """Chains of edits, copies, texts that share half of their words, short and empty texts; with one block a group and with many."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 5000, n)]
+    texts = ["", None, " \n", "one", "One", "two words", "a b c d e", "A b c d e f"]
+    for size in (40, 120, 300):
+        for _ in range(3):
+            at = fresh(size)
+            for step in range(14):
+                texts.append(" ".join(at))
+                at = list(at)
+                for p in rng.integers(0, size, max(1, size // 60)):
+                    at[p] = f"e{rng.integers(0, 10**6)}"
+            texts.append(" ".join(at[: size // 2] + fresh(size // 2)))
+            texts.append(" ".join(at[: int(size * 0.85)]))
+    texts += texts[8:30]
+    order = rng.permutation(len(texts))
+    rows = {int(d): texts[k] for d, k in enumerate(order)}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs, tile=32, block=block).collect()}
+    assert got == plain_copies(rows)
+
+
+def test_near_copies_on_awkward_rows(spark, hard):
+    from aerospan.llm.common import with_uid
+
+    rows = with_uid(hard.withColumn("label", F.lit(1)))
+    texts = {r.uid: r.text for r in rows.collect()}
+    assert {r.uid: r.component_id for r in near_copies.near_copies(rows, node="uid").collect()} == plain_copies(texts)
+    assert near_copies.near_copies(rows.where("false"), node="uid").count() == 0
+
+
 def test_simhash_tiles_lose_nothing(spark):
     rng = np.random.default_rng(7)
     base = rng.integers(0, 1 << 63, 60, dtype=np.int64)

@@ -6,11 +6,11 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from aerospan.llm import langid, simhash
+from aerospan.llm import langid
 from aerospan.llm.common import written
 from aerospan.llm.queries import table
 from tests.conftest import SF
-from tests.llm.test_ops import plain_passages
+from tests.llm.test_ops import plain_copies, plain_passages
 
 
 def test_stages(spark):
@@ -34,12 +34,7 @@ def test_stages(spark):
         else:
             rejected.add(d)
     assert {r.doc_id for r in kept[0]} == set(before) - rejected
-    fps = {r.doc_id: [simhash.bits(simhash.shingle_hashes(r.text, 5, 42 + w)) for w in range(2)] for r in kept[0]}
-    label = {d: d for d in fps}
-    near = {d: [e for e in fps if sum((x ^ y).bit_count() for x, y in zip(fps[d], fps[e], strict=True)) <= 25] for d in fps}
-    for _ in range(10):
-        label = {d: min(label[e] for e in near[d]) for d in label}
-    assert {r.doc_id for r in kept[1]} == {d for d in fps if label[d] == d}
+    assert {r.doc_id for r in kept[1]} == {d for d, c in plain_copies({r.doc_id: r.text for r in kept[0]}).items() if d == c}
     second = sorted(kept[1], key=lambda r: r.doc_id)
     want = plain_passages([r.text for r in second], lambda t: t.encode().split(), b" ".join, 20, True)
     left = {r.doc_id: len(r.text.split()) for r in kept[2]}
