@@ -14,16 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerospan.llm import fm_dedup, langid, mixing, packing, simhash
+from aerospan.llm import fm_dedup, langid, mixing, packing
+from aerospan.llm import near_copies as near
 from aerospan.llm.common import slices, with_uid, written
 from aerospan.llm.passages import keep, repeated
 from aerospan.llm.queries import table, tokenizer_path
 
 ORACLE_SQL = None
 
-#: Near copies: shingles of five words, fingerprints of 128 bits, at least 0.8 of them equal.
-SHINGLE, WORDS, SIMILARITY = 5, 2, 0.8
-
+#: Near copies: sets of five-word shingles of which two texts share at least 0.8 of the union.
+SHINGLE, SIMILARITY = 5, 0.8
 
 #: Lead of the nearest codeword over the next below which a document's language counts as undecided.
 LEAD = 0.05
@@ -51,11 +51,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the least doc_id (nulls first, ties by a hash of the text).
 
-    Null and empty texts have fingerprint zero and are copies of each other; repeated rows are copies; an empty table gives no rows.
+    Fingerprints name the candidates and the shingles decide. Null and empty texts are copies of each other; repeated rows are
+    copies; an empty table gives no rows.
     """
     rows = rows_of(docs)
-    fps = simhash.fingerprints(rows, SHINGLE, WORDS, keep=("uid",))
-    groups = simhash.grouped(fps, int(64 * WORDS * (1 - SIMILARITY) + 1e-9), WORDS, parts=1, node="uid")
+    groups = near.near_copies(rows, SHINGLE, SIMILARITY, node="uid")
     first = groups.where("uid = component_id").select("uid")
     return rows.join(first, "uid", "left_semi").select("row.*")
 
