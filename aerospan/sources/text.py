@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from aerospan.functions.numeric import truncate
+
 WITNESS = "file string, iter long, time double, wit_id long, var string, value double"
 
 
@@ -151,3 +153,53 @@ def xdmf(times: list[float], topology: str, cells: int, per_cell: int, nodes: in
         mesh = f'<Topology TopologyType="{topology}" NumberOfElements="{cells}">{item(f"{cells} {per_cell}", "Int", f"{file}:/connectivity")}</Topology><Geometry GeometryType="XYZ">{item(f"{nodes} 3", "Float", f"{file}:/points")}</Geometry>'
         grids.append(f'<Grid Name="mesh" GridType="Uniform"><Time Value="{t!r}"/>{mesh}{attributes}</Grid>')
     return f'<?xml version="1.0"?><Xdmf Version="3.0"><Domain><Grid Name="series" GridType="Collection" CollectionType="Temporal">{"".join(grids)}</Grid></Domain></Xdmf>'
+
+
+def between(lines: DataFrame, marker: str) -> DataFrame:
+    """Lines (n, value; n ascending) between the first two that contain ``marker``; none if there are fewer than two."""
+    marks = lines.where(F.col("value").contains(marker)).select("n").orderBy("n").limit(2)
+    ends = marks.agg(F.min("n").alias("a"), F.max("n").alias("b"))  # one row
+    return lines.crossJoin(F.broadcast(ends)).where("n > a and n < b").select("n", "value")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of one text file with ``n``, ascending in the order of the file."""
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), "value")
+
+
+def geometry_coordinates(spark: SparkSession, path: str, digits: int = 6) -> DataFrame:
+    """(node_id, xs): node numbers and coordinates, cut to ``digits`` decimals, from the lines between two that say COORD."""
+    words = F.split(F.trim("value"), r"\s+")
+    body = between(numbered_lines(spark, path), "COORD").select(words.alias("w"))
+    cut = lambda x: truncate(x.cast("double"), digits)
+    return body.select(F.get("w", F.lit(0)).cast("long").alias("node_id"), F.transform(F.slice("w", F.lit(2), F.size("w") - 1), cut).alias("xs"))
+
+
+def off_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Vertices (node_id, x, y, z) and faces (elem_id, nodes) of an OFF text; comments and empty lines are passed over.
+
+    The counts are read first; then a line is a vertex or a face by its place, found in sorted ranges.
+    """
+    text = numbered_lines(spark, path).withColumn("value", F.trim(F.regexp_replace("value", "#.*", ""))).where("value <> ''")
+    head = text.orderBy("n").limit(2).collect()  # two lines: the keyword, and the counts
+    counts = [int(x) for x in head[1]["value"].split()]
+    rows = text.where(F.col("n") > head[1]["n"]).select("n", F.split("value", r"\s+").alias("w"))
+    part = F.shiftright("n", 33)
+    before = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size")).select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("start"))  # a row for each file split
+    place = F.row_number().over(Window.partitionBy("part").orderBy("n")) - 1 + F.col("start")
+    placed = rows.withColumn("part", part).join(F.broadcast(before), "part").select(place.alias("k"), "w")
+    x = lambda k: F.get("w", F.lit(k)).cast("double")
+    vertices = placed.where(F.col("k") < counts[0]).select(F.col("k").alias("node_id"), x(0).alias("x"), x(1).alias("y"), x(2).alias("z"))
+    size = F.get("w", F.lit(0)).cast("int")
+    faces = placed.where((F.col("k") >= counts[0]) & (F.col("k") < counts[0] + counts[1]))
+    return vertices, faces.select((F.col("k") - counts[0]).alias("elem_id"), F.transform(F.slice("w", F.lit(2), size), lambda v: v.cast("long")).alias("nodes"))
+
+
+def off_lines(nodes: DataFrame, elements: DataFrame) -> DataFrame:
+    """Lines of an OFF text, with ``k`` to order them: keyword, counts, vertices, faces."""
+    n = nodes.agg(F.count(F.lit(1)).alias("n")).crossJoin(elements.agg(F.count(F.lit(1)).alias("m")))  # one row
+    key = lambda part, at: F.struct(F.lit(part).alias("part"), at.cast("long").alias("id")).alias("k")
+    head = n.select(F.explode(F.array(F.struct(key(0, F.lit(0)), F.lit("OFF").alias("value")), F.struct(key(1, F.lit(0)), F.concat_ws(" ", "n", "m", F.lit(0)).alias("value")))).alias("h")).select("h.*")
+    v = nodes.select(key(2, F.col("node_id")), F.concat_ws(" ", *(F.format_string("%.6f", c) for c in ("x", "y", "z"))).alias("value"))
+    f = elements.select(key(3, F.col("elem_id")), F.concat_ws(" ", F.size("nodes"), F.array_join(F.col("nodes").cast("array<string>"), " ")).alias("value"))
+    return head.unionByName(v).unionByName(f)

@@ -91,3 +91,24 @@ def test_field_files(spark, tmp_path):
         B.edit_header(str(tmp_path / "a.fld"), Nothing=1)
     df.select("c0", "c1").write.format("aerospan_field").mode("append").save(str(tmp_path / "out"))
     assert spark.read.format("aerospan_field").load(f"{tmp_path}/out/*.fld").count() == 10
+
+
+def test_geometry_coordinates(spark, tmp_path):
+    (tmp_path / "a.geo").write_text("NODES\n 1 2\nEND\n COORDINATES\n 1 0.12345678 -1.0 2\n 2 1e-3 4 5\n END_COORDINATES\n 7 7 7 7\n")
+    got = {r.node_id: r.xs for r in S.geometry_coordinates(spark, str(tmp_path / "a.geo")).collect()}
+    assert got == {1: [0.123457, -1.0, 2.0], 2: [0.001, 4.0, 5.0]}
+    (tmp_path / "b.geo").write_text("1 2 3\n")
+    assert S.geometry_coordinates(spark, str(tmp_path / "b.geo")).count() == 0
+
+
+def test_off_round_trip(spark, tmp_path):
+    (tmp_path / "a.off").write_text("OFF\n# a comment\n4 2 0\n\n0 0 0\n1 0 0 # corner\n1 1 0\n0 1 0.5\n3 0 1 2\n4 0 1 2 3\n")
+    nodes, elements = S.off_mesh(spark, str(tmp_path / "a.off"))
+    assert sorted(map(tuple, nodes.collect())) == [(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 1.0, 1.0, 0.0), (3, 0.0, 1.0, 0.5)]
+    assert sorted((r.elem_id, r.nodes) for r in elements.collect()) == [(0, [0, 1, 2]), (1, [0, 1, 2, 3])]
+    lines = [r.value for r in S.off_lines(nodes, elements).orderBy("k").collect()]
+    assert lines[:3] == ["OFF", "4 2 0", "0.000000 0.000000 0.000000"] and lines[-1] == "4 0 1 2 3"
+    (tmp_path / "b.off").write_text("\n".join(lines))
+    again = S.off_mesh(spark, str(tmp_path / "b.off"))
+    assert sorted(map(tuple, again[0].collect())) == sorted(map(tuple, nodes.collect()))
+    assert sorted(r.nodes for r in again[1].collect()) == sorted(r.nodes for r in elements.collect())
