@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerospan.functions import vectors as V
 from aerospan.functions.numeric import bunching, triangle_area
 from aerospan.session import cut_lineage
 
@@ -178,6 +179,30 @@ def laplacian(elements: DataFrame, nodes: DataFrame, field: DataFrame, value: st
     return divergence(elements, nodes, gradient(elements, nodes, field, value), "gx", "gy").withColumnRenamed("div", "lap")
 
 
+def solid_gradients(elements: DataFrame, nodes: DataFrame, field: DataFrame, values: list[str]) -> DataFrame:
+    """(node_id, one array of three for each value): gradients at nodes of a mesh of tetrahedra, constant on each element and
+    weighted by volume at its corners. All values share one gather and one scatter; an element without volume has no weight."""
+    g = gather(elements, nodes.join(field.select("node_id", *values), "node_id"))
+    s = F.struct("pos", F.array("x", "y", "z").alias("at"), *values)
+    e = g.groupBy("elem_id").agg(F.array_sort(F.collect_list(s)).alias("c")).join(elements, "elem_id")
+    c = lambda k: F.get("c", F.lit(k))
+    for k in (1, 2, 3):
+        e = e.withColumn(f"_e{k}", F.zip_with(c(k)["at"], c(0)["at"], lambda a, b: a - b))
+    e = e.withColumn("_c1", V.cross(F.col("_e2"), F.col("_e3"))).withColumn("_c2", V.cross(F.col("_e3"), F.col("_e1"))).withColumn("_c3", V.cross(F.col("_e1"), F.col("_e2")))
+    e = e.withColumn("_d", V.dot(F.col("_e1"), F.col("_c1")))
+    rise = lambda v, axis: V.total([(c(k)[v] - c(0)[v]) * V.comp(F.col(f"_c{k}"), axis) for k in (1, 2, 3)])
+    parts = [(F.signum("_d") * rise(v, axis)).alias(f"{v}_{axis}") for v in values for axis in range(3)]  # gradient times volume
+    at = e.select(F.explode("nodes").alias("node_id"), F.abs("_d").alias("_w"), *parts)
+    mean = lambda v, axis: F.try_divide(F.sum(f"{v}_{axis}"), F.sum("_w"))
+    return at.groupBy("node_id").agg(*(F.array(*(mean(v, axis) for axis in range(3))).alias(v) for v in values))
+
+
+def solid_divergence(elements: DataFrame, nodes: DataFrame, field: DataFrame, values: list[str]) -> DataFrame:
+    """(node_id, div) of the vector with the three ``values``."""
+    g = solid_gradients(elements, nodes, field, values)
+    return g.select("node_id", V.total([V.comp(F.col(v), k) for k, v in enumerate(values)]).alias("div"))
+
+
 def to_gauss(elements: DataFrame, field: DataFrame, value: str, shape: list[list[float]]) -> DataFrame:
     """Values at Gauss points: ``shape`` has the corner functions at each point."""
     g = gather(elements, field.select("node_id", value))

@@ -45,6 +45,15 @@ def weighted_moment(values: list[Column], time: str) -> Column:
     return F.try_divide(F.sum(F.col("dt") * product), F.max(time))
 
 
+def moment_tensor(factors: list[list[Column]], time: str) -> Column:
+    """Moments of all products of one component of each of two or three vectors: an array whose index has the first vector's
+    component running fastest (i1 + 3 i2, i1 + 3 i2 + 9 i3)."""
+    picks = [()]
+    for vector in factors:
+        picks = [(*p, x) for x in vector for p in picks]
+    return F.array(*(weighted_moment(list(p), time) for p in picks))
+
+
 def running_mean(df: DataFrame, value: Column, time: str, order: list[str], by: list[str]) -> DataFrame:
     """Add ``running``, the weighted mean of ``value`` up to each instant, to rows that have ``dt``."""
     s = sliced(df.withColumn("_x", F.col("dt") * value), time)

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,17 +19,107 @@ def periodogram(series: DataFrame, by: str, index: str, value: str, n: int) -> D
     return j.select(by, "k", ((F.col("c") * F.col("c") + F.col("s") * F.col("s")) / n).alias("power"))
 
 
-def whole_periodogram(series: DataFrame, by: str, index: str, value: str) -> DataFrame:
-    """(by, k, power) for k = 0 .. n/2 of each series, n its own number of samples: a fast transform of each series in one
-    task, which holds that series. A missing value adds nothing, as in a sum."""
-    kind = series.schema[by].dataType.simpleString()
+#: Samples of a series up to which one task transforms it whole; longer ones are dealt to tasks of about the square root of that.
+WHOLE = 1 << 18
 
-    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        power = np.abs(np.fft.rfft(pdf.sort_values("_i")["_v"].to_numpy())) ** 2 / len(pdf)
-        return pd.DataFrame({by: pd.Series([key[0]] * len(power), dtype=object), "k": np.arange(len(power)), "power": power})
 
-    cut = series.select(by, F.col(index).alias("_i"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v"))
-    return cut.groupBy(by).applyInPandas(kernel, f"{by} {kind}, k long, power double")
+def sized(series: DataFrame, by: str) -> DataFrame:
+    """Add ``n``, the number of samples of each series; a null name is a name."""
+    sizes = series.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("n"))
+    return series.join(sizes, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+
+
+def fourier(series: DataFrame, by: str, index: str, value: str, whole: int = WHOLE) -> DataFrame:
+    """(by, n, k, re, im) for k = 0 .. n/2: the transform of each series (by, index 0 .. n-1, value, n) over its own number of
+    samples. A missing value adds nothing, as in a sum. A series of more than ``whole`` samples is a convolution with a chirp, by
+    transforms over powers of two that :func:`_dealt` spreads over tasks; its index may go up to 3 * 10**9."""
+    kind = series.schema[by].dataType.simpleString()
+    cut = series.select(F.col(by).alias("_by"), "n", F.col(index).cast("long").alias("_j"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v"))
+
+    def kernel(rows: pa.Table) -> pa.Table:
+        y = np.zeros(rows.column("n")[0].as_py())
+        y[rows.column("_j").to_numpy()] = rows.column("_v").to_numpy()
+        x = np.fft.rfft(y)
+        named = pa.repeat(rows.column("_by")[0], len(x))
+        return pa.Table.from_arrays([named, pa.repeat(rows.column("n")[0], len(x)), pa.array(np.arange(len(x))), pa.array(x.real), pa.array(x.imag)], ["_by", "n", "k", "re", "im"])
+
+    schema = f"_by {kind}, n long, k long, re double, im double"
+    short = cut.where(F.col("n") <= whole).groupBy("_by").applyInArrow(kernel, schema)
+    return short.unionByName(_chirped(cut.where(F.col("n") > whole), kind)).withColumnRenamed("_by", by)
+
+
+def _chirped(cut: DataFrame, kind: str) -> DataFrame:
+    """The transform over any number of samples: x_j w_j convolved with 1 / w_j, w_j = exp(-i pi j^2 / n)."""
+    phase = lambda j: math.pi * F.pmod(j * j, 2 * F.col("n")) / F.col("n")
+    bits = F.ceil(F.log2(2.0 * F.col("n"))).cast("int")
+    j, v = F.col("_j"), F.col("_v")
+    c, s = F.cos(phase(j)), F.sin(phase(j))
+    at = lambda part, place, re, im: F.struct(F.lit(part).alias("_w"), place.alias("_j"), re.alias("re"), im.alias("im"))
+    behind = F.expr("shiftleft(1L, _m)") - j
+    terms = [at(0, j, v * c, -v * s), at(1, j, c, s), at(1, F.when(j > 0, behind), c, s)]
+    both = cut.withColumn("_m", bits).select("_by", "n", "_m", F.explode(F.array(*terms)).alias("_t")).select("_by", "n", "_m", "_t.*").where("_j is not null")
+    found = _dealt(both, kind)
+    part = lambda w, c: F.sum(F.when(F.col("_w") == w, F.col(c)))
+    pairs = found.groupBy("_by", "n", "_m", "_j").agg(part(0, "re").alias("a"), part(0, "im").alias("b"), part(1, "re").alias("c"), part(1, "im").alias("d"))
+    product = pairs.select("_by", "n", "_m", F.lit(0).alias("_w"), "_j", F.expr("a * c - b * d").alias("re"), F.expr("-(a * d + b * c)").alias("im"))
+    back = _dealt(product, kind).where(F.col("_j") <= F.floor(F.col("n") / 2))  # conjugated before and after: the inverse
+    size, re, im = F.pow(F.lit(2.0), F.col("_m")), F.col("re"), -F.col("im")
+    return back.select("_by", "n", j.alias("k"), ((re * c + im * s) / size).alias("re"), ((im * c - re * s) / size).alias("im"))
+
+
+def _dealt(rows: DataFrame, kind: str) -> DataFrame:
+    """Transforms over 2^_m places of rows (_by, n, _m, _w, _j, re, im), in two rounds of short ones: places that are a stride
+    apart, a turn of the phase, then neighbours. No task holds more than about the square root of a transform at once."""
+    schema = f"_by {kind}, n long, _m int, _w int, _g long, _j long, re double, im double"
+
+    def turn(first: bool):
+        def kernel(rows: pa.Table) -> pa.Table:
+            m, g = rows.column("_m")[0].as_py(), rows.column("_g")[0].as_py()
+            size = 1 << (m // 2 if first else m - m // 2)
+            y = np.zeros(size, complex)
+            y[rows.column("_j").to_numpy()] = rows.column("re").to_numpy() + 1j * rows.column("im").to_numpy()
+            k = np.arange(size)
+            y = np.fft.fft(y)
+            if first:
+                y = y * np.exp(-2j * np.pi * (k * g) / (1 << m))
+            group, place = (k, np.full(size, g)) if first else (np.full(size, g), g + (k << (m // 2)))
+            same = [pa.repeat(rows.column(c)[0], size) for c in ("_by", "n", "_m", "_w")]
+            return pa.Table.from_arrays([*same, pa.array(group), pa.array(place), pa.array(y.real), pa.array(y.imag)], ["_by", "n", "_m", "_w", "_g", "_j", "re", "im"])
+
+        return kernel
+
+    stride = F.expr("shiftleft(1L, _m - shiftright(_m, 1))")
+    columns = ["_by", "n", "_m", "_w", "_g", "_j", "re", "im"]
+    strided = rows.withColumn("_g", F.col("_j") % stride).withColumn("_j", F.floor(F.col("_j") / stride)).select(columns)
+    by = ["_by", "n", "_m", "_w", "_g"]
+    return strided.groupBy(by).applyInArrow(turn(True), schema).groupBy(by).applyInArrow(turn(False), schema).drop("_g")
+
+
+def whole_periodogram(series: DataFrame, by: str, index: str, value: str, whole: int = WHOLE) -> DataFrame:
+    """(by, k, power) for k = 0 .. n/2 of each series, n its own number of samples; see :func:`fourier`."""
+    x = fourier(sized(series, by), by, index, value, whole)
+    return x.select(by, "k", ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n")).alias("power"))
+
+
+def fft_spectra(series: DataFrame, by: str, index: str, value: str, step: float, windowing: bool = False, lowpass: float | None = None, psd: bool = True, whole: int = WHOLE) -> DataFrame:
+    """(by, freq, power): one-sided spectra of samples ``step`` apart, about their mean.
+
+    ``windowing`` applies a Hann window; ``lowpass`` keeps frequencies up to that one; ``psd`` gives density (square over frequency),
+    else amplitudes. The kernel to match is not given, so scales are those of the textbook: a density's integral is the variance.
+    """
+    s = sized(series.select(by, index, F.col(value).cast("double").alias("_v")), by)
+    means = s.groupBy(F.col(by).alias("_by")).agg(F.avg("_v").alias("_mean"))
+    s = s.join(means, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    w = (1 - F.cos(2 * math.pi * F.col(index) / F.greatest(F.col("n") - 1, F.lit(1)))) / 2 if windowing else F.lit(1.0)
+    s = s.withColumn("_w", w).withColumn("_v", (F.col("_v") - F.col("_mean")) * F.col("_w"))
+    sums = s.groupBy(F.col(by).alias("_by")).agg(F.sum("_w").alias("_sw"), F.sum(F.col("_w") * F.col("_w")).alias("_sww"))
+    x = fourier(s, by, index, "_v", whole).join(sums, F.col(by).eqNullSafe(F.col("_by")))
+    x = x.withColumn("freq", F.col("k") / (F.col("n") * step))
+    x = x if lowpass is None else x.where(F.col("freq") <= lowpass)
+    twice = F.when((F.col("k") == 0) | (2 * F.col("k") == F.col("n")), 1.0).otherwise(2.0)
+    square = F.col("re") * F.col("re") + F.col("im") * F.col("im")
+    power = F.try_divide(twice * square * step, F.col("_sww")) if psd else F.try_divide(twice * F.sqrt(square), F.col("_sw"))
+    return x.select(by, "freq", power.alias("power"))
 
 
 def lomb_scargle(series: DataFrame, by: str, time: str, value: str, freqs: list[float]) -> DataFrame:

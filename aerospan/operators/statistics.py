@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aerospan.functions import vectors as V
 from aerospan.functions.numeric import without_nan
 
 
@@ -82,3 +83,50 @@ def fitted_line(x: Column, y: Column) -> tuple[Column, Column, Column, Column]:
     a, b, c = F.var_pop(x), F.covar_pop(x, y), F.var_pop(y)
     angle = F.atan2(2 * b, a - c) / 2
     return F.avg(x), F.avg(y), F.cos(angle), F.sin(angle)
+
+
+def principal(df: DataFrame, by: list[str], coords: list[str]) -> DataFrame:
+    """by, n, cx, cy, cz and the covariance of three coordinates with its eigenvalues, ascending: one row for each neighbourhood."""
+    pair = lambda i, j: F.covar_pop(coords[i], coords[j])
+    sums = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(k) for c, k in zip(coords, ("cx", "cy", "cz"), strict=True)), F.array(*(pair(i, j) for i in range(3) for j in range(3))).alias("covariance"))
+    return sums.withColumn("eigenvalues", V.eigenvalues(F.col("covariance")))
+
+
+def fitted_plane(df: DataFrame, by: list[str], coords: list[str]) -> DataFrame:
+    """:func:`principal` with ``normal``, the unit normal of the least-squares plane, upwards (or along y, x where it is level), and
+    ``rms``, the distance from it in the square mean. Points on a line have no normal: null."""
+    p = principal(df, by, coords)
+    c, low = F.col("covariance"), V.comp(F.col("eigenvalues"), 0)
+    rows = [F.array(*(V.comp(c, 3 * i + j) - (low if i == j else F.lit(0.0)) for j in range(3))) for i in range(3)]
+    p = p.withColumn("_across", F.array(*(V.cross(rows[i], rows[j]) for i, j in ((0, 1), (1, 2), (2, 0)))))
+    longest = F.array_max(F.transform("_across", lambda a: F.struct(V.dot(a, a).alias("size"), a.alias("a"))))
+    p = p.withColumn("_a", longest)
+    a, size = F.col("_a.a"), F.sqrt("_a.size")
+    sign = lambda k: F.when(V.comp(a, k) < 0, -1.0).otherwise(1.0)
+    up = F.when(V.comp(a, 2) != 0, sign(2)).when(V.comp(a, 1) != 0, sign(1)).otherwise(sign(0))
+    level = V.comp(F.col("eigenvalues"), 2)
+    unit = F.when(size > 1e-12 * level * level, F.transform(a, lambda x: x * up / size))
+    return p.withColumn("normal", unit).withColumn("rms", F.sqrt(F.greatest(low, F.lit(0.0)))).drop("_across", "_a")
+
+
+def plane_distance(df: DataFrame, by: list[str], coords: list[str]) -> DataFrame:
+    """``df`` with ``distance``, how far each point lies from the plane fitted to its neighbourhood."""
+    planes = fitted_plane(df, by, coords).select(*by, "cx", "cy", "cz", "normal")
+    off = V.dot(F.col("normal"), F.array(*(F.col(c) - F.col(k) for c, k in zip(coords, ("cx", "cy", "cz"), strict=True))))
+    return df.join(planes, by).withColumn("distance", F.abs(off)).drop("cx", "cy", "cz", "normal")
+
+
+def eigen_features(df: DataFrame, by: list[str], coords: list[str]) -> DataFrame:
+    """by and, of each neighbourhood's eigenvalues a <= b <= c: shares of their sum, linearity (c-b)/c, planarity (b-a)/c and
+    sphericity a/c; null where all points coincide."""
+    p = principal(df, by, coords)
+    a, b, c = (V.comp(F.col("eigenvalues"), k) for k in range(3))
+    share = lambda x: F.try_divide(x, a + b + c)
+    return p.select(*by, share(a).alias("low"), share(b).alias("middle"), share(c).alias("high"), F.try_divide(c - b, c).alias("linearity"), F.try_divide(b - a, c).alias("planarity"), F.try_divide(a, c).alias("sphericity"))
+
+
+def in_numbering(rows: DataFrame, target: DataFrame, key: str, place: str, order: list[str]) -> DataFrame:
+    """``rows`` whose ``key`` is in ``target`` (key, place), one for each key (the first in ``order``), with its place there; a
+    key that the target names twice counts at its first place."""
+    places = target.groupBy(key).agg(F.min(place).alias(place))
+    return first_by(rows, [key], order).join(places, key)

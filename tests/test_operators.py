@@ -8,6 +8,7 @@ from aerospan.functions import numeric as N
 from aerospan.functions import vectors as V
 from aerospan.operators import mesh as M
 from aerospan.operators import series as S
+from aerospan.operators import signals as G
 from aerospan.operators import sparse as P
 from aerospan.operators import spatial as X
 from aerospan.operators import statistics as A
@@ -241,3 +242,49 @@ def test_series_in_slices_agree_with_one_window(spark):
         want = np.interp(place, place[~np.isnan(v)], v[~np.isnan(v)])
         for n, (_, i, at, _) in enumerate(mine):
             assert abs(steps[i] - (at - (mine[n - 1][2] if n else 0.0))) < 1e-9 and abs(filled[i] - want[n]) < 1e-9 and abs(run[i] - 2.0) < 1e-9
+
+
+@pytest.mark.parametrize("n", [1, 2, 97, 256])
+def test_long_series_are_transformed_in_parts(spark, n):
+    y = np.random.default_rng(n).normal(size=n)
+    rows = [("a", i, float(v)) for i, v in enumerate(y)] + [(None, i, float(v)) for i, v in enumerate(y[::-1])]
+    df = G.sized(spark.createDataFrame(rows, "b string, i long, v double"), "b")
+    for whole in (0, 1 << 18):
+        got = {(r.b, r.k): complex(r.re, r.im) for r in G.fourier(df, "b", "i", "v", whole).collect()}
+        for name, want in (("a", np.fft.rfft(y)), (None, np.fft.rfft(y[::-1]))):
+            assert np.allclose([got.pop((name, k)) for k in range(len(want))], want)
+        assert not got
+
+
+def test_a_density_integrates_to_the_variance(spark):
+    y = np.random.default_rng(3).normal(size=128)
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(y)], "b string, i long, v double")
+    got = G.fft_spectra(df, "b", "i", "v", 0.25).toPandas()
+    assert np.isclose(got.power.sum() / (128 * 0.25), y.var())
+    wave = df.withColumn("v", 3 * F.cos(2 * np.pi * F.col("i") / 8))
+    tall = G.fft_spectra(wave, "b", "i", "v", 0.25, psd=False).orderBy(F.desc("power")).first()
+    assert np.isclose(tall.power, 3) and np.isclose(tall.freq, 0.5)
+
+
+def test_planes_of_points(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 3)) * (3, 2, 0.1) @ np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    rows = [("a", *map(float, r)) for r in x] + [("line", float(k), 2.0 * k, 0.0) for k in range(5)] + [("level", 1.0, float(k % 2), float(k)) for k in range(5)]
+    df = spark.createDataFrame(rows, "b string, x double, y double, z double")
+    got = {r.b: r for r in A.fitted_plane(df, ["b"], ["x", "y", "z"]).collect()}
+    value, vector = np.linalg.eigh(np.cov(x.T, bias=True))
+    want = vector[:, 0] * np.sign(vector[2, 0])
+    assert np.allclose(got["a"].normal, want) and np.isclose(got["a"].rms, np.sqrt(value[0])) and got["line"].normal is None
+    assert np.allclose(np.abs(got["level"].normal), [1, 0, 0]) and got["level"].normal[0] > 0
+    far = A.plane_distance(df.where("b = 'a'"), ["b"], ["x", "y", "z"]).toPandas()
+    assert np.allclose(far.distance, np.abs((far[["x", "y", "z"]].to_numpy() - x.mean(0)) @ want))
+
+
+def test_gradients_on_tetrahedra_are_exact_for_linear_fields(spark):
+    at = [(0.0, 0.0, 0.0), (1.0, 0.2, 0.0), (0.1, 1.0, 0.3), (0.0, 0.2, 2.0), (1.0, 1.0, 1.0)]
+    nodes = spark.createDataFrame([(k, *p) for k, p in enumerate(at)], "node_id long, x double, y double, z double")
+    elements = spark.createDataFrame([(0, 30, [0, 1, 2, 3]), (1, 30, [2, 1, 3, 4]), (2, 30, [0, 1, 1, 3])], "elem_id long, ltype int, nodes array<long>")
+    f = nodes.select("node_id", F.expr("2 * x - y + 3 * z + 1").alias("f"), F.expr("5 * y").alias("g"), F.expr("z - x").alias("h"))
+    got = M.solid_gradients(elements, nodes, f, ["f"]).collect()
+    assert len(got) == 5 and all(np.allclose(r.f, [2, -1, 3]) for r in got)
+    assert all(np.isclose(r.div, 2 + 5 + 1) for r in M.solid_divergence(elements, nodes, f, ["f", "g", "h"]).collect())
