@@ -6,11 +6,16 @@ unique, so there is no halo exchange.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerospan.functions import vectors as V
 from aerospan.functions.numeric import bunching, triangle_area
+from aerospan.functions.shapes import jacobians, rule
 from aerospan.session import cut_lineage
 
 #: Element type codes, with their name and number of nodes.
@@ -126,26 +131,79 @@ def measured(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     return s.withColumn("w", w)
 
 
+def summed(elements: DataFrame, nodes: DataFrame, what: Callable, columns: str, field: DataFrame | None = None) -> DataFrame:
+    """Rows (elem_id, nodes, then ``columns``) of sums over Gauss points: ``what`` gets an element type, its corners (e, corners, 3)
+    and, if there is a ``field`` (node_id, f), its corner values (e, corners), and gives an array for each column."""
+    known = nodes.select("node_id", *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    known = known if field is None else known.join(field, "node_id")
+    corner = F.struct("pos", F.array("x", "y", "z", *([] if field is None else ["f"])).alias("p"))
+    made = gather(elements, known).groupBy("elem_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(corner)), lambda s: s["p"])).alias("p"))
+    rows = elements.select("elem_id", "ltype", F.filter("nodes", lambda n: n >= 0).alias("nodes")).join(made, "elem_id")
+    width = 3 if field is None else 4
+    rows = rows.where(F.size("p") == F.size("nodes") * width)  # all corners are known
+    kinds = rows.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types = batch.column("ltype").to_numpy()
+            for t in np.unique(types):
+                part = batch.filter(pa.array(types == t))
+                p = part.column("p").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1, width)
+                found = what(int(t), p[..., :3], *(p[..., k] for k in range(3, width)))
+                lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.size // len(x), dtype=np.int32), pa.array(x.ravel())) for x in found]
+                yield pa.RecordBatch.from_arrays([part.column("elem_id"), part.column("nodes"), *lists], ["elem_id", "nodes", *names])
+
+    names = columns.split()
+    ids, lists = (kinds[c].dataType.simpleString() for c in ("elem_id", "nodes"))
+    return rows.mapInArrow(run, f"elem_id {ids}, nodes {lists}, " + ", ".join(f"{c} array<double>" for c in names))
+
+
+def shares(ltype: int, p: np.ndarray) -> list[np.ndarray]:
+    """What each corner's shape function integrates to."""
+    return [jacobians(p, ltype)[1] @ rule(ltype)[1]]
+
+
+def products(ltype: int, p: np.ndarray) -> list[np.ndarray]:
+    """What the product of each two shape functions integrates to, row by row."""
+    n = rule(ltype)[1]
+    return [np.einsum("eg,ga,gb->eab", jacobians(p, ltype)[1], n, n).reshape(len(p), -1)]
+
+
+def slopes(ltype: int, p: np.ndarray, f: np.ndarray) -> list[np.ndarray]:
+    """Shares, and each component of the gradient of f weighted by them."""
+    _, n, dn = rule(ltype)
+    j, w = jacobians(p, ltype)
+    g = np.einsum("egdc,gnd,en->egc", np.linalg.pinv(j), dn, f)
+    return [w @ n, *(np.einsum("eg,gn->en", w * g[..., c], n) for c in range(3))]
+
+
 def lumped_mass(elements: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Equal shares of each element's measure at its corners, summed at nodes: exact for simplices and parallelograms."""
-    shares = measured(elements, nodes).select("elem_id", "nodes", (F.col("w") / F.size("nodes")).alias("share"))
-    return scatter(shares.select("share", F.explode("nodes").alias("node_id")), "share", "mass")
+    """The integral of each node's shape function over all element types of :func:`rule`; adds up to the mesh's measure."""
+    each = summed(elements, nodes, shares, "share").select(F.explode(F.arrays_zip("nodes", "share")).alias("r"))
+    return scatter(each.select(F.col("r.nodes").alias("node_id"), F.col("r.share").alias("share")), "share", "mass")
 
 
 def consistent_mass(elements: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Sparse matrix (i, j, v): simplices (1 + same) / ((n) (n + 1)), parallelograms the product of two bars."""
-    m = measured(elements, nodes)
-    pair = m.select("ltype", "w", F.size("nodes").alias("n"), F.posexplode("nodes").alias("a", "i"), "nodes").select("ltype", "w", "n", "a", "i", F.posexplode("nodes").alias("b", "j"))
-    simplex = F.col("w") * F.when(F.col("a") == F.col("b"), 2.0).otherwise(1.0) / (F.col("n") * (F.col("n") + 1))
-    gap = F.pmod(F.col("a") - F.col("b"), F.lit(4))
-    quad = F.col("w") * F.when(gap == 0, 4.0).when(gap == 2, 1.0).otherwise(2.0) / 36
-    return pair.select("i", "j", F.when(F.col("ltype") == 12, quad).otherwise(simplex).alias("v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    """Sparse matrix (i, j, v) of integrals of products of two shape functions, over all element types of :func:`rule`."""
+    pair = summed(elements, nodes, products, "v").select("nodes", F.posexplode("v").alias("k", "v"))
+    n, k = F.size("nodes"), F.col("k")
+    return pair.select(F.get("nodes", F.floor(k / n).cast("int")).alias("i"), F.get("nodes", k % n).alias("j"), "v").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def integral(elements: DataFrame, nodes: DataFrame, field: DataFrame, value: str, mask: str | None = None) -> DataFrame:
-    """One row, ``integral``: measure times mean corner value, of elements whose corners are all in the mask."""
-    g = gather(elements, field).groupBy("elem_id").agg(F.avg(value).alias("f"), F.bool_and(F.col(mask) if mask else F.lit(True)).alias("inside"))
-    return measured(elements, nodes).join(g.where("inside"), "elem_id").agg(F.coalesce(F.sum(F.col("w") * F.col("f")), F.lit(0.0)).alias("integral"))
+    """One row, ``integral``, over the volumes, areas or lengths of elements whose corners are all in the mask."""
+    g = gather(elements, field).groupBy("elem_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", value))).alias("f"), F.bool_and(F.col(mask) if mask else F.lit(True)).alias("inside"))
+    each = summed(elements, nodes, shares, "share").join(g.where("inside").drop("inside"), "elem_id")
+    terms = F.zip_with("nodes", "share", lambda n, w: w * F.col("f")[n])
+    return each.agg(F.coalesce(F.sum(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)), F.lit(0.0)).alias("integral"))
+
+
+def nodal_gradients(elements: DataFrame, nodes: DataFrame, field: DataFrame, value: str) -> DataFrame:
+    """(node_id, gx, gy, gz): the gradient at Gauss points of any element type of :func:`rule`, projected to nodes by the lumped mass;
+    on surfaces and lines its part along them. Elements without volume have no gradient and must be left out."""
+    f = field.select("node_id", F.col(value).cast("double").alias("f"))
+    each = summed(elements, nodes, slopes, "w gx gy gz", f).select(F.explode(F.arrays_zip("nodes", "w", "gx", "gy", "gz")).alias("r")).select("r.*")
+    return each.groupBy(F.col("nodes").alias("node_id")).agg(*(F.try_divide(F.sum(c), F.sum("w")).alias(c) for c in ("gx", "gy", "gz")))
 
 
 def triangles_of(elements: DataFrame) -> DataFrame:

@@ -95,6 +95,33 @@ def divergence_solid(spark, sf_dir):
     return M.solid_divergence(elements, nodes.select("node_id", *COORDS), field, ["f", "g", "h"]).select("node_id", rounded(F.col("div"), 5).alias("div"))
 
 
+def boxes(spark, sf_dir):
+    """A node for each part on a sheared lattice of cells of volume 1.5, and a hexahedron at each node that has its seven others."""
+    k = F.col("p_partkey")
+    i, j, l = k % 5, F.floor(k / 5) % 5, F.floor(k / 25)
+    nodes = table(spark, sf_dir, "part").select(k.alias("node_id"), (i + 0.3 * j).alias("x"), (j + 0.2 * l).alias("y"), (1.5 * l).alias("z"), i.alias("i"), j.alias("j"), F.col("p_retailprice").alias("f"), (F.col("p_size") > 2).alias("inside"))
+    n = F.col("node_id")
+    elements = nodes.where("i < 4 and j < 4").join(nodes.select((n - 31).alias("_o")), n == F.col("_o"))
+    return nodes, elements.select(n.alias("elem_id"), F.lit(37).alias("ltype"), F.array(*(n + d for d in (0, 1, 6, 5, 25, 26, 31, 30))).alias("nodes"))
+
+
+#: In SQL: corners (elem_id, node, and 0 or 1 along each axis) of the same hexahedra.
+BOXES = """o AS (SELECT p_partkey::BIGINT AS e FROM part WHERE p_partkey % 5 < 4 AND p_partkey // 5 % 5 < 4 AND p_partkey + 31 IN (SELECT p_partkey FROM part)),
+c AS (SELECT e, e + a + 5 * b + 25 * d AS node, a, b, d FROM o, range(2) x(a), range(2) y(b), range(2) z(d))"""
+
+
+@query(f"WITH {BOXES} SELECT s.node AS i, t.node AS j, round(sum(1.5 * CASE WHEN s.a = t.a THEN 2 ELSE 1 END * CASE WHEN s.b = t.b THEN 2 ELSE 1 END * CASE WHEN s.d = t.d THEN 2 ELSE 1 END / 216), 9) AS v FROM c s JOIN c t ON s.e = t.e GROUP BY 1, 2")
+def consistent_mass_solid(spark, sf_dir):
+    nodes, elements = boxes(spark, sf_dir)
+    return M.consistent_mass(elements, nodes).select("i", "j", rounded(F.col("v"), 9).alias("v"))
+
+
+@query(f"WITH {BOXES}, m AS (SELECT e, avg(p_retailprice) AS f FROM c JOIN part ON p_partkey = node GROUP BY e HAVING bool_and(p_size > 2)) SELECT round(coalesce(sum(1.5 * f), 0), 4) AS integral FROM m")
+def integral_solid(spark, sf_dir):
+    nodes, elements = boxes(spark, sf_dir)
+    return M.integral(elements, nodes, nodes, "f", "inside").select(rounded(F.col("integral"), 4).alias("integral"))
+
+
 _V = ["v", "u / 100", "(v - 1)"]
 
 

@@ -288,3 +288,28 @@ def test_gradients_on_tetrahedra_are_exact_for_linear_fields(spark):
     got = M.solid_gradients(elements, nodes, f, ["f"]).collect()
     assert len(got) == 5 and all(np.allclose(r.f, [2, -1, 3]) for r in got)
     assert all(np.isclose(r.div, 2 + 5 + 1) for r in M.solid_divergence(elements, nodes, f, ["f", "g", "h"]).collect())
+
+
+UNIT = {
+    2: [(0, 0, 0), (2, 0, 0)], 10: [(0, 0, 0), (1, 0, 0), (0, 1, 1)], 12: [(0, 0, 0), (2, 0, 0), (2, 1, 0), (0, 1, 0)],
+    30: [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)], 32: [(-1, -1, 0), (1, -1, 0), (1, 1, 0), (-1, 1, 0), (0, 0, 1)],
+    34: [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 2), (1, 0, 2), (0, 1, 2)],
+    37: [(0, 0, 0), (2, 0, 0), (2, 1, 0), (0, 1, 0), (0.5, 0, 1), (1.5, 0, 1), (1.5, 1, 1), (0.5, 1, 1)],
+}
+
+
+@pytest.mark.parametrize(("ltype", "size"), [(2, 2), (10, 2**0.5 / 2), (12, 2), (30, 1 / 6), (32, 4 / 3), (34, 1), (37, 1.5)])
+def test_integrals_of_every_element(spark, ltype, size):
+    at = [tuple(map(float, p)) for p in UNIT[ltype]]
+    nodes = spark.createDataFrame([(k, *p) for k, p in enumerate(at)], "node_id long, x double, y double, z double")
+    elements = spark.createDataFrame([(0, ltype, [*range(len(at)), -1])], "elem_id long, ltype int, nodes array<long>")
+    mass = {r.node_id: r.mass for r in M.lumped_mass(elements, nodes).collect()}
+    assert np.isclose(sum(mass.values()), size)
+    full = M.consistent_mass(elements, nodes).toPandas().pivot(index="i", columns="j", values="v").to_numpy()
+    assert np.allclose(full, full.T) and np.allclose(full.sum(1), [mass[k] for k in range(len(at))]) and np.linalg.eigvalsh(full)[0] > 0
+    field = nodes.withColumn("f", F.expr("1 + 2 * x + 3 * y - z")).withColumn("far", F.lit(ltype != 2))
+    want = sum(m * (1 + 2 * p[0] + 3 * p[1] - p[2]) for m, p in zip((mass[k] for k in range(len(at))), at, strict=True))
+    assert np.isclose(M.integral(elements, nodes, field, "f").first().integral, want)
+    assert np.isclose(M.integral(elements, nodes, field, "f", "far").first().integral, want if ltype != 2 else 0)
+    along = {2: (2, 0, 0), 10: (2, 1, 1), 12: (2, 3, 0)}.get(ltype, (2, 3, -1))  # the part within the line or surface
+    assert all(np.allclose((r.gx, r.gy, r.gz), along) for r in M.nodal_gradients(elements, nodes, field, "f").collect())
