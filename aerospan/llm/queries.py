@@ -79,6 +79,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), power=0.5)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aerospan.llm.merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents")).drop("source", "path")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -104,6 +110,29 @@ coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss
 sum(33 + length(role) + length(text) + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|')))::BIGINT AS formatted_chars FROM c GROUP BY conv_id"""
 
 
+OP11 = """WITH RECURSIVE e AS (SELECT doc_id, source, text,
+coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295) % 5 = 0 AS audit FROM documents),
+d AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+CASE WHEN audit THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS tampered FROM e),
+p AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM d),
+a AS (SELECT tree, 0 AS level, idx, n, leaf AS h FROM p UNION ALL
+SELECT tree, level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM a WHERE n > 1 GROUP BY tree, level, idx // 16, n),
+b AS (SELECT 0 AS level, tree AS idx, count(*) OVER () AS n, h FROM a WHERE n = 1 UNION ALL
+SELECT level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM b WHERE n > 1 GROUP BY level, idx // 16, n),
+t AS (SELECT * FROM a UNION ALL SELECT -1, level, idx, n, h FROM b),
+r AS (SELECT tree, level, idx // 16 AS up, list(h ORDER BY idx) AS kids FROM t WHERE n > 1 GROUP BY tree, level, idx // 16),
+f AS (SELECT doc_id, leaf, tree AS own, tree, 0 AS level, idx, n, coalesce(tampered, leaf) AS acc, '' AS proof FROM p UNION ALL
+SELECT doc_id, leaf, own, CASE WHEN f.n = 1 THEN -1 ELSE f.tree END, CASE WHEN f.n = 1 THEN 0 ELSE f.level + 1 END, CASE WHEN f.n = 1 THEN f.tree ELSE f.idx // 16 END,
+CASE WHEN f.n = 1 THEN (SELECT count(*) FROM a WHERE n = 1) ELSE (f.n + 15) // 16 END,
+CASE WHEN f.n = 1 THEN acc ELSE sha256(array_to_string(kids[:idx % 16] || [acc] || kids[idx % 16 + 2:], '')) END,
+CASE WHEN f.n = 1 THEN proof ELSE proof || array_to_string(kids[:idx % 16] || kids[idx % 16 + 2:], '') END
+FROM f LEFT JOIN r ON r.tree = f.tree AND r.level = f.level AND r.up = f.idx // 16 WHERE f.n > 1 OR f.tree >= 0)
+SELECT doc_id, leaf, s.h AS subroot, o.h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = o.h AS verified
+FROM f JOIN a s ON s.tree = f.own AND s.n = 1 CROSS JOIN (SELECT h FROM b WHERE n = 1) o WHERE f.tree = -1 AND f.n = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators whose rows SQL can give on whole tables; the others are tested against plain versions."""
-    return {"op1_embedding_dedup": OP1, "op7_substring_dedup": OP7, "op8_chat": OP8}
+    return {"op1_embedding_dedup": OP1, "op7_substring_dedup": OP7, "op8_chat": OP8, "op11_merkle": OP11}
