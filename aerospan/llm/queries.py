@@ -85,6 +85,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents")).drop("source", "path")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aerospan.llm.lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -133,6 +139,16 @@ SELECT doc_id, leaf, s.h AS subroot, o.h AS root, sha256(proof) AS proof_sha256,
 FROM f JOIN a s ON s.tree = f.own AND s.n = 1 CROSS JOIN (SELECT h FROM b WHERE n = 1) o WHERE f.tree = -1 AND f.n = 1"""
 
 
+OP12 = r"""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+t AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM t GROUP BY doc_id), c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+FROM q JOIN f USING (term) JOIN t USING (term) JOIN n USING (doc_id) CROSS JOIN c GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators whose rows SQL can give on whole tables; the others are tested against plain versions."""
-    return {"op1_embedding_dedup": OP1, "op7_substring_dedup": OP7, "op8_chat": OP8, "op11_merkle": OP11}
+    return {"op1_embedding_dedup": OP1, "op7_substring_dedup": OP7, "op8_chat": OP8, "op11_merkle": OP11, "op12_lexical_search": OP12}
