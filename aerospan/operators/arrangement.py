@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerospan.session import cut_lineage
+from aerospan.session import stored
 
 #: Columns and rows of the grid over one id at most; both grow with the root of its segments up to here.
 MOST_CELLS = 4096
@@ -24,7 +24,7 @@ RULES = {"join": lambda a, b: a | b, "intersection": lambda a, b: a & b, "differ
 def segments(rings: DataFrame, side: int = 0) -> DataFrame:
     """(id, side, x0, y0, x1, y1): each vertex with the next one of its ring, closed."""
     w = Window.partitionBy("id", "ring").orderBy("pt_no")
-    first = Window.partitionBy("id", "ring").orderBy("pt_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(first))
     return rings.select("id", F.lit(side).alias("side"), F.col("x").alias("x0"), F.col("y").alias("y0"), nxt("x").alias("x1"), nxt("y").alias("y1"))
 
@@ -77,8 +77,8 @@ def noded(parts: DataFrame, digits: int = 9) -> DataFrame:
     snap = lambda c: F.round(F.col(c) * 10.0**digits).cast("long")
     sides = [(F.col("side") == k).cast("int").alias(n) for k, n in ((0, "a"), (1, "b"))]
     s = _cancelled(parts.select("id", snap("x0").alias("ax"), snap("y0").alias("ay"), snap("x1").alias("bx"), snap("y1").alias("by"), *sides))
-    s = cut_lineage(s.withColumn("s", F.monotonically_increasing_id()))
-    at = cut_lineage(_listed(s))
+    s = stored(s.withColumn("s", F.monotonically_increasing_id()))
+    at = stored(_listed(s))
     other = at.select("id", "c", "r", *(F.col(x).alias(f"o{x}") for x in ("s", "ax", "ay", "bx", "by")))
     both = at.join(other, ["id", "c", "r"]).where("s < os")
     d = lambda c: F.col(c).cast("double")
@@ -99,7 +99,7 @@ def noded(parts: DataFrame, digits: int = 9) -> DataFrame:
     w = Window.partitionBy("s").orderBy("t", "x", "y")
     bits = cuts.unionByName(ends).select("s", F.col("x").alias("_x"), F.col("y").alias("_y"), F.lead("x").over(w).alias("_u"), F.lead("y").over(w).alias("_v")).where("_u is not null")
     bits = bits.join(s.select("s", "id", "a", "b"), "s").select("id", F.col("_x").alias("ax"), F.col("_y").alias("ay"), F.col("_u").alias("bx"), F.col("_v").alias("by"), "a", "b")
-    return cut_lineage(_cancelled(bits).withColumn("e", F.monotonically_increasing_id()))
+    return stored(_cancelled(bits).withColumn("e", F.monotonically_increasing_id()))
 
 
 def half_edges(pieces: DataFrame) -> DataFrame:
@@ -112,10 +112,10 @@ def _angle(a: tuple[str, str], b: tuple[str, str]) -> Column:
     return F.atan2((F.col(b[1]) - F.col(a[1])).cast("double"), (F.col(b[0]) - F.col(a[0])).cast("double"))
 
 
-def _next_at(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
+def _next_at(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """Rows around vertices with ``nxt``, the h of the row that follows, round and round."""
-    w = Window.partitionBy(*keys).orderBy(order, "h")
-    whole = Window.partitionBy(*keys).orderBy(order, "h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = Window.partitionBy(*keys).orderBy(*order, "h")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return rows.withColumn("nxt", F.coalesce(F.lead("h").over(w), F.first("h").over(whole)))
 
 
@@ -132,13 +132,13 @@ def traced(links: DataFrame) -> DataFrame:
     Pointer jumping: after k rounds each h knows the least of the 2^k links from it on, how far that is, and the h behind them.
     It ends when no least changes, after the logarithm of the longest cycle.
     """
-    t = cut_lineage(links.select("h", "nxt", F.struct("ox", "oy", "h").alias("low"), F.lit(0).cast("long").alias("off")))
+    t = stored(links.select("h", "nxt", F.struct("ox", "oy", "h").alias("low"), F.lit(0).cast("long").alias("off")))
     span = 1
     while True:
         far = t.select(F.col("h").alias("nxt"), F.col("nxt").alias("then"), F.col("low").alias("_low"), F.col("off").alias("_off"))
         nearer = F.col("low") <= F.col("_low")
         t = t.join(far, "nxt").select("h", F.col("then").alias("nxt"), F.least("low", "_low").alias("low"), F.when(nearer, F.col("off")).otherwise(F.col("_off") + span).alias("off"), (~nearer).alias("moved"))
-        t = cut_lineage(t)
+        t = stored(t)
         span *= 2
         if not t.agg(F.bool_or("moved")).first()[0]:
             break
@@ -164,7 +164,7 @@ def faces(pieces: DataFrame) -> DataFrame:
     half = half_edges(pieces)
     turned = _next_at(half.select("id", "ox", "oy", "h", "twin", _angle(("ox", "oy"), ("tx", "ty")).alias("angle")), ["id", "ox", "oy"], F.desc("angle"))
     links = turned.select(F.col("twin").alias("h"), "nxt").join(half.select("h", "ox", "oy"), "h")
-    half = cut_lineage(half.join(traced(links), "h"))
+    half = stored(half.join(traced(links), "h"))
     one = half.where("ox <> tx").groupBy("id", "cycle").agg(F.min(F.struct("h", "ox", "oy", "tx", "ty", "a", "b")).alias("r"))
     up = F.col("r.tx") > F.col("r.ox")
     mid = lambda p, q: (F.col(p) + F.col(q)) / 2.0
@@ -180,29 +180,29 @@ def outlines(pieces: DataFrame, rule: str | None = None, digits: int = 9) -> Dat
     sides = faces(pieces).withColumn("_in", f(F.col("in_a"), F.col("in_b")))
     right = sides.select(F.col("h").alias("twin"), F.col("_in").alias("_right"))
     half = sides.join(right, "twin").where("_in and not _right").select("id", "h", "ox", "oy", "tx", "ty", F.col("cycle").alias("face"))
-    half = cut_lineage(half)
+    half = stored(half)
     if rule:  # pieces within the result have gone, so its faces are larger
         links = _next_at(_incident(half), ["id", "vx", "vy"], F.desc("angle")).where("not out").select("h", "nxt").join(half.select("h", "ox", "oy"), "h")
-        half = cut_lineage(half.drop("face").join(traced(links).select("h", F.col("cycle").alias("face")), "h"))
+        half = stored(half.drop("face").join(traced(links).select("h", F.col("cycle").alias("face")), "h"))
     # where a face meets itself at a vertex, its outline is cut into rings there: each goes round one part of what is outside
     links = _next_at(_incident(half, "face"), ["id", "face", "vx", "vy"], F.asc("angle")).where("not out").select("h", "nxt").join(half.select("h", "ox", "oy"), "h")
-    half = cut_lineage(half.join(traced(links), "h"))
+    half = stored(half.join(traced(links), "h"))
     # about the ring's first vertex, so that products stay small
     scale = 10.0**digits
     start = half.where("pos = 0").select("cycle", F.col("ox").alias("sx"), F.col("oy").alias("sy"))
     p = lambda c, s: (F.col(c) - F.col(s)) / scale
     loops = half.join(start, "cycle").groupBy("id", "face", "cycle", "sx", "sy").agg((F.sum(p("ox", "sx") * p("ty", "sy") - p("tx", "sx") * p("oy", "sy")) / 2).alias("area"))
-    loops = cut_lineage(loops)
+    loops = stored(loops)
     outer = loops.where("area > 0").select("face").distinct().withColumn("top", F.lit(True))
     alone = loops.join(outer, "face", "left_anti").groupBy("id", "face").agg(F.min(F.struct(F.col("sx").alias("x"), F.col("sy").alias("y"))).alias("p")).select("id", "face", "p.*")
     right_way = (F.col("tx") > F.col("ox")) | ((F.col("tx") == F.col("ox")) & (F.col("ty") > F.col("oy")))
     ends = [F.when(right_way, F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in (("ax", "ox", "tx"), ("ay", "oy", "ty"), ("bx", "tx", "ox"), ("by", "ty", "oy"))]
     slope = (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax"))
     under = _below(alone, half.select("id", F.col("face").alias("up"), *ends)).groupBy("face").agg(F.max_by("up", F.struct("_h", slope.alias("slope"))).alias("up"))
-    links = cut_lineage(alone.select("face").join(under, "face", "left").select("face", "up"))
+    links = stored(alone.select("face").join(under, "face", "left").select("face", "up", F.lit(False).alias("more")))
     while True:  # holes above holes: each points at a lower one, until one points at a face with an outer ring
         tops = links.select(F.col("face").alias("up"), F.col("up").alias("then"), F.lit(True).alias("more"))
-        links = cut_lineage(links.join(tops, "up", "left").select("face", F.when(F.col("more"), F.col("then")).otherwise(F.col("up")).alias("up"), F.coalesce("more", F.lit(False)).alias("more")))
+        links = stored(links.drop("more").join(tops, "up", "left").select("face", F.when(F.col("more"), F.col("then")).otherwise(F.col("up")).alias("up"), F.coalesce("more", F.lit(False)).alias("more")))
         if not links.agg(F.bool_or("more")).first()[0]:
             break
     loops = loops.join(links.select("face", "up", F.lit(True).alias("hole")), "face", "left").withColumn("owner", F.when(F.col("hole"), F.col("up")).otherwise(F.col("face")))
