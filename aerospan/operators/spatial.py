@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerospan.functions.numeric import side, triangle_area
+from aerospan.operators.boxtree import nearest_points
 
 
 def _cells(low: Column, high: Column, size: float) -> Column:
@@ -54,25 +55,12 @@ def range_join(points: DataFrame, queries: DataFrame, radius: float, axes: list[
     return p.join(q, [f"_{x}" for x in axes]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).select("query", "id", "d2")
 
 
-def nearest(points: DataFrame, queries: DataFrame, k: int, axes: list[str], radius: float, rounds: int = 24, furthest: bool = False) -> DataFrame:
-    """(query, id, d2, place) of the k nearest points, ties by id: a search radius doubles for queries not yet sure.
+def nearest(points: DataFrame, queries: DataFrame, k: int, axes: list[str], radius: float | None = None, eps: float = 0.0, furthest: bool = False) -> DataFrame:
+    """(query, id, d2, place) of the k nearest points, ties by id, by a tree of boxes (:mod:`aerospan.operators.boxtree`).
 
-    A query is done when k points lie within its radius: all nearer ones are then known. After the last round the
-    rest are searched in all points.
+    ``radius``, once the first search radius, has no effect: the tree needs none.
     """
-    if furthest:
-        return _ranked(_all_pairs(points, queries, axes), k, True)
-    out, left = None, queries
-    for _ in range(rounds):
-        found = _ranked(range_join(points, left, radius, axes), k)
-        sure = found.groupBy("query").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query")
-        done = found.join(sure, "query", "left_semi")
-        out = done if out is None else out.unionByName(done)
-        left = left.join(sure, "query", "left_anti")
-        radius *= 4
-        if left.limit(1).count() == 0:
-            return out
-    return out.unionByName(_ranked(_all_pairs(points, left, axes), k))
+    return nearest_points(points, queries, k, axes, eps, furthest)
 
 
 def nearest_dense(points: DataFrame, queries: DataFrame, k: int, vector: str, most: int = 20_000) -> DataFrame:
@@ -85,15 +73,8 @@ def nearest_dense(points: DataFrame, queries: DataFrame, k: int, vector: str, mo
     return reduce(DataFrame.unionByName, (_ranked(pairs, k) for pairs in found))
 
 
-def _all_pairs(points: DataFrame, queries: DataFrame, axes: list[str]) -> DataFrame:
-    q = queries.select("query", *(F.col(x).alias(f"q{x}") for x in axes))
-    d2 = sum((F.pow(F.col(x) - F.col(f"q{x}"), 2) for x in axes), F.lit(0.0))
-    return points.crossJoin(q).select("query", "id", d2.alias("d2"))
-
-
-def _ranked(pairs: DataFrame, k: int, furthest: bool = False) -> DataFrame:
-    order = F.desc("d2") if furthest else F.asc("d2")
-    w = Window.partitionBy("query").orderBy(order, "id")
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query").orderBy("d2", "id")
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 

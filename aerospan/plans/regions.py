@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from aerospan.operators import boxtree as B
 from aerospan.operators import regions as R
 from aerospan.operators import spatial as X
 from aerospan.registry import query, rounded, table
@@ -92,7 +93,70 @@ def closest_primitive(spark, sf_dir):
     """The nearest point with what belongs to it; its distance is the least distance to the set."""
     c = cloud(spark, sf_dir)
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query"), ((F.col("s_suppkey") % 250) / 10.0).alias("x"), (F.col("s_acctbal") / 100).alias("y"))
-    return X.nearest(c.select("id", "x", "y"), s, 1, ["x", "y"], 2.0).join(c.select("id", "z"), "id").select("query", F.col("id").alias("primitive"), rounded(F.sqrt("d2")).alias("distance"), "z")
+    return X.nearest(c.select("id", "x", "y"), s, 1, ["x", "y"]).join(c.select("id", "z"), "id").select("query", F.col("id").alias("primitive"), rounded(F.sqrt("d2")).alias("distance"), "z")
+
+
+#: In SQL: triangles, segments and points in space from parts (by number modulo 3), and the squared distance of suppliers to each.
+SOLIDS = """t AS (SELECT p_partkey AS id, p_partkey % 3 + 1 AS n, (p_partkey % 97)::DOUBLE AS a1, (p_partkey % 89)::DOUBLE AS a2, (p_partkey % 31)::DOUBLE AS a3, p_size / 7.0 AS u, (p_partkey % 11) / 3.0 AS v FROM part),
+c AS (SELECT id, n, a1, a2, a3, CASE WHEN n > 1 THEN a1 + u ELSE a1 END AS b1, CASE WHEN n > 1 THEN a2 + v ELSE a2 END AS b2, CASE WHEN n > 1 THEN a3 + 1 ELSE a3 END AS b3,
+CASE WHEN n > 2 THEN a1 - v WHEN n > 1 THEN a1 + u ELSE a1 END AS c1, CASE WHEN n > 2 THEN a2 + u WHEN n > 1 THEN a2 + v ELSE a2 END AS c2, CASE WHEN n > 2 THEN a3 + 2 WHEN n > 1 THEN a3 + 1 ELSE a3 END AS c3 FROM t),
+s AS (SELECT c_custkey AS query, (c_custkey % 101)::DOUBLE AS x, abs(c_acctbal) / 110 AS y, (c_custkey % 37)::DOUBLE AS z FROM customer),
+e AS (SELECT *, b1 - a1 AS px, b2 - a2 AS py, b3 - a3 AS pz, c1 - a1 AS qx, c2 - a2 AS qy, c3 - a3 AS qz FROM c),
+g AS (SELECT query, id, n, px, py, pz, qx, qy, qz, x - a1 AS wx, y - a2 AS wy, z - a3 AS wz, px * px + py * py + pz * pz AS pp, px * qx + py * qy + pz * qz AS pq, qx * qx + qy * qy + qz * qz AS qq FROM e, s),
+h AS (SELECT *, wx * px + wy * py + wz * pz AS wp, wx * qx + wy * qy + wz * qz AS wq, pp * qq - pq * pq AS det FROM g),
+k AS (SELECT *, CASE WHEN n > 2 THEN (qq * wp - pq * wq) / det END AS a, CASE WHEN n > 2 THEN (pp * wq - pq * wp) / det END AS b, CASE WHEN n > 1 THEN greatest(0, least(1, wp / pp)) ELSE 0 END AS t1,
+CASE WHEN n > 2 THEN greatest(0, least(1, wq / qq)) ELSE 0 END AS t2, CASE WHEN n > 2 THEN greatest(0, least(1, (wq - wp - pq + pp) / (pp - 2 * pq + qq))) ELSE 0 END AS t3 FROM h),
+d AS (SELECT query, id, n, CASE WHEN n > 2 AND a >= 0 AND b >= 0 AND a + b <= 1 THEN pow(wx - a * px - b * qx, 2) + pow(wy - a * py - b * qy, 2) + pow(wz - a * pz - b * qz, 2)
+ELSE least(pow(wx - t1 * px, 2) + pow(wy - t1 * py, 2) + pow(wz - t1 * pz, 2), CASE WHEN n > 2 THEN pow(wx - t2 * qx, 2) + pow(wy - t2 * qy, 2) + pow(wz - t2 * qz, 2) END,
+CASE WHEN n > 2 THEN pow(wx - px - t3 * (qx - px), 2) + pow(wy - py - t3 * (qy - py), 2) + pow(wz - pz - t3 * (qz - pz), 2) END) END AS d2 FROM k)"""
+
+
+def primitives(spark, sf_dir):
+    k = F.col("p_partkey")
+    u, v = F.col("p_size") / 7.0, (k % 11) / 3.0
+    a = [(k % m).cast("double") for m in (97, 89, 31)]
+    corners = [a, [a[0] + u, a[1] + v, a[2] + 1], [a[0] - v, a[1] + u, a[2] + 2]]
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.slice(F.array(*(F.array(*c) for c in corners)), F.lit(1), (k % 3 + 1).cast("int")).alias("p"))
+
+
+def places(spark, sf_dir):
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("query"), (k % 101).cast("double").alias("x"), (F.abs("c_acctbal") / 110).alias("y"), (k % 37).cast("double").alias("z"))
+
+
+@query(f"WITH {SOLIDS}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(d2, 9), id) AS place FROM d) SELECT query, round(sqrt(d2), 6) AS distance, place FROM r WHERE place <= 3")
+def closest_in_space(spark, sf_dir):
+    """The three nearest of triangles, segments and points in space."""
+    r = B.nearest_primitives(primitives(spark, sf_dir), places(spark, sf_dir), 3)
+    return r.select("query", rounded(F.sqrt("d2")).alias("distance"), "place")
+
+
+@query(f"WITH {SOLIDS} SELECT query, CASE min_by(n, (round(d2, 9), id)) WHEN 3 THEN 'triangle' WHEN 2 THEN 'segment' ELSE 'point' END AS kind, round(sqrt(min(d2)), 6) AS distance FROM d GROUP BY query")
+def closest_kind(spark, sf_dir):
+    r = B.nearest_primitives(primitives(spark, sf_dir), places(spark, sf_dir), 1)
+    return r.select("query", "kind", rounded(F.sqrt("d2")).alias("distance"))
+
+
+@query("""WITH b AS (SELECT p_partkey AS id, (p_partkey * 7 % 400)::DOUBLE AS x, (p_partkey * 13 % 90)::DOUBLE AS y, p_size::DOUBLE AS s FROM part), q AS (SELECT s_suppkey AS query, (s_suppkey * 11 % 400)::DOUBLE AS x, s_acctbal / 100 AS y FROM supplier),
+e AS (SELECT query, b.id, greatest(abs(q.x - b.x - s / 2) - s / 2, 0) AS ox, greatest(abs(q.y - b.y - s / 2) - s / 2, 0) AS oy, s / 2 - greatest(abs(q.x - b.x - s / 2), abs(q.y - b.y - s / 2)) AS within FROM b, q)
+SELECT query, round(min(CASE WHEN within >= 0 THEN within ELSE sqrt(ox * ox + oy * oy) END), 6) AS distance FROM e GROUP BY query""")
+def perimeter_distance(spark, sf_dir):
+    """Least distance to the outlines of squares, from inside or outside."""
+    k, s = F.col("p_partkey"), F.col("p_size").cast("double")
+    x, y = (k * 7 % 400).cast("double"), (k * 13 % 90).cast("double")
+    corners = F.array(*(F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y), (x + s, y), (x + s, y + s), (x, y + s))))
+    rings = table(spark, sf_dir, "part").select(k.alias("id"), F.posexplode(corners).alias("pt_no", "_p")).select("id", "pt_no", "_p.*")
+    p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query"), (F.col("s_suppkey") * 11 % 400).cast("double").alias("x"), (F.col("s_acctbal") / 100).alias("y"))
+    return B.perimeter_distance(rings, p).select("query", rounded("distance").alias("distance"))
+
+
+@query(f"""WITH {CLOUD}, s AS (SELECT s_suppkey AS query FROM supplier) SELECT query, k AS place, true AS near_enough FROM s, range(1, 6) t(k)""")
+def knn_within_factor(spark, sf_dir):
+    """Five neighbours within 1.5 times the distance of the true ones, held against an exact search."""
+    c = cloud(spark, sf_dir).select("id", "x", "y")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query"), ((F.col("s_suppkey") % 250) / 10.0).alias("x"), (F.col("s_acctbal") / 100).alias("y"))
+    exact = X.nearest(c, s, 5, ["x", "y"]).select("query", "place", F.col("d2").alias("best"))
+    return X.nearest(c, s, 5, ["x", "y"], eps=0.5).join(exact, ["query", "place"]).select("query", "place", (F.col("d2") <= 1.5**2 * F.col("best") + 1e-12).alias("near_enough"))
 
 
 #: In SQL: elements of three nodes from orders, over nodes from customers.

@@ -77,12 +77,12 @@ def range_points(spark, sf_dir):
 
 @query(f"WITH {BAL}, {SUP}, d AS (SELECT query, id, pow(c.x - s.x, 2) + pow(c.y - s.y, 2) AS d2 FROM c, s), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d2, id) AS place FROM d) SELECT query, id, round(d2, 6) AS d2, place FROM r WHERE place <= 4")
 def knn_grid(spark, sf_dir):
-    return X.nearest(balances(spark, sf_dir), suppliers(spark, sf_dir), 4, ["x", "y"], 2.0).select("query", "id", rounded(F.col("d2")).alias("d2"), "place")
+    return X.nearest(balances(spark, sf_dir), suppliers(spark, sf_dir), 4, ["x", "y"]).select("query", "id", rounded(F.col("d2")).alias("d2"), "place")
 
 
 @query(f"WITH {BAL}, {SUP}, d AS (SELECT query, id, pow(c.x - s.x, 2) + pow(c.y - s.y, 2) AS d2 FROM c, s), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d2 DESC, id) AS place FROM d) SELECT query, id, round(d2, 6) AS d2, place FROM r WHERE place <= 2")
 def knn_furthest(spark, sf_dir):
-    return X.nearest(balances(spark, sf_dir), suppliers(spark, sf_dir), 2, ["x", "y"], 2.0, furthest=True).select("query", "id", rounded(F.col("d2")).alias("d2"), "place")
+    return X.nearest(balances(spark, sf_dir), suppliers(spark, sf_dir), 2, ["x", "y"], furthest=True).select("query", "id", rounded(F.col("d2")).alias("d2"), "place")
 
 
 VEC = "SELECT a.vec_id AS query, b.vec_id AS id, list_sum(list_transform(range(1, 65), lambda k: pow(a.embedding[k]::DOUBLE - b.embedding[k]::DOUBLE, 2))) AS d2 FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0"
