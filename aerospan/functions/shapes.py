@@ -77,3 +77,53 @@ def jacobians(p: np.ndarray, ltype: int) -> tuple[np.ndarray, np.ndarray]:
     else:
         size = np.linalg.norm(np.cross(j[..., 0], j[..., 1]) if j.shape[-1] == 2 else j[..., 0], axis=-1)
     return j, size * w
+
+
+def evaluated(ltype: int, xi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shape functions (m, corners) and slopes (m, corners, axes) of an element type at places ``xi`` (m, axes) of its own coordinates."""
+    if ltype in (10, 30):
+        return _simplex(xi)
+    if ltype == 12:
+        return _box(xi, _SQUARE)
+    if ltype in (32, 37):
+        n, slopes = _box(xi, _CUBE)
+        return (n, slopes) if ltype == 37 else (np.hstack([n[:, :4], n[:, 4:].sum(1, keepdims=True)]), np.concatenate([slopes[:, :4], slopes[:, 4:].sum(1, keepdims=True)], axis=1))
+    if ltype == 34:
+        (flat, dflat), (up, dup) = _simplex(xi[:, :2]), _box(xi[:, 2:], [(-1,), (1,)])
+        ends = [(up[:, k : k + 1], dup[:, k]) for k in (0, 1)]
+        return np.hstack([flat * u for u, _ in ends]), np.concatenate([np.concatenate([dflat * u[..., None], (flat * d)[..., None]], axis=2) for u, d in ends], axis=1)
+    raise ValueError(f"no shape functions for element type {ltype}")
+
+
+#: Element types that can be located in, and where their Newton steps begin.
+STARTS = {10: (1 / 3, 1 / 3), 12: (0.0, 0.0), 30: (0.25, 0.25, 0.25), 32: (0.0, 0.0, -0.5), 34: (1 / 3, 1 / 3, 0.0), 37: (0.0, 0.0, 0.0)}
+
+
+def own_places(ltype: int, p: np.ndarray, at: np.ndarray, tol: float = 1e-9, steps: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """For elements with corners p (m, corners, 3) the shape functions (m, corners) at points ``at`` (m, 3), and which points lie in them.
+
+    Newton steps from the middle until all have settled; straight elements take one. A point off a plane element isn't in it.
+    """
+    xi, size = np.tile(np.array(STARTS[ltype]), (len(p), 1)), np.linalg.norm(p.max(axis=1) - p.min(axis=1), axis=1)
+    left = np.arange(len(p))
+    for _ in range(steps):
+        n, slopes = evaluated(ltype, xi[left])
+        gap, j = at[left] - np.einsum("mk,mkc->mc", n, p[left]), np.einsum("mkc,mka->mca", p[left], slopes)
+        square = np.einsum("mca,mcb->mab", j, j)  # on a flat or empty element the step is a least one
+        square += np.eye(j.shape[2]) * (1e-14 * np.trace(square, axis1=1, axis2=2) + 1e-300)[:, None, None]
+        step = np.linalg.solve(square, np.einsum("mca,mc->ma", j, gap)[..., None])[..., 0]
+        new = np.clip(xi[left] + step, -3.0, 3.0)  # a wild step from a bent element comes back
+        moved = np.abs(new - xi[left]).max(axis=1) > 1e-13
+        xi[left] = new
+        left = left[moved]
+        if not len(left):
+            break
+    n, _ = evaluated(ltype, xi)
+    met = np.linalg.norm(at - np.einsum("mk,mkc->mc", n, p), axis=1) <= tol * np.maximum(size, 1e-300)
+    if ltype in (10, 30):
+        inside = (xi >= -tol).all(axis=1) & (xi.sum(axis=1) <= 1 + tol)
+    elif ltype == 34:
+        inside = (xi[:, :2] >= -tol).all(axis=1) & (xi[:, :2].sum(axis=1) <= 1 + tol) & (np.abs(xi[:, 2]) <= 1 + tol)
+    else:
+        inside = (np.abs(xi) <= 1 + tol).all(axis=1)
+    return n, inside & met

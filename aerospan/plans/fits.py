@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aerospan.functions import vectors as V
+from aerospan.operators import locate as L
 from aerospan.operators import mesh as M
 from aerospan.operators import series as S
 from aerospan.operators import signals as G
@@ -122,6 +123,29 @@ def integral_solid(spark, sf_dir):
     return M.integral(elements, nodes, nodes, "f", "inside").select(rounded(F.col("integral"), 4).alias("integral"))
 
 
+#: In SQL: places of customers in the lattice's own coordinates (a few outside), and in space.
+PLACES = """q AS (SELECT c_custkey AS id, (c_custkey % 45) / 10.0 - 0.25 AS i, (c_custkey % 41) / 10.0 - 0.15 AS j, (c_custkey % 199) / 2.6 AS l FROM customer),
+s AS (SELECT *, i + 0.3 * j AS x, j + 0.2 * l AS y, 1.5 * l AS z, floor(i)::BIGINT AS a, floor(j)::BIGINT AS b, floor(l)::BIGINT AS d FROM q)"""
+
+
+def places(spark, sf_dir):
+    k = F.col("c_custkey")
+    i, j, l = (k % 45) / 10.0 - 0.25, (k % 41) / 10.0 - 0.15, (k % 199) / 2.6
+    return table(spark, sf_dir, "customer").select(k.alias("id"), (i + 0.3 * j).alias("x"), (j + 0.2 * l).alias("y"), (1.5 * l).alias("z"))
+
+
+@query(f"""WITH {BOXES}, {PLACES}, n AS (SELECT p_partkey::BIGINT AS node, p_partkey % 5 + 0.3 * (p_partkey // 5 % 5) AS x, p_partkey // 5 % 5 + 0.2 * (p_partkey // 25) AS y, 1.5 * (p_partkey // 25) AS z, p_retailprice AS f FROM part),
+h AS (SELECT s.id, sum(CASE WHEN c.a = 1 THEN s.i - s.a ELSE 1 - s.i + s.a END * CASE WHEN c.b = 1 THEN s.j - s.b ELSE 1 - s.j + s.b END * CASE WHEN c.d = 1 THEN s.l - s.d ELSE 1 - s.l + s.d END * n.f) AS f
+ FROM s JOIN c ON c.e = s.a + 5 * s.b + 25 * s.d AND s.a BETWEEN 0 AND 3 AND s.b BETWEEN 0 AND 3 JOIN n ON n.node = c.node GROUP BY s.id),
+near AS (SELECT s.id, min_by(n.f, (round(pow(s.x - n.x, 2) + pow(s.y - n.y, 2) + pow(s.z - n.z, 2), 9), n.node)) AS f FROM s, n GROUP BY s.id)
+SELECT near.id, round(coalesce(h.f, near.f), 6) AS f, h.f IS NOT NULL AS inside FROM near LEFT JOIN h ON h.id = near.id""")
+def interpolation_solid(spark, sf_dir):
+    """Prices at places among hexahedra by their shape functions; outside by the nearest node."""
+    nodes, elements = boxes(spark, sf_dir)
+    f = L.interpolated(places(spark, sf_dir), elements, nodes.select("node_id", *COORDS), nodes, ["f"])
+    return f.select("id", rounded("f").alias("f"), F.col("elem_id").isNotNull().alias("inside"))
+
+
 _V = ["v", "u / 100", "(v - 1)"]
 
 
