@@ -41,7 +41,7 @@ def totals(rings: DataFrame) -> DataFrame:
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 4 IN (0, 3) THEN 2 ELSE 1 END AS polygons, CASE WHEN p_partkey % 4 = 2 THEN 1 ELSE 0 END AS holes,
-round(p_size * p_size * CASE p_partkey % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 WHEN 2 THEN 0.75 ELSE 1.5 END, 6) AS area FROM part""")
+round(p_size * p_size * CASE p_partkey % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 WHEN 2 THEN 0.75 ELSE 1.5 END, 6)::DOUBLE AS area FROM part""")
 def polygon_repair(spark, sf_dir):
     """Outlines that cross themselves, holes that are filled again, holes, and overlapping squares, by the even-odd rule."""
     shifted = square("s / 2", "s / 2", "s", "s")
@@ -79,7 +79,7 @@ def polygon_symmetric_difference(spark, sf_dir):
     return totals(A.overlaid(*boxes(spark, sf_dir), "symmetric")).select("id", "area")
 
 
-@query("SELECT p_partkey AS id, k AS polygon, (CASE WHEN k < 0 THEN -1.0 ELSE 0.25 END) * p_size * p_size AS area FROM part, (VALUES (-1), (0)) t(k)")
+@query("SELECT p_partkey AS id, k AS polygon, (CASE WHEN k < 0 THEN -1.0 ELSE 0.25 END * p_size * p_size)::DOUBLE AS area FROM part, (VALUES (-1), (0)) t(k)")
 def polygon_complement(spark, sf_dir):
     """Outside of squares with a hole: the plane without the square, and the hole."""
     return summary(A.complement(shapes(spark, sf_dir, f"array({WHOLE}, {INNER})"))).select("id", "polygon", "area")
@@ -94,7 +94,7 @@ def buildings(spark, sf_dir):
     return A.repaired(shapes(spark, sf_dir, f"array({WINGS}, {COURT})"))
 
 
-@query("SELECT p_partkey AS id, 12 AS triangles, 7.75 * p_size * p_size AS area, 0.0 AS outside FROM part")
+@query("SELECT p_partkey AS id, 12 AS triangles, (7.75 * p_size * p_size)::DOUBLE AS area, 0::DOUBLE AS outside FROM part")
 def cap_triangles(spark, sf_dir):
     """Roofs that are not convex and have a hole; ``outside`` is the area of triangles whose middle lies in the bay or the court."""
     s = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("s"))
@@ -105,7 +105,7 @@ def cap_triangles(spark, sf_dir):
     return t.groupBy("id").agg(F.count(F.lit(1)).alias("triangles"), rounded(F.sum(a)).alias("area"), rounded(F.sum(F.when(out, a).otherwise(0.0))).alias("outside"))
 
 
-@query("""SELECT p_partkey AS id, 2 * 12 + 2 * 12 AS triangles, 7.75 * p_size * p_size * (1 + p_partkey % 9) AS volume, 0.0 AS leak,
+@query("""SELECT p_partkey AS id, 2 * 12 + 2 * 12 AS triangles, (7.75 * p_size * p_size * (1 + p_partkey % 9))::DOUBLE AS volume, 0::DOUBLE AS leak,
 round(2 * 7.75 * p_size * p_size + (4 + 3 + 1 + 2 + 2 + 2 + 1 + 3 + 2) * p_size * (1 + p_partkey % 9), 6)::DOUBLE AS surface FROM part""")
 def building_solids(spark, sf_dir):
     """Closed solids over such roofs: volume by the divergence theorem, surface, and the sum of the normals."""

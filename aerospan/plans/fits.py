@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aerospan.functions import vectors as V
+from aerospan.operators import faces as B
 from aerospan.operators import locate as L
 from aerospan.operators import mesh as M
 from aerospan.operators import series as S
@@ -123,6 +124,36 @@ def integral_solid(spark, sf_dir):
     return M.integral(elements, nodes, nodes, "f", "inside").select(rounded(F.col("integral"), 4).alias("integral"))
 
 
+#: In SQL: faces of the same hexahedra without a neighbour, with their area vectors.
+SKIN = f"""WITH {BOXES}, d(face, step, nx, ny, nz) AS (VALUES (0, -25, 0.0, 0.0, -1.0), (1, 25, 0.0, 0.0, 1.0), (2, -5, 0.0, -1.5, 0.2), (3, 1, 1.5, -0.45, 0.06), (4, 5, 0.0, 1.5, -0.2), (5, -1, -1.5, 0.45, -0.06)),
+f AS (SELECT e, face, nx::DOUBLE AS nx, ny::DOUBLE AS ny, nz::DOUBLE AS nz FROM o, d WHERE NOT EXISTS (SELECT 1 FROM o t WHERE t.e = o.e + step AND (abs(step) = 25 OR (abs(step) = 5 AND t.e // 25 = o.e // 25) OR (abs(step) = 1 AND t.e // 5 = o.e // 5))))"""
+
+
+def skin(spark, sf_dir):
+    nodes, elements = boxes(spark, sf_dir)
+    return nodes, B.area_vectors(B.boundary_faces(elements), elements, nodes)
+
+
+@query(f"{SKIN} SELECT e AS elem_id, face, nx, ny, nz FROM f")
+def boundary_normals(spark, sf_dir):
+    """Faces that bound a mesh of hexahedra, with their outward area vectors."""
+    f = skin(spark, sf_dir)[1]
+    return f.select("elem_id", "face", *((rounded(V.comp(F.col("normal"), k), 9) + 0.0).alias(c) for k, c in enumerate(("nx", "ny", "nz"))))
+
+
+@query(f"WITH {BOXES} SELECT (4.5 * count(*))::DOUBLE AS flux, 0::DOUBLE AS leak FROM o")
+def surface_flux(spark, sf_dir):
+    """Places flow outwards through a closed surface as three times the volume within, and its area vectors add up to nothing."""
+    nodes, f = skin(spark, sf_dir)
+    leak = f.agg(sum((F.abs(F.sum(V.comp(F.col("normal"), k))) for k in range(3)), F.lit(0.0)).alias("leak"))
+    return B.flux(f, nodes, list(COORDS)).crossJoin(leak).select(rounded("flux", 4).alias("flux"), (rounded("leak") + 0.0).alias("leak"))
+
+
+@query(f"WITH {BOXES}, s AS (SELECT e, count(*) AS n FROM (SELECT o.e FROM o JOIN o t ON t.e IN (o.e - 25, o.e + 25) UNION ALL SELECT o.e FROM o JOIN o t ON t.e IN (o.e - 5, o.e + 5) AND t.e // 25 = o.e // 25 UNION ALL SELECT o.e FROM o JOIN o t ON t.e IN (o.e - 1, o.e + 1) AND t.e // 5 = o.e // 5) GROUP BY e) SELECT e AS elem_id, n AS sharing FROM s")
+def face_neighbours(spark, sf_dir):
+    return B.neighbours(boxes(spark, sf_dir)[1]).groupBy("elem_id").agg(F.count(F.lit(1)).alias("sharing"))
+
+
 #: In SQL: places of customers in the lattice's own coordinates (a few outside), and in space.
 PLACES = """q AS (SELECT c_custkey AS id, (c_custkey % 45) / 10.0 - 0.25 AS i, (c_custkey % 41) / 10.0 - 0.15 AS j, (c_custkey % 199) / 2.6 AS l FROM customer),
 s AS (SELECT *, i + 0.3 * j AS x, j + 0.2 * l AS y, 1.5 * l AS z, floor(i)::BIGINT AS a, floor(j)::BIGINT AS b, floor(l)::BIGINT AS d FROM q)"""
