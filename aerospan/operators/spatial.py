@@ -205,9 +205,12 @@ def convex(rings: DataFrame) -> DataFrame:
     round once, so that only one of its points comes before both of its neighbours by (x, y)."""
     w = Window.partitionBy("id").orderBy("pt_no")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n = F.count(F.lit(1)).over(whole)
-    ring = rings.withColumn("_p", F.collect_list(F.struct("x", "y")).over(whole)).withColumn("_n", n).withColumn("_k", F.row_number().over(w) - 1)
-    at = lambda k: F.get("_p", ((F.col("_k") + k) % F.col("_n")).cast("int"))
+    p = F.struct("x", "y")
+    first = F.first(p).over(whole)
+    second = F.coalesce(F.nth_value(p, 2).over(whole), first)
+    last = F.lead(p).over(w).isNull()
+    ring = rings.withColumn("_p0", p).withColumn("_p1", F.coalesce(F.lead(p).over(w), first)).withColumn("_p2", F.coalesce(F.lead(p, 2).over(w), F.when(last, second).otherwise(first)))
+    at = lambda k: F.col(f"_p{k}")
     turn = side(at(0)["x"], at(0)["y"], at(1)["x"], at(1)["y"], at(2)["x"], at(2)["y"])
     first = F.when((at(1) < at(0)) & (at(1) < at(2)), 1).otherwise(0)
     t = ring.withColumn("_t", turn).withColumn("_f", first)

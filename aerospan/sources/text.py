@@ -116,6 +116,26 @@ def wkt_rings(wkt: Column) -> Column:
     return F.transform(texts, lambda r: F.transform(F.split(r, ","), pair))
 
 
+def wkt_multipolygon(wkt: Column) -> Column:
+    """Polygons of a POLYGON or MULTIPOLYGON text as array<array<array<struct<x, y>>>>: the rings of each, the outer one first.
+
+    An EMPTY text has no polygons; other kinds give null.
+    """
+    text = F.upper(F.trim(wkt))
+    many = F.regexp_extract_all(text, F.lit(r"\(\s*(\([^()]*\)(?:\s*,\s*\([^()]*\))*)\s*\)"), F.lit(1))
+    return F.when(text.rlike("^(MULTI)?POLYGON"), F.transform(many, wkt_rings))
+
+
+def multipolygon_text(rings: DataFrame) -> DataFrame:
+    """(id, wkt) of rings (id, polygon, ring, pt_no, x, y) as MULTIPOLYGON texts, every ring closed."""
+    point = F.concat_ws(" ", *(F.regexp_replace(F.col(c).cast("string"), r"\.0$", "") for c in ("x", "y")))
+    gathered = lambda order, what: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, what))), lambda s: s[what]), ",")
+    p = rings.withColumn("_t", point).groupBy("id", "polygon", "ring").agg(gathered("pt_no", "_t").alias("_t"))
+    p = p.withColumn("_t", F.concat(F.lit("("), "_t", F.lit(","), F.substring_index("_t", ",", 1), F.lit(")")))
+    p = p.groupBy("id", "polygon").agg(gathered("ring", "_t").alias("_t")).withColumn("_t", F.concat(F.lit("("), "_t", F.lit(")")))
+    return p.groupBy("id").agg(F.concat(F.lit("MULTIPOLYGON("), gathered("polygon", "_t"), F.lit(")")).alias("wkt"))
+
+
 def closed(ring: Column) -> Column:
     """A ring without its last point if that repeats the first."""
     return F.when((F.size(ring) > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1)), F.slice(ring, F.lit(1), F.size(ring) - 1)).otherwise(ring)

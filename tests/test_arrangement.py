@@ -136,3 +136,16 @@ def test_solids_are_closed(spark):
     for edges in walked.values():
         assert all(n == 1 and edges[b, a] == 1 for (a, b), n in edges.items())
     assert T.raised(rings, h).where(F.col("part") == "wall").count() == 2 * (8 + 6)
+
+
+def test_texts_keep_their_polygons(spark):
+    """Texts of several polygons are read polygon by polygon, repaired, and written again."""
+    from aerospan.sources import text
+
+    rows = [("two", "MULTIPOLYGON (((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 2, 2 2, 2 1, 1 1)), ((6 0,7 0,7 1.5,6 0)))"), ("one", "polygon((0 0,1 0,1 1))"), ("none", "MULTIPOLYGON EMPTY"), ("other", "POINT(1 2)")]
+    df = spark.createDataFrame(rows, "id string, wkt string").withColumn("m", text.wkt_multipolygon(F.col("wkt")))
+    assert {r.id: r.n for r in df.select("id", F.transform("m", lambda p: F.size(p)).alias("n")).collect()} == {"two": [2, 1], "one": [1], "none": [], "other": None}
+    each = df.select("id", F.posexplode("m").alias("polygon", "_r")).select("id", "polygon", F.posexplode("_r").alias("ring", "_v")).select("id", "polygon", "ring", F.posexplode(text.closed(F.col("_v"))).alias("pt_no", "_p"))
+    rings = each.select("id", F.struct("polygon", "ring").alias("ring"), "pt_no", "_p.x", "_p.y")
+    got = {r.id: r.wkt for r in text.multipolygon_text(A.repaired(rings)).collect()}
+    assert got == {"two": "MULTIPOLYGON(((0 0,4 0,4 4,0 4,0 0),(1 1,1 2,2 2,2 1,1 1)),((6 0,7 0,7 1.5,6 0)))", "one": "MULTIPOLYGON(((0 0,1 0,1 1,0 0)))"}
