@@ -135,6 +135,51 @@ def lomb_scargle(series: DataFrame, by: str, time: str, value: str, freqs: list[
     return sums.select(by, "freq", F.try_divide(power, F.col("v")).alias("power"))
 
 
+#: Mesh places on either side over which a sample is spread, and how much finer the mesh is than its frequencies need: errors near 1e-12.
+SPREAD, FINER = 12, 2
+
+
+def lomb_grid(series: DataFrame, by: str, time: str, value: str, ofac: float = 4.0, hifac: float = 1.0, whole: int = 1 << 20) -> DataFrame:
+    """(by, k, freq, power) of unevenly sampled series on the grid k / (ofac T), k = 1 .. ofac hifac n / 2, T the time from first to last.
+
+    Power is normalised by the variance, as in :func:`lomb_scargle`, but no frequency meets every sample: samples are spread over a
+    regular mesh by a narrow bell curve, the mesh is transformed by :func:`fourier`, and the curve's own transform is divided out. The
+    transform of the samples' places alone, at twice each frequency, gives the shift that makes sines and cosines independent. Rows
+    with a null or NaN value or time are left out; series of one time or without variance have no rows.
+    """
+    s = series.select(F.col(by).alias("_by"), F.col(time).cast("double").alias("_t"), F.col(value).cast("double").alias("_y")).where("not isnan(_t) and not isnan(_y)").dropna(subset=["_t", "_y"])
+    stats = s.groupBy("_by").agg(F.min("_t").alias("_t0"), (F.max("_t") - F.min("_t")).alias("_long"), F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_m"), F.var_samp("_y").alias("_v"))
+    stats = stats.withColumn("_top", F.floor(0.5 * ofac * hifac * F.col("_n"))).where("_long > 0 and _v > 0 and _top > 0")
+    modes = 4 * F.col("_top") + 2
+    bits = F.ceil(F.log2(FINER * modes.cast("double"))).cast("int")
+    stats = stats.withColumn("n", F.call_function("shiftleft", F.lit(1).cast("long"), bits))
+    ratio = F.col("n") / modes
+    stats = stats.withColumn("_tau", math.pi * SPREAD / (modes.cast("double") * modes * ratio * (ratio - 0.5)))
+    known = stats.withColumnRenamed("_by", "_k")
+    j = s.join(known, F.col("_by").eqNullSafe(F.col("_k"))).withColumn("_at", 2 * math.pi * (F.col("_t") - F.col("_t0")) / (F.col("_long") * ofac))
+    cell = F.floor(F.col("_at") / (2 * math.pi) * F.col("n"))
+    j = j.withColumn("_c", F.explode(F.sequence(cell - SPREAD + 1, cell + SPREAD)))
+    off = F.col("_at") - 2 * math.pi * F.col("_c") / F.col("n")
+    j = j.withColumn("_w", F.exp(-off * off / (4 * F.col("_tau"))))
+    spread = j.select("_by", "n", F.pmod("_c", F.col("n")).alias("_i"), (F.col("_w") * (F.col("_y") - F.col("_m"))).alias("a"), F.col("_w").alias("b"))
+    # transforms that are dealt over tasks want every place of the mesh
+    runs = stats.where(F.col("n") > whole).select("_by", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(4096).cast("long"))).alias("_run")).repartition("_by", "_run")
+    empty = runs.select("_by", "n", F.explode(F.sequence("_run", F.least(F.col("_run") + 4095, F.col("n") - 1))).alias("_i"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    mesh = spread.unionByName(empty).groupBy("_by", "n", "_i").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    named = lambda v, k, re, im: fourier(mesh, "_by", "_i", v, whole).select(F.col("_by"), k.alias("k"), F.col("k").alias("_q"), F.col("re").alias(re), (-F.col("im")).alias(im))
+    values, places = named("a", F.col("k"), "yc", "ys"), named("b", F.col("k") / 2, "c2", "s2").where("_q % 2 = 0").withColumn("k", F.col("k").cast("long"))
+    both = values.drop("_q").alias("v").join(places.drop("_q").alias("p"), (F.col("v._by").eqNullSafe(F.col("p._by"))) & (F.col("v.k") == F.col("p.k"))).select("v.*", "c2", "s2")
+    x = both.join(known, F.col("_by").eqNullSafe(F.col("_k"))).where("k between 1 and _top")
+    back = lambda q: F.sqrt(math.pi / F.col("_tau")) * F.exp(q * q * F.col("_tau")) / F.col("n")
+    one, two = back(F.col("k").cast("double")), back(2.0 * F.col("k"))
+    x = x.withColumns({"yc": F.col("yc") * one, "ys": F.col("ys") * one, "c2": F.col("c2") * two, "s2": F.col("s2") * two})
+    x = x.withColumn("_turn", F.atan2("s2", "c2") / 2).withColumn("_cc", (F.col("_n") + F.sqrt(F.col("c2") * F.col("c2") + F.col("s2") * F.col("s2"))) / 2)
+    x = x.withColumn("_a", F.col("yc") * F.cos("_turn") + F.col("ys") * F.sin("_turn")).withColumn("_b", F.col("ys") * F.cos("_turn") - F.col("yc") * F.sin("_turn"))
+    rest = F.col("_n") - F.col("_cc")
+    power = F.col("_a") * F.col("_a") / F.col("_cc") + F.when(rest > 1e-9 * F.col("_n"), F.col("_b") * F.col("_b") / rest).otherwise(0.0)
+    return x.select(F.col("_by").alias(by), "k", (F.col("k") / (F.col("_long") * ofac)).alias("freq"), (power / (2 * F.col("_v"))).alias("power"))
+
+
 def welch(series: DataFrame, by: str, index: str, value: str, length: int, overlap: int) -> DataFrame:
     """(by, k, power): mean over Hann-windowed segments of ``length`` that overlap; segments of one series run in parallel."""
     hop = length - overlap

@@ -201,3 +201,13 @@ def fft_spectra(spark, sf_dir):
     """Densities under a Hann window, up to half of the highest frequency."""
     x = G.fft_spectra(samples(spark, sf_dir), "event_type", "i", "v", 0.5, windowing=True, lowpass=0.5)
     return x.select("event_type", rounded(F.col("freq"), 9).alias("freq"), rounded(F.col("power"), 3).alias("power"))
+
+
+@query("""WITH e AS (SELECT event_type, date_diff('microsecond', TIMESTAMP '2023-12-31', ts) / 1e6 AS t, value AS v FROM events WHERE value IS NOT NULL), m AS (SELECT event_type, min(t) AS t0, max(t) - min(t) AS w, count(*) AS n, avg(v) AS mean, var_samp(v) AS var FROM e GROUP BY 1),
+k AS (SELECT event_type, unnest(range(1, (n // 2) + 1)) AS k FROM m), x AS (SELECT e.event_type, k, n, var, 2 * pi() * k * (t - t0) / (2 * w) AS a, v - mean AS y FROM e JOIN m ON e.event_type = m.event_type JOIN k ON k.event_type = m.event_type),
+s AS (SELECT event_type, k, atan2(sum(sin(2 * a)), sum(cos(2 * a))) / 2 AS p FROM x GROUP BY ALL)
+SELECT x.event_type, x.k, round((pow(sum(y * cos(a - p)), 2) / sum(pow(cos(a - p), 2)) + pow(sum(y * sin(a - p)), 2) / sum(pow(sin(a - p), 2))) / (2 * any_value(var)), 5) AS power FROM x JOIN s ON x.event_type = s.event_type AND x.k = s.k GROUP BY 1, 2""")
+def lomb_scargle_grid(spark, sf_dir):
+    """Events by type, all of them, on the whole grid of frequencies twice as fine as the time they take, up to half of their mean rate."""
+    e = table(spark, sf_dir, "events").select("event_type", (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2023-12-31 00:00:00', cast(ts as timestamp_ntz))") / 1e6).alias("t"), "value")
+    return G.lomb_grid(e, "event_type", "t", "value", ofac=2.0, hifac=0.5).select("event_type", "k", rounded(F.col("power"), 5).alias("power"))
