@@ -255,6 +255,12 @@ def solid_gradients(elements: DataFrame, nodes: DataFrame, field: DataFrame, val
     return at.groupBy("node_id").agg(*(F.array(*(mean(v, axis) for axis in range(3))).alias(v) for v in values))
 
 
+def solid_laplacian(elements: DataFrame, nodes: DataFrame, field: DataFrame, value: str) -> DataFrame:
+    """(node_id, lap): the divergence of the gradient, both on tetrahedra and weighted to nodes by volume."""
+    g = solid_gradients(elements, nodes, field, [value])
+    return solid_divergence(elements, nodes, g.select("node_id", *(V.comp(F.col(value), k).alias(f"_{k}") for k in range(3))), ["_0", "_1", "_2"]).withColumnRenamed("div", "lap")
+
+
 def solid_divergence(elements: DataFrame, nodes: DataFrame, field: DataFrame, values: list[str]) -> DataFrame:
     """(node_id, div) of the vector with the three ``values``."""
     g = solid_gradients(elements, nodes, field, values)

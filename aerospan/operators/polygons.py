@@ -123,14 +123,24 @@ def matched(a: DataFrame, b: DataFrame, axes: list[str], tol: float) -> DataFram
 
 
 def thinned(df: DataFrame, percent: float, key: str, seed: int = 0) -> DataFrame:
-    """Exactly floor(n p / 100) rows are removed, chosen by a hash of the key; the threshold is found by counting."""
-    n = df.count()
+    """Exactly floor(n p / 100) rows are removed, chosen by a hash of the key.
+
+    The hashes' range is cut into 2^16 parts and counted; rows below the part that holds the threshold stay where they are, and
+    only that part's rows are put in order.
+    """
+    hashed = df.withColumn("_h", F.xxhash64(key, F.lit(seed)))
+    part = F.shiftright("_h", 48)
+    counts = sorted((r["part"], r["count"]) for r in hashed.groupBy(part.alias("part")).count().collect())  # at most 2^16 rows
+    n = sum(c for _, c in counts)
     keep = n - math.floor(n * percent / 100)
-    if keep == 0:
+    for at, count in counts:
+        if keep <= count:
+            break
+        keep -= count
+    else:
         return df.where("false")
-    h = F.xxhash64(key, F.lit(seed))
-    kept = df.withColumn("_h", h).orderBy("_h", key).limit(keep)
-    return kept.drop("_h")
+    below = hashed.where(part < at).drop("_h")
+    return below.unionByName(hashed.where(part == at).orderBy("_h", key).limit(keep).drop("_h"))
 
 
 def combinations(items: DataFrame, value: str) -> DataFrame:

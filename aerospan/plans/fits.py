@@ -97,6 +97,18 @@ def divergence_solid(spark, sf_dir):
     return M.solid_divergence(elements, nodes.select("node_id", *COORDS), field, ["f", "g", "h"]).select("node_id", rounded(F.col("div"), 5).alias("div"))
 
 
+@query(f"""WITH {SOLIDS}, r AS (SELECT node_id, sum(fx) / sum(w) AS gx, sum(fy) / sum(w) AS gy, sum(fz) / sum(w) AS gz FROM m GROUP BY node_id),
+v AS (SELECT d.*, e.det, a.gx - o.gx AS ux, b.gx - o.gx AS vx, c.gx - o.gx AS wx, a.gy - o.gy AS uy, b.gy - o.gy AS vy, c.gy - o.gy AS wy, a.gz - o.gz AS uz, b.gz - o.gz AS vz, c.gz - o.gz AS wz
+ FROM d JOIN e ON e.id = d.id JOIN r o ON o.node_id = d.id JOIN r a ON a.node_id = d.id + 1 JOIN r b ON b.node_id = d.id + 5 JOIN r c ON c.node_id = d.id + 25),
+t AS (SELECT id, det, ux * (b_y * cz - bz * cy) - ay * (vx * cz - bz * wx) + az * (vx * cy - b_y * wx) + ax * (vy * cz - bz * wy) - uy * (bx * cz - bz * cx) + az * (bx * wy - vy * cx)
+ + ax * (b_y * wz - vz * cy) - ay * (bx * wz - vz * cx) + uz * (bx * cy - b_y * cx) AS lap FROM v),
+p AS (SELECT unnest([id, id + 1, id + 5, id + 25]) AS node_id, abs(det) AS w, sign(det) * lap AS lap FROM t)
+SELECT node_id, round(sum(lap) / sum(w), 5) AS lap FROM p GROUP BY node_id""")
+def laplacian_solid(spark, sf_dir):
+    nodes, elements = solids(spark, sf_dir)
+    return M.solid_laplacian(elements, nodes.select("node_id", *COORDS), nodes, "f").select("node_id", rounded("lap", 5).alias("lap"))
+
+
 def boxes(spark, sf_dir):
     """A node for each part on a sheared lattice of cells of volume 1.5, and a hexahedron at each node that has its seven others."""
     k = F.col("p_partkey")

@@ -313,3 +313,14 @@ def test_integrals_of_every_element(spark, ltype, size):
     assert np.isclose(M.integral(elements, nodes, field, "f", "far").first().integral, want if ltype != 2 else 0)
     along = {2: (2, 0, 0), 10: (2, 1, 1), 12: (2, 3, 0)}.get(ltype, (2, 3, -1))  # the part within the line or surface
     assert all(np.allclose((r.gx, r.gy, r.gz), along) for r in M.nodal_gradients(elements, nodes, field, "f").collect())
+
+
+@pytest.mark.parametrize("n,percent", [(0, 30), (1, 0), (1, 100), (500, 37.3), (500, 100), (500, 0)])
+def test_thinning_keeps_the_lowest_hashes(spark, n, percent):
+    from aerospan.operators import polygons as P
+
+    df = spark.range(n).withColumn("v", F.col("id") % 7)
+    keep = n - int(n * percent / 100)
+    want = {r.id for r in df.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(keep).collect()}
+    rows = [r.id for r in P.thinned(df, percent, "id", 3).collect()]
+    assert len(rows) == keep and set(rows) == want
