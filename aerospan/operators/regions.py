@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aerospan.functions.numeric import side
 from aerospan.operators.polygons import edges
 from aerospan.operators.spatial import in_polygon, nearest
 
@@ -43,18 +44,24 @@ def flattened(points: DataFrame, rings: DataFrame, share: float) -> DataFrame:
 
 
 def part_of(rings: DataFrame, others: DataFrame) -> DataFrame:
-    """(id, poly): rings with all their vertices inside another ring."""
+    """(id, poly): rings with all their vertices inside another ring, and no edge that crosses one of its edges."""
     key = F.struct("id", "pt_no")
     vertices = rings.select(key.alias("id"), "x", "y")
     n = rings.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     met = in_rings(vertices, others).groupBy(F.col("id.id").alias("id"), "poly").agg(F.count(F.lit(1)).alias("m"))
-    return met.join(n, "id").where("m = n and id <> poly").select("id", "poly")
+    held = met.join(n, "id").where("m = n and id <> poly").select("id", "poly")
+    out = edges(others).select(F.col("id").alias("poly"), *(F.col(c).alias(f"o{c}") for c in ("x0", "y0", "x1", "y1")))
+    pair = held.join(edges(rings), "id").join(out, "poly")
+    turn = lambda a, b, p: side(*(F.col(c) for c in (*a, *b, *p)))
+    p, q, u, v = ("x0", "y0"), ("x1", "y1"), ("ox0", "oy0"), ("ox1", "oy1")
+    crossed = pair.where((turn(p, q, u) * turn(p, q, v) < 0) & (turn(u, v, p) * turn(u, v, q) < 0)).select("id", "poly").distinct()
+    return held.join(crossed, ["id", "poly"], "left_anti")
 
 
 def dimension2(rings: DataFrame) -> DataFrame:
     """(id, largest2): the square of the longer side of each ring's box."""
-    side = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
-    return rings.groupBy("id").agg((side * side).alias("largest2"))
+    longer = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    return rings.groupBy("id").agg((longer * longer).alias("largest2"))
 
 
 def influence(rings: DataFrame, x: float, y: float, radius: float) -> DataFrame:

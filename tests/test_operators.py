@@ -324,3 +324,11 @@ def test_thinning_keeps_the_lowest_hashes(spark, n, percent):
     want = {r.id for r in df.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(keep).collect()}
     rows = [r.id for r in P.thinned(df, percent, "id", 3).collect()]
     assert len(rows) == keep and set(rows) == want
+
+
+def test_rings_across_a_bay_are_not_part_of_it(spark):
+    from aerospan.operators import regions as R
+
+    rows = {1: [(0, 0), (9, 0), (9, 9), (6, 9), (6, 3), (3, 3), (3, 9), (0, 9)], 2: [(1, 6), (8, 6), (8, 7), (1, 7)], 3: [(1, 1), (8, 1), (8, 2), (1, 2)], 4: [(20, 20), (21, 20), (21, 21)]}
+    rings = spark.createDataFrame([(k, n, float(x), float(y)) for k, v in rows.items() for n, (x, y) in enumerate(v)], "id long, pt_no int, x double, y double")
+    assert [tuple(r) for r in R.part_of(rings.where("id > 1"), rings.where("id = 1")).collect()] == [(3, 1)]
