@@ -1,4 +1,4 @@
-"""Shape functions of straight-edged elements and the points at which their integrals are summed, as NumPy arrays."""
+"""Shape functions of elements, straight-edged or of higher degree, and the points at which their integrals are summed, as NumPy arrays."""
 
 from __future__ import annotations
 
@@ -31,15 +31,66 @@ def _simplex(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 _SQUARE = [(-1, -1), (1, -1), (1, 1), (-1, 1)]
 _CUBE = [(*s, z) for z in (-1, 1) for s in _SQUARE]
+#: Degree along each axis of the hexahedra with inner nodes.
+DEGREES = {39: 2, 40: 3}
 _TRIANGLE = np.array([[1, 1], [4, 1], [1, 4]]) / 6, np.full(3, 1 / 6)
 
 
+def lattice(degree: int) -> np.ndarray:
+    """Where each node of a hexahedron of that degree lies, in steps (i, j, k) along its axes: the eight corners, the nodes within the edges of
+    the lower and the upper square and those of the upright edges, within faces (across i, j, then k, the lower one first), then inside;
+    along each of these the first axis that varies is fastest."""
+    d, inner = degree, range(1, degree)
+    grid = lambda i, j, k: [(a, b, c) for c in k for b in j for a in i]
+    ends = ([0], [d])
+    places = [tuple((1 + x) * d // 2 for x in s) for s in _CUBE]
+    for k in ends:
+        places += grid(inner, [0], k) + grid([d], inner, k) + grid(inner, [d], k) + grid([0], inner, k)
+    for i, j, _ in (p for p in places[:4]):
+        places += grid([i], [j], inner)
+    for axis in range(3):
+        for end in ends:
+            places += grid(*(end if a == axis else inner for a in range(3)))
+    return np.array(places + grid(inner, inner, inner))
+
+
+@cache
+def line(degree: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The Lobatto points of a line -1..1, and coefficients of the polynomials that are one at each of them and none at the others, and of their slopes."""
+    inner = np.polynomial.legendre.Legendre.basis(degree).deriv().roots()
+    nodes = np.concatenate([[-1.0], np.sort(inner.real), [1.0]])
+    ones = [np.polynomial.polynomial.polyfromroots(np.delete(nodes, k)) / np.prod(nodes[k] - np.delete(nodes, k)) for k in range(degree + 1)]
+    return nodes, ones, [np.polynomial.polynomial.polyder(c) for c in ones]
+
+
+def _brick(points: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Products over the axes of the polynomials of :func:`line`, one for each node of :func:`lattice`, with slopes."""
+    _, ones, slopes = line(degree)
+    at = lambda c: np.stack([np.polynomial.polynomial.polyval(points, x) for x in c], axis=2)
+    value, slope, places = at(ones), at(slopes), lattice(degree)
+    along = lambda table, axis: table[:, axis, places[:, axis]]
+    n = [along(value, a) for a in range(3)]
+    return n[0] * n[1] * n[2], np.stack([np.prod([along(slope, a) if a == d else n[a] for a in range(3)], axis=0) for d in range(3)], axis=2)
+
+
+@cache
+def bulge(ltype: int) -> float:
+    """How far an element may reach beyond the box around its nodes, in widths of the box. Places are sums of nodes by shape functions, which
+    add up to one; the sum of their sizes, a product over the axes, bounds the reach. None for elements of the first degree."""
+    if ltype not in DEGREES:
+        return 0.0
+    x, (_, ones, slopes) = np.linspace(-1, 1, 2001), line(DEGREES[ltype])
+    sizes = sum(np.abs(np.polynomial.polynomial.polyval(x, c)) for c in ones)
+    steepest = sum(np.abs(np.polynomial.polynomial.polyval(x, c)).max() for c in slopes)
+    return float(((sizes.max() + steepest * 0.0005) ** 3 - 1) / 2)  # between the samples it grows by no more than that
+
+
 @cache
 def rule(ltype: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights (g), shape functions (g, corners) and slopes (g, corners, axes) at the Gauss points of an element type.
 
     A pyramid is a cube whose upper face is drawn together, a wedge a triangle times a line. Rules are exact for products of two
-    shape functions on elements with parallel faces, and on any hexahedron.
+    shape functions on elements with parallel faces, and on any hexahedron with straight edges.
     """
     if ltype == 2:
         points, w = _lines(2)
@@ -65,6 +116,9 @@ def rule(ltype: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if ltype == 32:
             n, slopes = (np.concatenate([x[:, :4], x[:, 4:].sum(1, keepdims=True)], axis=1) for x in (n, slopes))
         return w, n, slopes
+    if ltype in DEGREES:
+        points, w = _lines(*[DEGREES[ltype] + 2] * 3)
+        return w, *_brick(points, DEGREES[ltype])
     raise ValueError(f"no shape functions for element type {ltype}")
 
 
@@ -88,6 +142,8 @@ def evaluated(ltype: int, xi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if ltype in (32, 37):
         n, slopes = _box(xi, _CUBE)
         return (n, slopes) if ltype == 37 else (np.hstack([n[:, :4], n[:, 4:].sum(1, keepdims=True)]), np.concatenate([slopes[:, :4], slopes[:, 4:].sum(1, keepdims=True)], axis=1))
+    if ltype in DEGREES:
+        return _brick(xi, DEGREES[ltype])
     if ltype == 34:
         (flat, dflat), (up, dup) = _simplex(xi[:, :2]), _box(xi[:, 2:], [(-1,), (1,)])
         ends = [(up[:, k : k + 1], dup[:, k]) for k in (0, 1)]
@@ -96,7 +152,7 @@ def evaluated(ltype: int, xi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Element types that can be located in, and where their Newton steps begin.
-STARTS = {10: (1 / 3, 1 / 3), 12: (0.0, 0.0), 30: (0.25, 0.25, 0.25), 32: (0.0, 0.0, -0.5), 34: (1 / 3, 1 / 3, 0.0), 37: (0.0, 0.0, 0.0)}
+STARTS = {10: (1 / 3, 1 / 3), 12: (0.0, 0.0), 30: (0.25, 0.25, 0.25), 32: (0.0, 0.0, -0.5), 34: (1 / 3, 1 / 3, 0.0), 37: (0.0, 0.0, 0.0), 39: (0.0, 0.0, 0.0), 40: (0.0, 0.0, 0.0)}
 
 
 def own_places(ltype: int, p: np.ndarray, at: np.ndarray, tol: float = 1e-9, steps: int = 30) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerospan.functions.shapes import STARTS, own_places
+from aerospan.functions.shapes import DEGREES, STARTS, bulge, own_places
 from aerospan.operators.boxtree import build, nearest_points, reached
 from aerospan.operators.mesh import shaped
 
@@ -20,7 +20,8 @@ def located(points: DataFrame, elements: DataFrame, nodes: DataFrame, tol: float
     """(id, elem_id, nodes, weights) of points (id, x, y, z) in elements (elem_id, ltype, nodes) over nodes (node_id, x, y, z).
 
     ``weights`` are the shape functions at the point, one for each node. A point on a face that elements share belongs to the one with the
-    least number; one outside all elements has no row. Triangles, quadrilaterals, tetrahedra, pyramids, wedges and hexahedra count.
+    least number; one outside all elements has no row. Triangles, quadrilaterals, tetrahedra, pyramids, wedges and hexahedra count, those with
+    inner nodes too; as these may be bent, they are sought as far beyond their nodes as they can reach.
     """
     s = shaped(elements.where(F.col("ltype").isin(*STARTS)).withColumn("nodes", F.filter("nodes", lambda n: n >= 0)), nodes.select("node_id", *(F.col(x).cast("double").alias(x) for x in AXES)))
     s = s.where(F.size("p") == F.size("nodes"))
@@ -28,7 +29,11 @@ def located(points: DataFrame, elements: DataFrame, nodes: DataFrame, tol: float
     for k, x in enumerate(AXES):
         s = s.withColumn(f"lo_{x}", F.array_min(along(k))).withColumn(f"hi_{x}", F.array_max(along(k)))
     pad = tol * sum(((F.col(f"hi_{x}") - F.col(f"lo_{x}")) for x in AXES), F.lit(0.0))
-    s = s.withColumn("_pad", pad).withColumns({f"lo_{x}": F.col(f"lo_{x}") - F.col("_pad") for x in AXES} | {f"hi_{x}": F.col(f"hi_{x}") + F.col("_pad") for x in AXES})
+    bent = F.lit(0.0)
+    for t in DEGREES:
+        bent = F.when(F.col("ltype") == t, bulge(t)).otherwise(bent)
+    s = s.withColumn("_pad", pad).withColumns({f"_w_{x}": F.col("_pad") + bent * (F.col(f"hi_{x}") - F.col(f"lo_{x}")) for x in AXES})
+    s = s.withColumns({f"lo_{x}": F.col(f"lo_{x}") - F.col(f"_w_{x}") for x in AXES} | {f"hi_{x}": F.col(f"hi_{x}") + F.col(f"_w_{x}") for x in AXES})
     tree = build(s.select(F.col("elem_id").alias("id"), "ltype", "nodes", F.flatten("p").alias("p"), *(f"{e}_{x}" for x in AXES for e in ("lo", "hi"))), AXES)
     q = points.select(F.col("id").alias("query"), *(F.col(x).cast("double").alias(x) for x in AXES))
     pairs = reached(tree, q, 1).join(tree.items, "leaf")

@@ -131,6 +131,15 @@ def measured(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     return s.withColumn("w", w)
 
 
+def _parts(batch: pa.RecordBatch, types: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A batch by element type, in pieces of which the arrays at all Gauss points and of all pairs of corners stay small."""
+    for t in np.unique(types):
+        part = batch.filter(pa.array(types == t))
+        points, corners = rule(int(t))[1].shape
+        step = max(1, 4_000_000 // max(corners * corners, 9 * points))
+        yield from (part.slice(k, step) for k in range(0, part.num_rows, step))
+
+
 def summed(elements: DataFrame, nodes: DataFrame, what: Callable, columns: str, field: DataFrame | None = None) -> DataFrame:
     """Rows (elem_id, nodes, then ``columns``) of sums over Gauss points: ``what`` gets an element type, its corners (e, corners, 3)
     and, if there is a ``field`` (node_id, f), its corner values (e, corners), and gives an array for each column."""
@@ -146,8 +155,8 @@ def summed(elements: DataFrame, nodes: DataFrame, what: Callable, columns: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             types = batch.column("ltype").to_numpy()
-            for t in np.unique(types):
-                part = batch.filter(pa.array(types == t))
+            for part in _parts(batch, types):
+                t = part.column("ltype")[0].as_py()
                 p = part.column("p").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1, width)
                 found = what(int(t), p[..., :3], *(p[..., k] for k in range(3, width)))
                 lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.size // len(x), dtype=np.int32), pa.array(x.ravel())) for x in found]
