@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerospan.plans import algebra, arrangement, city, fits, meshes, pipelines, polygons, regions, spatial, statistics  # noqa: F401
+from aerospan.plans import algebra, arrangement, city, fits, meshes, pipelines, polygons, regions, spatial, statistics, surfaces  # noqa: F401
 from aerospan.registry import QUERIES, SQL
 
 
