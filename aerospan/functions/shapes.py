@@ -7,6 +7,8 @@ from itertools import product
 
 import numpy as np
 
+from aerospan.functions.numeric import basis
+
 
 def _lines(*counts: int) -> tuple[np.ndarray, np.ndarray]:
     """Gauss points and weights of a product of lines -1..1."""
@@ -59,7 +61,7 @@ def line(degree: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """The Lobatto points of a line -1..1, and coefficients of the polynomials that are one at each of them and none at the others, and of their slopes."""
     inner = np.polynomial.legendre.Legendre.basis(degree).deriv().roots()
     nodes = np.concatenate([[-1.0], np.sort(inner.real), [1.0]])
-    ones = [np.polynomial.polynomial.polyfromroots(np.delete(nodes, k)) / np.prod(nodes[k] - np.delete(nodes, k)) for k in range(degree + 1)]
+    ones = [basis(k, nodes.tolist()) for k in range(degree + 1)]
     return nodes, ones, [np.polynomial.polynomial.polyder(c) for c in ones]
 
 
