@@ -276,22 +276,20 @@ def solid_divergence(elements: DataFrame, nodes: DataFrame, field: DataFrame, va
     return g.select("node_id", V.total([V.comp(F.col(v), k) for k, v in enumerate(values)]).alias("div"))
 
 
-def to_gauss(elements: DataFrame, field: DataFrame, value: str, shape: list[list[float]]) -> DataFrame:
-    """Values at Gauss points: ``shape`` has the corner functions at each point."""
-    g = gather(elements, field.select("node_id", value))
-    n = F.get(F.array(*(F.array(*(F.lit(v) for v in row)) for row in zip(*shape, strict=True))), F.col("pos"))
-    parts = g.select("elem_id", F.posexplode(n).alias("gp", "n"), value)
-    return parts.groupBy("elem_id", "gp").agg(F.sum(F.col("n") * F.col(value)).alias(value))
-
-
-def from_gauss(elements: DataFrame, nodes: DataFrame, gauss: DataFrame, value: str, shape: list[list[float]]) -> DataFrame:
-    """Weighted projection back to nodes, divided by the lumped mass."""
-    points = len(shape)
-    w = measured(elements, nodes).select("elem_id", "nodes", (F.col("w") / points).alias("w"))
-    n = F.get(F.array(*(F.array(*(F.lit(v) for v in row)) for row in shape)), F.col("gp"))
-    parts = gauss.join(w, "elem_id").select("elem_id", F.posexplode("nodes").alias("pos", "node_id"), F.col("w"), F.col(value), n.alias("n"))
-    parts = parts.select("node_id", (F.col("w") * F.get("n", F.col("pos"))).alias("w"), value)
-    return parts.groupBy("node_id").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias(value))
+def to_gauss(elements: DataFrame, nodes: DataFrame, field: DataFrame, value: str) -> DataFrame:
+    """(elem_id, gp, value) at the Gauss points of any element type of :func:`rule`."""
+    f = field.select("node_id", F.col(value).cast("double").alias("f"))
+    made = summed(elements, nodes, lambda t, p, f: [f @ rule(t)[1].T], "v", f)
+    return made.select("elem_id", F.posexplode("v").alias("gp", value))
+
+
+def from_gauss(elements: DataFrame, nodes: DataFrame, gauss: DataFrame, value: str) -> DataFrame:
+    """(node_id, value): values at Gauss points (elem_id, gp, value) summed at nodes by weight, volume and shape function, over the sum
+    of these, the lumped mass. An element of which points are missing counts with those it has."""
+    made = summed(elements, nodes, lambda t, p: [np.einsum("eg,ga->ega", jacobians(p, t)[1], rule(t)[1]).reshape(len(p), -1)], "w")
+    n = F.size("nodes")
+    parts = gauss.select("elem_id", "gp", value).join(made, "elem_id").select(F.col(value), F.explode(F.arrays_zip("nodes", F.slice("w", F.col("gp") * n + 1, n).alias("w"))).alias("c"))
+    return parts.groupBy(F.col("c.nodes").alias("node_id")).agg(F.try_divide(F.sum(F.col("c.w") * F.col(value)), F.sum("c.w")).alias(value))
 
 
 def boundary(elements: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ lineage is cut every few steps in the shared checkpoint folder, so that a lost e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerospan.session import cut_lineage
@@ -45,6 +47,17 @@ def applied(a: DataFrame, p: DataFrame, column: str) -> DataFrame:
     return p.join(y, "i", "left").withColumn("ap", F.coalesce("y", F.lit(0.0))).drop("y")
 
 
+def from_rule(rows: DataFrame, columns: int, value: Callable[[Column, Column], Column]) -> DataFrame:
+    """(i, j, v) of an implicit matrix: ``value(i, j)`` for each row (i) and each of ``columns`` columns, where it isn't null."""
+    full = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(columns - 1).cast("long"))))
+    return full.select("i", "j", value(F.col("i"), F.col("j")).alias("v")).where("v is not null")
+
+
+def lumped(m: DataFrame, b: DataFrame) -> DataFrame:
+    """(i, x) with m x = b for a lumped matrix (i, m); null where the mass is zero. Rows of only one side are left out."""
+    return m.join(b, "i").select("i", F.try_divide("b", "m").alias("x"))
+
+
 def approximate_inverse(a: DataFrame, b: DataFrame, rounds: int = 25) -> DataFrame:
     """(i, x) with a x = b, ``b`` (i, b): the residual divided by the lumped matrix is added again and again."""
     state = b.join(row_sums(a), "i").select("i", "m", F.col("b").alias("r"), F.lit(0.0).alias("x")).withColumn("d", F.try_divide("r", "m"))

@@ -1,169 +1,192 @@
-"""Mesh, finite-element, periodicity and sparse-matrix queries."""
+"""Mesh, finite-element, periodicity and sparse-matrix queries. Parts are the nodes of the meshes, so these grow with the table."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from aerospan.functions.shapes import rule
 from aerospan.operators import mesh as M
 from aerospan.operators import sparse as P
 from aerospan.registry import query, rounded, table
+from aerospan.session import cut_lineage
 
-N1, N2 = 21, 11
-LX, LY = 2.0, 1.0
-#: In SQL: nodes and elements of the plane.
-NODES = f"n AS (SELECT i + j * {N1} AS node_id, i * {LX} / {N1 - 1} AS x, j * {LY} / {N2 - 1} AS y, i, j FROM range(0, {N1}) a(i), range(0, {N2}) b(j))"
-ELEMS = f"e AS (SELECT i * {N2 - 1} + j AS elem_id, i, j FROM range(0, {N1 - 1}) a(i), range(0, {N2 - 1}) b(j))"
-CORNERS = f"c AS (SELECT elem_id, pos, (e.i + di) + (e.j + dj) * {N1} AS node_id FROM e, (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 0)) t(pos, di, dj))"
-CELL = LX / (N1 - 1) * LY / (N2 - 1)
+#: Nodes along the first axis of the plane; its cells are parallelograms of area CELL.
+N1, CELL = 21, 0.01
+#: In SQL: nodes, elements (by their first node) and corners of the plane.
+NODES = f"n AS (SELECT p_partkey AS node_id, p_partkey % {N1} AS i, p_partkey // {N1} AS j, (p_partkey % {N1}) * 0.1::DOUBLE + (p_partkey // {N1}) * 0.03::DOUBLE AS x, (p_partkey // {N1}) * 0.1::DOUBLE AS y, p_retailprice AS f, p_size::DOUBLE AS g, p_size > 5 AS inside FROM part)"
+ELEMS = f"e AS (SELECT a.p_partkey AS elem_id FROM part a JOIN part b ON b.p_partkey = a.p_partkey + {N1 + 1} WHERE a.p_partkey % {N1} < {N1 - 1})"
+CORNERS = f"c AS (SELECT elem_id, pos, elem_id + step AS node_id FROM e, (VALUES (0, 0), (1, {N1}), (2, {N1 + 1}), (3, 1)) t(pos, step))"
 
 
-def plane(spark):
-    return M.plane_nodes(spark, (LX, LY), N1, N2), M.plane_elements(spark, N1, N2)
+def plane(spark, sf_dir):
+    """A node for each part on a sheared lattice, with fields f and g, and a quadrilateral at each node that has its three others."""
+    k = F.col("p_partkey")
+    i, j = k % N1, F.floor(k / N1)
+    nodes = table(spark, sf_dir, "part").select(k.alias("node_id"), (i * 0.1 + j * 0.03).alias("x"), (j * 0.1).alias("y"), F.lit(0.0).alias("z"), F.col("p_retailprice").alias("f"), F.col("p_size").cast("double").alias("g"), (F.col("p_size") > 5).alias("inside"))
+    n = F.col("node_id")
+    first = nodes.where(n % N1 < N1 - 1).select(n).join(nodes.select((n - N1 - 1).alias("node_id")), "node_id")
+    elements = first.select(n.alias("elem_id"), F.lit(12).alias("ltype"), F.array(n, n + N1, n + N1 + 1, n + 1).alias("nodes"))
+    return nodes.select("node_id", "x", "y", "z"), elements, nodes.select("node_id", "f", "g", "inside")
 
 
-def field(nodes):
-    """An analytic field on the nodes."""
-    return nodes.select("node_id", (F.col("x") * F.col("x") + 3 * F.col("y")).alias("f"), (2 * F.col("x") + F.col("y")).alias("g"), (F.col("x") <= 1.0).alias("inside"))
+def layers(spark, sf_dir, each: int) -> int:
+    """As many layers of ``each`` nodes as the parts fill, and two."""
+    return 2 + table(spark, sf_dir, "part").count() // each
 
 
-FIELD = "f AS (SELECT node_id, x * x + 3 * y AS f, 2 * x + y AS g, x <= 1.0 AS inside FROM n)"
+#: In SQL: the same number as ``n``.
+LAYERS = "m AS (SELECT 2 + count(*) // {} AS n FROM part)".format
 
 
-@query(f"WITH {NODES} SELECT node_id, round(x, 6) AS x, round(0.5 * (1 + tanh(0.2 * (2 * y - 1)) / tanh(0.2)), 6) AS y FROM n")
+@query(f"WITH {LAYERS(N1)} SELECT i + j * {N1} AS node_id, round(i * 2.0 / {N1 - 1}, 6)::DOUBLE AS x, round(0.5 * (1 + tanh(0.2 * (2 * (j / (n - 1)) - 1)) / tanh(0.2)), 6) AS y FROM m, range(0, {N1}) a(i), unnest(range(0, n)) b(j)")
 def plane_mesh(spark, sf_dir):
-    return M.plane_nodes(spark, (LX, LY), N1, N2, conc=2).select("node_id", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
+    return M.plane_nodes(spark, (2.0, 1.0), N1, layers(spark, sf_dir, N1), conc=2).select("node_id", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
 
 
-@query(f"WITH {ELEMS}, {CORNERS} SELECT elem_id, max(CASE WHEN pos = 0 THEN node_id END) AS a, max(CASE WHEN pos = 1 THEN node_id END) AS b, max(CASE WHEN pos = 2 THEN node_id END) AS c, max(CASE WHEN pos = 3 THEN node_id END) AS d FROM c GROUP BY elem_id")
+@query(f"WITH {LAYERS(N1)} SELECT i * (n - 1) + j AS elem_id, i + j * {N1} AS a, i + (j + 1) * {N1} AS b, i + 1 + (j + 1) * {N1} AS c, i + 1 + j * {N1} AS d FROM m, range(0, {N1 - 1}) a(i), unnest(range(0, n - 1)) b(j)")
 def plane_connectivity(spark, sf_dir):
-    return plane(spark)[1].select("elem_id", *(F.get("nodes", F.lit(k)).alias(n) for k, n in enumerate("abcd")))
+    return M.plane_elements(spark, N1, layers(spark, sf_dir, N1)).select("elem_id", *(F.get("nodes", F.lit(k)).alias(n) for k, n in enumerate("abcd")))
 
 
-@query("SELECT i + j * 5 + k * 20 AS node_id, round(i * 0.25, 6)::DOUBLE AS x, round(j * 2.0 / 3, 6)::DOUBLE AS y, round(k * 1.5, 6)::DOUBLE AS z FROM range(0, 5) a(i), range(0, 4) b(j), range(0, 3) c(k)")
+@query(f"WITH {LAYERS(20)} SELECT i + j * 5 + k * 20 AS node_id, round(i * 0.25, 6)::DOUBLE AS x, round(j * 2.0 / 3, 6)::DOUBLE AS y, round(k * 3 / (n - 1), 6) AS z FROM m, range(0, 5) a(i), range(0, 4) b(j), unnest(range(0, n)) c(k)")
 def cube_mesh(spark, sf_dir):
-    return M.cube_nodes(spark, (1.0, 2.0, 3.0), 5, 4, 3).select("node_id", *(rounded(F.col(c)).alias(c) for c in "xyz"))
+    return M.cube_nodes(spark, (1.0, 2.0, 3.0), 5, 4, layers(spark, sf_dir, 20)).select("node_id", *(rounded(F.col(c)).alias(c) for c in "xyz"))
 
 
-@query("SELECT (i * 3 + j) * 2 + k AS elem_id, i + j * 5 + k * 20 AS first, (i + 1) + (j + 1) * 5 + (k + 1) * 20 AS opposite FROM range(0, 4) a(i), range(0, 3) b(j), range(0, 2) c(k)")
+@query(f"WITH {LAYERS(20)} SELECT (i * 3 + j) * (n - 1) + k AS elem_id, i + j * 5 + k * 20 AS first, (i + 1) + (j + 1) * 5 + (k + 1) * 20 AS opposite FROM m, range(0, 4) a(i), range(0, 3) b(j), unnest(range(0, n - 1)) c(k)")
 def cube_connectivity(spark, sf_dir):
-    return M.cube_elements(spark, 5, 4, 3).select("elem_id", F.get("nodes", F.lit(0)).alias("first"), F.get("nodes", F.lit(6)).alias("opposite"))
+    return M.cube_elements(spark, 5, 4, layers(spark, sf_dir, 20)).select("elem_id", F.get("nodes", F.lit(0)).alias("first"), F.get("nodes", F.lit(6)).alias("opposite"))
 
 
 @query(f"WITH {NODES} SELECT (i // 2 + (j // 2) * {(N1 + 1) // 2})::BIGINT AS node_id, round(x, 6) AS x, round(y, 6) AS y FROM n WHERE i % 2 = 0 AND j % 2 = 0")
 def mesh_decimate(spark, sf_dir):
-    return M.decimate(plane(spark)[0], N1, N2, 2).select("node_id", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
+    return M.decimate(plane(spark, sf_dir)[0], N1, 0, 2).select("node_id", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
 
 
 @query(f"WITH {NODES}, {ELEMS}, {CORNERS} SELECT elem_id, round(avg(x), 6) AS x, round(avg(y), 6) AS y, 0.0::DOUBLE AS z FROM c JOIN n USING (node_id) GROUP BY elem_id")
 def cell_centers(spark, sf_dir):
-    nodes, elements = plane(spark)
+    nodes, elements, _ = plane(spark, sf_dir)
     return M.centers(elements, nodes).select("elem_id", *(rounded(F.col(c)).alias(c) for c in "xyz"))
 
 
-@query(f"WITH {ELEMS}, {CORNERS} SELECT node_id, round(count(*) * {CELL} / 4, 8) AS mass FROM c GROUP BY node_id")
+@query(f"WITH {ELEMS}, {CORNERS} SELECT node_id, round(count(*) * {CELL}::DOUBLE / 4, 8) AS mass FROM c GROUP BY node_id")
 def lumped_mass(spark, sf_dir):
-    nodes, elements = plane(spark)
+    nodes, elements, _ = plane(spark, sf_dir)
     return M.lumped_mass(elements, nodes).select("node_id", rounded(F.col("mass"), 8).alias("mass"))
 
 
-@query(f"WITH {ELEMS}, {CORNERS} SELECT a.node_id AS i, b.node_id AS j, round(sum({CELL} * CASE (a.pos - b.pos + 4) % 4 WHEN 0 THEN 4.0 WHEN 2 THEN 1.0 ELSE 2.0 END / 36), 9) AS v FROM c a JOIN c b USING (elem_id) GROUP BY 1, 2")
+@query(f"WITH {ELEMS}, {CORNERS} SELECT a.node_id AS i, b.node_id AS j, round(sum({CELL}::DOUBLE * CASE (a.pos - b.pos + 4) % 4 WHEN 0 THEN 4.0 WHEN 2 THEN 1.0 ELSE 2.0 END / 36), 9) AS v FROM c a JOIN c b USING (elem_id) GROUP BY 1, 2")
 def consistent_mass(spark, sf_dir):
-    nodes, elements = plane(spark)
+    nodes, elements, _ = plane(spark, sf_dir)
     return M.consistent_mass(elements, nodes).select("i", "j", rounded(F.col("v"), 9).alias("v"))
 
 
-@query(f"WITH {NODES}, {ELEMS}, {CORNERS}, {FIELD}, g AS (SELECT elem_id, avg(f) AS f, bool_and(inside) AS ok FROM c JOIN f USING (node_id) GROUP BY elem_id) SELECT round(sum({CELL} * f), 8) AS integral FROM g WHERE ok")
+@query(f"WITH {NODES}, {ELEMS}, {CORNERS}, g AS (SELECT elem_id, avg(f) AS f, bool_and(inside) AS ok FROM c JOIN n USING (node_id) GROUP BY elem_id) SELECT round(sum({CELL}::DOUBLE * f), 6) AS integral FROM g WHERE ok")
 def integral_masked(spark, sf_dir):
-    nodes, elements = plane(spark)
-    return M.integral(elements, nodes, field(nodes), "f", "inside").select(rounded(F.col("integral"), 8).alias("integral"))
+    nodes, elements, field = plane(spark, sf_dir)
+    return M.integral(elements, nodes, field, "f", "inside").select(rounded(F.col("integral"), 6).alias("integral"))
 
 
-@query(f"WITH {NODES}, {ELEMS}, {CORNERS}, {FIELD} SELECT elem_id, pos, node_id, round(f, 6) AS f FROM c JOIN f USING (node_id)")
+@query(f"WITH {NODES}, {ELEMS}, {CORNERS} SELECT elem_id, pos, node_id, round(f, 6) AS f FROM c JOIN n USING (node_id)")
 def gather_field(spark, sf_dir):
-    nodes, elements = plane(spark)
-    return M.gather(elements, field(nodes)).select("elem_id", "pos", "node_id", rounded(F.col("f")).alias("f"))
+    _, elements, field = plane(spark, sf_dir)
+    return M.gather(elements, field).select("elem_id", "pos", "node_id", rounded(F.col("f")).alias("f"))
 
 
-@query(f"WITH {NODES}, {ELEMS}, {CORNERS}, {FIELD} SELECT node_id, round(sum(f), 6) AS total FROM (SELECT elem_id, avg(f) AS f FROM c JOIN f USING (node_id) GROUP BY elem_id) JOIN c USING (elem_id) GROUP BY node_id")
+@query(f"WITH {NODES}, {ELEMS}, {CORNERS} SELECT node_id, round(sum(f), 6) AS total FROM (SELECT elem_id, avg(f) AS f FROM c JOIN n USING (node_id) GROUP BY elem_id) JOIN c USING (elem_id) GROUP BY node_id")
 def scatter_add(spark, sf_dir):
-    nodes, elements = plane(spark)
-    means = M.gather(elements, field(nodes)).groupBy("elem_id").agg(F.avg("f").alias("f"))
+    _, elements, field = plane(spark, sf_dir)
+    means = M.gather(elements, field).groupBy("elem_id").agg(F.avg("f").alias("f"))
     return M.scatter(M.corners(elements).join(means, "elem_id"), "f", "total").select("node_id", rounded(F.col("total")).alias("total"))
 
 
 @query(f"WITH {ELEMS}, {CORNERS} SELECT DISTINCT a.node_id, b.node_id AS other FROM c a JOIN c b USING (elem_id) WHERE a.node_id <> b.node_id")
 def node_neighbours(spark, sf_dir):
-    return M.neighbours(plane(spark)[1])
+    return M.neighbours(plane(spark, sf_dir)[1])
 
 
-@query(f"WITH {ELEMS}, {CORNERS}, h AS (SELECT elem_id, 0 AS half, unnest([0, 1, 2]) AS pos FROM e UNION ALL SELECT elem_id, 1, unnest([2, 3, 0]) FROM e) SELECT 2 * h.elem_id + half AS elem_id, sum(node_id)::BIGINT AS nodes FROM h JOIN c ON h.elem_id = c.elem_id AND h.pos = c.pos GROUP BY 1")
+#: In SQL: the two triangles of each quadrilateral, and at their corners area, and area times the slopes of f and g.
+HALVES = f"t AS (SELECT 2 * elem_id AS tri, elem_id AS a, elem_id + {N1} AS b, elem_id + {N1 + 1} AS c FROM e UNION ALL SELECT 2 * elem_id + 1, elem_id + {N1 + 1}, elem_id + 1, elem_id FROM e)"
+SLOPES = f"""{NODES}, {ELEMS}, {HALVES},
+s AS (SELECT a, b, c, q.x - p.x AS ux, q.y - p.y AS uy, r.x - p.x AS vx, r.y - p.y AS vy, q.f - p.f AS fu, r.f - p.f AS fv, q.g - p.g AS gu, r.g - p.g AS gv FROM t JOIN n p ON p.node_id = a JOIN n q ON q.node_id = b JOIN n r ON r.node_id = c),
+w AS (SELECT unnest([a, b, c]) AS node_id, abs(ux * vy - uy * vx) AS w, sign(ux * vy - uy * vx) * (fu * vy - fv * uy) AS fx, sign(ux * vy - uy * vx) * (fv * ux - fu * vx) AS fy, sign(ux * vy - uy * vx) * (gv * ux - gu * vx) AS gy FROM s)"""
+
+
+@query(f"WITH {ELEMS}, {HALVES} SELECT tri AS elem_id, a, b, c FROM t")
 def quad_to_triangles(spark, sf_dir):
-    t = M.triangles_of(plane(spark)[1])
-    return t.select("elem_id", F.aggregate("nodes", F.lit(0).cast("long"), lambda a, b: a + b).alias("nodes"))
+    return M.triangles_of(plane(spark, sf_dir)[1]).select("elem_id", *(F.get("nodes", F.lit(k)).alias(c) for k, c in enumerate("abc")))
 
 
-SHAPE = [[0.6, 0.2, 0.1, 0.1], [0.1, 0.6, 0.2, 0.1], [0.1, 0.1, 0.6, 0.2], [0.2, 0.1, 0.1, 0.6]]
-SHAPES = "s(gp, pos, w) AS (VALUES " + ", ".join(f"({g}, {p}, {v})" for g, row in enumerate(SHAPE) for p, v in enumerate(row)) + ")"
+#: In SQL: the shape functions of the quadrilateral at its Gauss points.
+SHAPES = "s(gp, pos, w) AS (VALUES " + ", ".join(f"({g}, {p}, {v}::DOUBLE)" for g, row in enumerate(rule(12)[1].tolist()) for p, v in enumerate(row)) + ")"
 
 
-@query(f"WITH {NODES}, {ELEMS}, {CORNERS}, {FIELD}, {SHAPES} SELECT elem_id, gp, round(sum(w * f)::DOUBLE, 6) AS f FROM c JOIN f USING (node_id) JOIN s USING (pos) GROUP BY elem_id, gp")
+@query(f"WITH {NODES}, {ELEMS}, {CORNERS}, {SHAPES} SELECT elem_id, gp, round(sum(w * f), 6) AS f FROM c JOIN n USING (node_id) JOIN s USING (pos) GROUP BY elem_id, gp")
 def nodes_to_gauss(spark, sf_dir):
-    nodes, elements = plane(spark)
-    return M.to_gauss(elements, field(nodes), "f", SHAPE).select("elem_id", "gp", rounded(F.col("f")).alias("f"))
+    nodes, elements, field = plane(spark, sf_dir)
+    return M.to_gauss(elements, nodes, field, "f").select("elem_id", "gp", rounded(F.col("f")).alias("f"))
 
 
-@query(f"WITH {NODES}, {ELEMS}, {CORNERS}, {FIELD}, {SHAPES}, g AS (SELECT elem_id, gp, sum(w * f) AS f FROM c JOIN f USING (node_id) JOIN s USING (pos) GROUP BY elem_id, gp) SELECT node_id, round((sum(w * f) / sum(w))::DOUBLE, 6) AS f FROM g JOIN s USING (gp) JOIN c ON c.elem_id = g.elem_id AND c.pos = s.pos GROUP BY node_id")
+@query(f"WITH {NODES}, {ELEMS}, {CORNERS}, {SHAPES}, g AS (SELECT elem_id, gp, sum(w * f) AS f FROM c JOIN n USING (node_id) JOIN s USING (pos) GROUP BY elem_id, gp) SELECT node_id, round(sum(w * f) / sum(w), 6) AS f FROM g JOIN s USING (gp) JOIN c ON c.elem_id = g.elem_id AND c.pos = s.pos GROUP BY node_id")
 def gauss_to_nodes(spark, sf_dir):
-    nodes, elements = plane(spark)
-    gauss = M.to_gauss(elements, field(nodes), "f", SHAPE)
-    return M.from_gauss(elements, nodes, gauss, "f", SHAPE).select("node_id", rounded(F.col("f")).alias("f"))
+    nodes, elements, field = plane(spark, sf_dir)
+    return M.from_gauss(elements, nodes, M.to_gauss(elements, nodes, field, "f"), "f").select("node_id", rounded(F.col("f")).alias("f"))
 
 
-@query(f"WITH {NODES} SELECT node_id, 2.0::DOUBLE AS gx, 1.0::DOUBLE AS gy FROM n")
+@query(f"WITH {SLOPES} SELECT node_id, round(sum(fx) / sum(w), 5) AS gx, round(sum(fy) / sum(w), 5) AS gy FROM w GROUP BY node_id")
 def gradient_linear(spark, sf_dir):
-    """Exact on a linear field."""
-    nodes, elements = plane(spark)
-    g = M.gradient(M.triangles_of(elements), nodes, field(nodes), "g")
-    return g.select("node_id", rounded(F.col("gx")).alias("gx"), rounded(F.col("gy")).alias("gy"))
+    """Of the price, on triangles."""
+    nodes, elements, field = plane(spark, sf_dir)
+    g = M.gradient(M.triangles_of(elements), nodes, field, "f")
+    return g.select("node_id", rounded(F.col("gx"), 5).alias("gx"), rounded(F.col("gy"), 5).alias("gy"))
 
 
-@query(f"WITH {NODES} SELECT node_id, 4.0::DOUBLE AS div FROM n")
+@query(f"WITH {SLOPES} SELECT node_id, round((sum(fx) + sum(gy)) / sum(w), 5) AS div FROM w GROUP BY node_id")
 def divergence_linear(spark, sf_dir):
-    nodes, elements = plane(spark)
-    f = nodes.select("node_id", (3 * F.col("x")).alias("u"), (F.col("y") - F.col("x")).alias("v"))
-    return M.divergence(M.triangles_of(elements), nodes, f, "u", "v").select("node_id", rounded(F.col("div")).alias("div"))
+    """Of the vector (price, size), on triangles."""
+    nodes, elements, field = plane(spark, sf_dir)
+    return M.divergence(M.triangles_of(elements), nodes, field, "f", "g").select("node_id", rounded(F.col("div"), 5).alias("div"))
 
 
-@query()
+@query(f"""WITH {SLOPES}, r AS (SELECT node_id, sum(fx) / sum(w) AS gx, sum(fy) / sum(w) AS gy FROM w GROUP BY node_id),
+d AS (SELECT s.*, q.gx - p.gx AS xu, r.gx - p.gx AS xv, q.gy - p.gy AS yu, r.gy - p.gy AS yv FROM s JOIN r p ON p.node_id = a JOIN r q ON q.node_id = b JOIN r ON r.node_id = c),
+l AS (SELECT unnest([a, b, c]) AS node_id, abs(ux * vy - uy * vx) AS w, sign(ux * vy - uy * vx) * (xu * vy - xv * uy + yv * ux - yu * vx) AS lap FROM d)
+SELECT node_id, round(sum(lap) / sum(w), 4) AS lap FROM l GROUP BY node_id""")
 def laplacian_field(spark, sf_dir):
-    nodes, elements = plane(spark)
-    return M.laplacian(M.triangles_of(elements), nodes, field(nodes), "f").select("node_id", rounded(F.col("lap")).alias("lap"))
+    nodes, elements, field = plane(spark, sf_dir)
+    return M.laplacian(M.triangles_of(elements), nodes, field, "f").select("node_id", rounded(F.col("lap"), 4).alias("lap"))
 
 
 @query(f"WITH {ELEMS}, {CORNERS}, p AS (SELECT a.elem_id, least(a.node_id, b.node_id) AS a, greatest(a.node_id, b.node_id) AS b FROM c a JOIN c b ON a.elem_id = b.elem_id AND b.pos = (a.pos + 1) % 4) SELECT a, b FROM p GROUP BY a, b HAVING count(*) = 1")
 def boundary_edges(spark, sf_dir):
-    return M.boundary(plane(spark)[1])
+    return M.boundary(plane(spark, sf_dir)[1])
+
 
+#: In SQL: parts as nodes of a box, five by four a layer.
+CUBE = "q AS (SELECT p_partkey AS node_id, p_partkey % 5 AS i, p_partkey // 5 % 4 AS j, p_partkey // 20 AS k FROM part)"
 
-CUBE = "q AS (SELECT i + j * 5 + k * 20 AS node_id, i, j, k FROM range(0, 5) a(i), range(0, 4) b(j), range(0, 3) c(k))"
+
+def cube(spark, sf_dir):
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(k.alias("node_id"), ((k % 5) * 0.25).alias("x"), ((F.floor(k / 5) % 4) * 0.5).alias("y"), (F.floor(k / 20) * 1.5).alias("z"))
 
 
 @query(f"WITH {CUBE} SELECT a.node_id AS master, b.node_id AS slave FROM q a JOIN q b ON a.j = b.j AND a.k = b.k WHERE a.i = 0 AND b.i = 4")
 def periodic_pairs(spark, sf_dir):
-    return M.periodic(M.cube_nodes(spark, (1.0, 2.0, 3.0), 5, 4, 3), "x", 0.0, 1.0)
+    return M.periodic(cube(spark, sf_dir), "x", 0.0, 1.0)
 
 
 @query(f"WITH {CUBE} SELECT q.node_id, coalesce(a.node_id, 0) AS master FROM q LEFT JOIN q a ON q.i = 4 AND a.i = 0 AND a.j = q.j AND a.k = q.k")
 def master_list(spark, sf_dir):
-    nodes = M.cube_nodes(spark, (1.0, 2.0, 3.0), 5, 4, 3)
+    nodes = cube(spark, sf_dir)
     return M.masters(M.periodic(nodes, "x", 0.0, 1.0), nodes)
 
 
 @query(f"WITH {CUBE} SELECT (i % 4) + (j % 3) * 5 + k * 20 AS master, node_id AS slave FROM q WHERE i = 4 OR j = 3")
 def periodic_unique(spark, sf_dir):
     """Two periodic directions: corners are linked in chains."""
-    nodes = M.cube_nodes(spark, (1.0, 2.0, 3.0), 5, 4, 3)
-    return M.rooted(M.periodic(nodes, "x", 0.0, 1.0).unionByName(M.periodic(nodes, "y", 0.0, 2.0)))
+    nodes = cube(spark, sf_dir)
+    return M.rooted(M.periodic(nodes, "x", 0.0, 1.0).unionByName(M.periodic(nodes, "y", 0.0, 1.5)))
 
 
 @query("SELECT p_partkey AS edge_id, k, round(p_size * k / n::DOUBLE, 6) AS x, round(p_size * 2.0 * k / n, 6)::DOUBLE AS y FROM (SELECT p_partkey, p_size, greatest(floor(sqrt(5.0) * p_size / 10.0)::INT, 1) AS n, unnest(range(0, greatest(floor(sqrt(5.0) * p_size / 10.0)::INT, 1) + 1)) AS k FROM part)")
@@ -172,12 +195,17 @@ def perimeter_points(spark, sf_dir):
     return M.perimeter(e, 10.0).select("edge_id", F.col("k").cast("long").alias("k"), rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
 
 
-@query()
+#: In SQL: the corners of each part's footprint and the next ones.
+WALLS = "f AS (SELECT p_partkey AS id, pt_no, p_partkey * x AS x, y, p_partkey * x2 AS x2, y2, p_retailprice AS h FROM part, (VALUES (0, 0, 0, 1, 0), (1, 1, 0, 1, 1), (2, 1, 1, 0, 1), (3, 0, 1, 0, 0)) c(pt_no, x, y, x2, y2))"
+
+
+@query(f"WITH {WALLS} SELECT id, pt_no, 0 AS half, x::DOUBLE AS ax, y::DOUBLE AS ay, 0.0::DOUBLE AS az, x2::DOUBLE AS bx, y2::DOUBLE AS b_y, 0.0::DOUBLE AS bz, x2::DOUBLE AS cx, y2::DOUBLE AS cy, h AS cz, 'WallSurface' AS semantics FROM f UNION ALL SELECT id, pt_no, 1, x2, y2, h, x, y, h, x, y, 0.0, 'WallSurface' FROM f")
 def building_walls(spark, sf_dir):
-    """Extruded footprints: a square for each part, as high as its price."""
+    """Extruded footprints: a rectangle for each part, as high as its price."""
     r = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("h"), F.posexplode(F.array(*(F.array(F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))))).alias("pt_no", "p"))
     rings = r.select("id", "pt_no", (F.get("p", F.lit(0)) * F.col("id")).alias("x"), F.get("p", F.lit(1)).alias("y"), "h")
-    return M.walls(rings, F.lit(0.0), F.col("h"))
+    w = M.walls(rings, F.lit(0.0), F.col("h"))
+    return w.select("id", "pt_no", "half", *(F.get(F.get("triangle", F.lit(k)), F.lit(c)).alias(f"{p}{'_' if p + n == 'by' else ''}{n}") for k, p in enumerate("abc") for c, n in enumerate("xyz")), "semantics")
 
 
 COO = "a AS (SELECT (l_partkey % 100)::INT AS i, (l_suppkey % 100)::INT AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
@@ -205,25 +233,40 @@ def csr_transpose_trace(spark, sf_dir):
     return P.trace(a).crossJoin(P.diagonal(a).agg(F.count(F.lit(1)).alias("diagonal"))).crossJoin(P.transpose(a).agg(F.sum(F.col("v") * (F.col("j") - F.col("i"))).alias("skew")))
 
 
-@query("SELECT i, j, (i + 1) * 10 + j AS v FROM range(0, 12) a(i), range(0, 9) b(j) WHERE (i + j) % 2 = 0")
+@query("SELECT s_suppkey AS i, j, (s_suppkey + 1) * 10 + j AS v FROM supplier, range(0, 9) b(j) WHERE (s_suppkey + j) % 2 = 0")
 def binary_matrix(spark, sf_dir):
-    """An implicit matrix op(row, column): both sides are small by construction."""
-    return spark.range(108).select(F.floor(F.col("id") / 9).alias("i"), (F.col("id") % 9).alias("j")).where("(i + j) % 2 = 0").select("i", "j", ((F.col("i") + 1) * 10 + F.col("j")).alias("v"))
+    """An implicit matrix op(row, column) of as many rows as there are suppliers and nine columns."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"))
+    return P.from_rule(rows, 9, lambda i, j: F.when((i + j) % 2 == 0, (i + 1) * 10 + j))
 
 
-@query()
+#: In SQL: sizes of the parts that a mesh's elements have as corners.
+SIZES = f"WITH {ELEMS}, {CORNERS} SELECT p_partkey AS i, p_size::DOUBLE AS x FROM part WHERE p_partkey IN (SELECT node_id FROM c)"
+
+
+def system(spark, sf_dir):
+    """The mass matrix of the plane, and what it makes of the sizes."""
+    nodes, elements, field = plane(spark, sf_dir)
+    a = cut_lineage(M.consistent_mass(elements, nodes))
+    return a, P.times_vector(a, field.select(F.col("node_id").alias("j"), F.col("g").alias("x"))).withColumnRenamed("y", "b")
+
+
+@query(SIZES)
 def conj_grad(spark, sf_dir):
-    a, b = P.example(spark)
-    return P.conjugate_gradient(a, b).select("i", rounded(F.col("x"), 5).alias("x"))
+    """Finds the sizes again."""
+    a, b = system(spark, sf_dir)
+    return P.conjugate_gradient(a, b).select("i", rounded(F.col("x"), 3).alias("x"))
 
 
 @query()
 def approx_inverse(spark, sf_dir):
-    a, b = P.example(spark)
+    a, b = system(spark, sf_dir)
     return P.approximate_inverse(a, b, 25).select("i", rounded(F.col("x"), 5).alias("x"))
 
 
-@query("SELECT i, round(b / 0.25 * (i + 1), 6) AS x FROM (SELECT i, (i - 4.0)::DOUBLE AS b FROM range(0, 9) t(i))")
+@query(f"WITH {ELEMS}, {CORNERS}, m AS (SELECT node_id, count(*) * {CELL}::DOUBLE / 4 AS m FROM c GROUP BY node_id) SELECT node_id AS i, round(p_retailprice / m, 5) AS x FROM m JOIN part ON p_partkey = node_id")
 def lumped_solve(spark, sf_dir):
-    r = spark.range(9).select(F.col("id").alias("i"), (F.col("id") - 4.0).alias("b"), (F.lit(0.25) / (F.col("id") + 1)).alias("m"))
-    return r.select("i", rounded(F.try_divide(F.col("b"), F.col("m"))).alias("x"))
+    """Prices over the lumped mass."""
+    nodes, elements, field = plane(spark, sf_dir)
+    m = M.lumped_mass(elements, nodes).select(F.col("node_id").alias("i"), F.col("mass").alias("m"))
+    return P.lumped(m, field.select(F.col("node_id").alias("i"), F.col("f").alias("b"))).select("i", rounded("x", 5).alias("x"))
