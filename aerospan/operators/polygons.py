@@ -83,6 +83,15 @@ def in_contact(rings: DataFrame, pairs: DataFrame) -> DataFrame:
     return touching.unionByName(inside).distinct()
 
 
+def round_rings(centres: DataFrame, points: int, radius: Column, second: Column | None = None, step: float | None = None, start: float = 0.0) -> DataFrame:
+    """Points (id, pt_no, x, y) around centres (id, x, y), counter-clockwise from angle ``start``, ``step`` radians apart (by default a whole
+    round); with a second radius along y they lie on ellipses. Radii are columns of ``centres``."""
+    turn = start + F.col("pt_no") * (2 * math.pi / points if step is None else step)
+    c = centres.withColumn("_a", radius).withColumn("_b", radius if second is None else second)
+    c = c.select("id", "x", "y", "_a", "_b", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("pt_no"))
+    return c.select("id", "pt_no", (F.col("x") + F.col("_a") * F.cos(turn)).alias("x"), (F.col("y") + F.col("_b") * F.sin(turn)).alias("y"))
+
+
 def plane_slice(edge_values: DataFrame, level: float) -> DataFrame:
     """Where edges (edge_id, a, b: struct<x, y, z, v>) cross a value of v: the point between, by linear interpolation."""
     va, vb = F.col("a.v"), F.col("b.v")

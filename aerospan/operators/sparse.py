@@ -69,24 +69,26 @@ def approximate_inverse(a: DataFrame, b: DataFrame, rounds: int = 25) -> DataFra
 
 
 def conjugate_gradient(a: DataFrame, b: DataFrame, rounds: int = 500, tol: float = 1e-16, refresh: int = 5) -> DataFrame:
-    """(i, x) for a symmetric positive definite ``a``: starts from b over the diagonal, stops at r.r < tol b.b."""
-    start = b.join(diagonal(a), "i", "left").select("i", "b", F.coalesce(F.try_divide("b", "v"), F.lit(0.0)).alias("x"))
-    state = applied(a, start, "x").select("i", "b", "x", (F.col("b") - F.col("ap")).alias("r")).withColumn("p", F.col("r"))
+    """(i, x) for a symmetric positive definite ``a``: starts from b over the diagonal, steps are scaled by the diagonal, and it stops where
+    r.r < tol b.b in that scale. A step is one job: the next residual's size follows from products with what the matrix makes of p."""
+    over = F.coalesce(F.try_divide(F.lit(1.0), "v"), F.lit(0.0))
+    start = b.join(diagonal(a), "i", "left").select("i", "b", over.alias("d"), (F.col("b") * over).alias("x"))
+    state = applied(a, start, "x").select("i", "b", "d", "x", (F.col("b") - F.col("ap")).alias("r")).withColumn("p", F.col("r") * F.col("d"))
     state = cut_lineage(state)
-    rr, bb = state.agg(F.sum(F.col("r") * F.col("r")), F.sum(F.col("b") * F.col("b"))).first()
+    dot = lambda x, y: F.sum(F.col("d") * F.col(x) * F.col(y))
     for k in range(rounds):
-        if rr is None or rr <= tol * bb:
-            break
         step = applied(a, state, "p").cache()
-        pap = step.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
+        rr, bb, pap, rap, apap = step.agg(dot("r", "r"), dot("b", "b"), F.sum(F.col("p") * F.col("ap")), dot("r", "ap"), dot("ap", "ap")).first()
+        if not rr or rr <= tol * bb or not pap:
+            step.unpersist()
+            break
         alpha = rr / pap
-        moved = step.select("i", "b", "p", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"))
-        new = moved.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
-        state = moved.withColumn("p", F.col("r") + (new / rr) * F.col("p"))
+        beta = max(0.0, rr - 2 * alpha * rap + alpha * alpha * apap) / rr
+        r = F.col("r") - alpha * F.col("ap")
+        state = step.select("i", "b", "d", (F.col("x") + alpha * F.col("p")).alias("x"), r.alias("r"), (r * F.col("d") + beta * F.col("p")).alias("p"))
         if k % refresh == refresh - 1:
             state = cut_lineage(state)
-        step.unpersist()
-        rr = new
+            step.unpersist()
     return state.select("i", "x")
 
 

@@ -8,9 +8,11 @@ are blended sideways only, so one self-join replaces the loop over tiles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aerospan.operators.statistics import in_places
+
 
 def weight(k: Column, overlap: int, factor: float) -> Column:
     return F.exp(-factor * (k / (overlap - 1))) if overlap > 1 else F.lit(1.0)
@@ -65,10 +67,9 @@ def wind_table(u: DataFrame, v: DataFrame) -> DataFrame:
 
 
 def by_number(names: DataFrame, name: str) -> DataFrame:
-    """Add ``key``: the number after the first dash of a name; and ``place``, the order by it, names without one last."""
+    """Add ``key``: the number after the first dash of a name; and ``place``, the order by it, names without one last; names must differ."""
     key = F.expr(f"try_cast(regexp_extract({name}, '-(\\\\d+)', 1) AS BIGINT)")
-    w = Window.orderBy(F.col("key").asc_nulls_last(), name)  # file names of one directory
-    return names.withColumn("key", key).withColumn("place", F.row_number().over(w))
+    return in_places(names.withColumn("key", key), F.col("key").asc_nulls_last(), F.col(name))
 
 
 def infer(tiles: DataFrame, model, outputs: list[str]) -> DataFrame:

@@ -232,46 +232,51 @@ def schur_form(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", V.schur(a9()).alias("r")).select("vec_id", "r.s", "r.q")
 
 
-@query("SELECT i, j, k, CASE WHEN i = j THEN 1 ELSE 0 END AS delta, ((i - j) * (j - k) * (k - i) // 2)::INT AS eps FROM range(1, 4) a(i), range(1, 4) b(j), range(1, 4) c(k)")
+@query("SELECT id, i, j, k, CASE WHEN i = j THEN 1 ELSE 0 END AS delta, ((i - j) * (j - k) * (k - i) // 2)::INT AS eps FROM (SELECT o_orderkey AS id, o_orderkey % 3 + 1 AS i, o_custkey % 3 + 1 AS j, o_orderkey // 3 % 3 + 1 AS k FROM orders)")
 def index_symbols(spark, sf_dir):
-    r = spark.range(27).select(*((F.floor(F.col("id") / 3**e) % 3 + 1).cast("long").alias(n) for e, n in ((2, "i"), (1, "j"), (0, "k"))))
+    o = F.col("o_orderkey")
+    r = table(spark, sf_dir, "orders").select(o.alias("id"), (o % 3 + 1).alias("i"), (F.col("o_custkey") % 3 + 1).alias("j"), (F.floor(o / 3) % 3 + 1).alias("k"))
     i, j, k = F.col("i"), F.col("j"), F.col("k")
-    return r.select("i", "j", "k", V.kronecker(i, j).alias("delta"), V.alternating(i, j, k).alias("eps"))
+    return r.select("id", "i", "j", "k", V.kronecker(i, j).alias("delta"), V.alternating(i, j, k).alias("eps"))
 
 
-def points(spark, n: int = 101) -> DataFrame:
-    return spark.range(n).select("id", (F.col("id") / 50.0 - 1.0).alias("x"))
+def points(spark, sf_dir):
+    """Balances of customers as places between -1 and 1."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), ((F.col("c_acctbal") - 4500) / 5500.0).alias("x"))
 
 
-POINTS = "p AS (SELECT i AS id, i / 50.0::DOUBLE - 1.0 AS x FROM range(0, 101) t(i))"
+POINTS = "p AS (SELECT c_custkey AS id, (c_acctbal - 4500) / 5500.0::DOUBLE AS x FROM customer)"
 
 
 @query(f"WITH {POINTS} SELECT id, round((3 * x * x - 1) / 2, 8) AS p2, round((35 * pow(x, 4) - 30 * x * x + 3) / 8, 8) AS p4, round((140 * pow(x, 3) - 60 * x) / 8, 8) AS d4, round((420 * x * x - 60) / 8, 7) AS dd4, round(105 * x, 7) AS ddd4 FROM p")
 def legendre(spark, sf_dir):
     x = F.col("x")
-    return points(spark).select("id", rounded(N.legendre(2, x), 8).alias("p2"), rounded(N.legendre(4, x), 8).alias("p4"), rounded(N.legendre(4, x, 1), 8).alias("d4"), rounded(N.legendre(4, x, 2), 7).alias("dd4"), rounded(N.legendre(4, x, 3), 7).alias("ddd4"))
+    return points(spark, sf_dir).select("id", rounded(N.legendre(2, x), 8).alias("p2"), rounded(N.legendre(4, x), 8).alias("p4"), rounded(N.legendre(4, x, 1), 8).alias("d4"), rounded(N.legendre(4, x, 2), 7).alias("dd4"), rounded(N.legendre(4, x, 3), 7).alias("ddd4"))
 
 
 @query(f"WITH {POINTS} SELECT id, round(x * (x - 1) / 2, 8) AS l0, round(1 - x * x, 8) AS l1, round(x * (x + 1) / 2, 8) AS l2, round(x - 0.5, 8) AS d0, round(-2 * x, 8) AS d1, round(x + 0.5, 8) AS d2 FROM p")
 def lagrange(spark, sf_dir):
     nodes = [-1.0, 0.0, 1.0]
-    return points(spark).select("id", *(rounded(f(F.col("x"), k, nodes) + 0.0, 8).alias(f"{n}{k}") for n, f in (("l", N.lagrange), ("d", N.lagrange_slope)) for k in range(3)))
+    return points(spark, sf_dir).select("id", *(rounded(f(F.col("x"), k, nodes) + 0.0, 8).alias(f"{n}{k}") for n, f in (("l", N.lagrange), ("d", N.lagrange_slope)) for k in range(3)))
 
 
-@query("SELECT * FROM (VALUES (0, -1.0::DOUBLE, round(1 / 6.0, 9)::DOUBLE), (1, 1.0, round(1 / 6.0, 9)), (2, round(-sqrt(0.2), 9), round(5 / 6.0, 9)), (3, round(sqrt(0.2), 9), round(5 / 6.0, 9))) t(k, x, w)")
+@query("SELECT p_partkey AS id, k, round(p_size / 2.0::DOUBLE * (1 + x), 7) AS x, round(p_size / 2.0::DOUBLE * w, 7) AS w FROM part, (VALUES (0, -1.0::DOUBLE, 1 / 6.0::DOUBLE), (1, 1.0, 1 / 6.0::DOUBLE), (2, -sqrt(0.2), 5 / 6.0::DOUBLE), (3, sqrt(0.2), 5 / 6.0::DOUBLE)) t(k, x, w)")
 def lobatto_points(spark, sf_dir):
-    x, w = N.lobatto(4)
-    return spark.createDataFrame([(k, round(a, 9), round(b, 9)) for k, (a, b) in enumerate(zip(x, w, strict=True))], "k int, x double, w double")
+    """Four points and weights on the stretch from 0 to each part's size."""
+    half = F.col("p_size") / 2.0
+    rule = F.array(*(F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("w")) for a, b in zip(*N.lobatto(4), strict=True)))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), half.alias("h"), F.posexplode(rule).alias("k", "r"))
+    return p.select("id", "k", rounded(F.col("h") * (1 + F.col("r.x")), 7).alias("x"), rounded(F.col("h") * F.col("r.w"), 7).alias("w"))
 
 
 @query(f"WITH {POINTS} SELECT id, round(0.5 * (1 + tanh(2.0 * (2 * ((x + 1) / 2) - 1)) / tanh(2.0)), 8) AS y FROM p")
 def bunching(spark, sf_dir):
-    return points(spark).select("id", rounded(N.bunching((F.col("x") + 1) / 2, 1.0, 2.0), 8).alias("y"))
+    return points(spark, sf_dir).select("id", rounded(N.bunching((F.col("x") + 1) / 2, 1.0, 2.0), 8).alias("y"))
 
 
-@query("SELECT i AS n, CASE WHEN i <= 1 THEN 1 ELSE pow(2, ceil(log2(i)))::BIGINT END AS p FROM range(0, 2000) t(i)")
+@query("SELECT o_orderkey AS n, CASE WHEN o_orderkey <= 1 THEN 1 ELSE pow(2, ceil(log2(o_orderkey)))::BIGINT END AS p FROM orders")
 def next_power(spark, sf_dir):
-    return spark.range(2000).select(F.col("id").alias("n"), N.next_power_of_two(F.col("id")).alias("p"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"), N.next_power_of_two(F.col("o_orderkey")).alias("p"))
 
 
 @query("""WITH c AS (SELECT p_partkey, (p_size * 5 % 256)::DOUBLE AS r, (p_partkey % 256)::DOUBLE AS g, (p_partkey * 7 % 256)::DOUBLE AS b FROM part), m AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM c)

@@ -48,19 +48,19 @@ def wkt_polygons(spark, sf_dir):
     return r.select("id", F.size("ring").cast("long").alias("points"), F.array_max(F.transform("ring", lambda q: q["x"])).alias("max_x"), F.array_max(F.transform("ring", lambda q: q["y"])).alias("max_y"), (F.abs(twice) / 2).alias("area"))
 
 
-@query("SELECT row_number() OVER (ORDER BY i) AS id, i * 10 AS elements, i + 1 AS points, i % 3 AS boundaries FROM range(0, 40) t(i) WHERE i * 10 % 40 <> 0")
+@query("SELECT row_number() OVER (ORDER BY c_custkey) AS id, c_custkey % 7 AS elements, c_custkey + 1 AS points, c_nationkey AS boundaries FROM customer WHERE c_custkey % 7 <> 0")
 def partition_table(spark, sf_dir):
-    i = F.col("id")
-    e = F.when(i * 10 % 40 == 0, F.lit(0)).otherwise(i * 10)
-    return S.partition_table(spark.range(40).select(F.concat_ws("  ", i.cast("string"), e.cast("string"), (i + 1).cast("string"), (i % 3).cast("string")).alias("value")))
+    """Lines of a partition file, one for each customer; those without elements are left out and the rest numbered anew."""
+    k = F.col("c_custkey")
+    lines = F.concat_ws("  ", k.cast("string"), (k % 7).cast("string"), (k + 1).cast("string"), F.col("c_nationkey").cast("string"))
+    return S.partition_table(table(spark, sf_dir, "customer").select(lines.alias("value")))
 
 
-@query("SELECT id, regexp_extract(name, '([A-Z]+)-([0-9]+)', 1) AS var, regexp_extract(name, '([A-Z]+)-([0-9]+)', 2)::BIGINT AS instant FROM (SELECT i AS id, 'case-' || CASE WHEN i % 2 = 0 THEN 'VELOC' ELSE 'PRESS' END || '-' || lpad((i * 5)::VARCHAR, 8, '0') || '.bin' AS name FROM range(0, 50) t(i))")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'VELOC' ELSE 'PRESS' END AS var, o_custkey * 5 AS instant FROM orders")
 def case_discovery(spark, sf_dir):
-    """Variables and instants from file names."""
-    i = F.col("id")
-    name = F.format_string("case-%s-%08d.bin", F.when(i % 2 == 0, F.lit("VELOC")).otherwise(F.lit("PRESS")), i * 5)
-    n = spark.range(50).select("id", name.alias("name"))
+    """Variables and instants from file names, one for each order."""
+    name = F.format_string("case-%s-%08d.bin", F.when(F.col("o_orderkey") % 2 == 0, F.lit("VELOC")).otherwise(F.lit("PRESS")), F.col("o_custkey") * 5)
+    n = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), name.alias("name"))
     return n.select("id", *(F.regexp_extract("name", "([A-Z]+)-([0-9]+)", k).cast(t).alias(c) for k, t, c in ((1, "string", "var"), (2, "long", "instant"))))
 
 

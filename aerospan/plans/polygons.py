@@ -70,20 +70,30 @@ def polygons_touching(spark, sf_dir):
 query(SQL["polygons_touching"], "polygons_touching_all")(polygons_touching)  # a second name
 
 
-@query("SELECT i AS edge_id, round(i + (4.5 - i) / 10.0, 6)::DOUBLE AS x, 1.0::DOUBLE AS y, 0.0::DOUBLE AS z FROM range(0, 20) t(i) WHERE i <= 4.5 AND i + 10 > 4.5")
+@query("SELECT a.p_partkey AS edge_id, round(a.p_partkey + (24.5 - a.p_size::DOUBLE) / (b.p_size - a.p_size), 6) AS x, a.p_retailprice AS y, 0.0::DOUBLE AS z FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE (a.p_size <= 24.5) <> (b.p_size <= 24.5)")
 def contour_points(spark, sf_dir):
-    e = spark.range(20).select(F.col("id").alias("edge_id"), *(F.struct((F.col("id") + d).cast("double").alias("x"), F.lit(1.0).alias("y"), F.lit(0.0).alias("z"), (F.col("id") + 10.0 * d).alias("v")).alias(n) for d, n in ((0, "a"), (1, "b"))))
-    return G.plane_slice(e, 4.5).select("edge_id", rounded(F.col("x")).alias("x"), "y", "z")
+    """Where the size passes 24.5 between a part and the next one, on edges along x."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("y"), F.col("p_size").cast("double").alias("v"))
+    point = lambda d, v: F.struct((F.col("k") + float(d)).alias("x"), "y", F.lit(0.0).alias("z"), F.col(v).alias("v"))
+    e = p.join(p.select((F.col("k") - 1).alias("k"), F.col("v").alias("w")), "k").select(F.col("k").alias("edge_id"), point(0, "v").alias("a"), point(1, "w").alias("b"))
+    return G.plane_slice(e, 24.5).select("edge_id", rounded(F.col("x")).alias("x"), "y", "z")
 
 
-@query("""WITH q AS (SELECT i AS id, (i % 40) * 0.26::DOUBLE + 0.01 AS x, (i // 40) * 0.27::DOUBLE + 0.02 AS y FROM range(0, 1600) t(i)) SELECT id, round(3 * x - 2 * y + 1, 6) AS v FROM q WHERE x < 10 AND y < 10""")
+@query("""WITH n AS (SELECT p_partkey AS k, p_partkey % 10 AS i, p_partkey // 10 AS j, p_retailprice AS f FROM part),
+q AS (SELECT o_orderkey AS id, (o_orderkey % 40) * 0.26::DOUBLE + 0.01 AS x, (o_orderkey // 40) * 0.27::DOUBLE + 0.02 AS y FROM orders), c AS (SELECT *, floor(x)::BIGINT AS i, floor(y)::BIGINT AS j, x - floor(x) AS a, y - floor(y) AS b FROM q)
+SELECT id, round(CASE WHEN a >= b THEN o.f + a * (r.f - o.f) + b * (d.f - r.f) ELSE o.f + a * (d.f - u.f) + b * (u.f - o.f) END, 6) AS v
+FROM c JOIN n o ON o.i = c.i AND o.j = c.j AND o.i < 9 JOIN n r ON r.k = o.k + 1 JOIN n u ON u.k = o.k + 10 JOIN n d ON d.k = o.k + 11""")
 def triangle_interpolation(spark, sf_dir):
-    """A linear field on squares cut into triangles is met exactly."""
-    f = lambda x, y: 3 * x - 2 * y + 1
-    i, j = (F.col("id") % 10).cast("double"), F.floor(F.col("id") / 10).cast("double")
-    tri = lambda *c: F.struct(F.array(*(F.array(i + a, j + b) for a, b in c)).alias("p"), F.array(*(f(i + a, j + b) for a, b in c)).alias("f"))
-    t = spark.range(100).select("id", F.posexplode(F.array(tri((0, 0), (1, 0), (1, 1)), tri((0, 0), (1, 1), (0, 1)))).alias("k", "t")).select((2 * F.col("id") + F.col("k")).alias("tri_id"), "t.p", "t.f")
-    q = spark.range(1600).select("id", ((F.col("id") % 40) * 0.26 + 0.01).alias("x"), (F.floor(F.col("id") / 40) * 0.27 + 0.02).alias("y"))
+    """Prices of parts on a lattice, ten a row, at places of orders: squares are cut into triangles, places beyond the lattice have no row."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("f"))
+    for name, step in (("r", 1), ("u", 10), ("d", 11)):
+        p = p.join(p.select((F.col("k") - step).alias("k"), F.col("f").alias(f"f{name}")), "k")
+    i, j = (F.col("k") % 10).cast("double"), F.floor(F.col("k") / 10).cast("double")
+    corner = {"f": (0, 0), "fr": (1, 0), "fd": (1, 1), "fu": (0, 1)}
+    tri = lambda *c: F.struct(F.array(*(F.array(i + corner[n][0], j + corner[n][1]) for n in c)).alias("p"), F.array(*c).alias("f"))
+    t = p.where(F.col("k") % 10 < 9).select("k", F.posexplode(F.array(tri("f", "fr", "fd"), tri("f", "fd", "fu"))).alias("half", "t")).select((2 * F.col("k") + F.col("half")).alias("tri_id"), "t.p", "t.f")
+    o = F.col("o_orderkey")
+    q = table(spark, sf_dir, "orders").select(o.alias("id"), ((o % 40) * 0.26 + 0.01).alias("x"), (F.floor(o / 40) * 0.27 + 0.02).alias("y"))
     return G.interpolated(q, t, 1.0).select("id", rounded(F.col("v")).alias("v"))
 
 
@@ -109,8 +119,10 @@ def turbulence_scales(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", *(rounded(c).alias(n) for c, n in zip(G.small_scales(k, e, 0.01), ("taylor", "eta", "tau"), strict=True)))
 
 
-@query("""WITH q AS (SELECT i AS id, (i % 30) + 0.5::DOUBLE AS x, (i // 30) + 0.5::DOUBLE AS y FROM range(0, 900) t(i)), k AS (SELECT a AS ti, b AS tj FROM range(0, 3) u(a), range(0, 4) v(b))
-SELECT id, tj * 3 + ti AS tile, 7 - floor(y - tj * 6)::BIGINT AS i, floor(x - ti * 6)::BIGINT AS j FROM q, k WHERE x - ti * 6 >= 0 AND x - ti * 6 < 8 AND y - tj * 6 >= 0 AND y - tj * 6 < 8""")
+@query("""WITH q AS (SELECT c_custkey AS id, c_custkey % 30 + 0.5::DOUBLE AS x, c_custkey // 30 + 0.5::DOUBLE AS y FROM customer)
+SELECT id, tj * 3 + ti AS tile, 7 - floor(y - tj * 6)::BIGINT AS i, floor(x - ti * 6)::BIGINT AS j FROM (SELECT id, x, y, ti, t AS tj FROM (SELECT id, x, y, unnest([0, 1, 2]) AS ti FROM q), LATERAL (SELECT unnest([floor(y / 6)::BIGINT - 1, floor(y / 6)::BIGINT]) AS t)) WHERE tj >= 0 AND x - ti * 6 >= 0 AND x - ti * 6 < 8 AND y - tj * 6 >= 0 AND y - tj * 6 < 8""")
 def point_tiles(spark, sf_dir):
-    q = spark.range(900).select("id", ((F.col("id") % 30) + 0.5).alias("x"), (F.floor(F.col("id") / 30) + 0.5).alias("y"))
-    return G.tiled(q, (0.0, 0.0), 6.0, 8, 1.0, 3).where("tile < 12").select("id", "tile", "i", "j")
+    """Customers on a lattice, thirty a row, in overlapping tiles of eight points a side, three tiles across."""
+    k = F.col("c_custkey")
+    q = table(spark, sf_dir, "customer").select(k.alias("id"), ((k % 30) + 0.5).alias("x"), (F.floor(k / 30) + 0.5).alias("y"))
+    return G.tiled(q, (0.0, 0.0), 6.0, 8, 1.0, 3).select("id", "tile", "i", "j")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aerospan.operators import boxtree as B
 from aerospan.operators import regions as R
 from aerospan.operators import spatial as X
+from aerospan.operators import statistics as A
 from aerospan.registry import query, rounded, table
 
 #: In SQL: a cloud of customers, a rectangle for each nation, the corners of these.
@@ -208,10 +208,11 @@ def field_columns(spark, sf_dir):
     return c.withColumnRenamed("c_nationkey", "zone").withColumnRenamed("c_custkey", "id").drop("c_name", "c_acctbal", "c_mktsegment")
 
 
-@query("SELECT n_nationkey, row_number() OVER (ORDER BY n_regionkey, n_name, n_nationkey) - 1 AS place FROM nation")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_custkey, o_orderkey) - 1 AS place FROM orders")
 def lexicographic_places(spark, sf_dir):
-    """Places in lexicographic order; the table has a row for each nation."""
-    return table(spark, sf_dir, "nation").select("n_nationkey", (F.row_number().over(Window.orderBy("n_regionkey", "n_name", "n_nationkey")) - 1).alias("place"))
+    """Places of orders in lexicographic order of priority, customer and number."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
+    return A.in_places(o, *map(F.col, ("o_orderpriority", "o_custkey", "o_orderkey"))).select("o_orderkey", (F.col("place") - 1).alias("place"))
 
 
 @query("SELECT l_partkey AS node_id, round(sum(l_quantity), 4) AS total, count(DISTINCT l_suppkey % 4) AS parts FROM lineitem GROUP BY 1")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from aerospan.functions import numeric as N
+from aerospan.operators import polygons as O
 from aerospan.operators import signals as G
 from aerospan.operators import spatial as X
 from aerospan.operators import tiles as T
@@ -103,48 +102,59 @@ def knn5(spark, sf_dir):
     return dense(spark, sf_dir, 5)
 
 
-TRI = "t AS (SELECT i AS tri_id, (i % 10) * 2.0::DOUBLE AS x, (i // 10) * 2.0::DOUBLE AS y, 5.0 + i AS z FROM range(0, 100) r(i)), q AS (SELECT i AS id, (i % 50) * 0.45::DOUBLE AS x, (i // 50) * 0.45::DOUBLE AS y FROM range(0, 2500) r(i))"
+TRI = "t AS (SELECT p_partkey AS tri_id, (p_partkey % 10) * 2.0::DOUBLE AS x, (p_partkey // 10) * 2.0::DOUBLE AS y, 5.0 + p_size AS z FROM part), q AS (SELECT o_orderkey AS id, (o_orderkey % 50) * 0.45::DOUBLE AS x, (o_orderkey // 50) * 0.45::DOUBLE AS y FROM orders)"
 #: Right triangles of side 2: a point is inside where both offsets are at least 0 and sum to at most 2 (areas agree to 1e-3).
 HIT = f"{TRI}, h AS (SELECT id, min(tri_id) AS tri_id FROM q JOIN t ON abs((abs((q.x - t.x) * 2) + abs((q.y - t.y) * 2) + abs(4 - 2 * (q.x - t.x) - 2 * (q.y - t.y))) / 2 - 2) < 0.001 GROUP BY id)"
 
 
-def triangles(spark):
-    r = spark.range(100)
-    x, y, z = (F.col("id") % 10) * 2.0, F.floor(F.col("id") / 10) * 2.0, F.col("id") + 5.0
-    return r.select(F.col("id").alias("tri_id"), F.array(F.array(x, y, z), F.array(x + 2.0, y, z), F.array(x, y + 2.0, z)).alias("p"))
+def triangles(spark, sf_dir):
+    """A triangle for each part on a lattice, ten a row, as high as the part's size and 5."""
+    k = F.col("p_partkey")
+    x, y, z = (k % 10) * 2.0, F.floor(k / 10) * 2.0, F.col("p_size") + 5.0
+    return table(spark, sf_dir, "part").select(k.alias("tri_id"), F.array(F.array(x, y, z), F.array(x + 2.0, y, z), F.array(x, y + 2.0, z)).alias("p"))
 
 
-def grid(spark):
-    return spark.range(2500).select("id", ((F.col("id") % 50) * 0.45).alias("x"), (F.floor(F.col("id") / 50) * 0.45).alias("y"))
+def grid(spark, sf_dir):
+    """Orders on a lattice, fifty a row."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k.alias("id"), ((k % 50) * 0.45).alias("x"), (F.floor(k / 50) * 0.45).alias("y"))
 
 
 @query(f"WITH {HIT} SELECT q.id, coalesce(h.tri_id, -1) AS tri_id FROM q LEFT JOIN h USING (id)")
 def point_in_triangle(spark, sf_dir):
-    return X.first_triangle(grid(spark), triangles(spark), 2.0)
+    return X.first_triangle(grid(spark, sf_dir), triangles(spark, sf_dir), 2.0)
 
 
-@query(f"WITH {HIT} SELECT q.id, CASE WHEN h.tri_id IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS mask, coalesce(5.0 + h.tri_id, 0.0)::DOUBLE AS height FROM q LEFT JOIN h USING (id)")
+@query(f"WITH {HIT} SELECT q.id, CASE WHEN h.tri_id IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS mask, coalesce(t.z, 0.0)::DOUBLE AS height FROM q LEFT JOIN h USING (id) LEFT JOIN t USING (tri_id)")
 def node_features(spark, sf_dir):
-    return X.node_features(grid(spark), triangles(spark), 2.0)
+    return X.node_features(grid(spark, sf_dir), triangles(spark, sf_dir), 2.0)
 
 
-@query("SELECT i AS tri_id, i % 3 = 1 AS flat, i % 3 = 2 AS upright FROM range(0, 60) t(i)")
+@query("SELECT p_partkey AS tri_id, p_size % 3 = 1 AS flat, p_size % 3 = 2 AS upright FROM part")
 def triangle_filters(spark, sf_dir):
-    h = F.when(F.col("id") % 3 == 0, F.array(F.lit(0.0), F.lit(1.0), F.lit(2.0))).when(F.col("id") % 3 == 1, F.array(F.lit(3.0), F.lit(3.0), F.lit(3.0))).otherwise(F.array(F.lit(0.0), F.lit(4.0), F.lit(0.0)))
-    t = spark.range(60).select(F.col("id").alias("tri_id"), F.transform(h, lambda z: F.array(F.lit(0.0), F.lit(0.0), z)).alias("p"))
+    """A triangle for each part: sloping, flat or upright by its size."""
+    k = F.col("p_size") % 3
+    h = F.when(k == 0, F.array(F.lit(0.0), F.lit(1.0), F.lit(2.0))).when(k == 1, F.array(F.lit(3.0), F.lit(3.0), F.lit(3.0))).otherwise(F.array(F.lit(0.0), F.lit(4.0), F.lit(0.0)))
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("tri_id"), F.transform(h, lambda z: F.array(F.lit(0.0), F.lit(0.0), z)).alias("p"))
     flat, up = X.horizontal(t).select("tri_id", F.lit(True).alias("flat")), X.vertical(t).select("tri_id", F.lit(True).alias("upright"))
     j = t.select("tri_id").join(flat, "tri_id", "left").join(up, "tri_id", "left")
     return j.select("tri_id", F.coalesce("flat", F.lit(False)).alias("flat"), F.coalesce("upright", F.lit(False)).alias("upright"))
 
 
-@query("""WITH q AS (SELECT i AS id, (i % 50) * 0.45::DOUBLE + 0.01 AS x, (i // 50) * 0.45::DOUBLE + 0.013 AS y FROM range(0, 2500) r(i)) SELECT id, 0 AS poly FROM q WHERE x > 1 AND x < 9 AND y > 1 AND y < 9 AND NOT (x > 3 AND x < 5 AND y > 3 AND y < 5)
-UNION ALL SELECT id, 1 AS poly FROM q WHERE y > 2 AND y < 12 AND x > 10 AND x < 10 + (y - 2)""")
+@query("""WITH q AS (SELECT o_orderkey AS id, (o_orderkey * 37 % 20011) / 100.0::DOUBLE + 0.003 AS x, (o_orderkey * 91 % 10007) / 100.0::DOUBLE + (o_orderkey // 10007) * 100 + 0.0047 AS y FROM orders),
+c AS (SELECT id, floor(x / 10)::BIGINT + 20 * floor(y / 10)::BIGINT AS poly, x - 10 * floor(x / 10) AS x, y - 10 * floor(y / 10) AS y FROM q WHERE x < 200)
+SELECT id, poly FROM c JOIN part ON p_partkey = poly WHERE x > 1 AND x < 9 AND y > 1 AND y < 9 AND NOT (x > 3 AND x < 4 + p_size / 25.0::DOUBLE AND y > 3 AND y < 4 + p_size / 25.0::DOUBLE)""")
 def points_in_polygons(spark, sf_dir):
-    """A square with a hole, and a triangle."""
-    ring = lambda p, pts: [(p, *map(float, a), *map(float, b)) for a, b in zip(pts, pts[1:] + pts[:1], strict=True)]
-    edges = ring(0, [(1, 1), (9, 1), (9, 9), (1, 9)]) + ring(0, [(3, 3), (5, 3), (5, 5), (3, 5)]) + ring(1, [(10, 2), (20, 12), (10, 12)])
-    e = spark.createDataFrame(edges, "poly int, x0 double, y0 double, x1 double, y1 double")
-    return X.in_polygon(grid(spark).select("id", (F.col("x") + 0.01).alias("x"), (F.col("y") + 0.013).alias("y")), e)
+    """Orders in squares, one for each part, twenty a row, each with a hole as large as the part."""
+    k, o = F.col("p_partkey"), F.col("o_orderkey")
+    low, high = F.lit(3.0), F.col("p_size") / 25.0 + 4.0
+    ring = lambda a, b: [((a, a), (b, a)), ((b, a), (b, b)), ((b, b), (a, b)), ((a, b), (a, a))]
+    sides = F.array(*(F.struct(p[0].alias("x0"), p[1].alias("y0"), q[0].alias("x1"), q[1].alias("y1")) for p, q in ring(F.lit(1.0), F.lit(9.0)) + ring(low, high)))
+    left, down = (k % 20) * 10, F.floor(k / 20) * 10
+    e = table(spark, sf_dir, "part").select(k.alias("poly"), left.alias("l"), down.alias("d"), F.explode(sides).alias("s"))
+    e = e.select("poly", *((F.col(f"s.{c}") + F.col("l" if c[0] == "x" else "d")).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    points = table(spark, sf_dir, "orders").select(o.alias("id"), ((o * 37 % 20011) / 100.0 + 0.003).alias("x"), ((o * 91 % 10007) / 100.0 + F.floor(o / 10007) * 100 + 0.0047).alias("y"))
+    return X.in_polygon(points, e)
 
 
 @query(f"WITH {BAL} SELECT id, round(z - min(z) OVER w, 4) AS above, round(max(z) OVER w - z, 4) AS below, round(max(z) OVER w - min(z) OVER w, 4) AS span FROM c WINDOW w AS (PARTITION BY floor(x / 5), floor(y / 5))")
@@ -214,39 +224,45 @@ def quadtree_leaves(spark, sf_dir):
     return X.leaves(X.quadtree(c, 6, 32.0), 50)
 
 
-TILES = "t AS (SELECT k AS tile, i, j, (k * 16 + i * 4 + j)::DOUBLE AS v FROM range(0, 6) a(k), range(0, 4) b(i), range(0, 4) c(j))"
+#: Parts as pixels of tiles of four a side, three tiles across; in SQL also the height of the whole field.
+TILES = "m AS (SELECT 2 + 2 * (((count(*) + 15) // 16 + 2) // 3) AS h FROM part), t AS (SELECT p_partkey // 16 AS tile, p_partkey // 4 % 4 AS i, p_partkey % 4 AS j, p_retailprice AS v FROM part)"
 W = "CASE {} WHEN 0 THEN 1.0 ELSE exp(-1.5) END".format
 BLEND = f"""{TILES}, h AS (SELECT t.tile, t.i, t.j, CASE WHEN t.tile % 3 > 0 AND t.j < 2 THEN t.v * (1 - {W('t.j')}) + l.v * {W('t.j')} ELSE t.v END AS v FROM t LEFT JOIN t l ON l.tile = t.tile - 1 AND l.i = t.i AND l.j = t.j + 2),
 u AS (SELECT h.tile, h.i, h.j, CASE WHEN b.v IS NOT NULL THEN h.v * {W('(h.i - 2)')} + b.v * (1 - {W('(h.i - 2)')}) ELSE h.v END AS v FROM h LEFT JOIN h b ON b.tile = h.tile - 3 AND b.i = h.i - 2 AND b.j = h.j AND h.i >= 2),
-p AS (SELECT tile, 6 - 4 - (tile // 3) * 2 + i AS row, (tile % 3) * 2 + j AS col, v FROM u), g AS (SELECT r AS row, c AS col FROM range(0, 6) a(r), range(0, 10) b(c)),
+p AS (SELECT tile, m.h - 4 - (tile // 3) * 2 + i AS row, (tile % 3) * 2 + j AS col, v FROM u, m), g AS (SELECT r AS row, c AS col FROM m, unnest(range(0, h)) a(r), range(0, 10) b(c)),
 f AS (SELECT g.row, g.col, coalesce(m.v, 0.0) AS v FROM g LEFT JOIN (SELECT row, col, max_by(v, tile) AS v FROM p GROUP BY 1, 2) m ON m.row = g.row AND m.col = g.col)"""
 
 
-def tile_field(spark):
-    i = F.col("id")
-    t = spark.range(96).select(F.floor(i / 16).alias("tile"), (F.floor(i / 4) % 4).alias("i"), (i % 4).alias("j"), i.cast("double").alias("v"))
-    return T.blend(t, 4, 2, 2, 6, 3, 1.5, 1.5)
+def tile_field(spark, sf_dir):
+    """The blended field, and its number of rows."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    t = p.select(F.floor(k / 16).alias("tile"), (F.floor(k / 4) % 4).alias("i"), (k % 4).alias("j"), F.col("p_retailprice").alias("v"))
+    height = 2 + 2 * (((p.count() + 15) // 16 + 2) // 3)
+    return T.blend(t, 4, 2, 2, height, 3, 1.5, 1.5), height
 
 
 @query(f"WITH {BLEND} SELECT row, col, round(v, 6) AS v FROM f")
 def tile_blend(spark, sf_dir):
-    return tile_field(spark).select("row", "col", rounded(F.col("v")).alias("v"))
+    return tile_field(spark, sf_dir)[0].select("row", "col", rounded(F.col("v")).alias("v"))
 
 
-@query(f"WITH {BLEND} SELECT row, col, round(100 + 50.0 * col / 9, 6)::DOUBLE AS real_x, round(200 + 20.0 * row / 5, 6)::DOUBLE AS real_y, round(sqrt(v * v + 1), 6) AS wind_value, round(atan2(1.0, v), 6) AS dir FROM f")
+@query(f"WITH {BLEND}, b AS (SELECT min(c_acctbal) AS x0, max(c_acctbal) AS x1, min(c_nationkey)::DOUBLE AS y0, max(c_nationkey)::DOUBLE AS y1 FROM customer) SELECT row, col, round(x0 + (x1 - x0) * col / 9, 5) AS real_x, round(y0 + (y1 - y0) * row / (h - 1), 5) AS real_y, round(sqrt(v * v + 1), 6) AS wind_value, round(atan2(1.0, v), 6) AS dir FROM f, b, m")
 def geolocate(spark, sf_dir):
-    u = tile_field(spark)
+    """The blended field spread over the range of the customers."""
+    u, height = tile_field(spark, sf_dir)
     w = T.wind_table(u, u.withColumn("v", F.lit(1.0)))
-    bounds = spark.createDataFrame([(100.0, 150.0, 200.0, 220.0)], "min_x double, max_x double, min_y double, max_y double")
-    g = T.geolocate(w, 6, 10, bounds)
-    return g.select("row", "col", *(rounded(F.col(c)).alias(c) for c in ("real_x", "real_y", "wind_value", "dir")))
+    x, y = F.col("c_acctbal"), F.col("c_nationkey").cast("double")
+    bounds = table(spark, sf_dir, "customer").agg(F.min(x).alias("min_x"), F.max(x).alias("max_x"), F.min(y).alias("min_y"), F.max(y).alias("max_y"))
+    g = T.geolocate(w, height, 10, bounds)
+    return g.select("row", "col", *(rounded(F.col(c), d).alias(c) for c, d in (("real_x", 5), ("real_y", 5), ("wind_value", 6), ("dir", 6))))
 
 
-@query("SELECT name, key, row_number() OVER (ORDER BY key NULLS LAST, name) AS place FROM (SELECT CASE WHEN i % 5 = 0 THEN 'mask.csv' || i ELSE 'UGT-' || (i * 7 % 20) || '-x.csv' END AS name, CASE WHEN i % 5 = 0 THEN NULL ELSE i * 7 % 20 END AS key FROM range(0, 20) t(i))")
+@query("SELECT name, key, row_number() OVER (ORDER BY key NULLS LAST, name) AS place FROM (SELECT CASE WHEN p_partkey % 5 = 0 THEN 'mask.csv' || p_partkey ELSE 'UGT-' || p_partkey * p_size || '-' || p_partkey || '.csv' END AS name, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey * p_size END AS key FROM part)")
 def files_by_number(spark, sf_dir):
-    i = F.col("id")
-    names = spark.range(20).select(F.when(i % 5 == 0, F.concat(F.lit("mask.csv"), i)).otherwise(F.concat(F.lit("UGT-"), i * 7 % 20, F.lit("-x.csv"))).alias("name"))
-    return T.by_number(names, "name")
+    """File names, one for each part, some without a number and some with equal ones."""
+    k = F.col("p_partkey")
+    name = F.when(k % 5 == 0, F.concat(F.lit("mask.csv"), k)).otherwise(F.concat(F.lit("UGT-"), k * F.col("p_size"), F.lit("-"), k, F.lit(".csv")))
+    return T.by_number(table(spark, sf_dir, "part").select(name.alias("name")), "name")
 
 
 SERIES = "s AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 3.6e9 AS t FROM events)"
@@ -280,16 +296,19 @@ def welch(spark, sf_dir):
     return G.welch(samples(spark, sf_dir), "event_type", "i", "v", 64, 32).select("event_type", "k", rounded(F.col("power"), 3).alias("power"))
 
 
-@query("SELECT ceil(log2(f) * 2 - 0.5)::BIGINT AS band, round(avg(1000.0 / f), 6) AS power FROM (SELECT i::DOUBLE AS f FROM range(1, 200) t(i)) WHERE ceil(log2(f) * 2 - 0.5) < 14 GROUP BY 1")
+@query("SELECT ceil(log2(f) * 2 - 0.5)::BIGINT AS band, round(avg(p), 5) AS power FROM (SELECT c_custkey + 1.0::DOUBLE AS f, c_acctbal AS p FROM customer) WHERE ceil(log2(f) * 2 - 0.5) < 80 GROUP BY 1")
 def octave_bands(spark, sf_dir):
-    s = spark.range(1, 200).select(F.col("id").cast("double").alias("f"), (1000.0 / F.col("id")).alias("p"))
-    return G.octaves(s, "f", "p", 1.0, 128.0).select("band", rounded(F.col("power")).alias("power"))
+    """Balances of customers as powers at their numbers."""
+    s = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1.0).alias("f"), F.col("c_acctbal").alias("p"))
+    return G.octaves(s, "f", "p", 1.0, 2.0**40).select("band", rounded(F.col("power"), 5).alias("power"))
 
 
-@query("SELECT k, round(10 + 3 * cos(2 * pi() * k / 12), 6) AS x, round(20 + 3 * sin(2 * pi() * k / 12), 6) AS y FROM range(0, 12) t(k)")
+@query("SELECT p_partkey AS id, k::INT AS pt_no, round(p_partkey + p_size * cos(2 * pi() * k / 12), 6) AS x, round(20 + 0.5 * p_size * sin(2 * pi() * k / 12), 6) AS y FROM part, range(0, 12) t(k)")
 def round_polygon(spark, sf_dir):
-    a = 2 * math.pi * F.col("id") / 12
-    return spark.range(12).select(F.col("id").alias("k"), rounded(10 + 3 * F.cos(a)).alias("x"), rounded(20 + 3 * F.sin(a)).alias("y"))
+    """Ellipses around parts, twice as wide as high."""
+    c = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("double").alias("x"), F.lit(20.0).alias("y"), F.col("p_size").alias("size"))
+    r = O.round_rings(c, 12, F.col("size").cast("double"), 0.5 * F.col("size"))
+    return r.select("id", "pt_no", rounded("x").alias("x"), rounded("y").alias("y"))
 
 
 @query("SELECT vec_id, NOT ((s0 > 0 OR s1 > 0 OR s2 > 0) AND (s0 < 0 OR s1 < 0 OR s2 < 0)) AS inside FROM (SELECT vec_id, (bx - ax) * (py - ay) - (yb - ay) * (px - ax) AS s0, (cx - bx) * (py - yb) - (cy - yb) * (px - bx) AS s1, (ax - cx) * (py - cy) - (ay - cy) * (px - cx) AS s2 FROM (SELECT vec_id, embedding[1]::DOUBLE AS ax, embedding[2]::DOUBLE AS ay, embedding[3]::DOUBLE AS bx, embedding[4]::DOUBLE AS yb, embedding[5]::DOUBLE AS cx, embedding[6]::DOUBLE AS cy, embedding[7]::DOUBLE AS px, embedding[8]::DOUBLE AS py FROM embeddings))")

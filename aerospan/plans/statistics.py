@@ -186,7 +186,7 @@ def scope_anti(spark, sf_dir):
 @query("SELECT x, dense_rank() OVER (ORDER BY x) - 1 AS inverse, n FROM (SELECT l_quantity AS x, count(*) AS n FROM lineitem GROUP BY l_quantity)")
 def distinct_inverse(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    return d.select("x", (F.dense_rank().over(Window.orderBy("x")) - 1).cast("long").alias("inverse"), "n")
+    return A.in_places(d, F.col("x")).select("x", (F.col("place") - 1).alias("inverse"), "n")
 
 
 @query("SELECT c_nationkey, round(sum(c_acctbal * c_custkey) / sum(c_custkey), 4) AS x, round(sum(c_custkey * c_custkey) / sum(c_custkey)::DOUBLE, 4) AS y FROM customer GROUP BY c_nationkey")

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from aerospan.operators.statistics import in_places
+
 from aerospan.functions.numeric import truncate
 
 WITNESS = "file string, iter long, time double, wit_id long, var string, value double"
@@ -78,12 +80,10 @@ def signal(spark: SparkSession, path: str, time: int, value: int) -> DataFrame:
 
 
 def partition_table(lines: DataFrame) -> DataFrame:
-    """(id, elements, points, boundaries) from lines of four numbers; empty parts are dropped, the rest renumbered."""
-    from pyspark.sql import Window
-
+    """(id, elements, points, boundaries) from lines of four numbers, the first of which differ; empty parts are dropped, the rest renumbered."""
     c = F.split(F.trim("value"), r"\s+")
     t = lines.select(*(F.get(c, F.lit(k)).try_cast("long").alias(n) for k, n in enumerate(("old", "elements", "points", "boundaries")))).where("elements <> 0")
-    return t.withColumn("id", F.row_number().over(Window.orderBy("old"))).select("id", "elements", "points", "boundaries")
+    return in_places(t, F.col("old"), out="id").select("id", "elements", "points", "boundaries")
 
 
 def solids(spark: SparkSession, path: str) -> DataFrame:
