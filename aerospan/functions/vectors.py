@@ -9,6 +9,7 @@ import math
 from functools import reduce
 from operator import add
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -188,33 +189,32 @@ def alternating(i: Column, j: Column, k: Column) -> Column:
 def schur(a: Column) -> Column:
     """Real Schur form of a general tensor as struct(s, q), a complex pair first, then the real eigenvalue.
 
-    There is no closed form in expressions; this runs NumPy on Arrow batches.
+    There is no closed form in expressions; this runs NumPy on whole Arrow batches. A tensor with a null or a value that isn't finite gives nulls.
     """
     @F.pandas_udf("s array<double>, q array<double>")
     def run(column: pd.Series) -> pd.DataFrame:
-        pairs = [(None, None) if x is None or any(v is None for v in x) else real_schur([float(v) for v in x]) for x in column]
-        return pd.DataFrame({"s": [p[0] for p in pairs], "q": [p[1] for p in pairs]})
+        good = np.array([x is not None and len(x) == 9 and all(v is not None and math.isfinite(v) for v in x) for x in column], bool)
+        out = {n: np.full(len(column), None, object) for n in "sq"}
+        if good.any():
+            for n, m in zip("sq", real_schur(np.array(column[good].tolist(), float).reshape(-1, 3, 3)), strict=True):
+                out[n][good] = pd.Series(list(m.reshape(-1, 9))).to_numpy()
+        return pd.DataFrame(out)
 
     return run(a)
 
 
-def real_schur(values: list[float]) -> tuple[list[float], list[float]]:
-    """S and Q with A = Q S Q^T, the real eigenvalue last: its eigenvector is deflated, the rest is a 2 x 2 block."""
-    import numpy as np
-
-    a = np.array(values).reshape(3, 3)
-    w, v = np.linalg.eig(a.T)  # a left eigenvector spans what the leading block leaves out
-    k = int(np.argmin(np.abs(w.imag)))
-    last = np.real(v[:, k])
-    q, _ = np.linalg.qr(np.column_stack([last, np.eye(3)]))
-    q = np.column_stack([q[:, 1], q[:, 2], q[:, 0]])
-    s = q.T @ a @ q
-    w2, v2 = np.linalg.eig(s[:2, :2])
-    if np.abs(w2.imag).max() < 1e-12:  # real: the block becomes triangular too
-        u = np.real(v2[:, int(np.argmin(w2.real))])
-        u = u / np.linalg.norm(u)
-        turn = np.eye(3)
-        turn[:2, :2] = [[u[0], -u[1]], [u[1], u[0]]]
-        q = q @ turn
-        s = q.T @ a @ q
-    return s.ravel().tolist(), q.ravel().tolist()
+def real_schur(values: np.ndarray | list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """S and Q, each (n, 3, 3), with A = Q S Q^T for one tensor or a batch of them, the real eigenvalue last: its eigenvector is deflated, the rest is a 2 x 2 block."""
+    a = np.asarray(values, float).reshape(-1, 3, 3)
+    each, t = np.arange(len(a)), lambda m: m.transpose(0, 2, 1)
+    w, v = np.linalg.eig(t(a))  # a left eigenvector spans what the leading block leaves out
+    last = np.real(v[each, :, np.abs(w.imag).argmin(axis=1)])
+    q = np.linalg.qr(np.concatenate([last[:, :, None], np.broadcast_to(np.eye(3), a.shape)], axis=2))[0][:, :, [1, 2, 0]]
+    w2, v2 = np.linalg.eig((t(q) @ a @ q)[:, :2, :2])
+    u = np.real(v2[each, :, w2.real.argmin(axis=1)])
+    u = u / np.linalg.norm(u, axis=1, keepdims=True)
+    turn = np.broadcast_to(np.eye(3), a.shape).copy()
+    real = np.abs(w2.imag).max(axis=1) < 1e-12  # the block becomes triangular too
+    turn[real, :2, :2] = np.stack([u, np.stack([-u[:, 1], u[:, 0]], axis=1)], axis=2)[real]
+    q = q @ turn
+    return t(q) @ a @ q, q

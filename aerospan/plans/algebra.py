@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from aerospan.functions import numeric as N
 from aerospan.functions import vectors as V
+from aerospan.operators.vortices import rigid_rotation
 from aerospan.registry import query, rounded, table
 
 #: In SQL: entry k (from 0) of the embedding.
@@ -211,21 +212,44 @@ def symmetric(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", strain(a9()).alias("a"))
 
 
-@query(f"""WITH s AS (SELECT vec_id, {', '.join(f'{x} AS m{k}' for k, x in enumerate(_S))} FROM embeddings), q AS (SELECT *, (m0 + m4 + m8) / 3 AS mean, m3 * m3 + m6 * m6 + m7 * m7 AS o FROM s),
+#: In SQL: from symmetric entries m0 to m8 of s to the largest (w) and the others by angles.
+EIGEN = """q AS (SELECT *, (m0 + m4 + m8) / 3 AS mean, m3 * m3 + m6 * m6 + m7 * m7 AS o FROM s),
 p AS (SELECT *, sqrt((pow(m0 - mean, 2) + pow(m4 - mean, 2) + pow(m8 - mean, 2) + 2 * o) / 6) AS size FROM q),
-h AS (SELECT *, acos(greatest(-1.0, least(1.0, ((m0 - mean) * ((m4 - mean) * (m8 - mean) - m7 * m7) - m3 * (m3 * (m8 - mean) - m7 * m6) + m6 * (m3 * m7 - (m4 - mean) * m6)) / (2 * size * size * size)))) / 3 AS w FROM p)
-SELECT vec_id, round(mean + 2 * size * cos(w + 2 * pi() / 3), 5) AS low, round(mean - 2 * size * cos(w) - 2 * size * cos(w + 2 * pi() / 3), 5) AS middle, round(mean + 2 * size * cos(w), 5) AS high FROM h""")
+h AS (SELECT *, acos(greatest(-1.0, least(1.0, ((m0 - mean) * ((m4 - mean) * (m8 - mean) - m7 * m7) - m3 * (m3 * (m8 - mean) - m7 * m6) + m6 * (m3 * m7 - (m4 - mean) * m6)) / (2 * size * size * size)))) / 3 AS w FROM p)"""
+MIDDLE = "mean - 2 * size * cos(w) - 2 * size * cos(w + 2 * pi() / 3)"
+
+
+@query(f"""WITH s AS (SELECT vec_id, {', '.join(f'{x} AS m{k}' for k, x in enumerate(_S))} FROM embeddings), {EIGEN}
+SELECT vec_id, round(mean + 2 * size * cos(w + 2 * pi() / 3), 5) AS low, round({MIDDLE}, 5) AS middle, round(mean + 2 * size * cos(w), 5) AS high FROM h""")
 def eigen_sym(spark, sf_dir):
     e = symmetric(spark, sf_dir).select("vec_id", V.eigenvalues(F.col("a")).alias("e"))
     return e.select("vec_id", *(rounded(F.get("e", F.lit(k)), 5).alias(n) for k, n in enumerate(("low", "middle", "high"))))
 
 
-@query()
+_N = {n: [f"{n}{k}" for k in range(9)] for n in "sw"}
+
+
+@query(f"""WITH parts AS (SELECT vec_id, {', '.join(f'{x} AS s{k}, {y} AS w{k}' for k, (x, y) in enumerate(zip(_S, _W, strict=True)))} FROM embeddings),
+s AS (SELECT vec_id, {', '.join(f'{x} + {y} AS m{k}' for k, (x, y) in enumerate(zip(s_mul(_N['s'], _N['s']), s_mul(_N['w'], _N['w']), strict=True)))} FROM parts), {EIGEN}
+SELECT vec_id, round({MIDDLE}, 5) AS lambda2 FROM h""")
 def lambda2_criterion(spark, sf_dir):
     g = table(spark, sf_dir, "embeddings").select("vec_id", a9().alias("g"))
     return lambda2(g, "g").select("vec_id", rounded(F.col("lambda2"), 5).alias("lambda2"))
 
 
+@query(f"""WITH g AS (SELECT vec_id, {', '.join(f'{x} AS a{k}' for k, x in enumerate(A9))} FROM embeddings),
+c AS (SELECT *, a0 + a4 + a8 AS t, a0 * a4 - a1 * a3 + a0 * a8 - a2 * a6 + a4 * a8 - a5 * a7 AS m, a0 * (a4 * a8 - a5 * a7) - a1 * (a3 * a8 - a5 * a6) + a2 * (a3 * a7 - a4 * a6) AS d FROM g),
+k AS (SELECT *, m - t * t / 3 AS p, t * m / 3 - 2 * t * t * t / 27 - d AS q FROM c), z AS (SELECT *, q * q / 4 + p * p * p / 27 AS disc FROM k),
+r AS (SELECT *, cbrt(-q / 2 - CASE WHEN q < 0 THEN -1 ELSE 1 END * sqrt(disc)) AS u FROM z WHERE disc > 0), l AS (SELECT *, t / 3 + u - p / (3 * u) AS e, sqrt(3) / 2 * abs(u + p / (3 * u)) AS swirl FROM r),
+x AS (SELECT *, unnest([a1 * a5 - a2 * (a4 - e), (a4 - e) * (a8 - e) - a5 * a7, a7 * a2 - (a8 - e) * a1]) AS x, unnest([a2 * a3 - (a0 - e) * a5, a5 * a6 - a3 * (a8 - e), (a8 - e) * (a0 - e) - a6 * a2]) AS y, unnest([(a0 - e) * (a4 - e) - a1 * a3, a3 * a7 - (a4 - e) * a6, a6 * a1 - a7 * (a0 - e)]) AS z FROM l),
+b AS (SELECT vec_id, any_value(swirl) AS swirl, max_by(abs((a7 - a5) * x + (a2 - a6) * y + (a3 - a1) * z) / sqrt(x * x + y * y + z * z) / 2, x * x + y * y + z * z) AS b FROM x GROUP BY vec_id)
+SELECT g.vec_id, round(coalesce(swirl, 0), 5) AS swirl, round(coalesce(2 * (b - sqrt(greatest(0.0, b * b - swirl * swirl))), 0), 4) AS rortex, round(coalesce(b * b / (b * b + greatest(0.0, b * b - swirl * swirl) + 0.001), 0), 5) AS omega_rortex FROM g LEFT JOIN b ON g.vec_id = b.vec_id""")
+def rortex(spark, sf_dir):
+    """The rigid part of the rotation; the axis is tested against eigenvectors."""
+    r = rigid_rotation(table(spark, sf_dir, "embeddings").select("vec_id", a9().alias("g")), "g")
+    return r.select("vec_id", rounded("swirl", 5).alias("swirl"), rounded("rortex", 4).alias("rortex"), rounded("omega_rortex", 5).alias("omega_rortex"))
+
+
 @query()
 def schur_form(spark, sf_dir):
     """Compared with its defining identities in the tests."""

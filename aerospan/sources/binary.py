@@ -12,10 +12,11 @@ import glob
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 MAGIC = b"AEROFLD1"
@@ -88,21 +89,36 @@ class Written(WriterCommitMessage):
         self.path = path
 
 
-class FieldWriter(DataSourceWriter):
-    """Each task writes one file; a failed job's files are removed."""
+class FieldWriter(DataSourceArrowWriter):
+    """Each task writes one file, batch by batch; a failed task leaves none, and a failed job's files are removed."""
 
-    def __init__(self, options: dict):
-        self.options = options
+    def __init__(self, options: dict, schema: StructType):
+        self.options, self.columns = options, [c for c in schema.names if c != "row"]
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         import uuid
 
-        data = [[v for k, v in r.asDict().items() if k != "row"] for r in rows]
-        if not data:
+        batches = (b for b in batches if b.num_rows)
+        if (first := next(batches, None)) is None:
             return Written(None)
         os.makedirs(self.options["path"], exist_ok=True)
         path = f"{self.options['path']}/part-{uuid.uuid4().hex}.fld"
-        write_file(path, np.array(data, np.float64))
+        header = lambda lines: json.dumps(dict.fromkeys(KEYS) | {"Columns": len(self.columns), "Lines": lines}).encode()
+        room, lines = len(header(10**18)), 0  # the number of rows is known last
+        try:
+            with open(f"{path}.new", "wb") as f:
+                f.write(MAGIC + room.to_bytes(8, "little") + b" " * room)
+                for batch in chain([first], batches):
+                    columns = [batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in self.columns]
+                    f.write(np.column_stack(columns).astype("<f8").tobytes())
+                    lines += batch.num_rows
+                f.seek(16)
+                f.write(header(lines).ljust(room))
+            os.replace(f"{path}.new", path)
+        except BaseException:
+            if os.path.exists(f"{path}.new"):
+                os.remove(f"{path}.new")
+            raise
         return Written(path)
 
     def abort(self, messages: list) -> None:
@@ -124,4 +140,4 @@ class FieldSource(DataSource):
         return FieldReader(schema, self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> FieldWriter:
-        return FieldWriter(self.options)
+        return FieldWriter(self.options, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ STATE = "n long, t double, mean double, second double"
 def weighted_moments(stream: DataFrame, key: str, time: str, value: str, order: list[str]) -> DataFrame:
     """(key, n, t, mean, second) after every batch: the weighted mean and second moment so far.
 
-    Each instant moves the mean by dt / t of its distance. Instants of a batch are sorted; a later batch must not hold
+    Each instant moves the mean by dt / t of its distance, so the mean is the sum of dt x value over t. Instants of a batch are sorted; a later batch must not hold
     earlier instants of a key (the files of a run come in order). A task holds the batch's rows of one key; the state
     is four numbers.
     """
@@ -25,9 +26,15 @@ def weighted_moments(stream: DataFrame, key: str, time: str, value: str, order:
     def update(keys: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, t, mean, second = state.get if state.exists else (0, 0.0, 0.0, 0.0)
         rows = pd.concat(list(frames)).sort_values(order)
-        for now, v in zip(rows[time].tolist(), rows[value].tolist(), strict=True):
-            w = (now - t) / now if now else 1.0
-            mean, second, t, n = mean + w * (v - mean), second + w * (v * v - second), now, n + 1
+        now, v = rows[time].to_numpy(float), rows[value].to_numpy(float)
+        n += len(rows)
+        if len(origin := np.flatnonzero(now == 0)):  # what was before the origin of time has no weight after it
+            t, mean, second = 0.0, v[origin[-1]], v[origin[-1]] ** 2
+            now, v = now[origin[-1] + 1 :], v[origin[-1] + 1 :]
+        if len(now):
+            dt = np.diff(now, prepend=t)
+            mean, second, t = (t * mean + dt @ v) / now[-1], (t * second + dt @ (v * v)) / now[-1], now[-1]
+        t, mean, second = float(t), float(mean), float(second)
         state.update((n, t, mean, second))
         yield pd.DataFrame({key: pd.Series([keys[0]], dtype=object), "n": [n], "t": [t], "mean": [mean], "second": [second]})
 
