@@ -49,9 +49,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from aerospan.llm.mixing import WEIGHTS, labels_of, mix
+    from aerospan.llm.mixing import FREE, WEIGHTS, labels_of, mix
 
-    return mix(table(spark, sf_dir, "documents"), labels_of(table(spark, sf_dir, "labels")), WEIGHTS).drop("uid")
+    return mix(table(spark, sf_dir, "documents"), labels_of(table(spark, sf_dir, "labels")), WEIGHTS, ridge=FREE).drop("uid")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -525,6 +525,23 @@ def test_rates_are_the_least_squares_optimum(spark, weights):
     assert np.allclose(reached["expected"], (tokens * rate) @ p)
 
 
+@pytest.mark.parametrize("weights", [[0.95, 0.05, 0.0], [0.2, 0.5, 0.3], [0.0, 0.0, 1.0]])
+def test_rates_with_hardly_any_ridge_meet_targets(spark, weights):
+    """As near to the targets as least squares without a ridge comes, and among such rates near to one."""
+    rng = np.random.default_rng(16)
+    p = rng.dirichlet([0.3, 0.1, 0.1], 400)
+    tokens = rng.integers(0, 400, 400)
+    members = spark.createDataFrame([(int(t), q.tolist()) for t, q in zip(tokens, p, strict=True)], "tokens long, p array<double>")
+    pull, reached = mixing.rates(members, weights, ridge=mixing.FREE)
+    rate, share = np.maximum(0, 1 - p @ np.array(pull)), tokens / tokens.sum()
+    miss = lambda r: np.abs((share * r) @ p - weights).max()
+    best = dense_rates(p, tokens.astype(float), np.array(weights), 0.0)
+    assert miss(rate) <= miss(best) + 2e-3 and (share * (rate - 1) ** 2).sum() <= (share * (best - 1) ** 2).sum() + 0.01
+    assert np.allclose(reached["expected"], (tokens * rate) @ p)
+    usual = mixing.rates(members, weights)[0]
+    assert miss(rate) <= miss(np.maximum(0, 1 - p @ np.array(usual))) + 1e-9
+
+
 def test_mixture_by_copies_meets_targets(spark):
     """Whole documents with ties and a further column: shares by copies are within half a point. No document holds more than a few
     thousandths of the tokens, as copies are whole documents."""
