@@ -266,10 +266,10 @@ def index_symbols(spark, sf_dir):
 
 def points(spark, sf_dir):
     """Balances of customers as places between -1 and 1."""
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), ((F.col("c_acctbal") - 4500) / 5500.0).alias("x"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), ((F.col("c_acctbal") - 4500) / 5501.0).alias("x"))
 
 
-POINTS = "p AS (SELECT c_custkey AS id, (c_acctbal - 4500) / 5500.0::DOUBLE AS x FROM customer)"
+POINTS = "p AS (SELECT c_custkey AS id, (c_acctbal - 4500) / 5501.0::DOUBLE AS x FROM customer)"
 
 
 @query(f"WITH {POINTS} SELECT id, round((3 * x * x - 1) / 2, 8) AS p2, round((35 * pow(x, 4) - 30 * x * x + 3) / 8, 8) AS p4, round((140 * pow(x, 3) - 60 * x) / 8, 8) AS d4, round((420 * x * x - 60) / 8, 7) AS dd4, round(105 * x, 7) AS ddd4 FROM p")
