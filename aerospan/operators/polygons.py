@@ -63,10 +63,13 @@ def smallest_boxes(hull_rings: DataFrame) -> DataFrame:
 
 
 def in_contact(rings: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, other) of the given pairs of rings with edges that cross or touch, or of which one holds the other's vertices."""
+    """(id, other) of the given pairs of rings with edges that cross or touch, or of which one holds the other's vertices.
+
+    Edges are several times as many as Spark guesses (it does not count what is exploded), so none of the joins may be a broadcast.
+    """
     e = edges(rings)
     b = e.select(F.col("id").alias("other"), *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
-    j = pairs.join(e, "id").join(b, "other")
+    j = pairs.join(e.hint("merge"), "id").join(b.hint("merge"), "other")
     turn = lambda ax, ay, bx, by, px, py: F.signum((F.col(bx) - F.col(ax)) * (F.col(py) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(px) - F.col(ax)))
     p, q = ("x0", "y0", "x1", "y1"), ("bx0", "by0", "bx1", "by1")
     cross = (turn(*p, *q[:2]) * turn(*p, *q[2:]) <= 0) & (turn(*q, *p[:2]) * turn(*q, *p[2:]) <= 0)
@@ -76,7 +79,7 @@ def in_contact(rings: DataFrame, pairs: DataFrame) -> DataFrame:
     # crossing numbers of the given pairs alone: in all rings a vertex would meet nearly every ring
     named = pairs.select("id", "other").distinct()
     both = named.select("id", "other", F.col("id").alias("point"), F.col("other").alias("poly")).unionByName(named.select("id", "other", F.col("other").alias("point"), F.col("id").alias("poly")))
-    far = both.join(first.withColumnRenamed("id", "point"), "point").join(e.withColumnRenamed("id", "poly"), "poly")
+    far = both.join(first.withColumnRenamed("id", "point").hint("merge"), "point").join(e.withColumnRenamed("id", "poly").hint("merge"), "poly")
     spans = (F.col("y0") > F.col("y")) != (F.col("y1") > F.col("y"))
     cut = F.col("x0") + (F.col("y") - F.col("y0")) * F.try_divide(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     inside = far.where(spans & (F.col("x") < cut)).groupBy("id", "other", "poly").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("id", "other")
