@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from aerospan.functions.numeric import side
 from aerospan.operators.polygons import edges
-from aerospan.operators.spatial import in_polygon, nearest
+from aerospan.operators.spatial import dealt_join, in_polygon, nearest
 
 
 def in_box(values: list[Column], low: list[float], high: list[float]) -> Column:
@@ -49,13 +49,14 @@ def part_of(rings: DataFrame, others: DataFrame) -> DataFrame:
     vertices = rings.select(key.alias("id"), "x", "y")
     n = rings.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     met = in_rings(vertices, others).groupBy(F.col("id.id").alias("id"), "poly").agg(F.count(F.lit(1)).alias("m"))
-    held = met.join(n, "id").where("m = n and id <> poly").select("id", "poly")
+    # vertices and edges are many more than Spark guesses, so they are not left to be broadcast
+    held = met.join(n.hint("merge"), "id").where("m = n and id <> poly").select("id", "poly")
     out = edges(others).select(F.col("id").alias("poly"), *(F.col(c).alias(f"o{c}") for c in ("x0", "y0", "x1", "y1")))
-    pair = held.join(edges(rings), "id").join(out, "poly")
+    pair = held.join(edges(rings).hint("merge"), "id").join(out.hint("merge"), "poly")
     turn = lambda a, b, p: side(*(F.col(c) for c in (*a, *b, *p)))
     p, q, u, v = ("x0", "y0"), ("x1", "y1"), ("ox0", "oy0"), ("ox1", "oy1")
     crossed = pair.where((turn(p, q, u) * turn(p, q, v) < 0) & (turn(u, v, p) * turn(u, v, q) < 0)).select("id", "poly").distinct()
-    return held.join(crossed, ["id", "poly"], "left_anti")
+    return held.join(crossed.hint("merge"), ["id", "poly"], "left_anti")
 
 
 def dimension2(rings: DataFrame) -> DataFrame:
@@ -115,6 +116,6 @@ def box_search(points: DataFrame, queries: DataFrame, axes: list[str], half: flo
     for x in axes:
         p = p.withColumn(f"_{x}", cells(F.col(x), 2 * size))
         q = q.withColumn(f"_{x}", F.explode(F.sequence(cells(F.col(f"q{x}") - size, 2 * size), cells(F.col(f"q{x}") + size, 2 * size))))
-    j = p.join(q, [f"_{x}" for x in axes])
+    j = dealt_join(p, q, [f"_{x}" for x in axes])
     gap = F.greatest(*(F.abs(F.col(x) - F.col(f"q{x}")) for x in axes)) if len(axes) > 1 else F.abs(F.col(axes[0]) - F.col(f"q{axes[0]}"))
     return j.where(gap <= size).select("query", "id", (gap <= half - fuzz).alias("sure"))
