@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from aerospan.functions.numeric import side
 from aerospan.operators.polygons import edges
-from aerospan.operators.spatial import dealt_join, in_polygon, nearest
+from aerospan.operators.spatial import dealt_join, gathered, in_polygon, named, nearest
 
 
 def in_box(values: list[Column], low: list[float], high: list[float]) -> Column:
@@ -112,10 +112,10 @@ def box_search(points: DataFrame, queries: DataFrame, axes: list[str], half: flo
     ``sure`` says which points lie in the box smaller by that much."""
     size = half + fuzz
     cells = lambda x, s: F.floor(x / s).cast("long")
-    p, q = points.select("id", *axes), queries.select("query", *(F.col(x).alias(f"q{x}") for x in axes))
+    p, q = gathered(points.select("id", *axes), "id"), gathered(queries.select("query", *(F.col(x).alias(f"q{x}") for x in axes)), "query")
     for x in axes:
         p = p.withColumn(f"_{x}", cells(F.col(x), 2 * size))
         q = q.withColumn(f"_{x}", F.explode(F.sequence(cells(F.col(f"q{x}") - size, 2 * size), cells(F.col(f"q{x}") + size, 2 * size))))
-    j = dealt_join(p, q, [f"_{x}" for x in axes])
+    j = dealt_join(p, q, [f"_{x}" for x in axes], members=("id", "query"))
     gap = F.greatest(*(F.abs(F.col(x) - F.col(f"q{x}")) for x in axes)) if len(axes) > 1 else F.abs(F.col(axes[0]) - F.col(f"q{axes[0]}"))
-    return j.where(gap <= size).select("query", "id", (gap <= half - fuzz).alias("sure"))
+    return named(j.where(gap <= size).withColumn("sure", gap <= half - fuzz), "query", "id", "sure")
