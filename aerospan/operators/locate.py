@@ -36,7 +36,10 @@ def located(points: DataFrame, elements: DataFrame, nodes: DataFrame, tol: float
     s = s.withColumns({f"lo_{x}": F.col(f"lo_{x}") - F.col(f"_w_{x}") for x in AXES} | {f"hi_{x}": F.col(f"hi_{x}") + F.col(f"_w_{x}") for x in AXES})
     tree = build(s.select(F.col("elem_id").alias("id"), "ltype", "nodes", F.flatten("p").alias("p"), *(f"{e}_{x}" for x in AXES for e in ("lo", "hi"))), AXES)
     q = points.select(F.col("id").alias("query"), *(F.col(x).cast("double").alias(x) for x in AXES))
-    pairs = reached(tree, q, 1).join(tree.items, "leaf")
+    asked, found = reached(tree, q, 1)
+    for x in AXES:  # a block's items within its box are few
+        found = found.where((F.col(f"lo_{x}") <= F.col(f"to_{x}")) & (F.col(f"hi_{x}") >= F.col(f"from_{x}")))
+    pairs = asked.join(found.hint("merge"), "block")
     for x in AXES:
         pairs = pairs.where(F.col(x).between(F.col(f"lo_{x}"), F.col(f"hi_{x}")))
     pairs = pairs.select("query", *AXES, "id", F.col("ltype").cast("int").alias("ltype"), "nodes", "p")
