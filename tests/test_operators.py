@@ -196,6 +196,31 @@ def test_nearest_dense_in_blocks(spark):
     assert got == [(q, n + 1, i, d2[q, i]) for q in range(40) for n, i in enumerate(sorted(range(40), key=lambda i: (d2[q, i], i))[:3])]
 
 
+def test_nearest_dense_in_tiles(spark, monkeypatch):
+    """More points than a tile holds, copies, and vectors without distances, against brute force; nothing is broadcast or paired in SQL."""
+    monkeypatch.setattr(X, "DENSE", 25)
+    monkeypatch.setattr(X, "AT_ONCE", 64)
+    v = np.random.default_rng(5).normal(size=(60, 7))
+    v[30:50] = v[10]
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(60, None), (61, [None] * 7), (62, [1.0]), (63, [1e200] * 7), (64, [float("nan")] * 7)]
+    e = spark.createDataFrame(rows, "id long, v array<double>")
+    found = X.nearest_dense(e, e.withColumnRenamed("id", "query"), 62, "v", most=15)
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+    got = {q: [] for q, _ in rows}
+    for r in sorted(found.collect(), key=lambda r: r.place):
+        got[r.query].append((r.id, r.d2))
+
+    def apart(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a + b:
+            return None
+        return sum((np.square(np.float64(x) - y) for x, y in zip(a, b, strict=True)), 0.0)
+
+    for q, a in rows:
+        want = [(i, apart(b, a)) for i, b in rows]
+        want = sorted(want, key=lambda r: (r[1] is None, r[1] is not None and np.isnan(r[1]), 0.0 if r[1] is None or np.isnan(r[1]) else r[1], r[0]))[:62]
+        assert [(i, str(d)) for i, d in got[q]] == [(i, str(None if d is None else float(d))) for i, d in want]
+
+
 def test_a_star_is_not_convex(spark):
     star = [(float(np.cos(4 * np.pi * k / 5)), float(np.sin(4 * np.pi * k / 5))) for k in range(5)]
     rings = {1: star, 2: [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)], 3: [(0.0, 0.0), (2.0, 0.0), (0.5, 0.5), (0.0, 2.0)], 4: [(0.0, 0.0), (0.0, 3.0), (3.0, 0.0)]}
