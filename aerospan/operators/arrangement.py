@@ -10,6 +10,10 @@ Coordinates are whole multiples of 10^-digits (snapped), so equal points are equ
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,8 @@ from aerospan.session import stored
 
 #: Columns and rows of the grid over one id at most; both grow with the root of its segments up to here.
 MOST_CELLS = 4096
+#: Links that a task follows together.
+LARGE = 1 << 17
 #: What lies inside, from inside the first and inside the second operand.
 RULES = {"join": lambda a, b: a | b, "intersection": lambda a, b: a & b, "difference": lambda a, b: a & ~b, "symmetric": lambda a, b: a != b, "complement": lambda a, b: ~a}
 
@@ -108,22 +114,95 @@ def half_edges(pieces: DataFrame) -> DataFrame:
     return way(0, "a", "b").unionByName(way(1, "b", "a"))
 
 
-def _angle(a: tuple[str, str], b: tuple[str, str]) -> Column:
-    return F.atan2((F.col(b[1]) - F.col(a[1])).cast("double"), (F.col(b[0]) - F.col(a[0])).cast("double"))
+def crowded(rows: DataFrame) -> DataFrame | None:
+    """Ids with more rows than a task takes together, and over how many keys their vertices are dealt; None if there are none."""
+    many = stored(rows.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / LARGE).alias("_many")).where("_many > 1"))
+    return None if many.isEmpty() else many
+
 
+def _next_at(rows: DataFrame, many: DataFrame | None, keys: list[str], *order: Column) -> DataFrame:
+    """Rows (id, vx, vy, wx, wy, h, ...) around vertices v with ``nxt``, the h of the row that follows, round and round by the ``angle`` towards w.
 
-def _next_at(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """Rows around vertices with ``nxt``, the h of the row that follows, round and round."""
-    w = Window.partitionBy(*keys).orderBy(*order, "h")
+    An id's rows are in one task, next to each other, unless it is one of ``many``.
+    """
+    r = rows.withColumn("_many", F.lit(1)) if many is None else rows.join(F.broadcast(many), "id", "left").withColumn("_many", F.coalesce("_many", F.lit(1)))
+    r = r.withColumn("_s", F.pmod(F.xxhash64("vx", "vy"), "_many")).drop("_many").repartition("id", "_s")
+    r = r.withColumn("angle", F.atan2((F.col("wy") - F.col("vy")).cast("double"), (F.col("wx") - F.col("vx")).cast("double")))
+    w = Window.partitionBy("id", "_s", *keys).orderBy(*order, "h")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.withColumn("nxt", F.coalesce(F.lead("h").over(w), F.first("h").over(whole)))
+    return r.withColumn("nxt", F.coalesce(F.lead("h").over(w), F.first("h").over(whole))).drop("_s", "angle")
 
 
 def _incident(half: DataFrame, *more: str) -> DataFrame:
-    """Directed edges at both their ends, with the direction they leave or reach it by."""
-    out = half.select("id", F.col("ox").alias("vx"), F.col("oy").alias("vy"), _angle(("ox", "oy"), ("tx", "ty")).alias("angle"), "h", F.lit(True).alias("out"), *more)
-    into = half.select("id", F.col("tx").alias("vx"), F.col("ty").alias("vy"), _angle(("tx", "ty"), ("ox", "oy")).alias("angle"), "h", F.lit(False).alias("out"), *more)
-    return out.unionByName(into)
+    """Directed edges at both their ends v, with the other one w."""
+    ends = lambda v, w: [F.col(f"{p}{c}").alias(f"{n}{c}") for p, n in ((v, "v"), (w, "w")) for c in "xy"]
+    return half.select("id", *ends("o", "t"), "h", F.lit(True).alias("out"), *more).unionByName(half.select("id", *ends("t", "o"), "h", F.lit(False).alias("out"), *more))
+
+
+def _arriving(rows: DataFrame, *more: str) -> DataFrame:
+    """Of rows of :func:`_next_at` the edges that reach v: (id, h, ox, oy, tx, ty, nxt, more)."""
+    ends = [F.col(f"{p}{c}").alias(f"{n}{c}") for p, n in (("w", "o"), ("v", "t")) for c in "xy"]
+    return rows.where("not out").select("id", "h", *ends, "nxt", *more)
+
+
+def _closed(h: np.ndarray, nxt: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each link the h of its cycle's least (x, y, h), its place after that, and the cycle's length, which is 0 if it leads out of the links."""
+    size, order = len(h), np.argsort(h)
+    at = np.minimum(np.searchsorted(h, nxt, sorter=order), size - 1)
+    to = np.append(np.where(h[order[at]] == nxt, order[at], size), size)  # the last one stands for all that is elsewhere
+    ranked = np.lexsort((h, y, x))
+    low, off, span = np.full(size + 1, size), np.zeros(size + 1, np.int64), 1
+    low[ranked] = np.arange(size)
+    while True:
+        further = low[to] < low
+        then = to[to]
+        if not further.any() and not ((then == size) & (to < size)).any():
+            break
+        low, off, to = np.where(further, low[to], low), np.where(further, off[to] + span, off), then
+        span *= 2
+    out = to[:-1] == size
+    low, off = low[:-1], off[:-1]
+    n = np.where(out, 0, np.bincount(low[~out], minlength=size)[low])
+    return h[ranked[low]], np.where(out, 0, (n - off) % np.maximum(n, 1)), n
+
+
+def cycles(links: DataFrame) -> DataFrame:
+    """Links (h, nxt, ox, oy, ...) with ``cycle``, ``pos`` and ``n`` of :func:`traced` instead of ``nxt``.
+
+    Cycles whose links come near each other in one task are closed there, LARGE links or so at a time; what leads out goes on to :func:`traced`.
+    """
+    names, large = links.columns, LARGE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(t: pa.Table) -> tuple[pa.Table, pa.Table]:
+            cycle, pos, n = _closed(*(t.column(c).to_numpy() for c in ("h", "nxt", "ox", "oy")))
+            for c, v in (("cycle", cycle), ("pos", pos), ("n", n)):
+                t = t.append_column(c, pa.array(v, pa.int64()))
+            return t.filter(pa.array(n > 0)), t.filter(pa.array(n == 0))
+
+        held, rows, least = [], 0, large
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= least:
+                done, left = close(pa.Table.from_batches(held).select(names))
+                yield from done.to_batches()
+                if left.num_rows >= large:  # more of one id than a task takes
+                    yield from left.to_batches()
+                    left = left.slice(0, 0)
+                held, rows = left.select(names).to_batches(), left.num_rows
+                least = large + rows
+        if rows:
+            for t in close(pa.Table.from_batches(held).select(names)):
+                yield from t.to_batches()
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in links.schema.fields)
+    found = stored(links.mapInArrow(run, f"{kinds}, cycle long, pos long, n long"))
+    left = found.where("n = 0")
+    if left.isEmpty():
+        return found.drop("nxt")
+    rest = left.drop("cycle", "pos", "n").join(traced(left.select("h", "nxt", "ox", "oy")), "h").drop("nxt")
+    return stored(found.where("n > 0").drop("nxt").unionByName(rest))
 
 
 def traced(links: DataFrame) -> DataFrame:
@@ -159,12 +238,13 @@ def _below(points: DataFrame, edges: DataFrame) -> DataFrame:
     return j.withColumn("_h", _height(F.col("x"))).where("_h < y")
 
 
-def faces(pieces: DataFrame) -> DataFrame:
-    """(id, h, ..., cycle, pos, in_a, in_b): half-edges, the cycle they lie on, and whether what is to its left is inside each side."""
-    half = half_edges(pieces)
-    turned = _next_at(half.select("id", "ox", "oy", "h", "twin", _angle(("ox", "oy"), ("tx", "ty")).alias("angle")), ["id", "ox", "oy"], F.desc("angle"))
-    links = turned.select(F.col("twin").alias("h"), "nxt").join(half.select("h", "ox", "oy"), "h")
-    half = stored(half.join(traced(links), "h"))
+def faces(pieces: DataFrame, many: DataFrame | None = None) -> DataFrame:
+    """(id, h, ..., cycle, pos, in_a, in_b): half-edges, the cycle they lie on, and whether what is to its left is inside each side.
+    ``many`` as :func:`crowded` gives it."""
+    around = half_edges(pieces).withColumnsRenamed({"ox": "vx", "oy": "vy", "tx": "wx", "ty": "wy"})
+    turned = _next_at(around, many, ["vx", "vy"], F.desc("angle"))
+    twins = {"twin": "h", "h": "twin", "wx": "ox", "wy": "oy", "vx": "tx", "vy": "ty"}  # the twin of what leaves a vertex reaches it
+    half = cycles(turned.select("id", *(F.col(c).alias(n) for c, n in twins.items()), "a", "b", "nxt"))
     one = half.where("ox <> tx").groupBy("id", "cycle").agg(F.min(F.struct("h", "ox", "oy", "tx", "ty", "a", "b")).alias("r"))
     up = F.col("r.tx") > F.col("r.ox")
     mid = lambda p, q: (F.col(p) + F.col(q)) / 2.0
@@ -177,16 +257,15 @@ def faces(pieces: DataFrame) -> DataFrame:
 def outlines(pieces: DataFrame, rule: str | None = None, digits: int = 9) -> DataFrame:
     """Rings around what ``rule`` says is inside, from noded pieces; without a rule, around the inside of the first side."""
     f = RULES[rule] if rule else lambda a, b: a
-    sides = faces(pieces).withColumn("_in", f(F.col("in_a"), F.col("in_b")))
+    many = crowded(pieces)
+    sides = faces(pieces, many).withColumn("_in", f(F.col("in_a"), F.col("in_b")))
     right = sides.select(F.col("h").alias("twin"), F.col("_in").alias("_right"))
     half = sides.join(right, "twin").where("_in and not _right").select("id", "h", "ox", "oy", "tx", "ty", F.col("cycle").alias("face"))
     half = stored(half)
     if rule:  # pieces within the result have gone, so its faces are larger
-        links = _next_at(_incident(half), ["id", "vx", "vy"], F.desc("angle")).where("not out").select("h", "nxt").join(half.select("h", "ox", "oy"), "h")
-        half = stored(half.drop("face").join(traced(links).select("h", F.col("cycle").alias("face")), "h"))
+        half = cycles(_arriving(_next_at(_incident(half), many, ["vx", "vy"], F.desc("angle")))).drop("pos", "n").withColumnRenamed("cycle", "face")
     # where a face meets itself at a vertex, its outline is cut into rings there: each goes round one part of what is outside
-    links = _next_at(_incident(half, "face"), ["id", "face", "vx", "vy"], F.asc("angle")).where("not out").select("h", "nxt").join(half.select("h", "ox", "oy"), "h")
-    half = stored(half.join(traced(links), "h"))
+    half = cycles(_arriving(_next_at(_incident(half, "face"), many, ["face", "vx", "vy"], F.asc("angle")), "face"))
     # about the ring's first vertex, so that products stay small
     scale = 10.0**digits
     start = half.where("pos = 0").select("cycle", F.col("ox").alias("sx"), F.col("oy").alias("sy"))

@@ -149,3 +149,30 @@ def test_texts_keep_their_polygons(spark):
     rings = each.select("id", F.struct("polygon", "ring").alias("ring"), "pt_no", "_p.x", "_p.y")
     got = {r.id: r.wkt for r in text.multipolygon_text(A.repaired(rings)).collect()}
     assert got == {"two": "MULTIPOLYGON(((0 0,4 0,4 4,0 4,0 0),(1 1,1 2,2 2,2 1,1 1)),((6 0,7 0,7 1.5,6 0)))", "one": "MULTIPOLYGON(((0 0,1 0,1 1,0 0)))"}
+
+
+def test_cycles_close_within_tasks_or_go_on(spark, monkeypatch):
+    """The same places on cycles, whether a task holds all links of an id or a few, and without rounds over all links where it does."""
+    rng, rows, h = np.random.default_rng(4), [], 0
+    for i, size in enumerate((1, 2, 3, 40, 7, 100, 5)):
+        around = rng.permutation(size).tolist()
+        rows += [(i, h + around[k], h + around[(k + 1) % size], int(rng.integers(0, 5)), int(rng.integers(0, 5))) for k in range(size)]
+        h += size
+    links = spark.createDataFrame(rows, "id long, h long, nxt long, ox long, oy long").repartition(3, "id")
+    want = {r.h: (r.cycle, r.pos, r.n) for r in A.traced(links).collect()}
+    rounds, traced = [], A.traced
+    monkeypatch.setattr(A, "traced", lambda left: rounds.append(left.count()) or traced(left))
+    assert {r.h: (r.cycle, r.pos, r.n) for r in A.cycles(links).collect()} == want and rounds == []
+    monkeypatch.setattr(A, "LARGE", 8)
+    few = spark.createDataFrame(rows, "id long, h long, nxt long, ox long, oy long").repartition(5, "h")
+    assert {r.h: (r.cycle, r.pos, r.n) for r in A.cycles(few).collect()} == want and len(rounds) == 1
+    assert {r.id: r._many for r in A.crowded(links).collect()} == {3: 5, 5: 13}
+
+
+def test_outlines_of_crowded_ids(spark, monkeypatch):
+    """An id with more links than a task takes is dealt over tasks, with the same rings."""
+    rng = np.random.default_rng(8)
+    rings = spark.createDataFrame([(i, 0, k, float(x), float(y)) for i, n in ((1, 30), (2, 4)) for k, (x, y) in enumerate(rng.random((n, 2)))], "id long, ring int, pt_no int, x double, y double")
+    want = sorted(map(tuple, A.repaired(rings).collect()))
+    monkeypatch.setattr(A, "LARGE", 16)
+    assert sorted(map(tuple, A.repaired(rings).collect())) == want
