@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from aerospan.session import stored
 
-#: Columns and rows of the grid over one id at most; both grow with the root of its segments up to here.
-MOST_CELLS = 4096
+#: Columns and rows of the grid over one id at most; both grow with the root of its segments up to here, so that a cell has some of them:
+#: with fewer a segment is listed, and moved, in many cells.
+MOST_CELLS, A_CELL = 4096, 16
 #: Links that a task follows together.
 LARGE = 1 << 17
 #: What lies inside, from inside the first and inside the second operand.
@@ -46,7 +47,7 @@ def _cancelled(pieces: DataFrame) -> DataFrame:
 def _frame(edges: DataFrame) -> DataFrame:
     """For each id the corner of its box, and the grid over it: cells a side, and their width and height."""
     box = edges.groupBy("id").agg(F.min("ax").alias("x_lo"), F.max("bx").alias("x_hi"), F.min(F.least("ay", "by")).alias("y_lo"), F.max(F.greatest("ay", "by")).alias("y_hi"), F.count(F.lit(1)).alias("n"))
-    k = F.least(F.lit(MOST_CELLS), F.ceil(F.sqrt("n"))).cast("int")
+    k = F.least(F.lit(MOST_CELLS), F.ceil(F.sqrt(F.col("n") / A_CELL))).cast("int")
     return box.select("id", "x_lo", "y_lo", k.alias("k"), ((F.col("x_hi") - F.col("x_lo")) / k + 1).alias("cw"), ((F.col("y_hi") - F.col("y_lo")) / k + 1).alias("ch"))
 
 

@@ -176,3 +176,14 @@ def test_outlines_of_crowded_ids(spark, monkeypatch):
     want = sorted(map(tuple, A.repaired(rings).collect()))
     monkeypatch.setattr(A, "LARGE", 16)
     assert sorted(map(tuple, A.repaired(rings).collect())) == want
+
+
+def test_small_outlines_are_listed_in_one_cell(spark):
+    """Segments of a small id are not copied to many cells, those of a large one lie in a grid."""
+    square = [(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0)]
+    round_ = [(9 * np.cos(k / 100), 9 * np.sin(k / 100)) for k in range(600)]
+    s = spark.createDataFrame([(i, k, *map(int, (1e9 * x, 1e9 * y, 1e9 * u, 1e9 * v))) for i, ring in ((1, square), (2, round_)) for k, ((x, y), (u, v)) in enumerate(zip(ring, ring[1:] + ring[:1], strict=True))], "id long, s long, ax long, ay long, bx long, by long")
+    turned = s.selectExpr("id", "s", "least(ax, bx) ax", "if(ax <= bx, ay, by) ay", "greatest(ax, bx) bx", "if(ax <= bx, by, ay) by")
+    listed = A._listed(turned).collect()
+    assert sum(r.id == 1 for r in listed) == 4
+    assert len({(r.c, r.r) for r in listed if r.id == 2}) > 10 and {r.s for r in listed if r.id == 2} == set(range(600))
