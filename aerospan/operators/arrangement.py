@@ -109,10 +109,16 @@ def noded(parts: DataFrame, digits: int = 9) -> DataFrame:
     return stored(_cancelled(bits).withColumn("e", F.monotonically_increasing_id()))
 
 
-def half_edges(pieces: DataFrame) -> DataFrame:
+def _both(rows: DataFrame, many: DataFrame | None, keep: list[str], *ways: list[Column]) -> DataFrame:
+    """Each row twice, one for each of two lists of columns; where no ids are crowded (``many``) after it was moved to the others of its id."""
+    rows = rows.repartition("id") if many is None else rows
+    return rows.select(*keep, F.inline(F.array(*(F.struct(*w) for w in ways))))
+
+
+def half_edges(pieces: DataFrame, many: DataFrame | None = None) -> DataFrame:
     """Both ways along each piece: (id, h, twin, ox, oy, tx, ty, a, b)."""
-    way = lambda h, o, t: pieces.select("id", (F.col("e") * 2 + h).alias("h"), (F.col("e") * 2 + 1 - h).alias("twin"), F.col(f"{o}x").alias("ox"), F.col(f"{o}y").alias("oy"), F.col(f"{t}x").alias("tx"), F.col(f"{t}y").alias("ty"), "a", "b")
-    return way(0, "a", "b").unionByName(way(1, "b", "a"))
+    way = lambda h, o, t: [(F.col("e") * 2 + h).alias("h"), (F.col("e") * 2 + 1 - h).alias("twin"), F.col(f"{o}x").alias("ox"), F.col(f"{o}y").alias("oy"), F.col(f"{t}x").alias("tx"), F.col(f"{t}y").alias("ty")]
+    return _both(pieces, many, ["id", "a", "b"], way(0, "a", "b"), way(1, "b", "a"))
 
 
 def crowded(rows: DataFrame) -> DataFrame | None:
@@ -126,18 +132,21 @@ def _next_at(rows: DataFrame, many: DataFrame | None, keys: list[str], *order: C
 
     An id's rows are in one task, next to each other, unless it is one of ``many``.
     """
-    r = rows.withColumn("_many", F.lit(1)) if many is None else rows.join(F.broadcast(many), "id", "left").withColumn("_many", F.coalesce("_many", F.lit(1)))
-    r = r.withColumn("_s", F.pmod(F.xxhash64("vx", "vy"), "_many")).drop("_many").repartition("id", "_s")
+    if many is None:
+        r, dealt = rows, []
+    else:
+        r, dealt = rows.join(F.broadcast(many), "id", "left"), ["_s"]
+        r = r.withColumn("_s", F.pmod(F.xxhash64("vx", "vy"), F.coalesce("_many", F.lit(1)))).drop("_many").repartition("id", "_s")
     r = r.withColumn("angle", F.atan2((F.col("wy") - F.col("vy")).cast("double"), (F.col("wx") - F.col("vx")).cast("double")))
-    w = Window.partitionBy("id", "_s", *keys).orderBy(*order, "h")
+    w = Window.partitionBy("id", *dealt, *keys).orderBy(*order, "h")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return r.withColumn("nxt", F.coalesce(F.lead("h").over(w), F.first("h").over(whole))).drop("_s", "angle")
 
 
-def _incident(half: DataFrame, *more: str) -> DataFrame:
+def _incident(half: DataFrame, many: DataFrame | None, *more: str) -> DataFrame:
     """Directed edges at both their ends v, with the other one w."""
-    ends = lambda v, w: [F.col(f"{p}{c}").alias(f"{n}{c}") for p, n in ((v, "v"), (w, "w")) for c in "xy"]
-    return half.select("id", *ends("o", "t"), "h", F.lit(True).alias("out"), *more).unionByName(half.select("id", *ends("t", "o"), "h", F.lit(False).alias("out"), *more))
+    ends = lambda v, w, out: [*(F.col(f"{p}{c}").alias(f"{n}{c}") for p, n in ((v, "v"), (w, "w")) for c in "xy"), F.lit(out).alias("out")]
+    return _both(half, many, ["id", "h", *more], ends("o", "t", True), ends("t", "o", False))
 
 
 def _arriving(rows: DataFrame, *more: str) -> DataFrame:
@@ -242,7 +251,7 @@ def _below(points: DataFrame, edges: DataFrame) -> DataFrame:
 def faces(pieces: DataFrame, many: DataFrame | None = None) -> DataFrame:
     """(id, h, ..., cycle, pos, in_a, in_b): half-edges, the cycle they lie on, and whether what is to its left is inside each side.
     ``many`` as :func:`crowded` gives it."""
-    around = half_edges(pieces).withColumnsRenamed({"ox": "vx", "oy": "vy", "tx": "wx", "ty": "wy"})
+    around = half_edges(pieces, many).withColumnsRenamed({"ox": "vx", "oy": "vy", "tx": "wx", "ty": "wy"})
     turned = _next_at(around, many, ["vx", "vy"], F.desc("angle"))
     twins = {"twin": "h", "h": "twin", "wx": "ox", "wy": "oy", "vx": "tx", "vy": "ty"}  # the twin of what leaves a vertex reaches it
     half = cycles(turned.select("id", *(F.col(c).alias(n) for c, n in twins.items()), "a", "b", "nxt"))
@@ -264,9 +273,9 @@ def outlines(pieces: DataFrame, rule: str | None = None, digits: int = 9) -> Dat
     half = sides.join(right, "twin").where("_in and not _right").select("id", "h", "ox", "oy", "tx", "ty", F.col("cycle").alias("face"))
     half = stored(half)
     if rule:  # pieces within the result have gone, so its faces are larger
-        half = cycles(_arriving(_next_at(_incident(half), many, ["vx", "vy"], F.desc("angle")))).drop("pos", "n").withColumnRenamed("cycle", "face")
+        half = cycles(_arriving(_next_at(_incident(half, many), many, ["vx", "vy"], F.desc("angle")))).drop("pos", "n").withColumnRenamed("cycle", "face")
     # where a face meets itself at a vertex, its outline is cut into rings there: each goes round one part of what is outside
-    half = cycles(_arriving(_next_at(_incident(half, "face"), many, ["face", "vx", "vy"], F.asc("angle")), "face"))
+    half = cycles(_arriving(_next_at(_incident(half, many, "face"), many, ["face", "vx", "vy"], F.asc("angle")), "face"))
     # about the ring's first vertex, so that products stay small
     scale = 10.0**digits
     start = half.where("pos = 0").select("cycle", F.col("ox").alias("sx"), F.col("oy").alias("sy"))

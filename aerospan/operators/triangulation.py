@@ -100,7 +100,8 @@ def triangulated(rings: DataFrame, digits: int = 9) -> DataFrame:
     ways = [extra.select("id", F.struct(F.lit(k).alias("kind"), "e").alias("h"), *(F.col(p).alias(q) for p, q in zip(ends, ("ox", "oy", "tx", "ty"), strict=True))) for k, ends in ((1, ("ax", "ay", "bx", "by")), (2, ("bx", "by", "ax", "ay")))]
     half = sides.select("id", F.struct(F.lit(0).alias("kind"), "e").alias("h"), "ox", "oy", "tx", "ty").unionByName(ways[0]).unionByName(ways[1])
     half = half.withColumn("h", F.col("h.e") * 4 + F.col("h.kind"))
-    links = _arriving(_next_at(_incident(half), crowded(half), ["vx", "vy"], F.desc("angle"), F.desc("out")))
+    many = crowded(half)
+    links = _arriving(_next_at(_incident(half, many), many, ["vx", "vy"], F.desc("angle"), F.desc("out")))
     pieces = cycles(links).select("id", "cycle", "pos", "ox", "oy")
     kind = rings.schema["id"].dataType.simpleString()
     found = pieces.repartition("cycle").sortWithinPartitions("cycle", "pos").drop("pos").mapInPandas(_pieces, f"id {kind}, ax long, ay long, bx long, by long, cx long, cy long")
