@@ -10,8 +10,10 @@ list the distance from x to a reconstruction comes from lookup tables of the exa
 inequality only vectors whose lookup distance is at most r + e can be linked, and those are reranked by exact cosine
 in double precision. So recall against brute force is one, whatever the sample.
 
-Vectors are dealt into tiles of neighbouring lists; two tiles meet if one probes a list of the other. A meeting emits
-counts of links and a spanning forest of them, never the pairs. Equal vectors are one entry with a number of copies.
+Vectors are dealt into tiles of neighbouring lists, and of many tiles up to GROUP make a block; two blocks meet if one
+probes a list of the other. Vectors move to meetings with their code alone: which lists a vector probes, up to all of
+them, is worked out where it is needed. A meeting emits counts of links and a spanning forest of them, never the
+pairs. Equal vectors are one entry with a number of copies.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +32,8 @@ from aerospan.llm.common import forest, slices, written
 from aerospan.llm.graph import components
 
 SLACK = 1e-5  # for rounding in single precision
+#: Tiles of a block, at most; fewer where there would be under BLOCKS of them.
+GROUP, BLOCKS = 4, 32
 
 
 def kmeans(x: np.ndarray, k: int, steps: int = 12, seed: int = 3) -> np.ndarray:
@@ -86,22 +91,26 @@ class Quantiser:
 
 @dataclass
 class Tile:
-    """Vectors (unit, double precision) with their copies, lists, the lists each probes, codes, and errors of the codes."""
+    """Vectors (unit, double precision) with their copies, lists, the lists each probes (a list a vector, or a flag a list), codes, and errors of the codes."""
 
     x: np.ndarray
     copies: np.ndarray
     at: np.ndarray
-    near: pa.Array
+    near: pa.Array | np.ndarray
     code: np.ndarray
     error: np.ndarray
 
     @classmethod
-    def of(cls, v: pa.StructArray) -> Tile:
-        field = lambda c: v.field(c).to_numpy(zero_copy_only=False)
-        code = np.frombuffer(b"".join(v.field("code").to_pylist()), np.uint8).reshape(len(v), -1)
-        return cls(unit(v.field("x")), field("copies"), field("list"), v.field("near"), code, field("error"))
+    def of(cls, v: pa.Table, q: Quantiser, r: float) -> Tile:
+        v = v.combine_chunks()
+        field = lambda c: v.column(c).to_numpy()
+        x, at = unit(pa.concat_arrays(v.column("x").chunks)), field("list")
+        near = [q.probes(at[k : k + 1024], nearest(x[k : k + 1024], q.lists)[1], r) for k in range(0, len(x), 1024)]
+        return cls(x, field("copies"), at, np.concatenate(near), np.frombuffer(b"".join(v.column("code").to_pylist()), np.uint8).reshape(len(x), -1), field("error"))
 
     def probed(self, lists: int) -> np.ndarray:
+        if isinstance(self.near, np.ndarray):
+            return self.near
         out = np.zeros((len(self.x), lists), bool)
         out[self.near.value_parent_indices().to_numpy(), self.near.flatten().to_numpy()] = True
         return out
@@ -187,12 +196,22 @@ def linked(spark, reps: DataFrame, q: Quantiser, least: float, tile: int) -> tup
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
-            at, code, error, d = shared.value.index(unit(batch.column("x")))
-            near = [np.flatnonzero(p) for p in shared.value.probes(at, d, r)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "copies", "x")), pa.array(at, pa.int32()), pa.array(near, pa.list_(pa.int32())), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(error)], ["node", "copies", "x", "list", "near", "code", "error"])
+            at, code, error, _ = shared.value.index(unit(batch.column("x")))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "copies", "x")), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(error)], ["node", "copies", "x", "list", "code", "error"])
 
-    fields = f"node long, copies long, x {form}, list int, near array<int>, code binary, error double"
-    indexed = written(reps.select("node", "copies", "x").mapInArrow(assign, fields), "indexed-vectors")
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Which lists' vectors probe which lists, of all vectors of a task: as many rows as pairs of lists at most."""
+        found = np.zeros((len(shared.value.lists),) * 2, bool)
+        for batch in slices(batches, 1024):
+            at = batch.column("list").to_numpy()
+            near = shared.value.probes(at, nearest(unit(batch.column("x")), shared.value.lists)[1], r)
+            for k in np.unique(at):
+                found[k] |= near[at == k].any(axis=0)
+        for k in np.flatnonzero(found.any(axis=1)):
+            other = np.flatnonzero(found[k]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), k, np.int32)), pa.array(other)], ["list", "other"])
+
+    indexed = written(reps.select("node", "copies", "x").mapInArrow(assign, f"node long, copies long, x {form}, list int, code binary, error double"), "indexed-vectors")
     #: neighbouring lists share a tile until it is full; a list beyond the bound is dealt by hash into several tiles
     sizes = sorted((row[0], row[1]) for row in indexed.groupBy("list").count().collect())  # a row for each list
     home, k, held = {}, 0, 0
@@ -205,35 +224,34 @@ def linked(spark, reps: DataFrame, q: Quantiser, least: float, tile: int) -> tup
             k, held = k + split, 0
         else:
             held += size
+    group = max(1, min(GROUP, (k + 1) // BLOCKS))
     table = spark.createDataFrame([(a, b, c) for a, (b, c) in home.items()], "list int, first int, split int")
-    placed = indexed.join(F.broadcast(table), "list").withColumn("tile", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("split"))).cast("int"))
-    placed = written(placed.select("tile", F.struct("node", "copies", "x", "list", "near", "code", "error").alias("v")), "placed-vectors")
-    wanted = placed.select("tile", F.explode("v.near").alias("list")).distinct().join(F.broadcast(table), "list")
-    wanted = wanted.select("tile", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("split") - 1)).alias("other"))
-    pairs = wanted.select(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b")).distinct()
-    tiles = written(placed.groupBy("tile").agg(F.collect_list("v").alias("v")), "vector-tiles")
-    left, right = tiles.select(F.col("tile").alias("a"), F.col("v").alias("v1")), tiles.select(F.col("tile").alias("b"), F.col("v").alias("v2"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "v1", "v2").repartition("a", "b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                same, v1, v2 = batch.column("a")[k].as_py() == batch.column("b")[k].as_py(), batch.column("v1")[k].values, batch.column("v2")[k].values
-                x = Tile.of(v1)
-                y, size = x if same else Tile.of(v2), len(v1)
-                total, child, root = np.zeros(size + len(v2)), np.zeros(0, np.int64), np.zeros(0, np.int64)
-                for i, j in meet(shared.value, x, y, r, least, same):
-                    total[:size] += np.bincount(i, weights=y.copies[j], minlength=size)
-                    total[size:] += np.bincount(j, weights=x.copies[i], minlength=len(v2))
-                    child, root = forest(len(total), np.concatenate([child, i]), np.concatenate([root, j + size]))
-                if not len(child):
-                    continue
-                ids = np.concatenate([v1.field("node").to_numpy(), v2.field("node").to_numpy()])
-                some = np.flatnonzero(total)
-                v = pa.array(np.concatenate([np.zeros(len(some), np.int64), ids[root]]), mask=np.arange(len(some) + len(root)) < len(some))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[some], ids[child]])), v, pa.array(np.concatenate([total[some], np.zeros(len(child))]).astype(np.int64))], ["u", "v", "n"])
-
-    found = written(met.mapInArrow(compare, "u long, v long, n long"), "vector-links")
+    block = F.floor((F.col("first") + F.pmod(F.xxhash64("node"), F.col("split"))) / group).cast("int")
+    placed = written(indexed.join(F.broadcast(table), "list").select(block.alias("block"), "node", "copies", "x", "list", "code", "error"), "placed-vectors")
+    ends = table.select("list", F.floor(F.col("first") / group).cast("int").alias("low"), F.floor((F.col("first") + F.col("split") - 1) / group).cast("int").alias("high"))
+    wanted = indexed.select("list", "x").mapInArrow(probe, "list int, other int").distinct().join(F.broadcast(ends), "list")
+    wanted = wanted.select(F.explode(F.sequence("low", "high")).alias("one"), F.col("other").alias("list")).distinct().join(F.broadcast(ends), "list")
+    wanted = wanted.select("one", F.explode(F.sequence("low", "high")).alias("other")).distinct()
+    pairs = written(wanted.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct(), "block-pairs")
+    ends = pairs.select(F.col("a").alias("block"), "a", "b", F.lit(False).alias("second")).unionByName(pairs.where("a <> b").select(F.col("b").alias("block"), "a", "b", F.lit(True).alias("second")))
+    met = placed.join(ends.hint("merge"), "block").drop("block").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        v1, v2 = rows.filter(pc.invert(rows.column("second"))), rows.filter(rows.column("second"))
+        same, nodes = not v2.num_rows, np.concatenate([v1.column("node").to_numpy(), v2.column("node").to_numpy()])
+        x = Tile.of(v1, shared.value, r)
+        y, size = x if same else Tile.of(v2, shared.value, r), v1.num_rows
+        total, child, root = np.zeros(size + v2.num_rows), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for i, j in meet(shared.value, x, y, r, least, same):
+            total += np.bincount(i, weights=y.copies[j], minlength=len(total))
+            j = j if same else j + size
+            total += np.bincount(j, weights=x.copies[i], minlength=len(total))
+            child, root = forest(len(total), np.concatenate([child, i]), np.concatenate([root, j]))
+        some = np.flatnonzero(total)
+        v = pa.array(np.concatenate([np.zeros(len(some), np.int64), nodes[root]]), mask=np.arange(len(some) + len(root)) < len(some))
+        return pa.Table.from_arrays([pa.array(np.concatenate([nodes[some], nodes[child]])), v, pa.array(np.concatenate([total[some], np.zeros(len(child))]).astype(np.int64))], ["u", "v", "n"])
+
+    found = written(met.groupBy("a", "b").applyInArrow(compare, "u long, v long, n long"), "vector-links")
     return found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n")), found.where("v is not null").select("u", "v")
 
 

@@ -328,6 +328,23 @@ def test_embedding_dedup_of_null_and_repeated_ids(spark):
     assert got == sorted([(5, 2, 5, True), (5, 1, 5, True), (6, 2, 5, False), (6, 2, 5, False), (7, 1, 5, False), (-1, 0, -1, True), (-1, 1, 8, False), (8, 1, 8, True), (-1, 0, -1, True)])
 
 
+@pytest.mark.parametrize("blocks", [1, 1000])
+def test_vectors_move_without_the_lists_they_probe(spark, monkeypatch, blocks):
+    """Random vectors probe nearly every list; tables of vectors hold a code for each and no list of lists, whatever a block is."""
+    monkeypatch.setattr(pq_dedup, "BLOCKS", blocks, raising=False)
+    kept, write = [], pq_dedup.written
+    monkeypatch.setattr(pq_dedup, "written", lambda df, name: (kept.append(df.schema), write(df, name))[1])
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(90, 8))
+    x = np.concatenate([x, x[:30] + rng.normal(size=(30, 8)) * 0.15])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in pq_dedup.embedding_dedup(df, tile=4).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert got == {k: int((u @ v >= 0.9).sum()) - 1 for k, v in enumerate(u)} and sum(got.values()) > 40
+    lists = [f.dataType.simpleString() for s in kept for f in s if f.dataType.simpleString().startswith(("array", "struct"))]
+    assert lists and set(lists) == {"array<double>"}
+
+
 def test_dense_list_is_compared_in_bounded_memory():
     """4096 vectors that all link: peaks at a small multiple of a block."""
     import tracemalloc
